@@ -1,0 +1,175 @@
+"""Registry of named queries (Spark) and their DuckDB oracles.
+
+Keys follow SURVEY section 7.4. Each Spark query takes (spark, sf_dir) and reads the whole
+tables under sf_dir. Each oracle is DuckDB SQL over the driver's views.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions.derive import money_as_double
+from tallyframe.operators import metrics as M
+from tallyframe.plans import oracle as O
+from tallyframe.plans.retail import derived_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return deco
+
+
+# Cross-filter matrix used by the metric queries (values exist in every scale factor).
+DATES = dict(date_from="1996-01-01", date_to="1996-12-31")
+CATEGORY = dict(category="MEDIUM")
+REGION = dict(region="R2")
+EMPTY = dict(category="NO SUCH CATEGORY")
+BAD_DATE = dict(date_from="2025-13-01")
+WEEKS = ("1996-01-01", "1996-03-25")  # Mondays; last week kept whole -> through 1996-03-31
+
+
+def _f(**kw) -> M.Filters:
+    return M.Filters(**kw)
+
+
+# ------------------------------------------------------------------ D8 / A1-A5
+
+
+@register("derive", f"""{O.PIPELINE}
+SELECT order_id, order_ts, customer_id, region, sku, qty, CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(discount_pct AS DOUBLE) AS discount_pct, status, product_name, category, cost_price, segment,
+       CAST(gross_revenue AS DOUBLE) AS gross_revenue, CAST(net_revenue AS DOUBLE) AS net_revenue,
+       CAST(cogs AS DOUBLE) AS cogs, CAST(margin AS DOUBLE) AS margin, margin_pct, order_date, order_week
+FROM derived""")
+def q_derive(spark, sf):
+    return money_as_double(derived_table(spark, sf))
+
+
+@register("kpis", O.kpis_sql())
+def q_kpis(spark, sf):
+    return M.kpis(derived_table(spark, sf))
+
+
+@register("revenue_over_time", O.weekly_sql())
+def q_weekly(spark, sf):
+    return M.revenue_over_time(derived_table(spark, sf))
+
+
+@register("revenue_by_category", O.category_sql())
+def q_category(spark, sf):
+    return M.revenue_by_category(derived_table(spark, sf))
+
+
+@register("revenue_by_region", O.region_sql())
+def q_region(spark, sf):
+    return M.revenue_by_region(derived_table(spark, sf))
+
+
+@register("top_products", O.top_products_sql())
+def q_top(spark, sf):
+    return M.top_products(derived_table(spark, sf))
+
+
+# ------------------------------------------------------------------ F1-F7 matrix
+
+_MATRIX = {
+    "none": {},
+    "dates": DATES,
+    "category": CATEGORY,
+    "region": REGION,
+    "category_region": {**CATEGORY, **REGION},
+    "empty": EMPTY,
+    "bad_date": BAD_DATE,
+}
+
+
+@register("bundle_rows", f"""{O.PIPELINE}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS filter_set, CAST(count(*) AS BIGINT) AS rows, "
+    f"CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS revenue_rows FROM derived WHERE {O.predicate(**{kk: vv for kk, vv in v.items() if kk != 'date_from' or k != 'bad_date'})}"
+    for k, v in _MATRIX.items()
+))
+def q_bundle_rows(spark, sf):
+    """A6 ``rows``: rows admitted by each filter set, before the status filter, from one
+    scan (conditional counts)."""
+    d = derived_table(spark, sf)
+    aggs = []
+    for k, v in _MATRIX.items():
+        p = M.predicate(_f(**v))
+        aggs += [F.count_if(p).alias(f"r_{k}"), F.count_if(p & (F.col("status") == "completed")).alias(f"v_{k}")]
+    wide = d.agg(*aggs)
+    stack = ", ".join(f"'{k}', r_{k}, v_{k}" for k in _MATRIX)
+    return wide.selectExpr(f"stack({len(_MATRIX)}, {stack}) as (filter_set, rows, revenue_rows)")
+
+
+@register("kpis_dates", O.kpis_sql(**DATES))
+def q_kpis_dates(spark, sf):
+    return M.kpis(derived_table(spark, sf), _f(**DATES))
+
+
+@register("kpis_bad_date", O.kpis_sql())
+def q_kpis_bad_date(spark, sf):
+    """an unreadable date bound is dropped, so this equals the unfiltered KPIs."""
+    return M.kpis(derived_table(spark, sf), _f(**BAD_DATE))
+
+
+@register("category_cut_released", O.category_sql(**DATES, **CATEGORY, **REGION))
+def q_cat_released(spark, sf):
+    return M.revenue_by_category(derived_table(spark, sf), _f(**DATES, **CATEGORY, **REGION))
+
+
+@register("region_cut_released", O.region_sql(**DATES, **CATEGORY, **REGION))
+def q_region_released(spark, sf):
+    return M.revenue_by_region(derived_table(spark, sf), _f(**DATES, **CATEGORY, **REGION))
+
+
+@register("two_filters", O.top_products_sql(**CATEGORY, **REGION))
+def q_two_filters(spark, sf):
+    return M.top_products(derived_table(spark, sf), _f(**CATEGORY, **REGION))
+
+
+@register("kpis_empty", O.kpis_sql(**EMPTY))
+def q_kpis_empty(spark, sf):
+    return M.kpis(derived_table(spark, sf), _f(**EMPTY))
+
+
+@register("weeks_range", O.weekly_sql(date_from=WEEKS[0], date_to="1996-03-31"))
+def q_weeks_range(spark, sf):
+    return M.revenue_over_time(derived_table(spark, sf), M.week_filters(*WEEKS))
+
+
+def _cuts_sql(**f) -> str:
+    both = O.predicate(**f)
+    cat = O.predicate(**{k: v for k, v in f.items() if k != "category"})
+    reg = O.predicate(**{k: v for k, v in f.items() if k != "region"})
+    parts = []
+    for grain, key, pred, units in (
+        ("week", "CAST(order_week AS VARCHAR)", both, "CAST(sum(qty) AS BIGINT)"),
+        ("category", "category", cat, "CAST(0 AS BIGINT)"),
+        ("region", "region", reg, "CAST(0 AS BIGINT)"),
+        ("sku", "sku", both, "CAST(sum(qty) AS BIGINT)"),
+    ):
+        parts.append(
+            f"SELECT '{grain}' AS grain, {key} AS key, {O.money('sum(net_revenue)')} AS net_revenue, "
+            f"{O.ratio(O.money('sum(margin)'), O.money('sum(net_revenue)'))} AS margin_pct, "
+            f"CAST(count(*) AS BIGINT) AS order_count, {units} AS units "
+            f"FROM derived WHERE {pred} AND status = 'completed' GROUP BY {key}"
+        )
+    return O.PIPELINE + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("grouping_sets_cut", _cuts_sql(**DATES, **CATEGORY, **REGION))
+def q_grouping_sets(spark, sf):
+    return M.grouping_sets_cut(derived_table(spark, sf), _f(**DATES, **CATEGORY, **REGION))

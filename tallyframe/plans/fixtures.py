@@ -1,0 +1,159 @@
+"""Messy extracts derived from the driver's tables, with integer arithmetic only, so the
+DuckDB oracle (``plans/oracle.py``) can derive the very same rows.
+
+messy_orders      lineitem x orders x customer x nation x region, one row per line
+messy_products    part
+messy_customers   customer x nation x region
+event_log         events, re-typed as an ordered run log
+edges             part, as a child -> parent tree
+
+Every fixture is a lazy DataFrame over the whole input tables; nothing is sampled. The
+dimension joins (nation, region) are tiny and fixed-size; customer and part joins are left
+to the planner (AQE picks broadcast only when the runtime size is under the threshold).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.operators.ordering import blocked_row_number
+from tallyframe.sources.tables import read_table
+
+
+def _s(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate",
+    )
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    na = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    rg = read_table(spark, sf_dir, "region").select("r_regionkey")
+    j = (
+        li.join(od, li.l_orderkey == od.o_orderkey)
+        .join(cu, F.col("o_custkey") == cu.c_custkey)
+        .join(F.broadcast(na), F.col("c_nationkey") == na.n_nationkey)
+        .join(F.broadcast(rg), F.col("n_regionkey") == rg.r_regionkey)
+    )
+    day_first = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_orderkey")) % 17 == 0
+    q = _s(
+        F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("bigint")
+    )
+    pad = (F.col("l_orderkey") + F.col("l_linenumber")) % 33
+    return j.select(
+        F.concat(F.lit("ORD-"), _s("l_orderkey"), F.lit("-"), _s("l_linenumber")).alias("order_id"),
+        F.when(day_first, F.date_format("l_shipdate", "dd/MM/yyyy HH:mm"))
+        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"))
+        .alias("order_ts"),
+        F.concat(F.lit("CUST-"), _s("o_custkey")).alias("customer_id"),
+        F.concat(
+            F.lit("R"),
+            _s(
+                F.when((F.col("l_orderkey") + F.col("l_partkey")) % 31 == 0, (F.col("r_regionkey") + 1) % 5)
+                .otherwise(F.col("r_regionkey"))
+            ),
+        ).alias("region"),
+        F.concat(F.lit("SKU-"), _s("l_partkey")).alias("sku"),
+        F.when(pad == 0, F.concat(F.lit(" "), q))
+        .when(pad == 1, F.concat(q, F.lit(" ")))
+        .when(pad == 2, F.concat(q, F.lit(".0")))
+        .otherwise(q)
+        .alias("qty"),
+        _s(F.col("l_extendedprice").cast("decimal(18,2)")).alias("unit_price"),
+        F.when((F.col("l_partkey") + F.col("l_orderkey") * 3) % 25 == 0, F.lit(None).cast("string"))
+        .otherwise(_s(F.col("l_discount").cast("decimal(6,2)")))
+        .alias("discount_pct"),
+        F.when(F.col("l_returnflag") == "R", "returned")
+        .when(F.col("l_returnflag") == "A", "cancelled")
+        .otherwise("completed")
+        .alias("status"),
+    )
+
+
+def messy_products(spark: SparkSession, sf_dir: str, variant: str = "clean") -> DataFrame:
+    """``clean``: one row per part. ``defects``: parts with key % 50 = 0 removed (unmatched
+    lines) and parts with key % 100 = 0 repeated (duplicate right keys); used only to
+    exercise the join accounting, still over the whole table."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    if variant == "defects":
+        p = p.filter(F.col("p_partkey") % 50 != 0).unionByName(p.filter(F.col("p_partkey") % 100 == 0))
+    return p.select(
+        F.concat(F.lit("SKU-"), _s("p_partkey")).alias("sku"),
+        F.col("p_name").alias("product_name"),
+        F.col("p_type").alias("category"),
+        _s(F.col("p_retailprice").cast("decimal(12,2)")).alias("cost_price"),
+    )
+
+
+def messy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    na = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return cu.join(F.broadcast(na), cu.c_nationkey == na.n_nationkey).select(
+        F.concat(F.lit("CUST-"), _s("c_custkey")).alias("customer_id"),
+        F.col("c_mktsegment").alias("segment"),
+        F.concat(F.lit("R"), _s("n_regionkey")).alias("region"),
+    )
+
+
+EVENT_TYPE_MAP = {
+    "signup": "task.ready",
+    "view": "task.started",
+    "click": "log.emitted",
+    "purchase": "task.completed",
+}
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns: run_id, seq, at, type, task_id, agent_id, recoverable, attempt, level, message, k.
+
+    ``seq`` is a dense position per run in (ts, event_id) order, numbered with a blocked
+    window so one huge run is split across many tasks (see ``blocked_row_number``)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    numbered = blocked_row_number(
+        ev,
+        partition_cols=["user_id"],
+        order_cols=["ts", "event_id"],
+        block_col=F.date_trunc("hour", F.col("ts")),
+        out_col="seq",
+    )
+    first_ts = numbered.groupBy("user_id").agg(F.min("ts").alias("t0"))
+    typed = F.when(F.col("event_type") == "error", F.when(F.col("k") % 2 == 0, "task.failed").otherwise("task.retried"))
+    for src, dst in EVENT_TYPE_MAP.items():
+        typed = typed.when(F.col("event_type") == src, dst)
+    return numbered.join(first_ts, "user_id").select(
+        F.concat(F.lit("run_"), _s("user_id")).alias("run_id"),
+        (F.col("seq") - 1).alias("seq"),
+        F.floor(F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1000)
+        .cast("bigint")
+        .alias("at"),
+        typed.alias("type"),
+        F.concat(F.lit("t"), _s(F.col("k") % 5)).alias("task_id"),
+        F.concat(F.lit("a"), _s(F.col("k") % 4)).alias("agent_id"),
+        (F.col("k") % 3 == 0).alias("recoverable"),
+        F.col("k"),
+    )
+
+
+def edges(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
+    """child = p_partkey, parent = floor(p_partkey / 2) for keys > 0 (a tree). With
+    ``defects``: parent = -1 (unknown) when key % 97 = 0, parent = child when key % 101 = 0."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey").filter(F.col("p_partkey") > 0)
+    parent = F.floor(F.col("p_partkey") / 2).cast("bigint")
+    if defects:
+        parent = (
+            F.when(F.col("p_partkey") % 97 == 0, F.lit(-1).cast("bigint"))
+            .when(F.col("p_partkey") % 101 == 0, F.col("p_partkey"))
+            .otherwise(parent)
+        )
+    return p.select(F.lit("parts").alias("group_id"), F.col("p_partkey").alias("child"), parent.alias("parent"))
+
+
+def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known nodes of the edge table: every part key."""
+    return read_table(spark, sf_dir, "part").select(F.lit("parts").alias("group_id"), F.col("p_partkey").alias("node"))

@@ -1,0 +1,219 @@
+"""DuckDB SQL for the same fixtures and pipeline: the correctness oracle.
+
+Each query in ``__spark_entry__.oracle_sql`` is ``WITH <chain> SELECT ...`` over the driver's
+pre-registered views. The chain mirrors ``plans/fixtures.py`` and ``plans/retail.py`` step
+by step; the regex guards are the same text (``functions/patterns.py``).
+"""
+
+from __future__ import annotations
+
+from tallyframe.functions import patterns as P
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def guarded(x: str, target: str) -> str:
+    regex = P.PLAIN_INT if target in ("BIGINT",) else P.PLAIN_FLOAT
+    return f"CASE WHEN regexp_full_match({x}, {_q(regex)}) THEN TRY_CAST({x} AS {target}) END"
+
+
+def tidy(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), {_q(P.REDUNDANT_DECIMAL_TAIL)}, '')"
+
+
+def parse_ts(x: str, spec: str) -> str:
+    return f"try_strptime({x}, {_q(P.SHAPES_BY_SPEC[spec].duck_format)})"
+
+
+def parse_multi(x: str) -> str:
+    return "coalesce(" + ", ".join(parse_ts(x, s) for s in (P.STRICT_SPEC, *P.FALLBACK_SPECS)) + ")"
+
+
+MESSY_ORDERS = f"""
+messy_base AS (
+  SELECT l.*, o.o_custkey, r.r_regionkey,
+         CAST(CAST(CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS BIGINT) AS VARCHAR) AS q
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+messy_orders AS (
+  SELECT
+    'ORD-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS order_id,
+    CASE WHEN (l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 17 = 0
+         THEN strftime(l_shipdate, '%d/%m/%Y %H:%M')
+         ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') END AS order_ts,
+    'CUST-' || CAST(o_custkey AS VARCHAR) AS customer_id,
+    'R' || CAST(CASE WHEN (l_orderkey + l_partkey) % 31 = 0 THEN (r_regionkey + 1) % 5 ELSE r_regionkey END AS VARCHAR) AS region,
+    'SKU-' || CAST(l_partkey AS VARCHAR) AS sku,
+    CASE (l_orderkey + l_linenumber) % 33 WHEN 0 THEN ' ' || q WHEN 1 THEN q || ' ' WHEN 2 THEN q || '.0' ELSE q END AS qty,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS unit_price,
+    CASE WHEN (l_partkey + l_orderkey * 3) % 25 = 0 THEN NULL
+         ELSE CAST(CAST(l_discount AS DECIMAL(6,2)) AS VARCHAR) END AS discount_pct,
+    CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'cancelled' ELSE 'completed' END AS status
+  FROM messy_base
+)"""
+
+MESSY_PRODUCTS = """
+messy_products AS (
+  SELECT 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS product_name, p_type AS category,
+         CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS cost_price
+  FROM part
+)"""
+
+MESSY_PRODUCTS_DEFECTS = """
+part_defects AS (
+  SELECT * FROM part WHERE p_partkey % 50 <> 0
+  UNION ALL
+  SELECT * FROM part WHERE p_partkey % 100 = 0
+),
+messy_products_defects AS (
+  SELECT 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS product_name, p_type AS category,
+         CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS cost_price
+  FROM part_defects
+)"""
+
+MESSY_CUSTOMERS = """
+messy_customers AS (
+  SELECT 'CUST-' || CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment,
+         'R' || CAST(n_regionkey AS VARCHAR) AS region
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+)"""
+
+_TIE = ", ".join(f"{c} DESC NULLS LAST" for c in ("customer_id", "region", "sku", "qty", "unit_price", "discount_pct", "status"))
+
+CLEAN_CHAIN = f"""
+parsed AS (
+  SELECT * REPLACE (CAST({parse_multi('order_ts')} AS TIMESTAMP) AS order_ts) FROM messy_orders
+),
+deduped AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_ts DESC NULLS LAST, {_TIE}) AS rn
+    FROM parsed) WHERE rn = 1
+),
+cleaned AS (
+  SELECT * REPLACE (
+    {guarded(tidy('qty'), 'BIGINT')} AS qty,
+    {guarded(tidy('unit_price'), 'DECIMAL(14,2)')} AS unit_price,
+    coalesce({guarded('discount_pct', 'DECIMAL(8,4)')}, CAST(0.0 AS DECIMAL(8,4))) AS discount_pct)
+  FROM deduped WHERE order_ts IS NOT NULL
+)"""
+
+JOIN_CHAIN = """
+joined AS (
+  SELECT o.*, p.product_name, p.category, p.cost_price, c.segment, c.region AS region_right
+  FROM cleaned o
+  JOIN messy_products p ON o.sku = p.sku
+  JOIN messy_customers c ON o.customer_id = c.customer_id
+)"""
+
+DERIVE_CHAIN = f"""
+derived0 AS (
+  SELECT * EXCLUDE (region_right),
+    CAST(qty AS DECIMAL(12,0)) * unit_price AS gross_revenue,
+    CAST(qty AS DECIMAL(12,0)) * unit_price * (1 - discount_pct) AS net_revenue,
+    CAST(qty AS DECIMAL(12,0)) * {guarded('cost_price', 'DECIMAL(14,2)')} AS cogs
+  FROM joined
+),
+derived AS (
+  SELECT *, net_revenue - cogs AS margin,
+    CASE WHEN net_revenue <> 0 THEN CAST(net_revenue - cogs AS DOUBLE) / CAST(net_revenue AS DOUBLE) END AS margin_pct,
+    CAST(order_ts AS DATE) AS order_date,
+    CAST(date_trunc('week', order_ts) AS DATE) AS order_week
+  FROM derived0
+)"""
+
+
+def with_chain(*parts: str) -> str:
+    return "WITH " + ",".join(parts)
+
+
+FIXTURES = (MESSY_ORDERS, MESSY_PRODUCTS, MESSY_CUSTOMERS)
+PIPELINE = with_chain(*FIXTURES, CLEAN_CHAIN, JOIN_CHAIN, DERIVE_CHAIN)
+
+
+def money(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,2)) AS DOUBLE)"
+
+
+def ratio(n: str, d: str) -> str:
+    return f"CASE WHEN CAST({d} AS DOUBLE) <> 0 THEN CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) ELSE 0.0 END"
+
+
+def predicate(date_from=None, date_to=None, category=None, region=None) -> str:
+    c = ["TRUE"]
+    if date_from:
+        c.append(f"order_date >= DATE {_q(date_from)}")
+    if date_to:
+        c.append(f"order_date <= DATE {_q(date_to)}")
+    if category:
+        c.append(f"category = {_q(category)}")
+    if region:
+        c.append(f"region = {_q(region)}")
+    return " AND ".join(c)
+
+
+def kpis_sql(**f) -> str:
+    net = money("coalesce(sum(net_revenue) FILTER (WHERE status = 'completed'), 0)")
+    mar = money("coalesce(sum(margin) FILTER (WHERE status = 'completed'), 0)")
+    return f"""{PIPELINE},
+k AS (
+  SELECT {net} AS net_revenue, {mar} AS margin,
+         CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS order_count,
+         CAST(count(*) FILTER (WHERE status = 'returned') AS BIGINT) AS returned_count,
+         CAST(count(*) AS BIGINT) AS rows
+  FROM derived WHERE {predicate(**f)}
+)
+SELECT net_revenue, order_count, {ratio('net_revenue', 'order_count')} AS average_order_value,
+       {ratio('margin', 'net_revenue')} AS margin_pct,
+       {ratio('returned_count', 'order_count + returned_count')} AS return_rate,
+       returned_count, rows
+FROM k"""
+
+
+def _released(f: dict, field: str) -> dict:
+    g = dict(f)
+    g.pop(field, None)
+    return g
+
+
+def weekly_sql(**f) -> str:
+    return f"""{PIPELINE}
+SELECT order_week, {money('coalesce(sum(net_revenue), 0)')} AS net_revenue, CAST(count(*) AS BIGINT) AS order_count
+FROM derived WHERE {predicate(**f)} AND status = 'completed'
+GROUP BY order_week ORDER BY order_week"""
+
+
+def category_sql(**f) -> str:
+    return f"""{PIPELINE}
+SELECT category, {money('sum(net_revenue)')} AS net_revenue,
+       {ratio(money('sum(margin)'), money('sum(net_revenue)'))} AS margin_pct
+FROM derived WHERE {predicate(**_released(f, 'category'))} AND status = 'completed'
+GROUP BY category ORDER BY net_revenue DESC, category"""
+
+
+def region_sql(**f) -> str:
+    return f"""{PIPELINE},
+g AS (
+  SELECT region, sum(net_revenue) AS net
+  FROM derived WHERE {predicate(**_released(f, 'region'))} AND status = 'completed'
+  GROUP BY region
+)
+SELECT region, {money('net')} AS net_revenue, {ratio(money('net'), money('sum(net) OVER ()'))} AS share
+FROM g ORDER BY net_revenue DESC, region"""
+
+
+def top_products_sql(k: int = P.TOP_PRODUCT_LIMIT, **f) -> str:
+    return f"""{PIPELINE},
+g AS (
+  SELECT sku, min(product_name) AS product_name, sum(net_revenue) AS net, sum(margin) AS margin,
+         CAST(sum(qty) AS BIGINT) AS units
+  FROM derived WHERE {predicate(**f)} AND status = 'completed'
+  GROUP BY sku
+)
+SELECT sku, product_name, {money('net')} AS net_revenue, units, {ratio(money('margin'), money('net'))} AS margin_pct
+FROM g ORDER BY net DESC, sku LIMIT {k}"""
