@@ -173,3 +173,207 @@ def _cuts_sql(**f) -> str:
 @register("grouping_sets_cut", _cuts_sql(**DATES, **CATEGORY, **REGION))
 def q_grouping_sets(spark, sf):
     return M.grouping_sets_cut(derived_table(spark, sf), _f(**DATES, **CATEGORY, **REGION))
+
+
+# ------------------------------------------------------------------ C1-C9 cleaning
+
+from tallyframe.functions import patterns as P  # noqa: E402
+from tallyframe.operators import cleaning as C  # noqa: E402
+from tallyframe.operators import joins as J  # noqa: E402
+from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products  # noqa: E402
+
+CLEAN_PREFIX = O.with_chain(*O.FIXTURES, O.CLEAN_CHAIN)
+
+
+@register("parse_multi_format", f"""{O.with_chain(O.MESSY_ORDERS)}
+SELECT order_id, order_ts AS order_ts_raw, CAST({O.parse_multi('order_ts')} AS TIMESTAMP) AS order_ts
+FROM messy_orders""")
+def q_parse_multi(spark, sf):
+    m = messy_orders(spark, sf)
+    return C.parse_multi(m.select("order_id", F.col("order_ts").alias("order_ts_raw"), "order_ts"), "order_ts")
+
+
+@register("dedupe_latest", f"""{CLEAN_PREFIX}
+SELECT * FROM deduped""")
+def q_dedupe(spark, sf):
+    return C.dedupe_latest(C.parse_multi(messy_orders(spark, sf), "order_ts"), "order_id", "order_ts")
+
+
+@register("coerce_numeric", f"""{CLEAN_PREFIX}
+SELECT order_id, qty AS qty_raw, {O.guarded(O.tidy('qty'), 'BIGINT')} AS qty,
+       unit_price AS unit_price_raw, CAST({O.guarded(O.tidy('unit_price'), 'DECIMAL(14,2)')} AS DOUBLE) AS unit_price
+FROM deduped""")
+def q_coerce(spark, sf):
+    d = C.dedupe_latest(C.parse_multi(messy_orders(spark, sf), "order_ts"), "order_id", "order_ts")
+    return d.select(
+        "order_id",
+        F.col("qty").alias("qty_raw"),
+        C.coerce_expr("qty", "int").alias("qty"),
+        F.col("unit_price").alias("unit_price_raw"),
+        C.coerce_expr("unit_price", P.PRICE_DECIMAL).cast("double").alias("unit_price"),
+    )
+
+
+def _needed_sql(col: str, target: str) -> str:
+    return f"({O.guarded(col, target)}) IS NULL AND ({O.guarded(O.tidy(col), target)}) IS NOT NULL"
+
+
+@register("coerce_counts", f"""{CLEAN_PREFIX}
+SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_needed_sql('qty', 'BIGINT')}) AS BIGINT) AS needed FROM deduped
+UNION ALL
+SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_needed_sql('unit_price', 'DECIMAL(14,2)')}) AS BIGINT) FROM deduped""")
+def q_coerce_counts(spark, sf):
+    return C.coerce_counts(messy_orders(spark, sf))
+
+
+@register("fill_nulls", f"""{CLEAN_PREFIX}
+SELECT order_id, discount_pct AS discount_raw,
+       CAST(coalesce({O.guarded('discount_pct', 'DECIMAL(8,4)')}, CAST(0.0 AS DECIMAL(8,4))) AS DOUBLE) AS discount_pct
+FROM deduped""")
+def q_fill(spark, sf):
+    d = C.dedupe_latest(C.parse_multi(messy_orders(spark, sf), "order_ts"), "order_id", "order_ts")
+    return d.select(
+        "order_id",
+        F.col("discount_pct").alias("discount_raw"),
+        C.fill_expr("discount_pct", 0.0, P.RATE_DECIMAL).cast("double").alias("discount_pct"),
+    )
+
+
+@register("null_rates", f"""{CLEAN_PREFIX}
+SELECT 'discount_pct' AS column_name, CAST(count(*) FILTER (WHERE discount_pct IS NULL) AS BIGINT) AS nulls,
+       CAST(count(*) AS BIGINT) AS rows,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE discount_pct IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) ELSE 0.0 END AS null_rate,
+       CAST(count(*) FILTER (WHERE discount_pct IS NOT NULL AND ({O.guarded('discount_pct', 'DECIMAL(8,4)')}) IS NULL) AS BIGINT) AS unparseable_filled,
+       CAST(0.0 AS DOUBLE) AS fill_value
+FROM deduped""")
+def q_null_rates(spark, sf):
+    return C.null_rates(messy_orders(spark, sf))
+
+
+@register("clean", f"""{CLEAN_PREFIX}
+SELECT order_id, order_ts, customer_id, region, sku, qty, CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(discount_pct AS DOUBLE) AS discount_pct, status
+FROM cleaned""")
+def q_clean(spark, sf):
+    return money_as_double(C.clean(messy_orders(spark, sf)))
+
+
+_CLEAN_STATS_SQL = f"""{CLEAN_PREFIX},
+s AS (
+  SELECT (SELECT count(*) FROM messy_orders) AS rows_in, count(*) AS rows_after_dedupe,
+         count(*) FILTER (WHERE order_ts IS NULL) AS failures
+  FROM deduped
+)"""
+
+
+@register("clean_stats", f"""{_CLEAN_STATS_SQL}
+SELECT CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_after_dedupe AS BIGINT) AS rows_after_dedupe,
+       CAST(rows_in - rows_after_dedupe AS BIGINT) AS duplicates_removed, CAST(failures AS BIGINT) AS failures,
+       CAST(rows_after_dedupe - failures AS BIGINT) AS rows_out,
+       CAST(rows_in - rows_after_dedupe + failures AS BIGINT) AS rows_dropped,
+       CAST(rows_in - failures AS BIGINT) AS resolved,
+       CASE WHEN rows_in > 0 THEN CAST(rows_in - rows_after_dedupe + failures AS DOUBLE) / CAST(rows_in AS DOUBLE) * 100.0 ELSE 0.0 END AS drop_pct
+FROM s""")
+def q_clean_stats(spark, sf):
+    return C.clean_stats(messy_orders(spark, sf))
+
+
+@register("chosen_strategy", f"""{O.with_chain(O.MESSY_ORDERS)},
+s AS (SELECT CAST(count(*) AS BIGINT) AS total,
+             CAST(count(*) FILTER (WHERE order_ts IS NOT NULL AND {O.parse_ts('order_ts', P.STRICT_SPEC)} IS NULL) AS BIGINT) AS unparseable
+      FROM messy_orders)
+SELECT CASE WHEN unparseable = 0 THEN 'iso-strict' ELSE 'multi-format-day-first' END AS strategy, unparseable, total FROM s""")
+def q_chosen(spark, sf):
+    return C.choose_strategy(messy_orders(spark, sf))
+
+
+@register("drop_rate", f"""{_CLEAN_STATS_SQL}
+SELECT CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in - failures AS BIGINT) AS resolved,
+       CAST(rows_in - rows_after_dedupe + failures AS BIGINT) AS rows_dropped,
+       CASE WHEN rows_in > 0 THEN CAST(rows_in - rows_after_dedupe + failures AS DOUBLE) / CAST(rows_in AS DOUBLE) * 100.0 ELSE 0.0 END AS drop_pct
+FROM s""")
+def q_drop_rate(spark, sf):
+    return C.clean_stats(messy_orders(spark, sf)).select("rows_in", "resolved", "rows_dropped", "drop_pct")
+
+
+# ------------------------------------------------------------------ J1-J7 joins
+
+JOIN_PREFIX = O.with_chain(*O.FIXTURES, O.MESSY_PRODUCTS_DEFECTS, O.CLEAN_CHAIN)
+
+
+@register("join_products", f"""{JOIN_PREFIX}
+SELECT o.order_id, o.order_ts, o.customer_id, o.region, o.sku, o.qty, CAST(o.unit_price AS DOUBLE) AS unit_price,
+       CAST(o.discount_pct AS DOUBLE) AS discount_pct, o.status, p.product_name, p.category, p.cost_price,
+       c.segment, c.region AS region_right
+FROM cleaned o JOIN messy_products_defects p ON o.sku = p.sku JOIN messy_customers c ON o.customer_id = c.customer_id""")
+def q_join_products(spark, sf):
+    orders = C.clean(messy_orders(spark, sf))
+    j = J.join(J.join(orders, messy_products(spark, sf, "defects"), "sku"), messy_customers(spark, sf), "customer_id")
+    return money_as_double(j)
+
+
+def _join_stats_sql(rel: str, right: str, key: str) -> str:
+    return f"""SELECT '{rel}' AS relation, CAST(count(*) AS BIGINT) AS left_rows,
+       CAST(coalesce(sum(m.n), 0) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE m.n IS NOT NULL) AS BIGINT) AS matched,
+       CAST(count(*) FILTER (WHERE m.n IS NULL) AS BIGINT) AS unmatched,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE m.n IS NOT NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) ELSE 0.0 END AS match_rate
+FROM cleaned o LEFT JOIN (SELECT {key}, count(*) AS n FROM {right} GROUP BY {key}) m ON o.{key} = m.{key}"""
+
+
+@register("join_stats", f"""{JOIN_PREFIX}
+{_join_stats_sql('products', 'messy_products_defects', 'sku')}
+UNION ALL
+{_join_stats_sql('customers', 'messy_customers', 'customer_id')}""")
+def q_join_stats(spark, sf):
+    orders = C.clean(messy_orders(spark, sf))
+    a = J.join_stats(orders, messy_products(spark, sf, "defects"), "sku").select(F.lit("products").alias("relation"), "*")
+    b = J.join_stats(orders, messy_customers(spark, sf), "customer_id").select(F.lit("customers").alias("relation"), "*")
+    return a.unionByName(b)
+
+
+@register("join_unmatched", f"""{JOIN_PREFIX}
+SELECT order_id, sku, status FROM cleaned o
+WHERE NOT EXISTS (SELECT 1 FROM messy_products_defects p WHERE p.sku = o.sku)""")
+def q_join_unmatched(spark, sf):
+    orders = C.clean(messy_orders(spark, sf)).select("order_id", "sku", "status")
+    return J.unmatched_rows(orders, messy_products(spark, sf, "defects"), "sku")
+
+
+_CONFLICT_SQL = f"""{O.with_chain(*O.FIXTURES, O.CLEAN_CHAIN, O.JOIN_CHAIN)},
+s AS (SELECT CAST(count(*) FILTER (WHERE region <> region_right) AS BIGINT) AS conflicts, CAST(count(*) AS BIGINT) AS rows FROM joined)"""
+
+
+@register("resolve_conflict", f"""{_CONFLICT_SQL}
+SELECT 'region' AS column_name, 'region' AS resolved_to, conflicts, rows,
+       CASE WHEN rows > 0 THEN CAST(conflicts AS DOUBLE) / CAST(rows AS DOUBLE) ELSE 0.0 END AS conflict_rate
+FROM s""")
+def q_resolve(spark, sf):
+    from tallyframe.plans.retail import joined_orders
+
+    return J.conflict_stats(joined_orders(spark, sf), "region", "region_right")
+
+
+@register("conflict_rate", f"""{O.with_chain(*O.FIXTURES, O.MESSY_PRODUCTS_DEFECTS, O.CLEAN_CHAIN, O.JOIN_CHAIN)},
+s AS (SELECT CAST(count(*) FILTER (WHERE region <> region_right) AS BIGINT) AS conflicts, CAST(count(*) AS BIGINT) AS rows FROM joined),
+pm AS (SELECT count(*) AS total, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM messy_products_defects p WHERE p.sku = o.sku)) AS matched FROM cleaned o)
+SELECT CASE WHEN rows > 0 THEN CAST(conflicts AS DOUBLE) / CAST(rows AS DOUBLE) ELSE 0.0 END AS conflict_rate,
+       CASE WHEN total > 0 THEN CAST(matched AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS product_match_rate
+FROM s, pm""")
+def q_conflict_rate(spark, sf):
+    """Conflict rate on the resolved join and the product match rate (defects variant)."""
+    from tallyframe.plans.retail import joined_orders
+
+    c = J.conflict_stats(joined_orders(spark, sf), "region", "region_right").select("conflict_rate")
+    orders = C.clean(messy_orders(spark, sf))
+    m = J.join_stats(orders, messy_products(spark, sf, "defects"), "sku").select(F.col("match_rate").alias("product_match_rate"))
+    return c.crossJoin(m)
+
+
+@register("region_mismatch", f"""{CLEAN_PREFIX}
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE c.region IS NULL) AS BIGINT) AS missing_parent,
+       CAST(count(*) FILTER (WHERE o.region <> c.region) AS BIGINT) AS mismatches
+FROM cleaned o LEFT JOIN messy_customers c ON o.customer_id = c.customer_id""")
+def q_region_mismatch(spark, sf):
+    """Child attribute vs parent attribute through a left join."""
+    return J.attribute_mismatches(C.clean(messy_orders(spark, sf)), messy_customers(spark, sf), "customer_id", "region")
