@@ -377,3 +377,212 @@ FROM cleaned o LEFT JOIN messy_customers c ON o.customer_id = c.customer_id""")
 def q_region_mismatch(spark, sf):
     """Child attribute vs parent attribute through a left join."""
     return J.attribute_mismatches(C.clean(messy_orders(spark, sf)), messy_customers(spark, sf), "customer_id", "region")
+
+
+# ------------------------------------------------------------------ P1-P15, S3, S4, S7 profiling
+
+from tallyframe.operators import profiling as PR  # noqa: E402
+from tallyframe.sources import tables as S  # noqa: E402
+
+ORDER_COLUMNS = ["order_id", "order_ts", "customer_id", "region", "sku", "qty", "unit_price", "discount_pct", "status"]
+
+
+def _freq(spark, sf):
+    return PR.value_frequencies(messy_orders(spark, sf, with_key=True), ORDER_COLUMNS, "_line")
+
+
+def _shape_sql(v: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_full_match({v}, {O._q(s.regex)}) THEN {O._q(s.spec)}" for s in P.TIMESTAMP_SHAPES) + " END"
+
+
+FREQ_SQL = O.with_chain(*O.FIXTURES) + """,
+long AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {c} AS value, _line FROM messy_orders_keyed" for c in ORDER_COLUMNS
+) + """),
+freq AS (SELECT column_name, value, count(*) AS n, min(_line) AS first_key FROM long GROUP BY column_name, value)"""
+
+
+@register("profile_nulls_distinct", f"""{FREQ_SQL}
+SELECT column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS nulls,
+       CAST(count(*) AS BIGINT) AS distinct
+FROM freq GROUP BY column_name""")
+def q_prof_nd(spark, sf):
+    return PR.nulls_distinct(_freq(spark, sf))
+
+
+@register("profile_formats", f"""{FREQ_SQL},
+shaped AS (SELECT column_name, {_shape_sql('value')} AS spec, n FROM freq WHERE value IS NOT NULL)
+SELECT column_name, spec, CAST(sum(n) AS BIGINT) AS n FROM shaped WHERE spec IS NOT NULL GROUP BY column_name, spec""")
+def q_prof_formats(spark, sf):
+    return PR.formats(_freq(spark, sf))
+
+
+_INT = f"regexp_full_match(value, {O._q(P.INT_LIKE)})"
+_NUM = f"(regexp_full_match(value, {O._q(P.INT_LIKE)}) OR regexp_full_match(value, {O._q(P.DECIMAL_LIKE)}))"
+
+
+@register("profile_types", f"""{FREQ_SQL},
+per AS (SELECT column_name, count(*) AS v, count(*) FILTER (WHERE {_shape_sql('value')} IS NOT NULL) AS shaped,
+               count(*) FILTER (WHERE {_INT}) AS ints, count(*) FILTER (WHERE {_NUM}) AS nums
+        FROM freq WHERE value IS NOT NULL GROUP BY column_name),
+cols AS (SELECT DISTINCT column_name FROM freq)
+SELECT c.column_name, CASE WHEN p.v IS NULL THEN 'empty' WHEN p.shaped > 0 THEN 'datetime'
+       WHEN p.ints = p.v THEN 'int' WHEN p.nums = p.v THEN 'float' ELSE 'str' END AS inferred_type
+FROM cols c LEFT JOIN per p ON c.column_name = p.column_name""")
+def q_prof_types(spark, sf):
+    return PR.inferred_types(_freq(spark, sf))
+
+
+@register("profile_samples", f"""{FREQ_SQL},
+r AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY first_key ASC NULLS LAST, value) AS sample_rank
+      FROM freq WHERE value IS NOT NULL)
+SELECT column_name, CAST(sample_rank AS INTEGER) AS sample_rank, value FROM r WHERE sample_rank <= {P.SAMPLE_SIZE}""")
+def q_prof_samples(spark, sf):
+    return PR.samples(_freq(spark, sf))
+
+
+_FAILING = f"order_ts IS NOT NULL AND {O.parse_ts('order_ts', P.STRICT_SPEC)} IS NULL"
+
+
+@register("probe_format", f"""{O.with_chain(*O.FIXTURES)},
+c AS (SELECT CAST(count(*) AS BIGINT) AS total,
+             CAST(count(*) FILTER (WHERE {O.parse_ts('order_ts', P.STRICT_SPEC)} IS NOT NULL) AS BIGINT) AS parsed,
+             CAST(count(*) FILTER (WHERE {_FAILING}) AS BIGINT) AS unparseable,
+             CAST(count(*) FILTER (WHERE {_FAILING} AND TRY_CAST(regexp_extract(order_ts, '^([0-9]{{1,2}})[/-]', 1) AS INTEGER) > 12) AS BIGINT) AS day_first_evidence
+      FROM messy_orders),
+f AS (SELECT order_ts AS v, min(_line) AS k FROM messy_orders_keyed WHERE {_FAILING} GROUP BY order_ts),
+t AS (SELECT v, row_number() OVER (ORDER BY k ASC NULLS LAST, v) AS r FROM f),
+w AS (SELECT max(v) FILTER (WHERE r = 1) AS sample_1, max(v) FILTER (WHERE r = 2) AS sample_2, max(v) FILTER (WHERE r = 3) AS sample_3 FROM t)
+SELECT 'order_ts' AS column_name, '{P.STRICT_SPEC}' AS spec, total, parsed, unparseable,
+       CASE WHEN total > 0 THEN CAST(unparseable AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS failure_rate,
+       day_first_evidence, sample_1, sample_2, sample_3
+FROM c, w""")
+def q_probe(spark, sf):
+    return PR.probe_format(messy_orders(spark, sf, with_key=True), "order_ts", order_key="_line")
+
+
+def _alternates_sql() -> str:
+    parts = [
+        f"SELECT '{s.spec}' AS spec, {i} AS ordinal, CAST(count(*) FILTER (WHERE {O.parse_ts('order_ts', s.spec)} IS NOT NULL) AS BIGINT) AS reads FROM messy_orders WHERE {_FAILING}"
+        for i, s in enumerate(P.TIMESTAMP_SHAPES) if s.spec != P.STRICT_SPEC
+    ]
+    return "alts AS (SELECT spec, CAST(ordinal AS INTEGER) AS ordinal, reads FROM (" + " UNION ALL ".join(parts) + ") WHERE reads > 0)"
+
+
+@register("probe_alternates", f"""{O.with_chain(*O.FIXTURES)}, {_alternates_sql()}
+SELECT * FROM alts""")
+def q_probe_alts(spark, sf):
+    return PR.probe_alternates(messy_orders(spark, sf), "order_ts")
+
+
+@register("format_verdict", f"""{O.with_chain(*O.FIXTURES)}, {_alternates_sql()},
+ev AS (SELECT CAST(count(*) FILTER (WHERE {_FAILING} AND TRY_CAST(regexp_extract(order_ts, '^([0-9]{{1,2}})[/-]', 1) AS INTEGER) > 12) AS BIGINT) AS day_first_evidence FROM messy_orders),
+fa AS (SELECT arg_min(spec, ordinal) AS alternate, arg_min(reads, ordinal) AS reads, count(*) AS n FROM alts)
+SELECT CASE WHEN fa.n = 0 THEN 'no_alternate' WHEN ev.day_first_evidence = 0 THEN 'ambiguous' ELSE 'day_first' END AS verdict,
+       fa.alternate, fa.reads, ev.day_first_evidence
+FROM ev, fa""")
+def q_verdict(spark, sf):
+    return PR.format_verdict(messy_orders(spark, sf), "order_ts")
+
+
+@register("grain_check", f"""{O.with_chain(*O.FIXTURES)}
+SELECT 'order_id' AS key_column, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT order_id) + max(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS distinct_keys,
+       CAST(count(*) - count(DISTINCT order_id) - max(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS repeats,
+       count(*) - count(DISTINCT order_id) - max(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) = 0 AS grain_confirmed
+FROM messy_orders""")
+def q_grain(spark, sf):
+    return PR.grain_check(messy_orders(spark, sf), "order_id")
+
+
+@register("worst_null_column", f"""{O.with_chain(*O.FIXTURES)},
+n AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS ordinal, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) AS rows FROM messy_orders"
+    for i, c in enumerate(ORDER_COLUMNS)
+) + """)
+SELECT column_name, CAST(nulls AS BIGINT) AS nulls, CAST(nulls AS DOUBLE) / CAST(rows AS DOUBLE) AS null_rate
+FROM n WHERE nulls > 0 ORDER BY nulls DESC, ordinal LIMIT 1""")
+def q_worst_null(spark, sf):
+    return PR.worst_null_column(messy_orders(spark, sf))
+
+
+@register("mixed_formats", f"""{FREQ_SQL},
+shaped AS (SELECT column_name, {_shape_sql('value')} AS spec FROM freq WHERE value IS NOT NULL),
+f AS (SELECT DISTINCT column_name, spec FROM shaped WHERE spec IS NOT NULL)
+SELECT column_name, CAST(count(*) AS BIGINT) AS n_formats, array_to_string(list_sort(list(spec)), ' | ') AS formats
+FROM f GROUP BY column_name""")
+def q_mixed(spark, sf):
+    return PR.mixed_formats(_freq(spark, sf))
+
+
+FK_RELATIONS = [
+    ("lineitem.l_orderkey -> orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem.l_partkey -> part", "lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem.l_suppkey -> supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders.o_custkey -> customer", "orders", "o_custkey", "customer", "c_custkey"),
+    ("customer.c_nationkey -> nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier.s_nationkey -> nation", "supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation.n_regionkey -> region", "nation", "n_regionkey", "region", "r_regionkey"),
+    ("labels.doc_id -> documents", "labels", "doc_id", "documents", "doc_id"),
+]
+
+
+@register("fk_audit", "\nUNION ALL\n".join(
+    f"SELECT '{rel}' AS relation, CAST(count(*) AS BIGINT) AS orphans FROM {c} WHERE NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{pk} = {c}.{ck})"
+    for rel, c, ck, p, pk in FK_RELATIONS
+))
+def q_fk(spark, sf):
+    out = None
+    for rel, c, ck, p, pk in FK_RELATIONS:
+        r = PR.fk_orphans(S.read_table(spark, sf, c), ck, S.read_table(spark, sf, p), pk, rel)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("load_stats", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS name, CAST((SELECT count(*) FROM {t}) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS n_columns, "
+    f"string_agg(column_name, ',' ORDER BY ordinal_position) AS columns FROM information_schema.columns WHERE table_name = '{t}'"
+    for t in S.TPCH_TABLES
+))
+def q_load_stats(spark, sf):
+    return S.load_stats({t: S.read_table(spark, sf, t) for t in S.TPCH_TABLES})
+
+
+@register("preview", f"""{O.with_chain(*O.FIXTURES)},
+t AS (SELECT * FROM messy_orders_keyed ORDER BY _line, order_ts LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY _line, order_ts) AS INTEGER) AS preview_row, """ + ", ".join(
+    [f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ["_line"] + ORDER_COLUMNS]) + " FROM t")
+def q_preview(spark, sf):
+    return S.preview(messy_orders(spark, sf, with_key=True), ["_line", "order_ts"], 20)
+
+
+def _contract_sql() -> str:
+    return f"""{FREQ_SQL},
+src AS (
+  SELECT 'messy_orders' AS source, CAST(count(*) AS BIGINT) AS rows, CAST({len(ORDER_COLUMNS)} AS BIGINT) AS n_columns FROM messy_orders
+  UNION ALL SELECT 'messy_products', CAST(count(*) AS BIGINT), CAST(4 AS BIGINT) FROM messy_products
+  UNION ALL SELECT 'messy_customers', CAST(count(*) AS BIGINT), CAST(3 AS BIGINT) FROM messy_customers
+),
+nd AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS nulls, CAST(count(*) AS BIGINT) AS distinct FROM freq GROUP BY column_name),
+per AS (SELECT column_name, count(*) AS v, count(*) FILTER (WHERE {_shape_sql('value')} IS NOT NULL) AS shaped,
+               count(*) FILTER (WHERE {_INT}) AS ints, count(*) FILTER (WHERE {_NUM}) AS nums
+        FROM freq WHERE value IS NOT NULL GROUP BY column_name),
+nf AS (SELECT column_name, count(DISTINCT {_shape_sql('value')}) AS n_formats FROM freq WHERE value IS NOT NULL GROUP BY column_name)
+SELECT source, CAST(NULL AS VARCHAR) AS column_name, rows, n_columns, CAST(NULL AS BIGINT) AS nulls, CAST(NULL AS BIGINT) AS distinct,
+       CAST(NULL AS VARCHAR) AS reads_as, CAST(NULL AS BIGINT) AS n_formats FROM src
+UNION ALL
+SELECT 'messy_orders', nd.column_name, nd.rows, CAST(NULL AS BIGINT), nd.nulls, nd.distinct,
+       CASE WHEN p.v IS NULL THEN 'empty' WHEN p.shaped > 0 THEN 'datetime' WHEN p.ints = p.v THEN 'int' WHEN p.nums = p.v THEN 'float' ELSE 'str' END,
+       CAST(coalesce(nf.n_formats, 0) AS BIGINT)
+FROM nd LEFT JOIN per p ON nd.column_name = p.column_name LEFT JOIN nf ON nd.column_name = nf.column_name"""
+
+
+@register("schema_contract", _contract_sql())
+def q_contract(spark, sf):
+    return PR.schema_contract(
+        {
+            "messy_orders": messy_orders(spark, sf),
+            "messy_products": messy_products(spark, sf),
+            "messy_customers": messy_customers(spark, sf),
+        },
+        "messy_orders",
+    )

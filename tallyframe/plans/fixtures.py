@@ -25,7 +25,9 @@ def _s(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messy_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
+    """The orders extract, all text. ``with_key`` adds ``_line`` (l_orderkey*1000 +
+    l_linenumber), the extract's natural line order, used for "first seen" samples."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate",
@@ -45,7 +47,9 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("bigint")
     )
     pad = (F.col("l_orderkey") + F.col("l_linenumber")) % 33
+    key = [(F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("_line")] if with_key else []
     return j.select(
+        *key,
         F.concat(F.lit("ORD-"), _s("l_orderkey"), F.lit("-"), _s("l_linenumber")).alias("order_id"),
         F.when(day_first, F.date_format("l_shipdate", "dd/MM/yyyy HH:mm"))
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"))

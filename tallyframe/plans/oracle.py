@@ -41,8 +41,9 @@ messy_base AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
-messy_orders AS (
+messy_orders_keyed AS (
   SELECT
+    l_orderkey * 1000 + l_linenumber AS _line,
     'ORD-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS order_id,
     CASE WHEN (l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 17 = 0
          THEN strftime(l_shipdate, '%d/%m/%Y %H:%M')
@@ -56,6 +57,9 @@ messy_orders AS (
          ELSE CAST(CAST(l_discount AS DECIMAL(6,2)) AS VARCHAR) END AS discount_pct,
     CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'cancelled' ELSE 'completed' END AS status
   FROM messy_base
+),
+messy_orders AS (
+  SELECT * EXCLUDE (_line) FROM messy_orders_keyed
 )"""
 
 MESSY_PRODUCTS = """
