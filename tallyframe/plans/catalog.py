@@ -586,3 +586,106 @@ def q_contract(spark, sf):
         },
         "messy_orders",
     )
+
+
+# ------------------------------------------------------------------ V1-V9 verification
+
+from tallyframe.operators import verify as V  # noqa: E402
+from tallyframe.plans import verification as VP  # noqa: E402
+
+_FACTS_WIDE_SQL = f"""{O.PIPELINE},
+cs AS (SELECT (SELECT count(*) FROM messy_orders) AS rows_in, count(*) AS after, count(*) FILTER (WHERE order_ts IS NULL) AS failures FROM deduped),
+qc AS (SELECT count(*) FILTER (WHERE {_needed_sql('qty', 'BIGINT')}) AS qty_coerced,
+              CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE discount_pct IS NULL) AS DOUBLE) / count(*) ELSE 0.0 END AS discount_null_rate
+       FROM deduped),
+pj AS (SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM messy_products p WHERE p.sku = o.sku)) AS products_matched,
+              count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM messy_products p WHERE p.sku = o.sku)) AS products_unmatched,
+              count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM messy_customers c WHERE c.customer_id = o.customer_id)) AS customers_unmatched
+       FROM cleaned o),
+cf AS (SELECT count(*) FILTER (WHERE region <> region_right) AS region_conflicts FROM joined),
+dk AS (SELECT count(*) AS derived_rows,
+              {O.money("coalesce(sum(net_revenue) FILTER (WHERE status = 'completed'), 0)")} AS net_revenue,
+              {O.money("coalesce(sum(margin) FILTER (WHERE status = 'completed'), 0)")} AS margin,
+              count(*) FILTER (WHERE status = 'completed') AS order_count,
+              count(*) FILTER (WHERE status = 'returned') AS returned_count
+       FROM derived),
+cat AS (SELECT CAST(sum(CAST(n AS DECIMAL(38,2))) AS DOUBLE) AS category_total, count(*) AS category_groups FROM (SELECT {O.money('sum(net_revenue)')} AS n FROM derived WHERE status = 'completed' GROUP BY category)),
+reg AS (SELECT CAST(sum(CAST(n AS DECIMAL(38,2))) AS DOUBLE) AS region_total FROM (SELECT {O.money('sum(net_revenue)')} AS n FROM derived WHERE status = 'completed' GROUP BY region)),
+wk AS (SELECT count(DISTINCT order_week) AS week_points FROM derived WHERE status = 'completed'),
+tp AS (SELECT least(count(DISTINCT sku), {P.TOP_PRODUCT_LIMIT}) AS top_products FROM derived WHERE status = 'completed'),
+fw AS (
+  SELECT CAST(16 AS DOUBLE) AS contract_columns, CAST(3 AS DOUBLE) AS source_count,
+         CAST(cs.rows_in AS DOUBLE) AS rows_in, CAST(cs.after - cs.failures AS DOUBLE) AS rows_clean,
+         CAST(cs.rows_in - cs.after + cs.failures AS DOUBLE) AS rows_dropped,
+         CAST(round_even(cs.rows_in * {P.DROP_BUDGET_FRACTION}, 0) AS DOUBLE) AS drop_budget_rows,
+         CAST(cs.rows_in - cs.after AS DOUBLE) AS duplicates_removed,
+         CAST(qc.qty_coerced AS DOUBLE) AS qty_coerced, CAST(qc.discount_null_rate AS DOUBLE) AS discount_null_rate,
+         CAST(cs.failures AS DOUBLE) AS timestamp_failures,
+         CAST(pj.products_matched AS DOUBLE) AS products_matched, CAST(pj.products_unmatched AS DOUBLE) AS products_unmatched,
+         CAST(pj.customers_unmatched AS DOUBLE) AS customers_unmatched, CAST(cf.region_conflicts AS DOUBLE) AS region_conflicts,
+         CAST(dk.derived_rows AS DOUBLE) AS derived_rows, dk.net_revenue, CAST(dk.order_count AS DOUBLE) AS order_count,
+         {O.ratio('dk.margin', 'dk.net_revenue')} AS margin_pct,
+         {O.ratio('dk.returned_count', 'dk.order_count + dk.returned_count')} AS return_rate,
+         CAST(cat.category_total AS DOUBLE) AS category_total, CAST(cat.category_groups AS DOUBLE) AS category_groups,
+         CAST(reg.region_total AS DOUBLE) AS region_total, CAST(wk.week_points AS DOUBLE) AS week_points,
+         CAST(tp.top_products AS DOUBLE) AS top_products, CAST(5 AS DOUBLE) AS dashboard_surfaces
+  FROM cs, qc, pj, cf, dk, cat, reg, wk, tp
+),
+facts AS (UNPIVOT fw ON COLUMNS(*) INTO NAME key VALUE num)"""
+
+
+@register("facts", f"""{_FACTS_WIDE_SQL}
+SELECT key, num FROM facts""")
+def q_facts(spark, sf):
+    return VP.facts(spark, sf)
+
+
+_CHECKS_SQL = f"""{_FACTS_WIDE_SQL},
+c0 AS (
+  SELECT 1 AS check_no, '1.1' AS task_id, 'The contract names every column the sources carry' AS label, contract_columns AS measured, source_count AS threshold, CAST(NULL AS BOOLEAN) AS passed FROM fw
+  UNION ALL SELECT 2, '2.1', 'Dropped rows stay inside the drop budget', rows_dropped, drop_budget_rows, rows_dropped <= drop_budget_rows FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT 3, '2.1', 'No row dropped for a timestamp any reasonable rule can parse', timestamp_failures, 0.0, timestamp_failures = 0 FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT 4, '1.2', 'Every rule applied was applied with a count', duplicates_removed, qty_coerced, NULL FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT 5, '2.3', 'Every order line matches a product', products_unmatched, products_matched, products_unmatched = 0 FROM fw
+  UNION ALL SELECT 6, '2.3', 'Region disagreements between order and customer are resolved and counted', region_conflicts, NULL, NULL FROM fw
+  UNION ALL SELECT 7, '2.3', 'Revenue by category sums to total net revenue', category_total, net_revenue, abs(category_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
+  UNION ALL SELECT 8, '2.3', 'Revenue by region sums to total net revenue', region_total, net_revenue, abs(region_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
+  UNION ALL SELECT 9, '2.3', 'Headline figures computed', net_revenue, order_count, NULL FROM fw
+  UNION ALL SELECT 11, '3.1', 'Every surface is bound to a computed aggregate', dashboard_surfaces, week_points, NULL FROM fw
+),
+c1 AS (
+  SELECT * FROM c0
+  UNION ALL
+  SELECT 10, '3.2', 'Anything that failed is named rather than hidden',
+         CAST(count(*) FILTER (WHERE passed = FALSE) AS DOUBLE), CAST(count(*) FILTER (WHERE passed IS NOT NULL) AS DOUBLE), NULL FROM c0
+),
+checks AS (
+  SELECT CAST(check_no AS INTEGER) AS check_no, task_id, label, CAST(measured AS DOUBLE) AS measured, CAST(threshold AS DOUBLE) AS threshold,
+         CASE WHEN passed IS NULL THEN 'recorded' WHEN passed THEN 'met' ELSE 'MISSED' END AS verdict
+  FROM c1
+)"""
+
+
+@register("verify_checks", f"""{_CHECKS_SQL}
+SELECT * FROM checks""")
+def q_verify_checks(spark, sf):
+    return V.run_checks(VP.facts(spark, sf))
+
+
+@register("verify_totals", f"""{_CHECKS_SQL}
+SELECT CAST(count(*) FILTER (WHERE verdict <> 'recorded') AS BIGINT) AS asserted, CAST(count(*) FILTER (WHERE verdict = 'met') AS BIGINT) AS passed,
+       CAST(count(*) FILTER (WHERE verdict = 'MISSED') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE verdict = 'recorded') AS BIGINT) AS recorded
+FROM checks""")
+def q_verify_totals(spark, sf):
+    return V.totals(V.run_checks(VP.facts(spark, sf)))
+
+
+@register("stage_metrics", f"""{O.PIPELINE},
+w AS (SELECT (SELECT count(*) FROM messy_orders) AS rows_in, (SELECT count(*) FROM cleaned) AS clean_out,
+             (SELECT count(*) FROM joined) AS join_out, (SELECT count(*) FROM derived) AS derive_out)
+SELECT 'load' AS stage, CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS columns_added FROM w
+UNION ALL SELECT 'clean', rows_in, clean_out, rows_in - clean_out, 0 FROM w
+UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4 FROM w
+UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7 FROM w""")
+def q_stage_metrics(spark, sf):
+    return VP.stage_metrics(spark, sf)
