@@ -689,3 +689,184 @@ UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4 FROM w
 UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7 FROM w""")
 def q_stage_metrics(spark, sf):
     return VP.stage_metrics(spark, sf)
+
+
+# ------------------------------------------------------------------ E2-E17 event log (batch)
+
+from tallyframe.operators import eventlog as EV  # noqa: E402
+from tallyframe.plans.fixtures import event_log  # noqa: E402
+
+AS_OF_SEQ = 30
+EV_COLS = 'run_id, seq, "at", type, task_id, agent_id'
+
+
+@register("event_dedupe", f"""{O.EVENTS}
+SELECT DISTINCT {EV_COLS} FROM (SELECT {EV_COLS} FROM event_log UNION ALL SELECT {EV_COLS} FROM event_log WHERE seq % 10 = 0)""")
+def q_event_dedupe(spark, sf):
+    """The log delivered with every tenth position twice; exactly-once by (run, seq)."""
+    ev = event_log(spark, sf).select("run_id", "seq", "at", "type", "task_id", "agent_id")
+    doubled = ev.unionByName(ev.filter(F.col("seq") % 10 == 0))
+    return EV.dedupe_events(doubled)
+
+
+@register("run_clock", f"""{O.EVENTS},
+r AS (SELECT run_id, seq, "at" - (k % 7) * 1000 AS reported_at FROM event_log)
+SELECT run_id, seq, reported_at, max(reported_at) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock FROM r""")
+def q_run_clock(spark, sf):
+    """Reported times lag by (k % 7) seconds; the clock is their running max."""
+    ev = event_log(spark, sf).select("run_id", "seq", (F.col("at") - (F.col("k") % 7) * 1000).alias("reported_at"))
+    return EV.run_clock(ev, "reported_at", "clock")
+
+
+@register("task_status", f"""{O.EVENTS_TASKS}
+SELECT run_id, task_id, status FROM task_fields WHERE status IS NOT NULL""")
+def q_task_status(spark, sf):
+    return EV.task_status(event_log(spark, sf))
+
+
+@register("task_fields", f"""{O.EVENTS_TASKS}
+SELECT run_id, task_id, status, owner, attempts, progress FROM task_fields""")
+def q_task_fields(spark, sf):
+    return EV.task_fields(event_log(spark, sf))
+
+
+@register("status_as_of", O.with_chain(O.EVENT_LOG, f"prefix AS (SELECT * FROM event_log WHERE seq <= {AS_OF_SEQ})",
+                                       O.task_fields_cte("prefix")) + """
+SELECT run_id, task_id, status FROM task_fields WHERE status IS NOT NULL""")
+def q_status_as_of(spark, sf):
+    return EV.status_as_of(event_log(spark, sf), AS_OF_SEQ)
+
+
+@register("retry_count", f"""{O.EVENTS}
+SELECT run_id, CAST(count(*) FILTER (WHERE type = 'task.retried') AS BIGINT) AS retry_count FROM event_log GROUP BY run_id""")
+def q_retry_count(spark, sf):
+    return EV.retry_count(event_log(spark, sf))
+
+
+@register("run_header", f"""{O.with_chain(O.EVENT_LOG, O.RUN_HEADER)}
+SELECT * FROM run_header""")
+def q_run_header(spark, sf):
+    return EV.run_header(event_log(spark, sf))
+
+
+@register("stream_text", f"""{O.with_chain(O.EVENT_LOG, O.STREAM_TEXT)}
+SELECT * FROM stream_text""")
+def q_stream_text(spark, sf):
+    return EV.stream_text(event_log(spark, sf))
+
+
+@register("artifact_list", f"""{O.with_chain(O.EVENT_LOG, O.ARTIFACT_LIST)}
+SELECT * FROM artifact_list""")
+def q_artifact_list(spark, sf):
+    return EV.artifact_list(event_log(spark, sf))
+
+
+@register("agent_activity", f"""{O.with_chain(O.EVENT_LOG, O.task_fields_cte(), O.AGENT_ACTIVITY)}
+SELECT * FROM agent_activity""")
+def q_agent_activity(spark, sf):
+    return EV.agent_activity(event_log(spark, sf))
+
+
+def _pairs_sql(v: str) -> str:
+    return f"coalesce(string_agg(task_id || '=' || CAST({v} AS VARCHAR), ',' ORDER BY task_id) FILTER (WHERE {v} IS NOT NULL), '')"
+
+
+@register("run_summary", O.with_chain(O.EVENT_LOG, O.task_fields_cte(), O.RUN_HEADER, O.STREAM_TEXT, O.ARTIFACT_LIST, O.AGENT_ACTIVITY) + f""",
+tasks AS (SELECT run_id, {_pairs_sql('status')} AS task_status, {_pairs_sql('owner')} AS task_agent, {_pairs_sql('attempts')} AS task_attempts
+          FROM task_fields GROUP BY run_id),
+counts AS (SELECT run_id, CAST(count(*) FILTER (WHERE type = 'task.retried') AS BIGINT) AS retry_count,
+                  CAST(count(*) FILTER (WHERE type = 'log.emitted') AS BIGINT) AS log_count FROM event_log GROUP BY run_id),
+streams AS (SELECT run_id, string_agg(artifact_id, ',' ORDER BY artifact_id) AS streaming_ids, CAST(sum(chars) AS BIGINT) AS streamed_chars,
+                   coalesce(string_agg(artifact_id, ',' ORDER BY artifact_id) FILTER (WHERE complete), '') AS streams_complete
+            FROM stream_text GROUP BY run_id),
+agents AS (SELECT run_id, string_agg(agent_id, ',' ORDER BY agent_id) AS agents_spawned,
+                  coalesce(string_agg(agent_id, ',' ORDER BY agent_id) FILTER (WHERE idle), '') AS agents_idle
+           FROM agent_activity GROUP BY run_id),
+plans AS (SELECT run_id, CAST(arg_max(plan_n, seq) AS BIGINT) AS plan_task_count FROM event_log WHERE type = 'plan.built' GROUP BY run_id)
+SELECT h.run_id, h.last_seq, h.seed, h.speed, h.requirement_title, h.started, h.completed, h.error, h.duration_ms,
+  coalesce(t.task_status, '') AS task_status, coalesce(t.task_agent, '') AS task_agent, coalesce(t.task_attempts, '') AS task_attempts,
+  c.retry_count, a.artifact_count, a.artifact_ids, c.log_count,
+  coalesce(s.streaming_ids, '') AS streaming_ids, coalesce(s.streamed_chars, 0) AS streamed_chars, coalesce(s.streams_complete, '') AS streams_complete,
+  coalesce(g.agents_spawned, '') AS agents_spawned, coalesce(g.agents_idle, '') AS agents_idle, coalesce(p.plan_task_count, 0) AS plan_task_count
+FROM run_header h LEFT JOIN tasks t USING (run_id) LEFT JOIN counts c USING (run_id) LEFT JOIN artifact_list a USING (run_id)
+LEFT JOIN streams s USING (run_id) LEFT JOIN agents g USING (run_id) LEFT JOIN plans p USING (run_id)""")
+def q_run_summary(spark, sf):
+    return EV.run_summary(event_log(spark, sf))
+
+
+LOG_LEVELS = ("warn", "error")
+
+
+@register("log_tail", f"""{O.EVENTS}
+SELECT run_id, seq, level, agent_id, task_id, message, CAST(tail_rank AS INTEGER) AS tail_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS tail_rank
+  FROM event_log WHERE type = 'log.emitted' AND level IN ('warn', 'error')) WHERE tail_rank <= 500""")
+def q_log_tail(spark, sf):
+    """Last 500 warn/error lines per run."""
+    return EV.log_tail(event_log(spark, sf), 500, LOG_LEVELS)
+
+
+@register("task_log_tail", f"""{O.EVENTS}
+SELECT run_id, seq, level, agent_id, task_id, message, CAST(tail_rank AS INTEGER) AS tail_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY seq DESC) AS tail_rank
+  FROM event_log WHERE type = 'log.emitted') WHERE tail_rank <= 60""")
+def q_task_log_tail(spark, sf):
+    """E12 per task: the last 60 lines of each (run, task)."""
+    return EV.log_tail(event_log(spark, sf), 60, per=("run_id", "task_id"))
+
+
+@register("latest_artifact", f"""{O.EVENTS},
+starts AS (SELECT run_id, min(ts) AS st FROM event_log GROUP BY run_id),
+c AS (SELECT e.artifact_id, e.run_id, e.seq, s.st,
+             row_number() OVER (PARTITION BY e.artifact_id ORDER BY s.st DESC, e.run_id DESC, e.seq DESC) AS rn
+      FROM event_log e JOIN starts s USING (run_id) WHERE e.type = 'artifact.created')
+SELECT artifact_id, run_id, seq, st AS run_started FROM c WHERE rn = 1""")
+def q_latest_artifact(spark, sf):
+    return EV.latest_artifact(event_log(spark, sf))
+
+
+@register("contract_violations", f"""{O.EVENTS},
+per_run AS (SELECT run_id, max(seq) + 1 - count(DISTINCT seq) + count(*) - count(DISTINCT seq) AS v1,
+                   min(seq) FILTER (WHERE type = 'run.completed') AS done FROM event_log GROUP BY run_id),
+r2 AS (SELECT run_id, count(*) FILTER (WHERE "at" < clock) AS v2 FROM (
+         SELECT run_id, "at", max("at") OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock FROM event_log) GROUP BY run_id),
+per_task AS (
+  SELECT run_id, task_id, count(*) FILTER (WHERE type = 'task.started') AS starts,
+    count(*) FILTER (WHERE type = 'task.completed' OR (type = 'task.failed' AND NOT coalesce(recoverable, false))) AS terms,
+    max(seq) FILTER (WHERE type = 'task.completed' OR (type = 'task.failed' AND NOT coalesce(recoverable, false))) AS last_term,
+    max(seq) FILTER (WHERE type = 'task.completed') AS last_done
+  FROM event_log WHERE type LIKE 'task.%' GROUP BY run_id, task_id),
+r3 AS (SELECT run_id, count(*) FILTER (WHERE starts <> terms) AS v3 FROM per_task GROUP BY run_id),
+fr AS (SELECT e.*, p.last_term FROM event_log e LEFT JOIN per_task p USING (run_id, task_id)
+       WHERE e.type = 'task.retried' OR (e.type = 'task.failed' AND coalesce(e.recoverable, false))),
+lr AS (SELECT run_id, task_id, max(seq) FILTER (WHERE type = 'task.retried' AND seq < last_term) AS lr FROM fr GROUP BY run_id, task_id),
+r4 AS (SELECT f.run_id, count(*) FILTER (WHERE l.lr IS NULL OR f.seq >= l.lr) AS v4
+       FROM fr f LEFT JOIN lr l USING (run_id, task_id) WHERE f.type = 'task.failed' GROUP BY f.run_id),
+r5 AS (SELECT e.run_id, count(*) FILTER (WHERE p.last_done IS NULL OR e.seq > p.last_done) AS v5
+       FROM event_log e LEFT JOIN per_task p USING (run_id, task_id) WHERE e.type = 'artifact.created' GROUP BY e.run_id),
+fo AS (SELECT run_id, artifact_id, min(seq) AS fo FROM event_log WHERE type = 'artifact.streaming' GROUP BY ALL),
+r6 AS (SELECT e.run_id, count(*) FILTER (WHERE fo.fo IS NULL OR e.seq < fo.fo) AS v6
+       FROM event_log e LEFT JOIN fo USING (run_id, artifact_id) WHERE e.type = 'artifact.chunk' GROUP BY e.run_id),
+r7 AS (SELECT e.run_id, count(*) FILTER (WHERE p.done IS NOT NULL AND e.seq > p.done) AS v7 FROM event_log e JOIN per_run p USING (run_id) GROUP BY e.run_id),
+w AS (SELECT p.run_id, p.v1, r2.v2, r3.v3, r4.v4, r5.v5, r6.v6, r7.v7 FROM per_run p
+      LEFT JOIN r2 USING (run_id) LEFT JOIN r3 USING (run_id) LEFT JOIN r4 USING (run_id) LEFT JOIN r5 USING (run_id)
+      LEFT JOIN r6 USING (run_id) LEFT JOIN r7 USING (run_id))
+""" + "\nUNION ALL\n".join(
+    f"SELECT run_id, CAST({i} AS INTEGER) AS rule, CAST(coalesce(v{i}, 0) AS BIGINT) AS violations FROM w" for i in range(1, 8)
+))
+def q_contract(spark, sf):
+    return EV.contract_violations(event_log(spark, sf))
+
+
+@register("step_progress", O.with_chain(O.EVENT_LOG, O.task_fields_cte()) + """,
+lastplan AS (SELECT pt.run_id, pt.task_id FROM plan_tasks pt JOIN lp ON pt.run_id = lp.run_id AND pt.seq = lp.lp),
+declared AS (SELECT run_id, task_id, unnest(['s0', 's1', 's2', 's3']) AS step_id FROM lastplan),
+seen AS (SELECT DISTINCT run_id, task_id, step_id FROM event_log WHERE type = 'task.progress'),
+n AS (SELECT run_id, task_id, count(*) AS steps_declared FROM declared GROUP BY ALL),
+d AS (SELECT run_id, task_id, count(*) AS steps_done FROM declared dd
+      WHERE EXISTS (SELECT 1 FROM seen s WHERE s.run_id = dd.run_id AND s.task_id = dd.task_id AND s.step_id = dd.step_id) GROUP BY ALL)
+SELECT n.run_id, n.task_id, CAST(coalesce(d.steps_done, 0) AS BIGINT) AS steps_done, CAST(n.steps_declared AS BIGINT) AS steps_declared,
+       CASE WHEN n.steps_declared > 0 THEN CAST(coalesce(d.steps_done, 0) AS DOUBLE) / n.steps_declared ELSE 0.0 END AS step_progress
+FROM n LEFT JOIN d USING (run_id, task_id)""")
+def q_step_progress(spark, sf):
+    return EV.step_progress(event_log(spark, sf))

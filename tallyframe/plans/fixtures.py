@@ -104,19 +104,43 @@ def messy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENT_TYPE_MAP = {
-    "signup": "task.ready",
-    "view": "task.started",
-    "click": "log.emitted",
-    "purchase": "task.completed",
-}
+# Event-log fixture: fixed mapping from (event_type, k) to a run-log event.
+# FIXED VALUES (mapping rules, in order of evaluation per source type):
+#   signup:   k % 11 = 0 -> plan.built;   k % 11 = 1 -> run.started;  else task.ready
+#   view:     k % 4 = 0  -> task.progress;                            else task.started
+#   click:    k % 10 = 0 -> artifact.streaming; k % 10 in 1..5 -> artifact.chunk;
+#             k % 10 = 9 -> agent.idle;                                else log.emitted
+#   purchase: k % 10 = 0 -> artifact.created;  k % 10 = 5 -> run.completed; else task.completed
+#   error:    k % 7 = 0  -> run.failed;  k % 2 = 0 -> task.failed;     else task.retried
+# Fields: task_id 't'+(k%5); agent_id 'a'+(k%4); recoverable k%3=0 (task.failed);
+#   attempt 1+k%3 (task.retried); level info/warn/error by k%3 and message 'm'+k (log.emitted);
+#   step_id 's'+(k%6), pct (k%6)*0.2 (task.progress); artifact_id 'art'+(k%3) (artifact.*);
+#   text 'c'+k+';' (artifact.chunk); title 'run '+user_id, seed k, speed 1+k%2 (run.started);
+#   duration_ms = at (run.completed); error 'e'+k (run.failed);
+#   plan tasks t0..t(2+k%3), task ti owned by 'a'+(i%4), each declaring steps s0..s3.
+PLAN_STEPS = ("s0", "s1", "s2", "s3")
+
+
+def _event_type(src: Column, k: Column) -> Column:
+    return (
+        F.when(src == "signup", F.when(k % 11 == 0, "plan.built").when(k % 11 == 1, "run.started").otherwise("task.ready"))
+        .when(src == "view", F.when(k % 4 == 0, "task.progress").otherwise("task.started"))
+        .when(src == "click",
+              F.when(k % 10 == 0, "artifact.streaming").when((k % 10).between(1, 5), "artifact.chunk")
+              .when(k % 10 == 9, "agent.idle").otherwise("log.emitted"))
+        .when(src == "purchase", F.when(k % 10 == 0, "artifact.created").when(k % 10 == 5, "run.completed").otherwise("task.completed"))
+        .when(src == "error", F.when(k % 7 == 0, "run.failed").when(k % 2 == 0, "task.failed").otherwise("task.retried"))
+    )
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns: run_id, seq, at, type, task_id, agent_id, recoverable, attempt, level, message, k.
+    """The run log derived from ``events`` (one run per user), superset schema:
+    run_id, seq, at, ts, type, task_id, agent_id, recoverable, attempt, level, message,
+    step_id, pct, artifact_id, text, title, seed, speed, duration_ms, error, plan_tasks, k.
 
-    ``seq`` is a dense position per run in (ts, event_id) order, numbered with a blocked
-    window so one huge run is split across many tasks (see ``blocked_row_number``)."""
+    ``seq`` is the dense position per run in (ts, event_id) order, numbered with a blocked
+    window so one huge run is split across many tasks (see ``blocked_row_number``); ``at``
+    is milliseconds since the run's first event."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     numbered = blocked_row_number(
@@ -124,23 +148,47 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         partition_cols=["user_id"],
         order_cols=["ts", "event_id"],
         block_col=F.date_trunc("hour", F.col("ts")),
-        out_col="seq",
+        out_col="_rn",
+    )
+    first_ts = ev.groupBy("user_id").agg(F.min("ts").alias("_t0"))
+    k = F.col("k")
+    typ = F.col("type")
+    at = F.floor(F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts")) / 1000).cast("bigint")
+    plan_tasks = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint") + k % 3),
+        lambda i: F.struct(
+            F.concat(F.lit("t"), i.cast("string")).alias("task_id"),
+            F.concat(F.lit("a"), (i % 4).cast("string")).alias("agent_id"),
+            F.array(*[F.lit(s) for s in PLAN_STEPS]).alias("steps"),
+        ),
+    )
+    base = numbered.join(first_ts, "user_id").select(
+        "user_id", "ts", "k", "_t0", (F.col("_rn") - 1).alias("seq"),
+        _event_type(F.col("event_type"), k).alias("type"),
     )
-    first_ts = numbered.groupBy("user_id").agg(F.min("ts").alias("t0"))
-    typed = F.when(F.col("event_type") == "error", F.when(F.col("k") % 2 == 0, "task.failed").otherwise("task.retried"))
-    for src, dst in EVENT_TYPE_MAP.items():
-        typed = typed.when(F.col("event_type") == src, dst)
-    return numbered.join(first_ts, "user_id").select(
+    return base.select(
         F.concat(F.lit("run_"), _s("user_id")).alias("run_id"),
-        (F.col("seq") - 1).alias("seq"),
-        F.floor(F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1000)
-        .cast("bigint")
-        .alias("at"),
-        typed.alias("type"),
-        F.concat(F.lit("t"), _s(F.col("k") % 5)).alias("task_id"),
-        F.concat(F.lit("a"), _s(F.col("k") % 4)).alias("agent_id"),
-        (F.col("k") % 3 == 0).alias("recoverable"),
-        F.col("k"),
+        "seq",
+        at.alias("at"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "type",
+        F.concat(F.lit("t"), _s(k % 5)).alias("task_id"),
+        F.concat(F.lit("a"), _s(k % 4)).alias("agent_id"),
+        F.when(typ == "task.failed", k % 3 == 0).alias("recoverable"),
+        F.when(typ == "task.retried", (k % 3 + 1).cast("int")).alias("attempt"),
+        F.when(typ == "log.emitted", F.when(k % 3 == 0, "info").when(k % 3 == 1, "warn").otherwise("error")).alias("level"),
+        F.when(typ == "log.emitted", F.concat(F.lit("m"), _s(k))).alias("message"),
+        F.when(typ == "task.progress", F.concat(F.lit("s"), _s(k % 6))).alias("step_id"),
+        F.when(typ == "task.progress", (k % 6).cast("double") * F.lit(0.2)).alias("pct"),
+        F.when(typ.startswith("artifact."), F.concat(F.lit("art"), _s(k % 3))).alias("artifact_id"),
+        F.when(typ == "artifact.chunk", F.concat(F.lit("c"), _s(k), F.lit(";"))).alias("text"),
+        F.when(typ == "run.started", F.concat(F.lit("run "), _s("user_id"))).alias("title"),
+        F.when(typ == "run.started", k).alias("seed"),
+        F.when(typ == "run.started", (k % 2 + 1).cast("int")).alias("speed"),
+        F.when(typ == "run.completed", at).alias("duration_ms"),
+        F.when(typ == "run.failed", F.concat(F.lit("e"), _s(k))).alias("error"),
+        F.when(typ == "plan.built", plan_tasks).alias("plan_tasks"),
+        "k",
     )
 
 

@@ -221,3 +221,123 @@ g AS (
 )
 SELECT sku, product_name, {money('net')} AS net_revenue, units, {ratio(money('margin'), money('net'))} AS margin_pct
 FROM g ORDER BY net DESC, sku LIMIT {k}"""
+
+
+EVENT_LOG = """
+ev0 AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ev1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+               min(ts) OVER (PARTITION BY user_id) AS t0 FROM ev0),
+ev2 AS (
+  SELECT *,
+    CASE event_type
+      WHEN 'signup' THEN CASE WHEN k % 11 = 0 THEN 'plan.built' WHEN k % 11 = 1 THEN 'run.started' ELSE 'task.ready' END
+      WHEN 'view' THEN CASE WHEN k % 4 = 0 THEN 'task.progress' ELSE 'task.started' END
+      WHEN 'click' THEN CASE WHEN k % 10 = 0 THEN 'artifact.streaming' WHEN k % 10 BETWEEN 1 AND 5 THEN 'artifact.chunk'
+                             WHEN k % 10 = 9 THEN 'agent.idle' ELSE 'log.emitted' END
+      WHEN 'purchase' THEN CASE WHEN k % 10 = 0 THEN 'artifact.created' WHEN k % 10 = 5 THEN 'run.completed' ELSE 'task.completed' END
+      WHEN 'error' THEN CASE WHEN k % 7 = 0 THEN 'run.failed' WHEN k % 2 = 0 THEN 'task.failed' ELSE 'task.retried' END
+    END AS type,
+    CAST(floor((epoch_us(ts) - epoch_us(t0)) / 1000) AS BIGINT) AS "at"
+  FROM ev1
+),
+event_log AS (
+  SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, seq, "at", ts, type,
+    't' || CAST(k % 5 AS VARCHAR) AS task_id, 'a' || CAST(k % 4 AS VARCHAR) AS agent_id,
+    CASE WHEN type = 'task.failed' THEN k % 3 = 0 END AS recoverable,
+    CASE WHEN type = 'task.retried' THEN CAST(k % 3 + 1 AS INTEGER) END AS attempt,
+    CASE WHEN type = 'log.emitted' THEN CASE k % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warn' ELSE 'error' END END AS level,
+    CASE WHEN type = 'log.emitted' THEN 'm' || CAST(k AS VARCHAR) END AS message,
+    CASE WHEN type = 'task.progress' THEN 's' || CAST(k % 6 AS VARCHAR) END AS step_id,
+    CASE WHEN type = 'task.progress' THEN CAST(k % 6 AS DOUBLE) * CAST(0.2 AS DOUBLE) END AS pct,
+    CASE WHEN type LIKE 'artifact.%' THEN 'art' || CAST(k % 3 AS VARCHAR) END AS artifact_id,
+    CASE WHEN type = 'artifact.chunk' THEN 'c' || CAST(k AS VARCHAR) || ';' END AS text,
+    CASE WHEN type = 'run.started' THEN 'run ' || CAST(user_id AS VARCHAR) END AS title,
+    CASE WHEN type = 'run.started' THEN k END AS seed,
+    CASE WHEN type = 'run.started' THEN CAST(k % 2 + 1 AS INTEGER) END AS speed,
+    CASE WHEN type = 'run.completed' THEN "at" END AS duration_ms,
+    CASE WHEN type = 'run.failed' THEN 'e' || CAST(k AS VARCHAR) END AS error,
+    CASE WHEN type = 'plan.built' THEN 3 + k % 3 END AS plan_n,
+    k
+  FROM ev2
+)"""
+
+
+def task_fields_cte(src: str = "event_log") -> str:
+    """plan_tasks, lp, trows, task_fields over the event CTE ``src``."""
+    return f"""
+plan_tasks AS (
+  SELECT run_id, seq, 't' || CAST(i AS VARCHAR) AS task_id, 'a' || CAST(i % 4 AS VARCHAR) AS agent_id
+  FROM (SELECT run_id, seq, unnest(range(0, plan_n)) AS i FROM {src} WHERE type = 'plan.built')
+),
+lp AS (SELECT run_id, max(seq) AS lp FROM {src} WHERE type = 'plan.built' GROUP BY run_id),
+trows AS (
+  SELECT run_id, task_id, seq, 'pending' AS status, agent_id AS owner, CAST(NULL AS INTEGER) AS attempt, CAST(NULL AS DOUBLE) AS progress
+  FROM plan_tasks
+  UNION ALL
+  SELECT run_id, task_id, seq,
+    CASE type WHEN 'task.ready' THEN 'ready' WHEN 'task.started' THEN 'running' WHEN 'task.retried' THEN 'running'
+              WHEN 'task.failed' THEN CASE WHEN recoverable THEN 'retrying' ELSE 'failed' END
+              WHEN 'task.completed' THEN 'completed' END,
+    CASE WHEN type IN ('task.started', 'task.failed', 'task.completed') THEN agent_id END,
+    CASE WHEN type = 'task.retried' THEN attempt END,
+    CASE WHEN type = 'task.progress' THEN pct WHEN type = 'task.completed' THEN CAST(1.0 AS DOUBLE) END
+  FROM {src} WHERE type IN ('task.ready', 'task.started', 'task.retried', 'task.failed', 'task.completed', 'task.progress')
+),
+tj AS (SELECT t.*, (lp.lp IS NULL OR t.seq >= lp.lp) AS after FROM trows t LEFT JOIN lp USING (run_id)),
+task_fields AS (
+  SELECT * FROM (
+    SELECT run_id, task_id,
+      arg_max(status, seq) FILTER (WHERE after AND status IS NOT NULL) AS status,
+      arg_max(owner, seq) FILTER (WHERE after AND owner IS NOT NULL) AS owner,
+      arg_max(attempt, seq) FILTER (WHERE attempt IS NOT NULL) AS attempts,
+      arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress
+    FROM tj GROUP BY run_id, task_id)
+  WHERE status IS NOT NULL OR owner IS NOT NULL OR attempts IS NOT NULL OR progress IS NOT NULL
+)"""
+
+
+RUN_HEADER = """
+run_header AS (
+  SELECT run_id, max(seq) AS last_seq, bool_or(type = 'run.started') AS started, bool_or(type = 'run.completed') AS completed,
+    arg_max(error, seq) FILTER (WHERE type = 'run.failed' AND error IS NOT NULL) AS error,
+    arg_max(duration_ms, seq) FILTER (WHERE type = 'run.completed' AND duration_ms IS NOT NULL) AS duration_ms,
+    arg_max(title, seq) FILTER (WHERE type = 'run.started' AND title IS NOT NULL) AS requirement_title,
+    arg_max(seed, seq) FILTER (WHERE type = 'run.started' AND seed IS NOT NULL) AS seed,
+    coalesce(arg_max(speed, seq) FILTER (WHERE type = 'run.started' AND speed IS NOT NULL), 1) AS speed
+  FROM event_log GROUP BY run_id
+)"""
+
+STREAM_TEXT = """
+keyed AS (SELECT * FROM event_log WHERE type IN ('artifact.streaming', 'artifact.chunk', 'artifact.created')),
+op AS (SELECT * FROM (SELECT run_id, artifact_id, max(seq) FILTER (WHERE type = 'artifact.streaming') AS o FROM keyed GROUP BY ALL) WHERE o IS NOT NULL),
+st0 AS (
+  SELECT k.run_id, k.artifact_id,
+    coalesce(string_agg(k.text, '' ORDER BY k.seq) FILTER (WHERE k.seq > op.o AND k.type = 'artifact.chunk'), '') AS text,
+    bool_or(k.seq > op.o AND k.type = 'artifact.created') AS complete
+  FROM keyed k JOIN op USING (run_id, artifact_id) GROUP BY ALL
+),
+stream_text AS (SELECT run_id, artifact_id, text, CAST(length(text) AS BIGINT) AS chars, complete FROM st0)"""
+
+ARTIFACT_LIST = """
+artifact_list AS (
+  SELECT run_id, CAST(count(*) FILTER (WHERE type = 'artifact.created') AS BIGINT) AS artifact_count,
+    coalesce(string_agg(artifact_id, ',' ORDER BY seq) FILTER (WHERE type = 'artifact.created'), '') AS artifact_ids
+  FROM event_log GROUP BY run_id
+)"""
+
+AGENT_ACTIVITY = """
+ag AS (
+  SELECT run_id, agent_id,
+    arg_max(CASE WHEN type IN ('agent.spawned', 'task.started') THEN false ELSE true END, seq)
+      FILTER (WHERE type IN ('agent.spawned', 'task.started', 'agent.idle')) AS idle,
+    arg_max(message, seq) FILTER (WHERE type = 'log.emitted' AND message IS NOT NULL) AS last_message
+  FROM event_log GROUP BY ALL
+),
+cur AS (SELECT run_id, owner AS agent_id, min(task_id) AS current_task FROM task_fields WHERE status IN ('running', 'retrying') GROUP BY ALL),
+agent_activity AS (
+  SELECT ag.run_id, ag.agent_id, ag.idle, cur.current_task, ag.last_message
+  FROM ag LEFT JOIN cur USING (run_id, agent_id) WHERE ag.idle IS NOT NULL
+)"""
+
+EVENTS = with_chain(EVENT_LOG)
+EVENTS_TASKS = with_chain(EVENT_LOG, task_fields_cte())
