@@ -870,3 +870,28 @@ SELECT n.run_id, n.task_id, CAST(coalesce(d.steps_done, 0) AS BIGINT) AS steps_d
 FROM n LEFT JOIN d USING (run_id, task_id)""")
 def q_step_progress(spark, sf):
     return EV.step_progress(event_log(spark, sf))
+
+
+# ------------------------------------------------------------------ streaming
+
+from tallyframe.streaming import eventstream as ES  # noqa: E402
+
+
+@register("stream_task_status", ORACLE["task_status"])
+def q_stream_task_status(spark, sf):
+    """E4 via Structured Streaming: one file per micro-batch, state per run."""
+    return ES.stream_task_status(spark, event_log(spark, sf)).filter(F.col("status").isNotNull()).select(
+        "run_id", "task_id", "status"
+    )
+
+
+@register("stream_task_fields", ORACLE["task_fields"])
+def q_stream_task_fields(spark, sf):
+    return ES.stream_task_status(spark, event_log(spark, sf)).select(
+        "run_id", "task_id", "status", "owner", "attempts", "progress"
+    )
+
+
+@register("stream_run_header", ORACLE["run_header"])
+def q_stream_run_header(spark, sf):
+    return ES.stream_run_header(spark, event_log(spark, sf))
