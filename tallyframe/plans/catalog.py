@@ -895,3 +895,93 @@ def q_stream_task_fields(spark, sf):
 @register("stream_run_header", ORACLE["run_header"])
 def q_stream_run_header(spark, sf):
     return ES.stream_run_header(spark, event_log(spark, sf))
+
+
+# ------------------------------------------------------------------ G1-G4 dependency edges
+
+from tallyframe.operators import edges as G  # noqa: E402
+from tallyframe.plans.fixtures import edges as edge_table  # noqa: E402
+from tallyframe.plans.fixtures import part_nodes  # noqa: E402
+
+_EDGE_CTES = """
+nodes AS (SELECT 'parts' AS group_id, p_partkey AS node FROM part),
+edges_defects AS (
+  SELECT 'parts' AS group_id, p_partkey AS child,
+         CASE WHEN p_partkey % 97 = 0 THEN CAST(-1 AS BIGINT) WHEN p_partkey % 101 = 0 THEN p_partkey
+              ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS parent
+  FROM part WHERE p_partkey > 0
+),
+edges_cyclic AS (
+  SELECT 'parts' AS group_id, p_partkey AS child, CAST(floor(p_partkey / 2) AS BIGINT) AS parent FROM part WHERE p_partkey > 0
+  UNION ALL
+  SELECT 'parts', CAST(floor(p_partkey / 4) AS BIGINT), p_partkey FROM part WHERE p_partkey > 0 AND p_partkey % 97 = 50
+),
+good_defects AS (SELECT DISTINCT e.group_id, e.child, e.parent FROM edges_defects e
+                 WHERE e.child <> e.parent AND EXISTS (SELECT 1 FROM nodes n WHERE n.group_id = e.group_id AND n.node = e.parent)),
+good_cyclic AS (SELECT DISTINCT e.group_id, e.child, e.parent FROM edges_cyclic e
+                WHERE e.child <> e.parent AND EXISTS (SELECT 1 FROM nodes n WHERE n.group_id = e.group_id AND n.node = e.parent))"""
+
+_CYCLE_CTES = """
+cl(group_id, node, ancestor) AS (
+  SELECT group_id, child, parent FROM good_cyclic
+  UNION
+  SELECT cl.group_id, cl.node, g.parent FROM cl JOIN good_cyclic g ON cl.group_id = g.group_id AND cl.ancestor = g.child
+),
+members AS (SELECT DISTINCT group_id, node FROM cl WHERE node = ancestor),
+blocked AS (SELECT group_id, node FROM members
+            UNION SELECT cl.group_id, cl.node FROM cl JOIN members m ON cl.group_id = m.group_id AND cl.ancestor = m.node),
+roots AS (SELECT n.group_id, n.node FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM good_cyclic g WHERE g.group_id = n.group_id AND g.child = n.node)),
+lv(group_id, node, level) AS (
+  SELECT group_id, node, 0 FROM roots
+  UNION ALL
+  SELECT g.group_id, g.child, lv.level + 1 FROM lv JOIN good_cyclic g ON g.group_id = lv.group_id AND g.parent = lv.node
+  WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.group_id = g.group_id AND b.node = g.child)
+),
+levels AS (SELECT group_id, node, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY group_id, node)"""
+
+
+@register("edge_audit", f"""WITH {_EDGE_CTES}
+SELECT group_id, child, parent, 'self_reference' AS problem FROM edges_defects WHERE child = parent
+UNION ALL
+SELECT e.group_id, e.child, e.parent, 'unknown_parent' FROM edges_defects e
+WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.group_id = e.group_id AND n.node = e.parent)""")
+def q_edge_audit(spark, sf):
+    return G.audit(edge_table(spark, sf, "defects"), part_nodes(spark, sf))
+
+
+@register("edge_closure", f"""WITH RECURSIVE {_EDGE_CTES},
+cl(group_id, node, ancestor, depth) AS (
+  SELECT group_id, child, parent, 1 FROM good_defects
+  UNION ALL
+  SELECT cl.group_id, cl.node, g.parent, cl.depth + 1 FROM cl JOIN good_defects g ON cl.group_id = g.group_id AND cl.ancestor = g.child
+)
+SELECT group_id, node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM cl GROUP BY group_id, node, ancestor""")
+def q_edge_closure(spark, sf):
+    """G3 over the audited graph (bad edges left out): every ancestor with its distance."""
+    nodes = part_nodes(spark, sf)
+    return G.closure(G.good_edges(edge_table(spark, sf, "defects"), nodes))
+
+
+@register("cycle_members", f"""WITH RECURSIVE {_EDGE_CTES}, {_CYCLE_CTES}
+SELECT group_id, node FROM members""")
+def q_cycle_members(spark, sf):
+    nodes = part_nodes(spark, sf)
+    return G.cycle_members(G.closure(G.good_edges(edge_table(spark, sf, "cyclic"), nodes)))
+
+
+@register("edge_level", f"""WITH RECURSIVE {_EDGE_CTES}, {_CYCLE_CTES}
+SELECT group_id, node, level FROM levels""")
+def q_edge_level(spark, sf):
+    return G.levels(edge_table(spark, sf, "cyclic"), part_nodes(spark, sf))
+
+
+@register("cycle_summary", f"""WITH RECURSIVE {_EDGE_CTES}, {_CYCLE_CTES}
+SELECT n.group_id, CAST(count(*) AS BIGINT) AS nodes,
+       CAST((SELECT count(*) FROM members) AS BIGINT) AS members,
+       CAST(count(*) - (SELECT count(*) FROM levels) - (SELECT count(*) FROM members) AS BIGINT) AS stuck
+FROM nodes n GROUP BY n.group_id""")
+def q_cycle_summary(spark, sf):
+    nodes = part_nodes(spark, sf)
+    e = edge_table(spark, sf, "cyclic")
+    pairs = G.closure(G.good_edges(e, nodes))
+    return G.cycle_summary(e, nodes, pairs, G.levels(e, nodes))

@@ -192,18 +192,26 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
-    """child = p_partkey, parent = floor(p_partkey / 2) for keys > 0 (a tree). With
-    ``defects``: parent = -1 (unknown) when key % 97 = 0, parent = child when key % 101 = 0."""
+def edges(spark: SparkSession, sf_dir: str, variant: str = "tree") -> DataFrame:
+    """Edge table from ``part``: child = p_partkey, parent = floor(p_partkey / 2) for keys > 0
+    (a tree rooted at 0).
+
+    ``defects``: parent = -1 (unknown) when key % 97 = 0, parent = child when key % 101 = 0.
+    ``cyclic``: the tree plus, for every key with key % 97 = 50, one extra edge
+    (child = floor(key / 4), parent = key), closing the 3-cycle key -> key/2 -> key/4 -> key;
+    the nodes below such a cycle are stuck behind it."""
     p = read_table(spark, sf_dir, "part").select("p_partkey").filter(F.col("p_partkey") > 0)
-    parent = F.floor(F.col("p_partkey") / 2).cast("bigint")
-    if defects:
-        parent = (
-            F.when(F.col("p_partkey") % 97 == 0, F.lit(-1).cast("bigint"))
-            .when(F.col("p_partkey") % 101 == 0, F.col("p_partkey"))
-            .otherwise(parent)
+    key = F.col("p_partkey")
+    parent = F.floor(key / 2).cast("bigint")
+    if variant == "defects":
+        parent = F.when(key % 97 == 0, F.lit(-1).cast("bigint")).when(key % 101 == 0, key).otherwise(parent)
+    out = p.select(F.lit("parts").alias("group_id"), key.alias("child"), parent.alias("parent"))
+    if variant == "cyclic":
+        back = p.filter(key % 97 == 50).select(
+            F.lit("parts").alias("group_id"), F.floor(key / 4).cast("bigint").alias("child"), key.alias("parent")
         )
-    return p.select(F.lit("parts").alias("group_id"), F.col("p_partkey").alias("child"), parent.alias("parent"))
+        out = out.unionByName(back)
+    return out
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
