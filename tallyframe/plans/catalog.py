@@ -609,8 +609,8 @@ dk AS (SELECT count(*) AS derived_rows,
               count(*) FILTER (WHERE status = 'completed') AS order_count,
               count(*) FILTER (WHERE status = 'returned') AS returned_count
        FROM derived),
-cat AS (SELECT CAST(sum(CAST(n AS DECIMAL(38,2))) AS DOUBLE) AS category_total, count(*) AS category_groups FROM (SELECT {O.money('sum(net_revenue)')} AS n FROM derived WHERE status = 'completed' GROUP BY category)),
-reg AS (SELECT CAST(sum(CAST(n AS DECIMAL(38,2))) AS DOUBLE) AS region_total FROM (SELECT {O.money('sum(net_revenue)')} AS n FROM derived WHERE status = 'completed' GROUP BY region)),
+cat AS (SELECT {O.money('sum(n)')} AS category_total, count(*) AS category_groups FROM (SELECT sum(net_revenue) AS n FROM derived WHERE status = 'completed' GROUP BY category)),
+reg AS (SELECT {O.money('sum(n)')} AS region_total FROM (SELECT sum(net_revenue) AS n FROM derived WHERE status = 'completed' GROUP BY region)),
 wk AS (SELECT count(DISTINCT order_week) AS week_points FROM derived WHERE status = 'completed'),
 tp AS (SELECT least(count(DISTINCT sku), {P.TOP_PRODUCT_LIMIT}) AS top_products FROM derived WHERE status = 'completed'),
 fw AS (
@@ -985,3 +985,48 @@ def q_cycle_summary(spark, sf):
     e = edge_table(spark, sf, "cyclic")
     pairs = G.closure(G.good_edges(e, nodes))
     return G.cycle_summary(e, nodes, pairs, G.levels(e, nodes))
+
+
+# ------------------------------------------------------------------ S1, S5, S6, A8 sources and sinks
+
+from tallyframe.plans.retail import save_derived  # noqa: E402
+from tallyframe.session import scratch_path  # noqa: E402
+
+# Queries whose output has no dialect-neutral SQL form (JSON text, file manifests).
+ROWS_ONLY = {"metrics_json", "dataset_artifact"}
+
+
+@register("csv_text_scan", f"""{O.with_chain(O.MESSY_ORDERS)}
+SELECT * FROM messy_orders""")
+def q_csv_text_scan(spark, sf):
+    """The orders extract written as header CSV and read back with every column typed as
+    text (no inference); padding and empty-as-null survive the round trip."""
+    path = scratch_path(spark, "orders-csv")
+    (
+        messy_orders(spark, sf).write.mode("overwrite")
+        .option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    return S.read_text_csv(spark, path, ORDER_COLUMNS)
+
+
+@register("saved_table_query", O.kpis_sql(**DATES, **REGION))
+def q_saved_table_query(spark, sf):
+    """The derived table is retained once (written to the shared checkpoint folder) and
+    a cross-filter query runs over the saved table."""
+    path = scratch_path(spark, "derived")
+    save_derived(derived_table(spark, sf), path)
+    return M.query_saved(spark, path, _f(**DATES, **REGION)).kpis
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf):
+    """The whole bundle as one JSON document."""
+    return S.metrics_json(M.aggregate(derived_table(spark, sf)).surfaces())
+
+
+@register("dataset_artifact")
+def q_dataset_artifact(spark, sf):
+    """The derived table published as parquet with its manifest row."""
+    path = scratch_path(spark, "artifact-derived")
+    return S.dataset_artifact(money_as_double(derived_table(spark, sf)), path, ["order_id", "order_ts"])

@@ -43,10 +43,12 @@ def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
     d = derived_table(spark, sf)
     dr = d.agg(F.count(F.lit(1)).alias("derived_rows"))
     k = M.kpis(d).select("net_revenue", "order_count", "margin_pct", "return_rate")
-    # Surface totals are re-summed from cents (exact), so the reconciliation is order-free.
-    cents = lambda c: F.sum(F.col(c).cast("decimal(38,2)")).cast("double")
-    cat = M.revenue_by_category(d).agg(cents("net_revenue").alias("category_total"), F.count(F.lit(1)).alias("category_groups"))
-    reg = M.revenue_by_region(d).agg(cents("net_revenue").alias("region_total"))
+    # Surface totals: the cut's exact per-group sums added up, so the reconciliation tests
+    # coverage (every revenue row lands in exactly one group), not rounding.
+    rev = M.revenue_rows(d, M.Filters())
+    cat = rev.groupBy("category").agg(F.sum("net_revenue").alias("_n")).agg(
+        M.money(F.sum("_n")).alias("category_total"), F.count(F.lit(1)).alias("category_groups"))
+    reg = rev.groupBy("region").agg(F.sum("net_revenue").alias("_n")).agg(M.money(F.sum("_n")).alias("region_total"))
     wk = M.revenue_over_time(d).agg(F.count(F.lit(1)).alias("week_points"))
     tp = M.top_products(d).agg(F.count(F.lit(1)).alias("top_products"))
     surf = dr.select(F.lit(5).alias("dashboard_surfaces"))

@@ -1,0 +1,35 @@
+"""Dependency edges on a small hand-written graph."""
+
+from tallyframe.operators import edges as G
+
+
+def graph(spark):
+    e = spark.createDataFrame(
+        [("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "d", "a"), ("g", "e", "f"),
+         ("g", "x", "x"), ("g", "y", "nope")],
+        "group_id string, child string, parent string",
+    )
+    n = spark.createDataFrame([("g", v) for v in "abcdefxy"], "group_id string, node string")
+    return e, n
+
+
+def test_audit_reports_every_bad_edge(spark):
+    e, n = graph(spark)
+    got = sorted((r.child, r.problem) for r in G.audit(e, n).collect())
+    assert got == [("x", "self_reference"), ("y", "unknown_parent")]
+
+
+def test_cycles_levels_and_stuck(spark):
+    e, n = graph(spark)
+    pairs = G.closure(G.good_edges(e, n))
+    assert sorted(r.node for r in G.cycle_members(pairs).collect()) == ["a", "b", "c"]
+    lv = {r.node: r.level for r in G.levels(e, n).collect()}
+    assert lv == {"f": 0, "e": 1, "x": 0, "y": 0}
+    s = G.cycle_summary(e, n, pairs, G.levels(e, n)).first()
+    assert (s.nodes, s.members, s.stuck) == (8, 3, 1)
+
+
+def test_closure_depths(spark):
+    e = spark.createDataFrame([("g", 3, 2), ("g", 2, 1), ("g", 1, 0), ("g", 4, 2)], "group_id string, child long, parent long")
+    got = sorted((r.node, r.ancestor, r.depth) for r in G.closure(e).collect())
+    assert got == [(1, 0, 1), (2, 0, 2), (2, 1, 1), (3, 0, 3), (3, 1, 2), (3, 2, 1), (4, 0, 3), (4, 1, 2), (4, 2, 1)]
