@@ -81,7 +81,7 @@ def load_stats(frames: Mapping[str, DataFrame]) -> DataFrame:
 def display_text(c: Column, dtype: T.DataType) -> Column:
     """S4 value rendering: null -> '', floating point -> 2 decimals, else its string."""
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        rendered = c.cast("decimal(38,2)").cast("string")
+        rendered = c.try_cast("decimal(38,2)").cast("string")
     else:
         rendered = c.cast("string")
     return F.coalesce(rendered, F.lit(""))
