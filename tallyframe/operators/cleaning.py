@@ -115,26 +115,36 @@ def fill_expr(column: str, value: float, fill_type: str) -> Column:
 # ---------------------------------------------------------------- C7 pipeline
 
 
-def _deduped(df: DataFrame, strategy: CleanStrategy) -> DataFrame:
+def deduped(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+    """The C1/C2 + C3 stage: parsed and deduplicated, nothing coerced or dropped yet. The
+    C4/C5 counts and the C6 failures are measured on this stage."""
     parsed = parse_timestamps(df, strategy)
     if strategy.dedupe_on is None:
         return parsed
     return dedupe_latest(parsed, strategy.dedupe_on, strategy.ts_column)
 
 
-def clean(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
-    """Parse -> dedupe -> coerce -> fill -> drop rows with no readable timestamp."""
-    stage = _deduped(df, strategy)
+def _deduped(df: DataFrame, strategy: CleanStrategy, stage: DataFrame | None = None) -> DataFrame:
+    return stage if stage is not None else deduped(df, strategy)
+
+
+def finish(stage: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+    """C4 -> C5 -> C6 on a deduplicated stage."""
     cols = {c: coerce_expr(c, t) for c, t in strategy.coerce}
     cols.update({c: fill_expr(c, v, strategy.fill_type) for c, v in strategy.fill_nulls})
     return stage.withColumns(cols).filter(F.col(strategy.ts_column).isNotNull())
 
 
-def clean_stats(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+def clean(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+    """Parse -> dedupe -> coerce -> fill -> drop rows with no readable timestamp."""
+    return finish(deduped(df, strategy), strategy)
+
+
+def clean_stats(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
     """C7/C9 stats, one row: rows_in, rows_after_dedupe, duplicates_removed, failures,
     rows_out, rows_dropped, resolved, drop_rate. Two aggregates on the same chain."""
     rows_in = df.agg(F.count(F.lit(1)).alias("rows_in"))
-    stage = _deduped(df, strategy)
+    stage = _deduped(df, strategy, stage)
     after = stage.agg(
         F.count(F.lit(1)).alias("rows_after_dedupe"),
         count_if(F.col(strategy.ts_column).isNull()).alias("failures"),
@@ -154,21 +164,21 @@ def clean_stats(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
     )
 
 
-def coerce_counts(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+def coerce_counts(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
     """C4: (column, target, needed) over rows after dedupe and before the drop."""
-    stage = _deduped(df, strategy)
+    stage = _deduped(df, strategy, stage)
     aggs = [count_if(needed_repair(c, t)).alias(f"n{i}") for i, (c, t) in enumerate(strategy.coerce)]
     wide = stage.agg(*aggs)
     stack = ", ".join(f"'{c}', '{target_type(t)}', n{i}" for i, (c, t) in enumerate(strategy.coerce))
     return wide.selectExpr(f"stack({len(strategy.coerce)}, {stack}) as (column_name, target, needed)")
 
 
-def null_rates(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+def null_rates(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
     """(column, nulls, rows, null_rate, unparseable_filled, fill_value) before the fill.
 
     ``unparseable_filled`` counts non-null text that no cast reads and that the fill also
     replaces; the rate covers true nulls only."""
-    stage = _deduped(df, strategy)
+    stage = _deduped(df, strategy, stage)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (c, _v) in enumerate(strategy.fill_nulls):
         aggs.append(count_if(F.col(c).isNull()).alias(f"z{i}"))

@@ -12,6 +12,8 @@ G4 levels: peel nodes whose parents are all done, round by round; nodes in or be
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,26 +45,26 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(group_id, node, ancestor, depth) - every ancestor of every node with the fewest
-    hops. Descendants are the same pairs read the other way."""
+    hops. Descendants are the same pairs read the other way.
+
+    Each round writes only its new pairs (one checkpoint); the pairs known so far are the
+    union of those checkpointed rounds, so nothing already found is rewritten."""
     e = _cut(edges.select(*K, "child", "parent").distinct())
-    known = _cut(e.select(*K, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    first = _cut(e.select(*K, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    rounds = [first]
     up = e.select(*K, F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
-    delta = known
+    delta = first
     for depth in range(2, max_rounds + 1):
+        known = reduce(lambda a, b: a.unionByName(b), [r.select(*K, "node", "ancestor") for r in rounds])
         step = delta.select(*K, "node", "ancestor").join(up, [*K, "ancestor"]).select(
             *K, "node", F.col("_next").alias("ancestor")
         )
-        new = (
-            step.distinct()
-            .join(known.select(*K, "node", "ancestor"), [*K, "node", "ancestor"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        new = _cut(new)
+        new = _cut(step.distinct().join(known, [*K, "node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        known = _cut(known.unionByName(new))
+        rounds.append(new)
         delta = new
-    return known
+    return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
 def cycle_members(pairs: DataFrame) -> DataFrame:

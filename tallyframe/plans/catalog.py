@@ -879,22 +879,22 @@ from tallyframe.streaming import eventstream as ES  # noqa: E402
 
 @register("stream_task_status", ORACLE["task_status"])
 def q_stream_task_status(spark, sf):
-    """E4 via Structured Streaming: one file per micro-batch, state per run."""
-    return ES.stream_task_status(spark, event_log(spark, sf)).filter(F.col("status").isNotNull()).select(
+    """E4 via Structured Streaming: the log in four files, two per micro-batch, state per run."""
+    return ES.stream_task_status(spark, event_log(spark, sf), max_files=2, files=4).filter(F.col("status").isNotNull()).select(
         "run_id", "task_id", "status"
     )
 
 
 @register("stream_task_fields", ORACLE["task_fields"])
 def q_stream_task_fields(spark, sf):
-    return ES.stream_task_status(spark, event_log(spark, sf)).select(
+    return ES.stream_task_status(spark, event_log(spark, sf), max_files=2, files=4).select(
         "run_id", "task_id", "status", "owner", "attempts", "progress"
     )
 
 
 @register("stream_run_header", ORACLE["run_header"])
 def q_stream_run_header(spark, sf):
-    return ES.stream_run_header(spark, event_log(spark, sf))
+    return ES.stream_run_header(spark, event_log(spark, sf), max_files=2, files=4)
 
 
 # ------------------------------------------------------------------ G1-G4 dependency edges

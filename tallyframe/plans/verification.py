@@ -15,7 +15,9 @@ from tallyframe.operators import joins as J
 from tallyframe.operators import metrics as M
 from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
+from tallyframe.functions.derive import derive
 from tallyframe.plans.retail import derived_table, joined_orders
+from tallyframe.session import checkpoint_dir
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -23,24 +25,29 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 
 
 def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fact from one pass of each stage: the deduplicated stage and the joined table
+    are checkpointed once (to the shared checkpoint folder) and every count reads them."""
+    checkpoint_dir(spark)
     raw = messy_orders(spark, sf)
-    cs = C.clean_stats(raw).select(
+    stage = C.deduped(raw).checkpoint()
+    cs = C.clean_stats(raw, stage=stage).select(
         F.col("rows_in"), F.col("rows_out").alias("rows_clean"), "rows_dropped",
         drop_budget(F.col("rows_in")).alias("drop_budget_rows"), "duplicates_removed",
         F.col("failures").alias("timestamp_failures"),
     )
-    qty = C.coerce_counts(raw).filter(F.col("column_name") == "qty").select(F.col("needed").alias("qty_coerced"))
-    dnr = C.null_rates(raw).filter(F.col("column_name") == "discount_pct").select(F.col("null_rate").alias("discount_null_rate"))
+    qty = C.coerce_counts(raw, stage=stage).filter(F.col("column_name") == "qty").select(F.col("needed").alias("qty_coerced"))
+    dnr = C.null_rates(raw, stage=stage).filter(F.col("column_name") == "discount_pct").select(F.col("null_rate").alias("discount_null_rate"))
     contract = _one_row(*[
         df.agg(F.count(F.lit(1)).alias(f"_r{i}")).select(F.lit(len(df.columns)).alias(f"_c{i}"))
         for i, df in enumerate((raw, messy_products(spark, sf), messy_customers(spark, sf)))
     ]).select((F.col("_c0") + F.col("_c1") + F.col("_c2")).alias("contract_columns"), F.lit(3).alias("source_count"))
-    cleaned = C.clean(raw)
+    cleaned = C.finish(stage)
     pj = J.join_stats(cleaned, messy_products(spark, sf), "sku").select(
         F.col("matched").alias("products_matched"), F.col("unmatched").alias("products_unmatched"))
     cj = J.join_stats(cleaned, messy_customers(spark, sf), "customer_id").select(F.col("unmatched").alias("customers_unmatched"))
-    conf = J.conflict_stats(joined_orders(spark, sf), "region", "region_right").select(F.col("conflicts").alias("region_conflicts"))
-    d = derived_table(spark, sf)
+    joined = J.join(J.join(cleaned, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id").checkpoint()
+    conf = J.conflict_stats(joined, "region", "region_right").select(F.col("conflicts").alias("region_conflicts"))
+    d = derive(J.resolve_conflict(joined, "region", losing="region_right"))
     dr = d.agg(F.count(F.lit(1)).alias("derived_rows"))
     k = M.kpis(d).select("net_revenue", "order_count", "margin_pct", "return_rate")
     # Surface totals: the cut's exact per-group sums added up, so the reconciliation tests

@@ -32,8 +32,29 @@ def source_path(sf_dir: str, name: str, allowed: tuple[str, ...] = TPCH_TABLES)
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(source_path(sf_dir, name))
+# Tables whose per-row work (parsing, regexes, joins) is worth spreading over every core.
+FACT_TABLES = frozenset({"lineitem", "orders", "customer", "part", "events"})
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it yields fewer splits than cores.
+
+    A parquet row group cannot be split, so a file written as one big row group is read by
+    one task and everything fused after the scan runs on one core. When that happens (small
+    or badly written inputs) a round-robin repartition to the default parallelism is cheap
+    next to single-core work; on large inputs the scan already has many splits and this is a
+    no-op (no shuffle is added)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
+    df = spark.read.parquet(source_path(sf_dir, name))
+    if balance if balance is not None else name in FACT_TABLES:
+        df = balanced(df)
+    return df
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
