@@ -1030,3 +1030,9 @@ def q_dataset_artifact(spark, sf):
     """The derived table published as parquet with its manifest row."""
     path = scratch_path(spark, "artifact-derived")
     return S.dataset_artifact(money_as_double(derived_table(spark, sf)), path, ["order_id", "order_ts"])
+
+
+@register("stream_artifact_text", ORACLE["stream_text"])
+def q_stream_artifact_text(spark, sf):
+    """E8 via Structured Streaming: per (run, artifact) state, order-insensitive."""
+    return ES.stream_artifact_text(spark, event_log(spark, sf))

@@ -206,3 +206,63 @@ def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None
         "run_id", "last_seq", "started", "completed", "error", "duration_ms", "requirement_title", "seed",
         F.coalesce(F.col("_speed"), F.lit(1)).alias("speed"),
     )
+
+
+TEXT_STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("artifact_id", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("chars", T.LongType()),
+        T.StructField("complete", T.BooleanType()),
+        T.StructField("version", T.LongType()),
+    ]
+)
+
+
+def _fold_artifact(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """E8 streaming, keyed by (run, artifact): the latest opener, the chunks after it and the
+    created markers after it. Chunks before a known opener are discarded from state."""
+    run_id, artifact_id = key
+    doc = json.loads(state.get[0]) if state.exists else {"open": None, "chunks": [], "created": [], "n": 0}
+    for pdf in batches:
+        doc["n"] += len(pdf)
+        for row in pdf.itertuples(index=False):
+            seq = int(row.seq)
+            if row.type == "artifact.streaming":
+                doc["open"] = seq if doc["open"] is None else max(doc["open"], seq)
+            elif row.type == "artifact.chunk":
+                doc["chunks"].append([seq, row.text])
+            elif row.type == "artifact.created":
+                doc["created"].append(seq)
+    if doc["open"] is not None:
+        doc["chunks"] = [c for c in doc["chunks"] if c[0] > doc["open"]]
+        doc["created"] = [s for s in doc["created"] if s > doc["open"]]
+    state.update((json.dumps(doc),))
+    if doc["open"] is None:
+        return
+    text = "".join(t for _, t in sorted(doc["chunks"]))
+    yield pd.DataFrame(
+        [(run_id, artifact_id, text, len(text), bool(doc["created"]), doc["n"])],
+        columns=[f.name for f in TEXT_STATE_SCHEMA.fields],
+    )
+
+
+def artifact_text_stream(stream: DataFrame) -> DataFrame:
+    pre = stream.filter(F.col("type").isin("artifact.streaming", "artifact.chunk", "artifact.created")).select(
+        "run_id", "artifact_id", "seq", "type", "text"
+    )
+    return pre.groupBy("run_id", "artifact_id").applyInPandasWithState(
+        _fold_artifact, TEXT_STATE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def stream_artifact_text(spark: SparkSession, ev: DataFrame, max_files: int | None = 2, files: int = 4) -> DataFrame:
+    base = scratch_path(spark, "eventstream-text")
+    src = write_log(ev, f"{base}/log", files)
+    stream = dedupe_stream(read_log_stream(spark, src, ev.schema, max_files))
+    run_to_table(artifact_text_stream(stream), f"{base}/out", f"{base}/ckpt")
+    df = spark.read.parquet(f"{base}/out")
+    w = Window.partitionBy("run_id", "artifact_id")
+    last = df.withColumn("_last", F.max("batch_id").over(w)).filter(F.col("batch_id") == F.col("_last"))
+    return last.select("run_id", "artifact_id", "text", "chars", "complete")
