@@ -40,53 +40,73 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None, order_key
     )
 
 
-def nulls_distinct(freq: DataFrame) -> DataFrame:
-    """P1 + P2: (column_name, rows, nulls, distinct). Distinct counts null as one value."""
-    return freq.groupBy("column_name").agg(
+def shape_stats(freq: DataFrame) -> DataFrame:
+    """One pass over the value-frequency table, regexes once per distinct value:
+    (column_name, spec, rows, nulls, distinct, values, ints, nums) grouped by the column and
+    the timestamp shape of its values (spec null = no shape or null value)."""
+    v = F.col("value")
+    keyed = freq.select(
+        "column_name",
+        "n",
+        v.isNull().alias("_null"),
+        shape_of(v).alias("spec"),
+        full_match(v, P.INT_LIKE).alias("_int"),
+        (full_match(v, P.INT_LIKE) | full_match(v, P.DECIMAL_LIKE)).alias("_num"),
+    )
+    return keyed.groupBy("column_name", "spec").agg(
         F.sum("n").cast("bigint").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
+        F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
         F.count(F.lit(1)).alias("distinct"),
+        count_if(~F.col("_null")).alias("values"),
+        count_if(F.col("_int")).alias("ints"),
+        count_if(F.col("_num")).alias("nums"),
     )
 
 
+def column_profile(freq: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """(column_name, rows, nulls, distinct, inferred_type, n_formats) from ``shape_stats``
+    (a table of at most columns x 5 rows)."""
+    st = shape_stats(freq)
+    per = st.groupBy("column_name").agg(
+        F.sum("rows").cast("bigint").alias("rows"),
+        F.sum("nulls").cast("bigint").alias("nulls"),
+        F.sum("distinct").cast("bigint").alias("distinct"),
+        F.sum("values").alias("_values"),
+        F.sum(F.when(F.col("spec").isNotNull(), F.col("values"))).alias("_shaped"),
+        F.sum("ints").alias("_ints"),
+        F.sum("nums").alias("_nums"),
+        F.count(F.col("spec")).alias("n_formats"),
+    )
+    inferred = (
+        F.when(F.coalesce(F.col("_values"), F.lit(0)) == 0, "empty")
+        .when(F.coalesce(F.col("_shaped"), F.lit(0)) > 0, "datetime")
+        .when(F.col("_ints") == F.col("_values"), "int")
+        .when(F.col("_nums") == F.col("_values"), "float")
+        .otherwise("str")
+    )
+    if schema is not None:
+        for f in schema.fields:
+            if not isinstance(f.dataType, T.StringType):
+                inferred = F.when(F.col("column_name") == f.name, F.lit(f.dataType.simpleString())).otherwise(inferred)
+    return per.select("column_name", "rows", "nulls", "distinct", inferred.alias("inferred_type"),
+                      F.col("n_formats").cast("bigint").alias("n_formats"))
+
+
+def nulls_distinct(freq: DataFrame) -> DataFrame:
+    """P1 + P2: (column_name, rows, nulls, distinct). Distinct counts null as one value."""
+    return column_profile(freq).select("column_name", "rows", "nulls", "distinct")
+
+
 def formats(freq: DataFrame) -> DataFrame:
     """(column_name, spec, n) - non-null values counted once, against the first shape
     they match; shapes with no hit are absent."""
-    shaped = freq.filter(F.col("value").isNotNull()).withColumn("spec", shape_of(F.col("value")))
-    return shaped.filter(F.col("spec").isNotNull()).groupBy("column_name", "spec").agg(
-        F.sum("n").cast("bigint").alias("n")
-    )
+    return shape_stats(freq).filter(F.col("spec").isNotNull()).select("column_name", "spec", F.col("rows").alias("n"))
 
 
 def inferred_types(freq: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """(column_name, inferred_type) in {empty, datetime, int, float, str}; columns that
     were not text in ``schema`` report their own type name."""
-    v = F.col("value")
-    nn = freq.filter(v.isNotNull())
-    per = nn.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("_values"),
-        count_if(shape_of(v).isNotNull()).alias("_shaped"),
-        count_if(full_match(v, P.INT_LIKE)).alias("_ints"),
-        count_if(full_match(v, P.INT_LIKE) | full_match(v, P.DECIMAL_LIKE)).alias("_nums"),
-    )
-    cols = freq.select("column_name").distinct()
-    t = cols.join(per, "column_name", "left").select(
-        "column_name",
-        F.when(F.col("_values").isNull(), "empty")
-        .when(F.col("_shaped") > 0, "datetime")
-        .when(F.col("_ints") == F.col("_values"), "int")
-        .when(F.col("_nums") == F.col("_values"), "float")
-        .otherwise("str")
-        .alias("inferred_type"),
-    )
-    if schema is not None:
-        typed = {f.name: f.dataType.simpleString() for f in schema.fields if not isinstance(f.dataType, T.StringType)}
-        if typed:
-            expr = F.col("inferred_type")
-            for name, tn in typed.items():
-                expr = F.when(F.col("column_name") == name, F.lit(tn)).otherwise(expr)
-            t = t.withColumn("inferred_type", expr)
-    return t
+    return column_profile(freq, schema).select("column_name", "inferred_type")
 
 
 def samples(freq: DataFrame, k: int = P.SAMPLE_SIZE) -> DataFrame:
@@ -230,10 +250,7 @@ def schema_contract(sources: dict[str, DataFrame], detail: str, order_key: str |
     )
     df = sources[detail]
     freq = value_frequencies(df, [c for c in df.columns if c != order_key], order_key)
-    nd = nulls_distinct(freq)
-    ty = inferred_types(freq, df.schema)
-    nf = formats(freq).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_formats"))
-    cols = nd.join(ty, "column_name").join(nf, "column_name", "left").select(
+    cols = column_profile(freq, df.schema).select(
         F.lit(detail).alias("source"),
         "column_name",
         "rows",
@@ -241,6 +258,6 @@ def schema_contract(sources: dict[str, DataFrame], detail: str, order_key: str |
         "nulls",
         "distinct",
         F.col("inferred_type").alias("reads_as"),
-        F.coalesce(F.col("n_formats"), F.lit(0)).cast("bigint").alias("n_formats"),
+        "n_formats",
     )
     return summary.unionByName(cols)
