@@ -80,7 +80,7 @@ def parse_timestamps(df: DataFrame, strategy: CleanStrategy) -> DataFrame:
 # ---------------------------------------------------------------- C3
 
 
-def dedupe_latest(df: DataFrame, key: str, ts: str) -> DataFrame:
+def dedupe_latest(df: DataFrame, key: str, ts: str, count_col: str | None = None) -> DataFrame:
     """Keep the latest whole row per key.
 
     Latest = greatest ``ts`` with nulls lowest; ties broken by the remaining columns in
@@ -89,9 +89,11 @@ def dedupe_latest(df: DataFrame, key: str, ts: str) -> DataFrame:
     every map task before the shuffle, unlike a window over the key."""
     others = [c for c in df.columns if c not in (key, ts)]
     best = F.max(F.struct(F.col(ts).alias("_ts"), *[F.col(c) for c in others])).alias("_best")
-    kept = df.groupBy(key).agg(best)
-    return kept.select(key, F.col("_best._ts").alias(ts), *[F.col(f"_best.{c}").alias(c) for c in others]).select(
-        *df.columns
+    counted = [F.count(F.lit(1)).alias(count_col)] if count_col else []
+    kept = df.groupBy(key).agg(best, *counted)
+    extra = [count_col] if count_col else []
+    return kept.select(key, F.col("_best._ts").alias(ts), *[F.col(f"_best.{c}").alias(c) for c in others], *extra).select(
+        *df.columns, *extra
     )
 
 
@@ -115,13 +117,18 @@ def fill_expr(column: str, value: float, fill_type: str) -> Column:
 # ---------------------------------------------------------------- C7 pipeline
 
 
-def deduped(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
+ROWS_PER_KEY = "_rows_in_key"
+
+
+def deduped(df: DataFrame, strategy: CleanStrategy = RETAIL, with_counts: bool = False) -> DataFrame:
     """The C1/C2 + C3 stage: parsed and deduplicated, nothing coerced or dropped yet. The
-    C4/C5 counts and the C6 failures are measured on this stage."""
+    C4/C5 counts and the C6 failures are measured on this stage. ``with_counts`` keeps the
+    number of input rows per key (``_rows_in_key``) so the input row count needs no second
+    pass over the raw extract."""
     parsed = parse_timestamps(df, strategy)
     if strategy.dedupe_on is None:
-        return parsed
-    return dedupe_latest(parsed, strategy.dedupe_on, strategy.ts_column)
+        return parsed.withColumn(ROWS_PER_KEY, F.lit(1).cast("bigint")) if with_counts else parsed
+    return dedupe_latest(parsed, strategy.dedupe_on, strategy.ts_column, ROWS_PER_KEY if with_counts else None)
 
 
 def _deduped(df: DataFrame, strategy: CleanStrategy, stage: DataFrame | None = None) -> DataFrame:
@@ -132,7 +139,8 @@ def finish(stage: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
     """C4 -> C5 -> C6 on a deduplicated stage."""
     cols = {c: coerce_expr(c, t) for c, t in strategy.coerce}
     cols.update({c: fill_expr(c, v, strategy.fill_type) for c, v in strategy.fill_nulls})
-    return stage.withColumns(cols).filter(F.col(strategy.ts_column).isNotNull())
+    out = stage.drop(ROWS_PER_KEY) if ROWS_PER_KEY in stage.columns else stage
+    return out.withColumns(cols).filter(F.col(strategy.ts_column).isNotNull())
 
 
 def clean(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
@@ -143,13 +151,16 @@ def clean(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
 def clean_stats(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
     """C7/C9 stats, one row: rows_in, rows_after_dedupe, duplicates_removed, failures,
     rows_out, rows_dropped, resolved, drop_rate. Two aggregates on the same chain."""
-    rows_in = df.agg(F.count(F.lit(1)).alias("rows_in"))
-    stage = _deduped(df, strategy, stage)
+    stage = stage if stage is not None else deduped(df, strategy, with_counts=True)
     after = stage.agg(
         F.count(F.lit(1)).alias("rows_after_dedupe"),
         count_if(F.col(strategy.ts_column).isNull()).alias("failures"),
+        *([F.coalesce(F.sum(ROWS_PER_KEY), F.lit(0)).cast("bigint").alias("_rows_in")] if ROWS_PER_KEY in stage.columns else []),
     )
-    s = rows_in.crossJoin(after)
+    if ROWS_PER_KEY in stage.columns:
+        s = after.withColumnRenamed("_rows_in", "rows_in")
+    else:
+        s = df.agg(F.count(F.lit(1)).alias("rows_in")).crossJoin(after)
     return s.select(
         "rows_in",
         "rows_after_dedupe",

@@ -17,7 +17,7 @@ from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
 from tallyframe.functions.derive import derive
 from tallyframe.plans.retail import derived_table, joined_orders
-from tallyframe.session import checkpoint_dir
+from tallyframe.session import checkpoint_dir, materialize
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
     are checkpointed once (to the shared checkpoint folder) and every count reads them."""
     checkpoint_dir(spark)
     raw = messy_orders(spark, sf)
-    stage = C.deduped(raw).checkpoint()
+    stage = materialize(C.deduped(raw, with_counts=True))
     cs = C.clean_stats(raw, stage=stage).select(
         F.col("rows_in"), F.col("rows_out").alias("rows_clean"), "rows_dropped",
         drop_budget(F.col("rows_in")).alias("drop_budget_rows"), "duplicates_removed",
@@ -37,15 +37,14 @@ def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
     )
     qty = C.coerce_counts(raw, stage=stage).filter(F.col("column_name") == "qty").select(F.col("needed").alias("qty_coerced"))
     dnr = C.null_rates(raw, stage=stage).filter(F.col("column_name") == "discount_pct").select(F.col("null_rate").alias("discount_null_rate"))
-    contract = _one_row(*[
-        df.agg(F.count(F.lit(1)).alias(f"_r{i}")).select(F.lit(len(df.columns)).alias(f"_c{i}"))
-        for i, df in enumerate((raw, messy_products(spark, sf), messy_customers(spark, sf)))
-    ]).select((F.col("_c0") + F.col("_c1") + F.col("_c2")).alias("contract_columns"), F.lit(3).alias("source_count"))
+    sources = (raw, messy_products(spark, sf), messy_customers(spark, sf))
+    n_columns = sum(len(df.columns) for df in sources)  # schema facts: no scan needed
+    contract = cs.select(F.lit(n_columns).alias("contract_columns"), F.lit(len(sources)).alias("source_count"))
     cleaned = C.finish(stage)
     pj = J.join_stats(cleaned, messy_products(spark, sf), "sku").select(
         F.col("matched").alias("products_matched"), F.col("unmatched").alias("products_unmatched"))
     cj = J.join_stats(cleaned, messy_customers(spark, sf), "customer_id").select(F.col("unmatched").alias("customers_unmatched"))
-    joined = J.join(J.join(cleaned, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id").checkpoint()
+    joined = materialize(J.join(J.join(cleaned, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"))
     conf = J.conflict_stats(joined, "region", "region_right").select(F.col("conflicts").alias("region_conflicts"))
     d = derive(J.resolve_conflict(joined, "region", losing="region_right"))
     dr = d.agg(F.count(F.lit(1)).alias("derived_rows"))
@@ -69,9 +68,10 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """V9: one row per stage: (stage, rows_in, rows_out, rows_dropped, columns_added)."""
     raw = messy_orders(spark, sf)
-    cs = C.clean_stats(raw)
-    joined = joined_orders(spark, sf)
-    d = derived_table(spark, sf)
+    stage = materialize(C.deduped(raw, with_counts=True))
+    cs = C.clean_stats(raw, stage=stage)
+    joined = materialize(J.join(J.join(C.finish(stage), messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"))
+    d = derive(J.resolve_conflict(joined, "region", losing="region_right"))
     w = _one_row(
         cs.select("rows_in", F.col("rows_out").alias("clean_out")),
         joined.agg(F.count(F.lit(1)).alias("join_out")),

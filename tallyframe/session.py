@@ -63,3 +63,11 @@ def _counter():
 
 
 _COUNTER = _counter()
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a DataFrame reading it
+    (a reliable checkpoint: survives lost executors, cuts lineage). Used where many
+    aggregates read the same derived input in one query."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
