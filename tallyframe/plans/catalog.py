@@ -182,6 +182,8 @@ from tallyframe.operators import cleaning as C  # noqa: E402
 from tallyframe.operators import joins as J  # noqa: E402
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products  # noqa: E402
 
+from tallyframe.session import materialize  # noqa: E402
+
 CLEAN_PREFIX = O.with_chain(*O.FIXTURES, O.CLEAN_CHAIN)
 
 
@@ -326,7 +328,7 @@ FROM cleaned o LEFT JOIN (SELECT {key}, count(*) AS n FROM {right} GROUP BY {key
 UNION ALL
 {_join_stats_sql('customers', 'messy_customers', 'customer_id')}""")
 def q_join_stats(spark, sf):
-    orders = C.clean(messy_orders(spark, sf))
+    orders = materialize(C.clean(messy_orders(spark, sf)))
     a = J.join_stats(orders, messy_products(spark, sf, "defects"), "sku").select(F.lit("products").alias("relation"), "*")
     b = J.join_stats(orders, messy_customers(spark, sf), "customer_id").select(F.lit("customers").alias("relation"), "*")
     return a.unionByName(b)
@@ -364,8 +366,9 @@ def q_conflict_rate(spark, sf):
     """Conflict rate on the resolved join and the product match rate (defects variant)."""
     from tallyframe.plans.retail import joined_orders
 
-    c = J.conflict_stats(joined_orders(spark, sf), "region", "region_right").select("conflict_rate")
-    orders = C.clean(messy_orders(spark, sf))
+    orders = materialize(C.clean(messy_orders(spark, sf)))
+    joined = J.join(J.join(orders, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id")
+    c = J.conflict_stats(joined, "region", "region_right").select("conflict_rate")
     m = J.join_stats(orders, messy_products(spark, sf, "defects"), "sku").select(F.col("match_rate").alias("product_match_rate"))
     return c.crossJoin(m)
 
@@ -580,7 +583,7 @@ FROM nd LEFT JOIN per p ON nd.column_name = p.column_name LEFT JOIN nf ON nd.col
 def q_contract(spark, sf):
     return PR.schema_contract(
         {
-            "messy_orders": messy_orders(spark, sf),
+            "messy_orders": materialize(messy_orders(spark, sf)),
             "messy_products": messy_products(spark, sf),
             "messy_customers": messy_customers(spark, sf),
         },
