@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import checkpoint_dir
+from tallyframe.session import materialize
 
 K = ["group_id"]
 
@@ -39,8 +39,7 @@ def good_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "edges")
 
 
 def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

@@ -17,7 +17,7 @@ from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
 from tallyframe.functions.derive import derive
 from tallyframe.plans.retail import derived_table, joined_orders
-from tallyframe.session import checkpoint_dir, materialize
+from tallyframe.session import materialize
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -27,7 +27,6 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Every fact from one pass of each stage: the deduplicated stage and the joined table
     are checkpointed once (to the shared checkpoint folder) and every count reads them."""
-    checkpoint_dir(spark)
     raw = messy_orders(spark, sf)
     stage = materialize(C.deduped(raw, with_counts=True))
     cs = C.clean_stats(raw, stage=stage).select(

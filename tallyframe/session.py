@@ -65,9 +65,14 @@ def _counter():
 _COUNTER = _counter()
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and return a DataFrame reading it
-    (a reliable checkpoint: survives lost executors, cuts lineage). Used where many
-    aggregates read the same derived input in one query."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and return a DataFrame
+    reading it back. This cuts the lineage (a lost executor recomputes from the written
+    files, not from the source), computes the chain exactly once (an RDD checkpoint of an
+    uncached Dataset runs it twice: once to count, once to write), and keeps column pruning
+    and filter pushdown for every reader. Used where several aggregates read the same
+    derived input in one query, and once per round in iterative work."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -3,12 +3,14 @@
 E1  replay then follow: a file-source stream over a log folder with a checkpoint; the
     backlog is processed first, new files later, each exactly once (``AvailableNow`` for a
     bounded replay).
-E2  exactly-once by position: ``dropDuplicatesWithinWatermark`` on (run_id, seq) with an
-    event-time watermark, so dedupe state is bounded.
-E4/E5 per-task state with plan resets: ``applyInPandasWithState`` keyed by run. The state is
-    merged by "greatest seq wins", never by arrival order, so micro-batch boundaries and file
-    order cannot change the answer (E16 by construction). State per run is its task map.
+E2  exactly-once by position: ``dropDuplicates`` on (run_id, seq), or
+    ``dropDuplicatesWithinWatermark`` with an event-time watermark to bound the state.
+E4/E5 per-task state with plan resets: a built-in streaming aggregate keyed by
+    (run_id, task_id) plus one marker key per run for its latest plan; the reset is applied
+    on read. Merged by "greatest seq wins", never by arrival order, so micro-batch
+    boundaries, file order and duplicates cannot change the answer (E16 by construction).
 E7  run header: a plain streaming aggregate (max_by / bool_or are order-insensitive).
+E8  streamed text: ``applyInPandasWithState`` keyed by (run_id, artifact_id).
 
 Sinks are ``foreachBatch`` writes of each micro-batch to ``<out>/batch=<id>`` (overwrite, so a
 replayed batch is idempotent); readers keep, per key, the row of the latest batch.
@@ -20,7 +22,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,20 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyframe.operators.eventlog import status_of
 from tallyframe.session import scratch_path
 
-STATE_INPUT_COLS = ["run_id", "seq", "type", "task_id", "agent_id", "recoverable", "attempt", "pct", "plan_tasks"]
-
-TASK_STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("task_id", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("owner", T.StringType()),
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("progress", T.DoubleType()),
-        T.StructField("version", T.LongType()),
-    ]
-)
-# One JSON document per run: {"lp": seq|null, "plan": {task: owner}, "tasks": {task: [...]}}.
+# One JSON document per key, for the custom text fold.
 STATE_SCHEMA = T.StructType([T.StructField("doc", T.StringType())])
 
 
@@ -63,105 +52,93 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
 
 
 def dedupe_stream(stream: DataFrame, watermark: str | None = None) -> DataFrame:
-    """E2 streaming: exactly-once by (run_id, seq).
+    """E2 streaming: exactly-once by (run_id, seq), for consumers that must see each event
+    once (a log sink, a counter).
 
     Without ``watermark`` the dedupe is exact and keeps one key per delivered event in the
-    state store (nothing is ever dropped). With a watermark (e.g. "1 hour") the state is
-    bounded by event time, which is only safe when the log is delivered in event-time order:
-    rows older than the watermark are treated as late and dropped by Spark. The registered
-    queries use the exact form. The folds downstream are idempotent (greatest seq wins), so
-    a duplicate cannot change task or header state either way."""
+    state store. With a watermark (e.g. "1 hour") the state is bounded by event time, which
+    is only safe when the log is delivered in event-time order: rows older than the
+    watermark are treated as late and dropped by Spark. The state folds below do not need
+    it: every value they keep is a greatest-seq or max/or merge, which a duplicate cannot
+    change, so they keep no per-event state at all."""
     if watermark is None:
         return stream.dropDuplicates(["run_id", "seq"])
     timed = stream.withColumn("_event_time", F.col("ts").cast("timestamp"))
     return timed.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["run_id", "seq"]).drop("_event_time")
 
 
-def _better(cur: list | None, value, seq: int) -> bool:
-    return value is not None and (cur is None or seq > cur[1])
+def _latest(value: Column) -> Column:
+    """Value at the greatest seq among rows where it is not null (duplicate-insensitive)."""
+    return F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
 
 
-def _fold_run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a run's new events into its state and emit the run's current task table."""
-    (run_id,) = key
-    doc = json.loads(state.get[0]) if state.exists else {"lp": None, "plan": {}, "tasks": {}, "n": 0}
-    tasks: dict = doc["tasks"]
-    for pdf in batches:
-        doc["n"] += len(pdf)
-        for row in pdf.itertuples(index=False):
-            seq = int(row.seq)
-            if row.type == "plan.built":
-                if doc["lp"] is None or seq > doc["lp"]:
-                    doc["lp"] = seq
-                    doc["plan"] = {p["task_id"]: p["agent_id"] for p in row.plan_tasks}
-                continue
-            t = tasks.setdefault(row.task_id, {"status": None, "owner": None, "attempt": None, "progress": None})
-            if _better(t["status"], row.status, seq):
-                t["status"] = [row.status, seq]
-            if _better(t["owner"], row.owner, seq):
-                t["owner"] = [row.owner, seq]
-            if _better(t["attempt"], row.attempt if pd.notna(row.attempt) else None, seq):
-                t["attempt"] = [int(row.attempt), seq]
-            if _better(t["progress"], row.progress if pd.notna(row.progress) else None, seq):
-                t["progress"] = [float(row.progress), seq]
-    state.update((json.dumps(doc),))
-    lp, plan = doc["lp"], doc["plan"]
-    out = []
-    for task_id in sorted(set(tasks) | set(plan)):
-        t = tasks.get(task_id, {"status": None, "owner": None, "attempt": None, "progress": None})
-
-        def after(v, default):
-            if v is not None and (lp is None or v[1] > lp):
-                return v[0]
-            return default
-
-        status = after(t["status"], "pending" if task_id in plan else None)
-        owner = after(t["owner"], plan.get(task_id))
-        attempts = t["attempt"][0] if t["attempt"] else None
-        progress = t["progress"][0] if t["progress"] else None
-        if status is None and owner is None and attempts is None and progress is None:
-            continue
-        out.append((run_id, task_id, status, owner, attempts, progress, doc["n"]))
-    yield pd.DataFrame(out, columns=[f.name for f in TASK_STATE_SCHEMA.fields]).astype({"attempts": "Int32"})
+def _seq_of(value: Column) -> Column:
+    return F.max(F.when(value.isNotNull(), F.col("seq")))
 
 
 def task_state_stream(stream: DataFrame) -> DataFrame:
-    """E4 + E5 streaming: per-run fold keyed by run_id (order-insensitive merge)."""
-    pre = stream.filter(
-        F.col("type").isin("plan.built", "task.ready", "task.started", "task.retried", "task.failed", "task.completed", "task.progress")
+    """E4 + E5 streaming as one built-in streaming aggregate keyed by (run_id, task_id).
+
+    A plan.built is exploded to one 'pending' row per planned task (with the plan's owner)
+    plus one run-level marker row (task_id null) carrying the plan's seq. Per key the
+    state keeps the latest status and owner with their seqs, the latest attempt and
+    progress, and, on the marker key, the run's latest plan seq. The plan reset is applied
+    when the state is read (``task_state_table``): status and owner count only when they are
+    not older than the run's latest plan. Everything is max / max_by, so the result does not
+    depend on micro-batch boundaries, file order or duplicates (E16), partial aggregation
+    reduces a hot run inside every map task, and the state holds one small row per task."""
+    t = F.col("type")
+    plan = stream.filter(t == "plan.built").select(
+        "run_id", "seq", F.explode(F.concat(
+            F.transform("plan_tasks", lambda p: F.struct(p["task_id"].alias("task_id"), p["agent_id"].alias("agent_id"))),
+            F.array(F.struct(F.lit(None).cast("string").alias("task_id"), F.lit(None).cast("string").alias("agent_id"))),
+        )).alias("_p"),
     ).select(
         "run_id",
+        F.col("_p.task_id").alias("task_id"),
         "seq",
-        "type",
+        F.when(F.col("_p.task_id").isNotNull(), F.lit("pending")).alias("status"),
+        F.col("_p.agent_id").alias("owner"),
+        F.lit(None).cast("int").alias("attempt"),
+        F.lit(None).cast("double").alias("progress"),
+        F.when(F.col("_p.task_id").isNull(), F.col("seq")).alias("plan_seq"),
+    )
+    facts = stream.filter(
+        t.isin("task.ready", "task.started", "task.retried", "task.failed", "task.completed", "task.progress")
+    ).select(
+        "run_id",
         "task_id",
+        "seq",
         status_of().alias("status"),
-        F.when(F.col("type").isin("task.started", "task.failed", "task.completed"), F.col("agent_id")).alias("owner"),
-        F.when(F.col("type") == "task.retried", F.col("attempt")).alias("attempt"),
-        F.when(F.col("type") == "task.progress", F.col("pct")).when(F.col("type") == "task.completed", F.lit(1.0)).alias("progress"),
-        "plan_tasks",
+        F.when(t.isin("task.started", "task.failed", "task.completed"), F.col("agent_id")).alias("owner"),
+        F.when(t == "task.retried", F.col("attempt")).alias("attempt"),
+        F.when(t == "task.progress", F.col("pct")).when(t == "task.completed", F.lit(1.0)).alias("progress"),
+        F.lit(None).cast("bigint").alias("plan_seq"),
     )
-    return pre.groupBy("run_id").applyInPandasWithState(
-        _fold_run, TASK_STATE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+    rows = plan.unionByName(facts)
+    return rows.groupBy("run_id", "task_id").agg(
+        _latest(F.col("status")).alias("status"),
+        _seq_of(F.col("status")).alias("status_seq"),
+        _latest(F.col("owner")).alias("owner"),
+        _seq_of(F.col("owner")).alias("owner_seq"),
+        _latest(F.col("attempt")).alias("attempts"),
+        _latest(F.col("progress")).alias("progress"),
+        F.max("plan_seq").alias("plan_seq"),
     )
 
 
 def run_header_stream(stream: DataFrame) -> DataFrame:
-    """E7 streaming: a plain aggregate per run (update mode)."""
+    """E7 streaming: a plain aggregate per run (update mode); order- and duplicate-insensitive."""
     t = F.col("type")
-
-    def last(v):
-        return F.max_by(v, F.when(v.isNotNull(), F.col("seq")))
-
     return stream.groupBy("run_id").agg(
         F.max("seq").alias("last_seq"),
         F.bool_or(t == "run.started").alias("started"),
         F.bool_or(t == "run.completed").alias("completed"),
-        last(F.when(t == "run.failed", F.col("error"))).alias("error"),
-        last(F.when(t == "run.completed", F.col("duration_ms"))).alias("duration_ms"),
-        last(F.when(t == "run.started", F.col("title"))).alias("requirement_title"),
-        last(F.when(t == "run.started", F.col("seed"))).alias("seed"),
-        last(F.when(t == "run.started", F.col("speed"))).alias("_speed"),
-        F.count(F.lit(1)).alias("version"),
+        _latest(F.when(t == "run.failed", F.col("error"))).alias("error"),
+        _latest(F.when(t == "run.completed", F.col("duration_ms"))).alias("duration_ms"),
+        _latest(F.when(t == "run.started", F.col("title"))).alias("requirement_title"),
+        _latest(F.when(t == "run.started", F.col("seed"))).alias("seed"),
+        _latest(F.when(t == "run.started", F.col("speed"))).alias("_speed"),
     )
 
 
@@ -169,7 +146,8 @@ def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bo
                  output_mode: str = "update") -> None:
     """Drive a streaming result into ``out`` (one folder per micro-batch) until the source
     is drained (AvailableNow) - E1's replay; re-running with the same checkpoint follows
-    only files that arrived since."""
+    only files that arrived since. A replayed batch overwrites its own folder, so the sink
+    is idempotent."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -179,27 +157,50 @@ def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bo
     q.awaitTermination()
 
 
-def latest_rows(spark: SparkSession, out: str, key: list[str], run_key: str = "run_id") -> DataFrame:
-    """Final table of an update-mode sink: per run, the rows of the run's latest batch."""
+def latest_rows(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
+    """Current table of an update-mode sink: per key, its row from the latest batch that
+    updated it. An aggregate (max of a struct led by batch_id), so it combines map-side and
+    a key present in many batches is never gathered into one task."""
     df = spark.read.parquet(out)
-    w = Window.partitionBy(run_key)
-    return df.withColumn("_last", F.max("batch_id").over(w)).filter(F.col("batch_id") == F.col("_last")).drop("_last")
+    rest = [c for c in df.columns if c not in key and c != "batch_id"]
+    best = F.max(F.struct(F.col("batch_id"), *[F.col(c) for c in rest])).alias("_b")
+    return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+def task_state_table(spark: SparkSession, out: str) -> DataFrame:
+    """E4/E5 final state from the task-state sink: the run's latest plan seq (marker key) is
+    joined back to its tasks; status and owner older than it are reset (a planned task has
+    its own 'pending' row at that seq, an unplanned one leaves the maps)."""
+    cur = latest_rows(spark, out, ["run_id", "task_id"])
+    lp = cur.filter(F.col("task_id").isNull()).select("run_id", F.col("plan_seq").alias("_lp"))
+    tasks = cur.filter(F.col("task_id").isNotNull()).join(lp, "run_id", "left")
+
+    def fresh(v: str, s: str) -> Column:
+        return F.when(F.col("_lp").isNull() | (F.col(s) >= F.col("_lp")), F.col(v))
+
+    return tasks.select(
+        "run_id", "task_id",
+        fresh("status", "status_seq").alias("status"),
+        fresh("owner", "owner_seq").alias("owner"),
+        "attempts", "progress",
+    ).filter(
+        F.col("status").isNotNull() | F.col("owner").isNotNull() | F.col("attempts").isNotNull() | F.col("progress").isNotNull()
+    )
 
 
 def stream_task_status(spark: SparkSession, ev: DataFrame, max_files: int | None = 1, files: int = 8) -> DataFrame:
-    """Bounded end-to-end run: log -> files -> stream (dedupe, fold) -> table -> final state."""
+    """Bounded end-to-end run: log -> files -> stream (fold) -> table -> final state."""
     base = scratch_path(spark, "eventstream")
     src = write_log(ev, f"{base}/log", files)
-    stream = dedupe_stream(read_log_stream(spark, src, ev.schema, max_files))
+    stream = read_log_stream(spark, src, ev.schema, max_files)
     run_to_table(task_state_stream(stream), f"{base}/out", f"{base}/ckpt")
-    final = latest_rows(spark, f"{base}/out", ["run_id", "task_id"])
-    return final.drop("batch_id", "version")
+    return task_state_table(spark, f"{base}/out")
 
 
 def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None = 1, files: int = 8) -> DataFrame:
     base = scratch_path(spark, "eventstream-header")
     src = write_log(ev, f"{base}/log", files)
-    stream = dedupe_stream(read_log_stream(spark, src, ev.schema, max_files))
+    stream = read_log_stream(spark, src, ev.schema, max_files)
     run_to_table(run_header_stream(stream), f"{base}/out", f"{base}/ckpt")
     final = latest_rows(spark, f"{base}/out", ["run_id"])
     return final.select(
