@@ -1,10 +1,11 @@
 """Dependency edges (G1-G4) over an edge table (group_id, child, parent), many groups at once.
 
 G1 audit: self references and unknown parents, every one; bad edges leave the graph.
-G3 closure: semi-naive iteration - each round joins only the pairs found last round with
-   the edges, removes pairs already known (anti join) and stops when a round adds nothing,
-   which also ends on cycles. Every round's result is checkpointed to the session's shared
-   checkpoint folder so the lineage (and a lost executor's recompute) stays one round deep.
+G3 closure: frontier doubling - round r joins the pairs at distance exactly 2^r with the
+   pairs known so far, keeps the least depth per new pair and drops pairs already known;
+   about log2(depth) rounds, and it ends on cycles. Every round's new pairs are written to
+   the session's shared checkpoint folder so the lineage (and a lost executor's recompute)
+   stays one round deep.
 G2 cycle members: nodes that reach themselves in the closure.
 G4 levels: peel nodes whose parents are all done, round by round; nodes in or behind a cycle
    never peel (counted, not named, by ``cycle_summary``).
@@ -42,27 +43,37 @@ def _cut(df: DataFrame) -> DataFrame:
     return materialize(df, "edges")
 
 
-def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(group_id, node, ancestor, depth) - every ancestor of every node with the fewest
     hops. Descendants are the same pairs read the other way.
 
-    Each round writes only its new pairs (one checkpoint); the pairs known so far are the
-    union of those checkpointed rounds, so nothing already found is rewritten."""
+    Frontier doubling. After round r the known pairs are exactly those at distance <= 2^r,
+    with exact depths. A shortest walk of length L in (2^r, 2^(r+1)] splits into a first
+    part of exactly 2^r hops and a rest of at most 2^r, both shortest, so joining only the
+    frontier (pairs at distance exactly 2^r) with the known pairs on the middle node, taking
+    the least depth per pair and dropping pairs already known gives every pair of the next
+    band with its exact depth. It ends after about log2(longest shortest path) rounds, also
+    on cycles (a node reaching itself is a pair like any other). Each round's new pairs are
+    written once to the shared checkpoint folder, so lineage stays one round deep and
+    nothing found is rewritten. On the join, a middle node with a huge frontier (a hub) has
+    few known ancestors within 2^r hops; AQE splits the skewed frontier side."""
     e = _cut(edges.select(*K, "child", "parent").distinct())
     first = _cut(e.select(*K, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     rounds = [first]
-    up = e.select(*K, F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
-    delta = first
-    for depth in range(2, max_rounds + 1):
-        known = reduce(lambda a, b: a.unionByName(b), [r.select(*K, "node", "ancestor") for r in rounds])
-        step = delta.select(*K, "node", "ancestor").join(up, [*K, "ancestor"]).select(
-            *K, "node", F.col("_next").alias("ancestor")
+    frontier, span = first, 1
+    for _ in range(max_rounds):
+        known = reduce(lambda a, b: a.unionByName(b), rounds)
+        head = frontier.select(*K, "node", F.col("ancestor").alias("_mid"))
+        tail = known.select(*K, F.col("node").alias("_mid"), "ancestor", F.col("depth").alias("_d"))
+        step = head.join(tail, [*K, "_mid"]).groupBy(*K, "node", "ancestor").agg(
+            (F.min("_d") + F.lit(span)).alias("depth")
         )
-        new = _cut(step.distinct().join(known, [*K, "node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = _cut(step.join(known.select(*K, "node", "ancestor"), [*K, "node", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
         rounds.append(new)
-        delta = new
+        span *= 2
+        frontier = new.filter(F.col("depth") == F.lit(span))
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 

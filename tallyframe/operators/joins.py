@@ -53,6 +53,32 @@ def join_stats(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     )
 
 
+def join_stats_many(left: DataFrame, sides: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """J3 for several right sides of one left table in ONE pass over the left:
+    ``sides`` = [(relation, right, key)]. Each right side is pre-aggregated to
+    (key, multiplicity) and left-joined in turn; one aggregate counts every relation, and
+    the wide row is unpivoted to (relation, left_rows, rows, matched, unmatched, match_rate)."""
+    keys = sorted({k for _, _, k in sides})
+    j = left.select(*keys)
+    aggs = [F.count(F.lit(1)).alias("left_rows")]
+    for i, (_name, right, key) in enumerate(sides):
+        m = f"_m{i}"
+        j = j.join(right.groupBy(key).agg(F.count(F.lit(1)).alias(m)), key, "left")
+        aggs += [
+            F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(f"rows{i}"),
+            count_if(F.col(m).isNotNull()).alias(f"matched{i}"),
+            count_if(F.col(m).isNull()).alias(f"unmatched{i}"),
+        ]
+    wide = j.agg(*aggs)
+    stack = ", ".join(f"'{name}', rows{i}, matched{i}, unmatched{i}" for i, (name, _, _) in enumerate(sides))
+    long = wide.selectExpr("left_rows", f"stack({len(sides)}, {stack}) as (relation, rows, matched, unmatched)")
+    return long.select(
+        "relation", "left_rows", "rows", "matched", "unmatched",
+        F.when(F.col("left_rows") > 0, F.col("matched").cast("double") / F.col("left_rows").cast("double"))
+        .otherwise(0.0).alias("match_rate"),
+    )
+
+
 def unmatched_rows(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """The left rows with no partner."""
     return left.join(right.select(on).distinct(), on, "left_anti")

@@ -86,8 +86,9 @@ def _money(c: Column) -> Column:
     return money(F.coalesce(F.sum(c), F.lit(0)))
 
 
-def kpis(df: DataFrame, f: Filters = Filters()) -> DataFrame:
-    """A1 (+ A6 ``rows``): one row, always (a global aggregate, even over no rows)."""
+def kpis(df: DataFrame, f: Filters = Filters(), extra: tuple[Column, ...] = ()) -> DataFrame:
+    """A1 (+ A6 ``rows``): one row, always (a global aggregate, even over no rows).
+    ``extra`` aggregate columns ride along in the same pass and are passed through."""
     sel = df.filter(predicate(f))
     done = _status(P.REVENUE_STATUS)
     agg = sel.agg(
@@ -96,7 +97,9 @@ def kpis(df: DataFrame, f: Filters = Filters()) -> DataFrame:
         F.sum(F.when(done, F.col("margin"))).alias("_margin"),
         count_if(done).alias("order_count"),
         count_if(_status(P.RETURNED_STATUS)).alias("returned_count"),
+        *extra,
     )
+    passed = [c for c in agg.columns if c not in ("rows", "_net", "_margin", "order_count", "returned_count")]
     net = money(F.coalesce(F.col("_net"), F.lit(0)))
     margin = money(F.coalesce(F.col("_margin"), F.lit(0)))
     return agg.select(
@@ -107,6 +110,7 @@ def kpis(df: DataFrame, f: Filters = Filters()) -> DataFrame:
         ratio(F.col("returned_count"), F.col("order_count") + F.col("returned_count")).alias("return_rate"),
         F.col("returned_count"),
         F.col("rows"),
+        *passed,
     )
 
 

@@ -328,10 +328,9 @@ FROM cleaned o LEFT JOIN (SELECT {key}, count(*) AS n FROM {right} GROUP BY {key
 UNION ALL
 {_join_stats_sql('customers', 'messy_customers', 'customer_id')}""")
 def q_join_stats(spark, sf):
-    orders = materialize(C.clean(messy_orders(spark, sf)))
-    a = J.join_stats(orders, messy_products(spark, sf, "defects"), "sku").select(F.lit("products").alias("relation"), "*")
-    b = J.join_stats(orders, messy_customers(spark, sf), "customer_id").select(F.lit("customers").alias("relation"), "*")
-    return a.unionByName(b)
+    orders = C.clean(messy_orders(spark, sf))
+    return J.join_stats_many(orders, [("products", messy_products(spark, sf, "defects"), "sku"),
+                                      ("customers", messy_customers(spark, sf), "customer_id")])
 
 
 @register("join_unmatched", f"""{JOIN_PREFIX}

@@ -1,7 +1,7 @@
 """The fact ledger and stage metrics for the retail pipeline (V8, V9).
 
-Every fact is an aggregate over the same lazy chain; they are gathered into one wide row
-with cross joins of one-row frames (no driver round trip)."""
+Facts come from a handful of aggregates over two written stages; the one-row results are
+gathered into one wide row with cross joins of one-row frames (no driver round trip)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators import cleaning as C
 from tallyframe.operators import joins as J
 from tallyframe.operators import metrics as M
+from tallyframe.functions import patterns as P
+from tallyframe.functions.exprs import count_if
 from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
 from tallyframe.functions.derive import derive
@@ -25,39 +27,83 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 
 
 def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fact from one pass of each stage: the deduplicated stage and the joined table
-    are checkpointed once (to the shared checkpoint folder) and every count reads them."""
+    """Every fact from four aggregates. The deduplicated stage and the joined table are
+    written once to the shared checkpoint folder and read by:
+
+    1. one pass over the stage: input rows, rows after dedupe, timestamp failures, qty
+       repairs, discount nulls (C7, C4, C5);
+    2. one pass of the cleaned keys left-joined to both sides' key multiplicities: product
+       matches, product and customer misses (J3 twice);
+    3. one global aggregate over the joined, derived table: rows, headline KPIs and region
+       conflicts (A1, J4);
+    4. one grouping-sets aggregate (category, region, week, sku) over revenue rows, reduced
+       to the surface totals (A2-A5), then a tiny second aggregate over its groups."""
+    strategy = C.RETAIL
     raw = messy_orders(spark, sf)
-    stage = materialize(C.deduped(raw, with_counts=True))
-    cs = C.clean_stats(raw, stage=stage).select(
-        F.col("rows_in"), F.col("rows_out").alias("rows_clean"), "rows_dropped",
-        drop_budget(F.col("rows_in")).alias("drop_budget_rows"), "duplicates_removed",
-        F.col("failures").alias("timestamp_failures"),
+    products, customers = messy_products(spark, sf), messy_customers(spark, sf)
+    stage = materialize(C.deduped(raw, strategy, with_counts=True), "facts-stage")
+
+    qty_target = dict(strategy.coerce)["qty"]
+    (fill_col, _fill_value), = strategy.fill_nulls
+    st = stage.agg(
+        F.coalesce(F.sum(C.ROWS_PER_KEY), F.lit(0)).cast("bigint").alias("_in"),
+        F.count(F.lit(1)).alias("_after"),
+        count_if(F.col(strategy.ts_column).isNull()).alias("_fail"),
+        count_if(C.needed_repair("qty", qty_target)).alias("_qty"),
+        count_if(F.col(fill_col).isNull()).alias("_nulls"),
     )
-    qty = C.coerce_counts(raw, stage=stage).filter(F.col("column_name") == "qty").select(F.col("needed").alias("qty_coerced"))
-    dnr = C.null_rates(raw, stage=stage).filter(F.col("column_name") == "discount_pct").select(F.col("null_rate").alias("discount_null_rate"))
-    sources = (raw, messy_products(spark, sf), messy_customers(spark, sf))
-    n_columns = sum(len(df.columns) for df in sources)  # schema facts: no scan needed
-    contract = cs.select(F.lit(n_columns).alias("contract_columns"), F.lit(len(sources)).alias("source_count"))
-    cleaned = C.finish(stage)
-    pj = J.join_stats(cleaned, messy_products(spark, sf), "sku").select(
-        F.col("matched").alias("products_matched"), F.col("unmatched").alias("products_unmatched"))
-    cj = J.join_stats(cleaned, messy_customers(spark, sf), "customer_id").select(F.col("unmatched").alias("customers_unmatched"))
-    joined = materialize(J.join(J.join(cleaned, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"))
-    conf = J.conflict_stats(joined, "region", "region_right").select(F.col("conflicts").alias("region_conflicts"))
-    d = derive(J.resolve_conflict(joined, "region", losing="region_right"))
-    dr = d.agg(F.count(F.lit(1)).alias("derived_rows"))
-    k = M.kpis(d).select("net_revenue", "order_count", "margin_pct", "return_rate")
-    # Surface totals: the cut's exact per-group sums added up, so the reconciliation tests
+    n_columns = sum(len(df.columns) for df in (raw, products, customers))  # schema facts: no scan
+    cs = st.select(
+        F.lit(n_columns).alias("contract_columns"),
+        F.lit(3).alias("source_count"),
+        F.col("_in").alias("rows_in"),
+        (F.col("_after") - F.col("_fail")).alias("rows_clean"),
+        (F.col("_in") - F.col("_after") + F.col("_fail")).alias("rows_dropped"),
+        drop_budget(F.col("_in")).alias("drop_budget_rows"),
+        (F.col("_in") - F.col("_after")).alias("duplicates_removed"),
+        F.col("_fail").alias("timestamp_failures"),
+        F.col("_qty").alias("qty_coerced"),
+        F.when(F.col("_after") > 0, F.col("_nulls").cast("double") / F.col("_after").cast("double"))
+        .otherwise(0.0).alias("discount_null_rate"),
+    )
+
+    cleaned = C.finish(stage, strategy)
+    mult_p = products.groupBy("sku").agg(F.count(F.lit(1)).alias("_mp"))
+    mult_c = customers.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_mc"))
+    jm = (
+        cleaned.select("sku", "customer_id")
+        .join(mult_p, "sku", "left")
+        .join(mult_c, "customer_id", "left")
+        .agg(
+            count_if(F.col("_mp").isNotNull()).alias("products_matched"),
+            count_if(F.col("_mp").isNull()).alias("products_unmatched"),
+            count_if(F.col("_mc").isNull()).alias("customers_unmatched"),
+        )
+    )
+
+    joined = materialize(J.join(J.join(cleaned, products, "sku"), customers, "customer_id"), "facts-joined")
+    d = derive(joined)  # region_right kept for the conflict count; derive does not read it
+    k = M.kpis(d, extra=(count_if(F.col("region") != F.col("region_right")).alias("region_conflicts"),)).select(
+        F.col("rows").alias("derived_rows"), "net_revenue", "order_count", "margin_pct", "return_rate", "region_conflicts"
+    )
+
+    # Surface totals: the cuts' exact per-group sums added up, so the reconciliation tests
     # coverage (every revenue row lands in exactly one group), not rounding.
-    rev = M.revenue_rows(d, M.Filters())
-    cat = rev.groupBy("category").agg(F.sum("net_revenue").alias("_n")).agg(
-        M.money(F.sum("_n")).alias("category_total"), F.count(F.lit(1)).alias("category_groups"))
-    reg = rev.groupBy("region").agg(F.sum("net_revenue").alias("_n")).agg(M.money(F.sum("_n")).alias("region_total"))
-    wk = M.revenue_over_time(d).agg(F.count(F.lit(1)).alias("week_points"))
-    tp = M.top_products(d).agg(F.count(F.lit(1)).alias("top_products"))
-    surf = dr.select(F.lit(5).alias("dashboard_surfaces"))
-    return _one_row(contract, cs, qty, dnr, pj, cj, conf, dr, k, cat, reg, wk, tp, surf)
+    dims = ["category", "region", "order_week", "sku"]
+    gid_of = {d_: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, d_ in enumerate(dims)}
+    g = M.revenue_rows(d, M.Filters()).groupingSets([[d_] for d_ in dims], *dims).agg(
+        F.grouping_id(*dims).alias("_gid"), F.sum("net_revenue").alias("_n")
+    )
+    at = lambda name: F.col("_gid") == F.lit(gid_of[name])
+    surf = g.agg(
+        M.money(F.sum(F.when(at("category"), F.col("_n")))).alias("category_total"),
+        count_if(at("category")).alias("category_groups"),
+        M.money(F.sum(F.when(at("region"), F.col("_n")))).alias("region_total"),
+        count_if(at("order_week")).alias("week_points"),
+        F.least(count_if(at("sku")), F.lit(P.TOP_PRODUCT_LIMIT).cast("bigint")).alias("top_products"),
+        F.lit(5).alias("dashboard_surfaces"),
+    )
+    return _one_row(cs, jm, k, surf)
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:

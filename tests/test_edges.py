@@ -33,3 +33,37 @@ def test_closure_depths(spark):
     e = spark.createDataFrame([("g", 3, 2), ("g", 2, 1), ("g", 1, 0), ("g", 4, 2)], "group_id string, child long, parent long")
     got = sorted((r.node, r.ancestor, r.depth) for r in G.closure(e).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (2, 1, 1), (3, 0, 3), (3, 1, 2), (3, 2, 1), (4, 0, 3), (4, 1, 2), (4, 2, 1)]
+
+
+def _bfs_closure(edges):
+    """Brute force: shortest hop count from every node to every node it reaches upwards."""
+    up = {}
+    for g, c, p in edges:
+        up.setdefault((g, c), set()).add(p)
+    out = {}
+    for g, c, _ in edges:
+        seen, level, d = {}, {c}, 0
+        while level:
+            d += 1
+            nxt = set()
+            for v in level:
+                for p in up.get((g, v), ()):
+                    if p not in seen:
+                        seen[p] = d
+                        nxt.add(p)
+            level = nxt
+        for a, dist in seen.items():
+            out[(g, c, a)] = dist
+    return out
+
+
+def test_closure_matches_bfs_on_shortcuts_cycles_and_long_chains(spark):
+    """Doubling must give the least depth where walks of many lengths exist (shortcuts,
+    a cycle, a chain longer than any power-of-two band) and in several groups at once."""
+    edges = [("g1", i + 1, i) for i in range(37)]                          # chain of 37 hops
+    edges += [("g1", i + 5, i) for i in range(0, 30, 3)]                   # shortcuts
+    edges += [("g1", 3, 20), ("g2", 1, 2), ("g2", 2, 3), ("g2", 3, 1), ("g2", 4, 3)]  # cycles
+    edges += [("g3", 10 + i, 10 + i // 2) for i in range(1, 64)]           # binary tree
+    e = spark.createDataFrame(edges, "group_id string, child long, parent long")
+    got = {(r.group_id, r.node, r.ancestor): r.depth for r in G.closure(e).collect()}
+    assert got == _bfs_closure(edges)
