@@ -10,30 +10,22 @@ E4/E5 per-task state with plan resets: a built-in streaming aggregate keyed by
     on read. Merged by "greatest seq wins", never by arrival order, so micro-batch
     boundaries, file order and duplicates cannot change the answer (E16 by construction).
 E7  run header: a plain streaming aggregate (max_by / bool_or are order-insensitive).
-E8  streamed text: ``applyInPandasWithState`` keyed by (run_id, artifact_id).
+E8  streamed text: a stateless append of artifact events; texts are folded on read.
 
 Sinks are ``foreachBatch`` writes of each micro-batch to ``<out>/batch=<id>`` (overwrite, so a
-replayed batch is idempotent); readers keep, per key, the row of the latest batch.
+replayed batch is idempotent); readers of an update-mode sink keep, per key, the row of the
+latest batch. No stream runs Python on rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.operators.eventlog import status_of
 from tallyframe.session import scratch_path
 
-# One JSON document per key, for the custom text fold.
-STATE_SCHEMA = T.StructType([T.StructField("doc", T.StringType())])
-
-
 def write_log(ev: DataFrame, path: str, files: int = 8) -> str:
     """Materialise a log as ``files`` parquet files in arrival (event-time) order, the way a
     log folder fills up: every file's events are no older than the previous file's, so an
@@ -209,61 +201,33 @@ def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None
     )
 
 
-TEXT_STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("artifact_id", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("chars", T.LongType()),
-        T.StructField("complete", T.BooleanType()),
-        T.StructField("version", T.LongType()),
-    ]
-)
-
-
-def _fold_artifact(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """E8 streaming, keyed by (run, artifact): the latest opener, the chunks after it and the
-    created markers after it. Chunks before a known opener are discarded from state."""
-    run_id, artifact_id = key
-    doc = json.loads(state.get[0]) if state.exists else {"open": None, "chunks": [], "created": [], "n": 0}
-    for pdf in batches:
-        doc["n"] += len(pdf)
-        for row in pdf.itertuples(index=False):
-            seq = int(row.seq)
-            if row.type == "artifact.streaming":
-                doc["open"] = seq if doc["open"] is None else max(doc["open"], seq)
-            elif row.type == "artifact.chunk":
-                doc["chunks"].append([seq, row.text])
-            elif row.type == "artifact.created":
-                doc["created"].append(seq)
-    if doc["open"] is not None:
-        doc["chunks"] = [c for c in doc["chunks"] if c[0] > doc["open"]]
-        doc["created"] = [s for s in doc["created"] if s > doc["open"]]
-    state.update((json.dumps(doc),))
-    if doc["open"] is None:
-        return
-    text = "".join(t for _, t in sorted(doc["chunks"]))
-    yield pd.DataFrame(
-        [(run_id, artifact_id, text, len(text), bool(doc["created"]), doc["n"])],
-        columns=[f.name for f in TEXT_STATE_SCHEMA.fields],
-    )
+ARTIFACT_EVENTS = ("artifact.streaming", "artifact.chunk", "artifact.created")
 
 
-def artifact_text_stream(stream: DataFrame) -> DataFrame:
-    pre = stream.filter(F.col("type").isin("artifact.streaming", "artifact.chunk", "artifact.created")).select(
-        "run_id", "artifact_id", "seq", "type", "text"
-    )
-    return pre.groupBy("run_id", "artifact_id").applyInPandasWithState(
-        _fold_artifact, TEXT_STATE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
+def artifact_event_stream(stream: DataFrame) -> DataFrame:
+    """E8 streaming input: the artifact events, projected to what the text fold reads."""
+    return stream.filter(F.col("type").isin(*ARTIFACT_EVENTS)).select("run_id", "artifact_id", "seq", "type", "text")
+
+
+def artifact_text_table(spark: SparkSession, out: str) -> DataFrame:
+    """E8 current texts from the artifact-event sink: redelivered events are dropped by
+    position (an aggregate keyed by (run_id, seq), so a hot run spreads over its seqs), then
+    the batch text fold runs: latest opener per (run, artifact), chunks after it in seq
+    order, complete when an artifact.created follows it. The fold does not depend on the
+    order in which batches arrived, so any micro-batch split gives the same texts (E16)."""
+    from tallyframe.operators.eventlog import stream_text
+
+    events = spark.read.parquet(out).drop("batch_id").dropDuplicates(["run_id", "seq"])
+    return stream_text(events)
 
 
 def stream_artifact_text(spark: SparkSession, ev: DataFrame, max_files: int | None = 2, files: int = 4) -> DataFrame:
+    """E8 end to end. The stream itself keeps no state: each micro-batch appends its artifact
+    events to the sink (idempotent per batch id) and the texts are assembled when read. A
+    per-key state holding every chunk would be rewritten whole on each update (quadratic in
+    the number of batches an artifact spans); here each chunk is written once."""
     base = scratch_path(spark, "eventstream-text")
     src = write_log(ev, f"{base}/log", files)
-    stream = dedupe_stream(read_log_stream(spark, src, ev.schema, max_files))
-    run_to_table(artifact_text_stream(stream), f"{base}/out", f"{base}/ckpt")
-    df = spark.read.parquet(f"{base}/out")
-    w = Window.partitionBy("run_id", "artifact_id")
-    last = df.withColumn("_last", F.max("batch_id").over(w)).filter(F.col("batch_id") == F.col("_last"))
-    return last.select("run_id", "artifact_id", "text", "chars", "complete")
+    stream = read_log_stream(spark, src, ev.schema, max_files)
+    run_to_table(artifact_event_stream(stream), f"{base}/out", f"{base}/ckpt", output_mode="append")
+    return artifact_text_table(spark, f"{base}/out")

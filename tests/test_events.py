@@ -173,3 +173,12 @@ def test_stream_state_ignores_redelivered_events(spark, sf_small):
     assert got == sorted(tuple(r) for r in EV.task_fields(ev).collect())
     header = ES.stream_run_header(spark, doubled, max_files=2, files=4)
     assert sorted(tuple(r) for r in header.collect()) == sorted(tuple(r) for r in EV.run_header(ev).collect())
+
+
+def test_stream_text_equals_batch_any_split_and_redelivery(spark, sf_small):
+    ev = event_log(spark, sf_small)
+    want = sorted(tuple(r) for r in EV.stream_text(ev).collect())
+    doubled = ev.unionByName(ev.filter("seq % 7 = 0"))
+    for log, max_files in ((ev, 1), (doubled, None), (doubled, 2)):
+        got = sorted(tuple(r) for r in ES.stream_artifact_text(spark, log, max_files=max_files, files=5).collect())
+        assert got == want
