@@ -6,8 +6,6 @@ S6 dataset artifact, S8 event source. S7 (schema contract) lives with profiling.
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,11 +166,3 @@ def event_source(spark: SparkSession, path: str, schema: T.StructType, fmt: str
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         return reader.load(path)
     return spark.read.schema(schema).format(fmt).load(path)
-
-
-def manifest_json(row: dict) -> str:
-    return json.dumps(row, sort_keys=True, default=str)
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)
