@@ -149,27 +149,35 @@ def revenue_by_region(df: DataFrame, f: Filters = Filters()) -> DataFrame:
 
 
 def top_products(df: DataFrame, f: Filters = Filters(), k: int = P.TOP_PRODUCT_LIMIT) -> DataFrame:
-    """A5: top-k skus by net revenue (sku breaks ties). The limit is the feature; Spark
-    plans it as a per-partition top-k plus one small merge (TakeOrderedAndProject)."""
-    g = revenue_rows(df, f).groupBy("sku").agg(
-        F.min("product_name").alias("product_name"),
+    """A5: top-k skus by net revenue (sku breaks ties). The limit is the feature.
+
+    The ranking aggregate holds only numeric buffers, so it is a hash aggregate with a
+    map-side partial, and the top k is a per-partition top-k plus one small merge
+    (TakeOrderedAndProject). Names are looked up afterwards for the k chosen skus only: the
+    k ranked rows are broadcast (size bounded by k) onto the (sku, product_name) scan and a
+    min per sku is taken (T12). A string min in the ranking aggregate itself would turn it
+    into a sort-based aggregate over every revenue row."""
+    rev = revenue_rows(df, f)
+    g = rev.groupBy("sku").agg(
         F.sum("net_revenue").alias("_net"),
         F.sum("margin").alias("_margin"),
         F.sum("qty").alias("units"),
     )
-    return (
-        g.select(
-            "sku",
-            "product_name",
-            money(F.col("_net")).alias("net_revenue"),
-            F.col("units").cast("bigint").alias("units"),
-            ratio(money(F.col("_margin")), money(F.col("_net"))).alias("margin_pct"),
-            F.col("_net"),
-        )
-        .orderBy(F.col("_net").desc(), F.col("sku").asc())
-        .limit(k)
-        .drop("_net")
+    top = g.orderBy(F.col("_net").desc(), F.col("sku").asc()).limit(k)
+    named = (
+        rev.select("sku", "product_name")
+        .join(F.broadcast(top), "sku")
+        .groupBy("sku", "_net", "_margin", "units")
+        .agg(F.min("product_name").alias("product_name"))
     )
+    return named.select(
+        "sku",
+        "product_name",
+        money(F.col("_net")).alias("net_revenue"),
+        F.col("units").cast("bigint").alias("units"),
+        ratio(money(F.col("_margin")), money(F.col("_net"))).alias("margin_pct"),
+        F.col("_net"),
+    ).orderBy(F.col("_net").desc(), F.col("sku").asc()).drop("_net")
 
 
 @dataclass(frozen=True)
