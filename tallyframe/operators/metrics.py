@@ -100,18 +100,22 @@ def kpis(df: DataFrame, f: Filters = Filters(), extra: tuple[Column, ...] = ())
         *extra,
     )
     passed = [c for c in agg.columns if c not in ("rows", "_net", "_margin", "order_count", "returned_count")]
-    net = money(F.coalesce(F.col("_net"), F.lit(0)))
-    margin = money(F.coalesce(F.col("_margin"), F.lit(0)))
-    return agg.select(
+    return agg.select(*kpi_columns(F.col("_net"), F.col("_margin"), F.col("order_count"), F.col("returned_count")),
+                      F.col("rows"), *passed)
+
+
+def kpi_columns(net_sum: Column, margin_sum: Column, order_count: Column, returned_count: Column) -> list[Column]:
+    """A1 figures from the sums and counts of one selection (null sums count as 0)."""
+    net = money(F.coalesce(net_sum, F.lit(0)))
+    margin = money(F.coalesce(margin_sum, F.lit(0)))
+    return [
         net.alias("net_revenue"),
-        F.col("order_count"),
-        ratio(net, F.col("order_count")).alias("average_order_value"),
+        order_count.alias("order_count"),
+        ratio(net, order_count).alias("average_order_value"),
         ratio(margin, net).alias("margin_pct"),
-        ratio(F.col("returned_count"), F.col("order_count") + F.col("returned_count")).alias("return_rate"),
-        F.col("returned_count"),
-        F.col("rows"),
-        *passed,
-    )
+        ratio(returned_count, order_count + returned_count).alias("return_rate"),
+        returned_count.alias("returned_count"),
+    ]
 
 
 def revenue_over_time(df: DataFrame, f: Filters = Filters()) -> DataFrame:

@@ -18,7 +18,6 @@ from tallyframe.functions.exprs import count_if
 from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
 from tallyframe.functions.derive import derive
-from tallyframe.plans.retail import derived_table, joined_orders
 from tallyframe.session import materialize
 
 
@@ -27,20 +26,21 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 
 
 def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fact from four aggregates. The deduplicated stage and the joined table are
-    written once to the shared checkpoint folder and read by:
+    return facts_wide_from(messy_orders(spark, sf), messy_products(spark, sf), messy_customers(spark, sf))
 
-    1. one pass over the stage: input rows, rows after dedupe, timestamp failures, qty
+
+def facts_wide_from(raw: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
+    """Every fact from three passes over the deduplicated stage, which is written once to the
+    shared checkpoint folder:
+
+    1. one aggregate over the stage: input rows, rows after dedupe, timestamp failures, qty
        repairs, discount nulls (C7, C4, C5);
-    2. one pass of the cleaned keys left-joined to both sides' key multiplicities: product
-       matches, product and customer misses (J3 twice);
-    3. one global aggregate over the joined, derived table: rows, headline KPIs and region
-       conflicts (A1, J4);
-    4. one grouping-sets aggregate (category, region, week, sku) over revenue rows, reduced
-       to the surface totals (A2-A5), then a tiny second aggregate over its groups."""
+    2. the cleaned keys left-joined to both sides' key multiplicities, one aggregate:
+       product matches, product and customer misses (J3 twice);
+    3. the joined, derived rows in one grouping-sets aggregate - the empty set for rows,
+       headline KPIs and region conflicts (A1, J4), one set per surface dimension for the
+       surface totals (A2-A5) - reduced by a tiny global aggregate over its groups."""
     strategy = C.RETAIL
-    raw = messy_orders(spark, sf)
-    products, customers = messy_products(spark, sf), messy_customers(spark, sf)
     stage = materialize(C.deduped(raw, strategy, with_counts=True), "facts-stage")
 
     qty_target = dict(strategy.coerce)["qty"]
@@ -81,29 +81,48 @@ def facts_wide(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
 
-    joined = materialize(J.join(J.join(cleaned, products, "sku"), customers, "customer_id"), "facts-joined")
-    d = derive(joined)  # region_right kept for the conflict count; derive does not read it
-    k = M.kpis(d, extra=(count_if(F.col("region") != F.col("region_right")).alias("region_conflicts"),)).select(
-        F.col("rows").alias("derived_rows"), "net_revenue", "order_count", "margin_pct", "return_rate", "region_conflicts"
-    )
-
-    # Surface totals: the cuts' exact per-group sums added up, so the reconciliation tests
-    # coverage (every revenue row lands in exactly one group), not rounding.
+    # One grouping-sets aggregate over the joined, derived rows (never written): the empty
+    # set carries the global figures (rows, KPIs, region conflicts), the four dimension sets
+    # the surfaces' per-group revenue sums. A group counts as a surface point only when it
+    # has revenue rows, as in the cuts themselves.
+    d = derive(J.join(J.join(cleaned, products, "sku"), customers, "customer_id"))  # keeps region_right
+    done = F.col("status") == F.lit(P.REVENUE_STATUS)
     dims = ["category", "region", "order_week", "sku"]
-    gid_of = {d_: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, d_ in enumerate(dims)}
-    g = M.revenue_rows(d, M.Filters()).groupingSets([[d_] for d_ in dims], *dims).agg(
-        F.grouping_id(*dims).alias("_gid"), F.sum("net_revenue").alias("_n")
+    full = (1 << len(dims)) - 1
+    gid_of = {d_: full - (1 << (len(dims) - 1 - i)) for i, d_ in enumerate(dims)}
+    g = d.groupingSets([[], *[[d_] for d_ in dims]], *dims).agg(
+        F.grouping_id(*dims).alias("_gid"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.when(done, F.col("net_revenue"))).alias("_net"),
+        F.sum(F.when(done, F.col("margin"))).alias("_margin"),
+        count_if(done).alias("_done"),
+        count_if(F.col("status") == F.lit(P.RETURNED_STATUS)).alias("_returned"),
+        count_if(F.col("region") != F.col("region_right")).alias("_conflicts"),
     )
-    at = lambda name: F.col("_gid") == F.lit(gid_of[name])
-    surf = g.agg(
-        M.money(F.sum(F.when(at("category"), F.col("_n")))).alias("category_total"),
-        count_if(at("category")).alias("category_groups"),
-        M.money(F.sum(F.when(at("region"), F.col("_n")))).alias("region_total"),
-        count_if(at("order_week")).alias("week_points"),
-        F.least(count_if(at("sku")), F.lit(P.TOP_PRODUCT_LIMIT).cast("bigint")).alias("top_products"),
-        F.lit(5).alias("dashboard_surfaces"),
+    gid = F.col("_gid")
+    total = lambda c: F.max(F.when(gid == F.lit(full), F.col(c)))
+    point = lambda name: (gid == F.lit(gid_of[name])) & (F.col("_done") > 0)
+    # Empty input gives no grouping-sets row at all (T6); this global aggregate still gives
+    # one, with the empty selection's figures.
+    red = g.agg(
+        F.coalesce(total("_rows"), F.lit(0)).cast("bigint").alias("derived_rows"),
+        total("_net").alias("_net"),
+        total("_margin").alias("_margin"),
+        F.coalesce(total("_done"), F.lit(0)).cast("bigint").alias("_done"),
+        F.coalesce(total("_returned"), F.lit(0)).cast("bigint").alias("_returned"),
+        F.coalesce(total("_conflicts"), F.lit(0)).cast("bigint").alias("region_conflicts"),
+        M.money(F.sum(F.when(point("category"), F.col("_net")))).alias("category_total"),
+        count_if(point("category")).alias("category_groups"),
+        M.money(F.sum(F.when(point("region"), F.col("_net")))).alias("region_total"),
+        count_if(point("order_week")).alias("week_points"),
+        F.least(count_if(point("sku")), F.lit(P.TOP_PRODUCT_LIMIT).cast("bigint")).alias("top_products"),
     )
-    return _one_row(cs, jm, k, surf)
+    k = red.select(
+        *M.kpi_columns(F.col("_net"), F.col("_margin"), F.col("_done"), F.col("_returned")),
+        "derived_rows", "region_conflicts", "category_total", "category_groups", "region_total", "week_points",
+        "top_products", F.lit(5).alias("dashboard_surfaces"),
+    ).drop("average_order_value", "returned_count")
+    return _one_row(cs, jm, k)
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:

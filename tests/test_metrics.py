@@ -91,3 +91,19 @@ def test_week_filters_keep_last_week_whole():
 def test_query_saved_missing_table(spark):
     with pytest.raises(M.NoTable):
         M.query_saved(spark, "/nonexistent/derived")
+
+
+def test_fact_ledger_on_empty_extract_has_every_fact(spark):
+    """The grouping-sets pass returns no row over empty input; the ledger still has one
+    row with the empty selection's figures."""
+    from tallyframe.plans import verification as VP
+    from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
+
+    sf = "/root/testdata/sf0.001"
+    raw = messy_orders(spark, sf).filter("order_id IS NULL")
+    w = VP.facts_wide_from(raw, messy_products(spark, sf), messy_customers(spark, sf)).collect()
+    assert len(w) == 1
+    r = w[0]
+    assert (r.rows_in, r.derived_rows, r.order_count, r.category_groups, r.week_points, r.top_products) == (0, 0, 0, 0, 0, 0)
+    assert (r.net_revenue, r.margin_pct, r.return_rate, r.discount_null_rate) == (0.0, 0.0, 0.0, 0.0)
+    assert r.category_total is None and r.region_total is None
