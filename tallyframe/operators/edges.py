@@ -7,8 +7,9 @@ G3 closure: frontier doubling - round r joins the pairs at distance exactly 2^r
    the session's shared checkpoint folder so the lineage (and a lost executor's recompute)
    stays one round deep.
 G2 cycle members: nodes that reach themselves in the closure.
-G4 levels: peel nodes whose parents are all done, round by round; nodes in or behind a cycle
-   never peel (counted, not named, by ``cycle_summary``).
+G4 levels: peel nodes whose parents are all done, round by round (round = level), each
+   round writing only its new nodes; nodes in or behind a cycle never peel (counted, not
+   named, by ``cycle_summary``).
 """
 
 from __future__ import annotations
@@ -84,29 +85,33 @@ def cycle_members(pairs: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(group_id, node, level). Level 0 = no parents; a node peels once all its
-    parents have peeled, at 1 + the greatest parent level."""
+    parents have peeled, at 1 + the greatest parent level.
+
+    Peeling rounds are levels: round r peels exactly the nodes whose parents have all
+    peeled with the greatest parent level r - 1, so a round needs no anti-join against the
+    nodes already peeled. Each round writes only its new nodes; the peeled set is the union
+    of the written rounds, never rewritten."""
     e = _cut(good_edges(edges, nodes))
-    n_parents = e.groupBy(*K, "child").agg(F.count(F.lit(1)).alias("_np"))
+    n_parents = _cut(e.groupBy(*K, "child").agg(F.count(F.lit(1)).alias("_np")))
     roots = nodes.select(*K, "node").distinct().join(
         n_parents.select(*K, F.col("child").alias("node")), [*K, "node"], "left_anti"
     )
-    done = _cut(roots.withColumn("level", F.lit(0)))
-    for _ in range(max_rounds):
-        lv = done.select(*K, F.col("node").alias("parent"), F.col("level").alias("_pl"))
-        scored = e.join(lv, [*K, "parent"]).groupBy(*K, "child").agg(
-            F.count(F.lit(1)).alias("_ready"), F.max("_pl").alias("_max")
-        )
-        ready = (
-            scored.join(n_parents, [*K, "child"])
+    rounds = [_cut(roots.withColumn("level", F.lit(0)))]
+    for level in range(1, max_rounds + 1):
+        done = reduce(lambda a, b: a.unionByName(b), rounds)
+        scored = e.join(done.select(*K, F.col("node").alias("parent"), F.col("level").alias("_pl")), [*K, "parent"]).groupBy(
+            *K, "child"
+        ).agg(F.count(F.lit(1)).alias("_ready"), F.max("_pl").alias("_max"))
+        ready = _cut(
+            scored.filter(F.col("_max") == F.lit(level - 1))
+            .join(n_parents, [*K, "child"])
             .filter(F.col("_ready") == F.col("_np"))
-            .select(*K, F.col("child").alias("node"), (F.col("_max") + 1).alias("level"))
-            .join(done.select(*K, "node"), [*K, "node"], "left_anti")
+            .select(*K, F.col("child").alias("node"), F.lit(level).alias("level"))
         )
-        ready = _cut(ready)
         if ready.isEmpty():
             break
-        done = _cut(done.unionByName(ready))
-    return done
+        rounds.append(ready)
+    return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
 def cycle_summary(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, lv: DataFrame) -> DataFrame:
