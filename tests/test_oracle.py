@@ -21,10 +21,16 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     assert missing <= ROWS_ONLY
 
 
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow",
+                "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas", "PythonUDF")
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     sql = E.oracle_sql().get(name)
     df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [n for n in PYTHON_NODES if n in plan], f"{name}: Python in the plan"
     rows = [tuple(r) for r in df.collect()]
     if sql is None:
         assert len(rows) >= 0
