@@ -107,3 +107,20 @@ def test_fact_ledger_on_empty_extract_has_every_fact(spark):
     assert (r.rows_in, r.derived_rows, r.order_count, r.category_groups, r.week_points, r.top_products) == (0, 0, 0, 0, 0, 0)
     assert (r.net_revenue, r.margin_pct, r.return_rate, r.discount_null_rate) == (0.0, 0.0, 0.0, 0.0)
     assert r.category_total is None and r.region_total is None
+
+
+def test_checks_report_misses_and_skips_absent_sections(spark):
+    """V7: a missed check is named and counted in check 10; sections without facts are left out."""
+    from tallyframe.operators import verify as V
+
+    facts = spark.createDataFrame(
+        [("rows_in", 1000.0), ("rows_dropped", 9.0), ("drop_budget_rows", 5.0), ("timestamp_failures", 0.0),
+         ("duplicates_removed", 4.0), ("qty_coerced", 2.0)],
+        "key string, num double",
+    )
+    got = {r.check_no: r for r in V.run_checks(facts).collect()}
+    assert sorted(got) == [2, 3, 4, 10]
+    assert got[2].verdict == "MISSED" and got[3].verdict == "met" and got[4].verdict == "recorded"
+    assert (got[10].measured, got[10].threshold, got[10].verdict) == (1.0, 2.0, "recorded")
+    t = V.totals(V.run_checks(facts)).first()
+    assert (t.asserted, t.passed, t.failed, t.recorded) == (2, 1, 1, 2)
