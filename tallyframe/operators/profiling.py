@@ -209,18 +209,28 @@ def probe_alternates(df: DataFrame, column: str, spec: str = P.STRICT_SPEC) -> D
 def format_verdict(df: DataFrame, column: str, spec: str = P.STRICT_SPEC) -> DataFrame:
     """One row (verdict, alternate, reads, day_first_evidence) where verdict is
     no_alternate / ambiguous (an alternate reads them but nothing proves day-first) /
-    day_first (some failing value leads with a number above 12)."""
-    alts = probe_alternates(df, column, spec)
-    first_alt = alts.agg(F.min_by(F.struct("spec", "reads"), F.col("ordinal")).alias("a"))
-    probe = probe_format(df, column, spec).select("day_first_evidence")
-    j = probe.crossJoin(first_alt)
-    return j.select(
-        F.when(F.col("a").isNull(), "no_alternate")
+    day_first (some failing value leads with a number above 12).
+
+    One aggregate over the input gives the day-first evidence (P9) and every alternate's
+    read count (P8); the first alternate (by ordinal) that reads anything is picked from
+    that one row."""
+    raw = F.col(column)
+    failing = raw.isNotNull() & parse_timestamp(raw, spec).isNull()
+    lead = F.regexp_extract(raw, r"^([0-9]{1,2})[/-]", 1).try_cast("int")
+    others = [(i, s) for i, s in enumerate(P.TIMESTAMP_SHAPES) if s.spec != spec]
+    wide = df.agg(
+        count_if(failing & (lead > 12)).alias("day_first_evidence"),
+        *[count_if(failing & parse_timestamp(raw, s.spec).isNotNull()).alias(f"_a{i}") for i, s in others],
+    )
+    alternate = F.coalesce(*[F.when(F.col(f"_a{i}") > 0, F.lit(s.spec)) for i, s in others], F.lit(None).cast("string"))
+    reads = F.coalesce(*[F.when(F.col(f"_a{i}") > 0, F.col(f"_a{i}")) for i, _ in others], F.lit(None).cast("bigint"))
+    return wide.select(
+        F.when(alternate.isNull(), "no_alternate")
         .when(F.col("day_first_evidence") == 0, "ambiguous")
         .otherwise("day_first")
         .alias("verdict"),
-        F.col("a.spec").alias("alternate"),
-        F.col("a.reads").alias("reads"),
+        alternate.alias("alternate"),
+        reads.alias("reads"),
         "day_first_evidence",
     )
 

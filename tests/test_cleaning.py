@@ -103,3 +103,16 @@ def test_margin_pct_null_when_net_zero(spark):
 def test_plain_patterns_are_fixed():
     assert P.STRICT_SPEC == "%Y-%m-%dT%H:%M:%S"
     assert [s.spec for s in P.TIMESTAMP_SHAPES][2] == "%d/%m/%Y %H:%M"
+
+
+def test_format_verdict_three_outcomes(spark):
+    from tallyframe.operators import profiling as PR
+
+    def verdict(values):
+        df = spark.createDataFrame([(v,) for v in values], "order_ts string")
+        return tuple(PR.format_verdict(df, "order_ts").first())
+
+    assert verdict(["2025-03-25T14:30:00", None]) == ("no_alternate", None, None, 0)
+    assert verdict(["2025-03-25T14:30:00", "05/03/2025 14:30"])[0] == "ambiguous"
+    v = verdict(["2025-03-25T14:30:00", "25/03/2025 14:30", "05/03/2025 14:30", "junk"])
+    assert v[0] == "day_first" and v[2] == 2 and v[3] == 1
