@@ -123,10 +123,9 @@ def retry_count(ev: DataFrame) -> DataFrame:
     return ev.groupBy("run_id").agg(F.count_if(_t("task.retried")).alias("retry_count"))
 
 
-def run_header(ev: DataFrame) -> DataFrame:
-    """Started, completed, error, duration, title, seed, speed, last seq per run."""
+def _header_aggs() -> list[Column]:
     started, done, failed = _t("run.started"), _t("run.completed"), _t("run.failed")
-    return ev.groupBy("run_id").agg(
+    return [
         F.max("seq").alias("last_seq"),
         F.bool_or(started).alias("started"),
         F.bool_or(done).alias("completed"),
@@ -135,7 +134,12 @@ def run_header(ev: DataFrame) -> DataFrame:
         last_by(F.when(started, F.col("title"))).alias("requirement_title"),
         last_by(F.when(started, F.col("seed"))).alias("seed"),
         F.coalesce(last_by(F.when(started, F.col("speed"))), F.lit(1)).alias("speed"),
-    )
+    ]
+
+
+def run_header(ev: DataFrame) -> DataFrame:
+    """Started, completed, error, duration, title, seed, speed, last seq per run."""
+    return ev.groupBy("run_id").agg(*_header_aggs())
 
 
 # ------------------------------------------------------------------ E8, E9
@@ -161,13 +165,18 @@ def stream_text(ev: DataFrame) -> DataFrame:
     return g.select("run_id", "artifact_id", text.alias("text"), F.length(text).cast("bigint").alias("chars"), "complete")
 
 
+def _artifacts_agg() -> Column:
+    return F.collect_list(F.when(_t("artifact.created"), F.struct("seq", "artifact_id"))).alias("_a")
+
+
+def _artifact_cols() -> list[Column]:
+    ids = F.array_join(F.transform(F.array_sort("_a"), lambda a: a["artifact_id"]), ",")
+    return [F.size("_a").cast("bigint").alias("artifact_count"), ids.alias("artifact_ids")]
+
+
 def artifact_list(ev: DataFrame) -> DataFrame:
     """(run_id, artifact_count, artifact_ids) in arrival order, for every run."""
-    g = ev.groupBy("run_id").agg(
-        F.collect_list(F.when(_t("artifact.created"), F.struct("seq", "artifact_id"))).alias("_a")
-    )
-    ids = F.array_join(F.transform(F.array_sort("_a"), lambda a: a["artifact_id"]), ",")
-    return g.select("run_id", F.size("_a").cast("bigint").alias("artifact_count"), ids.alias("artifact_ids"))
+    return ev.groupBy("run_id").agg(_artifacts_agg()).select("run_id", *_artifact_cols())
 
 
 # ------------------------------------------------------------------ E10
@@ -205,18 +214,22 @@ def _sorted_list(c: Column) -> Column:
 
 def run_summary(ev: DataFrame) -> DataFrame:
     """One comparable row per run (maps as sorted 'key=value' lists)."""
-    header = run_header(ev)
+    # Every per-run figure that reads the log directly comes from ONE aggregate keyed by run:
+    # header (E7), counts (E6, logs), artifact list (E9) and the latest plan's size.
+    plan = _t("plan.built")
+    per_run = ev.groupBy("run_id").agg(
+        *_header_aggs(),
+        F.count_if(_t("task.retried")).alias("retry_count"),
+        F.count_if(_t("log.emitted")).alias("log_count"),
+        _artifacts_agg(),
+        F.max_by(F.when(plan, F.size("plan_tasks")), F.when(plan, F.col("seq"))).cast("bigint").alias("plan_task_count"),
+    ).select("*", *_artifact_cols()).drop("_a")
     fields = task_fields(ev)
     tasks = fields.groupBy("run_id").agg(
         _sorted_pairs("task_id", "status").alias("task_status"),
         _sorted_pairs("task_id", "owner").alias("task_agent"),
         _sorted_pairs("task_id", "attempts").alias("task_attempts"),
     )
-    counts = ev.groupBy("run_id").agg(
-        F.count_if(_t("task.retried")).alias("retry_count"),
-        F.count_if(_t("log.emitted")).alias("log_count"),
-    )
-    arts = artifact_list(ev)
     streams = stream_text(ev).groupBy("run_id").agg(
         _sorted_list(F.col("artifact_id")).alias("streaming_ids"),
         F.sum("chars").cast("bigint").alias("streamed_chars"),
@@ -226,16 +239,10 @@ def run_summary(ev: DataFrame) -> DataFrame:
         _sorted_list(F.col("agent_id")).alias("agents_spawned"),
         _sorted_list(F.when(F.col("idle"), F.col("agent_id"))).alias("agents_idle"),
     )
-    lp = ev.filter(_t("plan.built")).groupBy("run_id").agg(
-        F.max_by(F.size("plan_tasks"), F.col("seq")).cast("bigint").alias("plan_task_count")
-    )
     out = (
-        header.join(tasks, "run_id", "left")
-        .join(counts, "run_id", "left")
-        .join(arts, "run_id", "left")
+        per_run.join(tasks, "run_id", "left")
         .join(streams, "run_id", "left")
         .join(agents, "run_id", "left")
-        .join(lp, "run_id", "left")
     )
     empty = F.lit("")
     return out.select(
