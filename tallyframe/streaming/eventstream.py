@@ -154,7 +154,7 @@ def latest_rows(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
     updated it. An aggregate (max of a struct led by batch_id), so it combines map-side and
     a key present in many batches is never gathered into one task."""
     df = spark.read.parquet(out)
-    rest = [c for c in df.columns if c not in key and c != "batch_id"]
+    rest = [c for c in df.columns if c not in key and c not in ("batch_id", "batch")]  # sink bookkeeping
     best = F.max(F.struct(F.col("batch_id"), *[F.col(c) for c in rest])).alias("_b")
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
@@ -217,7 +217,7 @@ def artifact_text_table(spark: SparkSession, out: str) -> DataFrame:
     order in which batches arrived, so any micro-batch split gives the same texts (E16)."""
     from tallyframe.operators.eventlog import stream_text
 
-    events = spark.read.parquet(out).drop("batch_id").dropDuplicates(["run_id", "seq"])
+    events = spark.read.parquet(out).drop("batch_id", "batch").dropDuplicates(["run_id", "seq"])
     return stream_text(events)
 
 

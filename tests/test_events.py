@@ -182,3 +182,18 @@ def test_stream_text_equals_batch_any_split_and_redelivery(spark, sf_small):
     for log, max_files in ((ev, 1), (doubled, None), (doubled, 2)):
         got = sorted(tuple(r) for r in ES.stream_artifact_text(spark, log, max_files=max_files, files=5).collect())
         assert got == want
+
+
+def test_latest_rows_keeps_keys_not_updated_in_the_last_batch(spark):
+    """An update-mode sink holds only the keys each batch changed: a task last updated in an
+    earlier batch than its run's latest must still be read from that earlier batch."""
+    from tallyframe.session import scratch_path
+
+    out = scratch_path(spark, "sink")
+    b0 = spark.createDataFrame([("r1", "t1", "running", 0), ("r1", "t2", "ready", 0)],
+                               "run_id string, task_id string, status string, batch_id long")
+    b1 = spark.createDataFrame([("r1", "t2", "completed", 1)], "run_id string, task_id string, status string, batch_id long")
+    b0.write.parquet(f"{out}/batch=0")
+    b1.write.parquet(f"{out}/batch=1")
+    got = sorted(tuple(r) for r in ES.latest_rows(spark, out, ["run_id", "task_id"]).collect())
+    assert got == [("r1", "t1", "running"), ("r1", "t2", "completed")]
