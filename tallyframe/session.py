@@ -7,8 +7,8 @@ from the session and sets one only when none is configured (local runs).
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,33 +36,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a scratch one only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in ``spark.checkpoint.dir`` (or set on the context). Where the
+    session names none, a temporary folder is made for a ``local`` master only: on a cluster
+    every executor would write to its own disk, so that is an error."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        app = sc.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
+        configured = _LOCAL_DIRS[app]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for written intermediate tables."""
+    """A new sub-folder of the shared checkpoint folder, for a written intermediate table. The
+    name holds the application id and a UUID, so two applications never share one."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tallyframe/{name}-{os.getpid()}-{next(_COUNTER)}"
-
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_COUNTER = _counter()
+    return f"{base}/tallyframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):
