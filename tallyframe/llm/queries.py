@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import exact_dedup, secrets, simhash
+from tallyframe.llm import decontaminate, exact_dedup, langid, packing, quality, secrets, simhash, urls, warc
 from tallyframe.llm.common import table
-from tallyframe.session import scratch_path
+from tallyframe.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM g""")
+def op1_warc(spark, sf):
+    pages = table(spark, sf, "pages")
+    folder = scratch_path(spark, "warc")
+    index = materialize(warc.write_archives(pages, folder, least=1000), "warc-index")
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(spark, folder, index).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 @register("op2_exact_dedup", r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
@@ -81,6 +96,41 @@ def op4_secret_scans(spark, sf):
     )
 
 
+@register("op5_quality")
+def op5_quality(spark, sf):
+    return quality.classify(spark, table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op6_packing")
+def op6_packing(spark, sf):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
+
+
+@register("op7_decontamination")
+def op7_decontamination(spark, sf):
+    found = decontaminate.hits(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 @register("op8_simhash")
 def op8_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4).select("doc_id", "fingerprint", "component_id")
+
+
+@register("op9_language_id")
+def op9_language_id(spark, sf):
+    return langid.identify(spark, table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op10_url_filters")
+def op10_url_filters(spark, sf):
+    return urls.judge(spark, table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
