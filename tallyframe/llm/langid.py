@@ -224,7 +224,7 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held: int = 2
             of: list[np.ndarray] = []
             if model:
                 for a in range(0, len(values), 500):
-                    of += shares(words.rows([v.split() for v in values[a : a + 500]]), words, model["transition"])
+                    of.extend(shares(words.rows([v.split() for v in values[a : a + 500]]), words, model["transition"]))
             for i in range(len(values)):
                 known = model is not None and of[i].any()
                 best = int(of[i].argmax()) if known else 0

@@ -34,7 +34,7 @@ from tallyframe.llm.common import column_lists
 
 #: The id that closes a document; penalties of a cut, in ids of padding.
 CLOSING = 1
-SENTENCE, INSIDE, STRIDE = 4, 48, 64
+SENTENCE, INSIDE, STRIDE = 2, 16, 16
 
 
 class Encoder:

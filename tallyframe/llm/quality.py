@@ -83,7 +83,7 @@ def buckets(text: str, hashes: Hashes) -> np.ndarray:
 class FollowTheLeader:
     """Proximal follow-the-regularised-leader with per-bucket rates; the last bucket is the bias."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1.0):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -99,7 +99,7 @@ class FollowTheLeader:
         self.n[at] = n + g * g
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int = 12_000, models: int = 4, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int = 12_000, models: int = 4, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """The averaged weights; the last is the bias. ``learn_from`` is a condition on labels.doc_id."""
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y"))
