@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, langid, packing, quality, secrets, simhash, urls, warc
+from tallyframe.llm import decontaminate, exact_dedup, langid, packing, quality, secrets, simhash, suffix_dedup, urls, warc
 from tallyframe.llm.common import table
 from tallyframe.session import materialize, scratch_path
 
@@ -51,6 +51,11 @@ def op2_exact_dedup(spark, sf):
     return exact_dedup.exact_dedup(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    return suffix_dedup.removed(table(spark, sf, "documents"), window=200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
