@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +56,15 @@ def column_lists(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[lis
             yield [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+def kept_in_process(name: str, version: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, once a Python worker and ``version``: workers are used for many tasks,
+    and a table of words that one task has filled serves the next. One version is kept a name."""
+    kept = sys.modules.setdefault("_tallyframe_kept", types.ModuleType("_tallyframe_kept")).__dict__
+    if kept.get(name, (None, None))[0] != version:
+        kept[name] = version, make()
+    return kept[name][1]
+
+
 def utf8_values(array: pa.Array) -> Iterator[bytes]:
     """The strings of an Arrow array as UTF-8 bytes, one at a time; null is empty."""
     for value in array.cast(pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()):

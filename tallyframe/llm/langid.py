@@ -20,6 +20,7 @@ the same answer. Other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ROW, column_lists, identified
+from tallyframe.llm.common import ROW, column_lists, identified, kept_in_process
 from tallyframe.llm.quality import remainder
 
 BITS = 16
@@ -213,12 +214,12 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held: int = 2
     """doc_id, __row, held_out, lang_pred, score and shares (language to mean posterior) for
     every row of ``docs``. Documents whose id's remainder is ``held`` are never learnt from."""
     model = train(docs, remainder(F.col("doc_id"), folds) != held, id_col=id_col, text_col=text_col, **names)
-    sent = spark.sparkContext.broadcast(model)
+    sent, run = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     rows = identified(docs, id_col, text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        words = Words(model["weights"], model["lexicon"]) if model else None
+        words = kept_in_process("emissions", run, lambda: Words(model["weights"], model["lexicon"])) if model else None
         for ids, row, text in column_lists(batches, "doc_id", ROW, "text"):
             values, languages, scores, parts = text.to_pylist(), [], [], []
             of: list[np.ndarray] = []

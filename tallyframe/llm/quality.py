@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ROW, column_lists, identified
+from tallyframe.llm.common import ROW, column_lists, identified, kept_in_process
 
 BITS = 18
 SIZE = 1 << BITS
@@ -50,8 +50,9 @@ class Hashes(dict):
         for pattern, to in SHAPES:
             shape = pattern.sub(to, shape)
         value = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(shape.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000:
-            self[word] = value
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = value
         return value
 
 
@@ -135,7 +136,7 @@ def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray, id_col: str
     sent = spark.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, w = Hashes(), sent.value
+        hashes, w = kept_in_process("quality hashes", "", Hashes), sent.value
         for ids, row, text in column_lists(batches, "doc_id", ROW, "text"):
             dots = np.empty(len(text))
             for i, value in enumerate(text):
