@@ -14,8 +14,8 @@ def full_match(c: Column, regex: str) -> Column:
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing whitespace (tabs too; ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` only removes spaces)."""
+    return F.regexp_replace(c, f"^{P.WHITE_SPACE}+|{P.WHITE_SPACE}+$", "")
 
 
 def tidy_number_text(c: Column) -> Column:

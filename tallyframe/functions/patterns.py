@@ -15,9 +15,6 @@ optional but not both.
 Revenue status: completed. Returned status: returned. Top products: 10.
 Money tolerance for reconciliation checks: 0.01. Drop budget: 0.5% of input rows.
 Sample size for first-k distinct values: 3.
-
-Regexes below use ``[0-9]`` rather than ``\\d`` and ``\\z``-free full matches so the same
-text means the same thing in Java (Spark) and in DuckDB's RE2 (oracle).
 """
 
 from __future__ import annotations
@@ -57,6 +54,9 @@ DECIMAL_LIKE = r"\s*[-+]?[0-9]*\.[0-9]+\s*|\s*[-+]?[0-9]+\.[0-9]*\s*"
 PLAIN_INT = r"[-+]?[0-9]+"
 PLAIN_FLOAT = r"[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?"
 
+# White space as text strippers know it, beyond what \s means in Java and RE2.
+WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # Tidy step of a coercion: surrounding whitespace, then a redundant decimal tail.
 REDUNDANT_DECIMAL_TAIL = r"\.0+$"
 
@@ -68,6 +68,8 @@ DROP_BUDGET_FRACTION = 0.005
 SAMPLE_SIZE = 3
 
 # Money types (decision: exact decimals inside, double at the output).
-QTY_DECIMAL = "decimal(12,0)"
-PRICE_DECIMAL = "decimal(14,2)"
-RATE_DECIMAL = "decimal(8,4)"
+# Their product has exactly 38 digits, so that no product or sum is rounded. Text that a type
+# cannot hold (more digits before or behind the point) is counted as ``not_held``.
+QTY_DECIMAL = "decimal(10,0)"
+PRICE_DECIMAL = "decimal(17,4)"
+RATE_DECIMAL = "decimal(8,6)"

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tallyframe.functions import patterns as P
 from tallyframe.functions.exprs import (
     count_if,
+    full_match,
     guarded_cast,
     parse_multi_format,
     parse_timestamp,
+    plain_regex,
     target_type,
     tidy_number_text,
 )
@@ -110,6 +112,14 @@ def needed_repair(column: str, target: str) -> Column:
     return guarded_cast(raw, target).isNull() & coerce_expr(column, target).isNotNull()
 
 
+def not_held(column: str, target: str) -> Column:
+    """A readable number that the target type cannot hold exactly: out of range (then null)
+    or with more decimals than the type has."""
+    text, kept = tidy_number_text(F.col(column)), coerce_expr(column, target)
+    exact = guarded_cast(text, "decimal(38,16)")
+    return F.coalesce(full_match(text, plain_regex(target)) & (kept.isNull() | (kept.cast("decimal(38,16)") != exact)), F.lit(False))
+
+
 def fill_expr(column: str, value: float, fill_type: str) -> Column:
     return F.coalesce(guarded_cast(F.col(column), fill_type), F.lit(value).cast(target_type(fill_type)))
 
@@ -176,12 +186,13 @@ def clean_stats(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFram
 
 
 def coerce_counts(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
-    """C4: (column, target, needed) over rows after dedupe and before the drop."""
+    """C4: (column, target, needed, not_held) over rows after dedupe and before the drop."""
     stage = _deduped(df, strategy, stage)
     aggs = [count_if(needed_repair(c, t)).alias(f"n{i}") for i, (c, t) in enumerate(strategy.coerce)]
+    aggs += [count_if(not_held(c, t)).alias(f"h{i}") for i, (c, t) in enumerate(strategy.coerce)]
     wide = stage.agg(*aggs)
-    stack = ", ".join(f"'{c}', '{target_type(t)}', n{i}" for i, (c, t) in enumerate(strategy.coerce))
-    return wide.selectExpr(f"stack({len(strategy.coerce)}, {stack}) as (column_name, target, needed)")
+    stack = ", ".join(f"'{c}', '{target_type(t)}', n{i}, h{i}" for i, (c, t) in enumerate(strategy.coerce))
+    return wide.selectExpr(f"stack({len(strategy.coerce)}, {stack}) as (column_name, target, needed, not_held)")
 
 
 def null_rates(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:

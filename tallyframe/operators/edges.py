@@ -44,7 +44,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return materialize(df, "edges")
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(group_id, node, ancestor, depth) - every ancestor of every node with the fewest
     hops. Descendants are the same pairs read the other way.
 
@@ -62,7 +62,7 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     first = _cut(e.select(*K, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     rounds = [first]
     frontier, span = first, 1
-    for _ in range(max_rounds):
+    while True:
         known = reduce(lambda a, b: a.unionByName(b), rounds)
         head = frontier.select(*K, "node", F.col("ancestor").alias("_mid"))
         tail = known.select(*K, F.col("node").alias("_mid"), "ancestor", F.col("depth").alias("_d"))
@@ -83,34 +83,29 @@ def cycle_members(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("node") == F.col("ancestor")).select(*K, "node").distinct()
 
 
-def levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(group_id, node, level). Level 0 = no parents; a node peels once all its
     parents have peeled, at 1 + the greatest parent level.
 
-    Peeling rounds are levels: round r peels exactly the nodes whose parents have all
-    peeled with the greatest parent level r - 1, so a round needs no anti-join against the
-    nodes already peeled. Each round writes only its new nodes; the peeled set is the union
-    of the written rounds, never rewritten."""
+    Each child waits with the number of parents not yet peeled. A round joins the edges with
+    the nodes of the last round only, takes their number off the waiting children, and peels
+    those that reach 0; the waiting table shrinks and is the only thing written again. The
+    last parent to peel is the one of the greatest level, so the round is the level."""
     e = _cut(good_edges(edges, nodes))
-    n_parents = _cut(e.groupBy(*K, "child").agg(F.count(F.lit(1)).alias("_np")))
+    waiting = _cut(e.groupBy(*K, "child").agg(F.count(F.lit(1)).alias("_left")))
     roots = nodes.select(*K, "node").distinct().join(
-        n_parents.select(*K, F.col("child").alias("node")), [*K, "node"], "left_anti"
+        waiting.select(*K, F.col("child").alias("node")), [*K, "node"], "left_anti"
     )
-    rounds = [_cut(roots.withColumn("level", F.lit(0)))]
-    for level in range(1, max_rounds + 1):
-        done = reduce(lambda a, b: a.unionByName(b), rounds)
-        scored = e.join(done.select(*K, F.col("node").alias("parent"), F.col("level").alias("_pl")), [*K, "parent"]).groupBy(
-            *K, "child"
-        ).agg(F.count(F.lit(1)).alias("_ready"), F.max("_pl").alias("_max"))
-        ready = _cut(
-            scored.filter(F.col("_max") == F.lit(level - 1))
-            .join(n_parents, [*K, "child"])
-            .filter(F.col("_ready") == F.col("_np"))
-            .select(*K, F.col("child").alias("node"), F.lit(level).alias("level"))
+    rounds, level = [_cut(roots.withColumn("level", F.lit(0)))], 0
+    while not rounds[-1].isEmpty():
+        level += 1
+        last = rounds[-1].select(*K, F.col("node").alias("parent"))
+        done = e.join(last, [*K, "parent"]).groupBy(*K, "child").agg(F.count(F.lit(1)).alias("_done"))
+        stepped = _cut(
+            waiting.join(done, [*K, "child"], "left").select(*K, "child", (F.col("_left") - F.coalesce("_done", F.lit(0))).alias("_left"))
         )
-        if ready.isEmpty():
-            break
-        rounds.append(ready)
+        rounds.append(stepped.filter("_left = 0").select(*K, F.col("child").alias("node"), F.lit(level).alias("level")))
+        waiting = stepped.filter("_left > 0")
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 

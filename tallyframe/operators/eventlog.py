@@ -42,7 +42,7 @@ def last_by(value: Column, seq: str = "seq") -> Column:
 
 
 def dedupe_events(ev: DataFrame) -> DataFrame:
-    """Exactly once by position. Copies share (run_id, seq); the first is kept."""
+    """Exactly once by position. Copies share (run_id, seq) and are the same event; one is kept."""
     return ev.dropDuplicates(["run_id", "seq"])
 
 

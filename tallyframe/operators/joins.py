@@ -27,12 +27,6 @@ def join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Data
     return left.join(suffix_collisions(left, right, on), on, how)
 
 
-def match_count(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Left rows with at least one partner, not multiplied by right duplicates."""
-    keys = right.select(on).distinct()
-    return left.join(keys, on, "left_semi").agg(F.count(F.lit(1)).alias("matched"))
-
-
 def join_stats(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """One row (left_rows, rows, matched, unmatched, match_rate).
 
@@ -81,7 +75,7 @@ def join_stats_many(left: DataFrame, sides: list[tuple[str, DataFrame, str]]) ->
 
 def unmatched_rows(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """The left rows with no partner."""
-    return left.join(right.select(on).distinct(), on, "left_anti")
+    return left.join(right.select(on), on, "left_anti")
 
 
 def resolve_conflict(df: DataFrame, column: str, losing: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import patterns as P
@@ -78,8 +79,8 @@ def revenue_rows(df: DataFrame, f: Filters) -> DataFrame:
 
 
 def money(c: Column) -> Column:
-    """Exact decimal money -> cents -> double, once, at the output."""
-    return c.cast("decimal(38,2)").cast("double")
+    """Exact decimal money -> double, once, at the output."""
+    return c.cast("double")
 
 
 def _money(c: Column) -> Column:
@@ -144,8 +145,9 @@ def revenue_by_region(df: DataFrame, f: Filters = Filters()) -> DataFrame:
     """A4 with F6: region filter released; share of the cut's own total (equal to the
     headline when no region is selected)."""
     g = revenue_rows(df, f.released("region")).groupBy("region").agg(F.sum("net_revenue").alias("_net"))
-    total = F.sum("_net").over(Window.partitionBy(F.lit(1)))
-    return g.select(
+    whole = g.agg(F.sum("_net").alias("_total"))
+    total = F.col("_total")
+    return g.crossJoin(whole).select(
         "region",
         money(F.col("_net")).alias("net_revenue"),
         ratio(money(F.col("_net")), money(total)).alias("share"),
@@ -169,8 +171,8 @@ def top_products(df: DataFrame, f: Filters = Filters(), k: int = P.TOP_PRODUCT_L
     )
     top = g.orderBy(F.col("_net").desc(), F.col("sku").asc()).limit(k)
     named = (
-        rev.select("sku", "product_name")
-        .join(F.broadcast(top), "sku")
+        rev.select(F.col("sku").alias("_sku"), "product_name")
+        .join(F.broadcast(top), F.col("_sku").eqNullSafe(F.col("sku")))
         .groupBy("sku", "_net", "_margin", "units")
         .agg(F.min("product_name").alias("product_name"))
     )
@@ -205,6 +207,15 @@ class Bundle:
         }
 
 
+# The order of each surface's rows, for sinks that write them as a list.
+SURFACE_ORDER = {
+    "revenue_over_time": ["order_week"],
+    "revenue_by_category": ["-net_revenue", "category"],
+    "revenue_by_region": ["-net_revenue", "region"],
+    "top_products": ["-net_revenue", "sku"],
+}
+
+
 def aggregate(df: DataFrame, f: Filters | None = None) -> Bundle:
     f = f or Filters()
     return Bundle(kpis(df, f), revenue_over_time(df, f), revenue_by_category(df, f),
@@ -219,7 +230,9 @@ def query_saved(spark, path: str, f: Filters | None = None) -> Bundle:
     """Cross-filter query over the retained derived table."""
     try:
         df = spark.read.parquet(path)
-    except Exception as exc:  # AnalysisException: path does not exist
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise NoTable(path) from exc
     return aggregate(df, f)
 

@@ -46,7 +46,7 @@ def blocked_running_max(
     out_col: str,
     block_size: int = 1 << 20,
 ) -> DataFrame:
-    """Running max of ``value_col`` over (partition by keys order by ``order_col`` rows
+    """Running max of ``value_col`` over (partition by keys order by ``order_col`` range
     unbounded preceding), for an integer ``order_col`` (a sequence number).
 
     Blocks are ``order_col div block_size``; the max of all earlier blocks comes from a
@@ -58,7 +58,7 @@ def blocked_running_max(
     within = (
         Window.partitionBy(*partition_cols, "_blk")
         .orderBy(order_col)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)  # rows of one number get one answer
     )
     local = F.max(value_col).over(within)
     return (

@@ -238,7 +238,7 @@ def format_verdict(df: DataFrame, column: str, spec: str = P.STRICT_SPEC) -> Dat
 def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, relation: str) -> DataFrame:
     """Child rows whose key has no parent (left anti join), as one row."""
     orphans = child.select(F.col(child_key).alias("_k")).join(
-        parent.select(F.col(parent_key).alias("_k")).distinct(), "_k", "left_anti"
+        parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti"
     )
     return orphans.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(relation).alias("relation"), "orphans")
 

@@ -50,8 +50,8 @@ def _f(**kw) -> M.Filters:
 @register("derive", f"""{O.PIPELINE}
 SELECT order_id, order_ts, customer_id, region, sku, qty, CAST(unit_price AS DOUBLE) AS unit_price,
        CAST(discount_pct AS DOUBLE) AS discount_pct, status, product_name, category, cost_price, segment,
-       CAST(gross_revenue AS DOUBLE) AS gross_revenue, CAST(net_revenue AS DOUBLE) AS net_revenue,
-       CAST(cogs AS DOUBLE) AS cogs, CAST(margin AS DOUBLE) AS margin, margin_pct, order_date, order_week
+       {O.money('gross_revenue')} AS gross_revenue, {O.money('net_revenue')} AS net_revenue,
+       {O.money('cogs')} AS cogs, {O.money('margin')} AS margin, margin_pct, order_date, order_week
 FROM derived""")
 def q_derive(spark, sf):
     return money_as_double(derived_table(spark, sf))
@@ -204,7 +204,7 @@ def q_dedupe(spark, sf):
 
 @register("coerce_numeric", f"""{CLEAN_PREFIX}
 SELECT order_id, qty AS qty_raw, {O.guarded(O.tidy('qty'), 'BIGINT')} AS qty,
-       unit_price AS unit_price_raw, CAST({O.guarded(O.tidy('unit_price'), 'DECIMAL(14,2)')} AS DOUBLE) AS unit_price
+       unit_price AS unit_price_raw, CAST({O.guarded(O.tidy('unit_price'), O.PRICE)} AS DOUBLE) AS unit_price
 FROM deduped""")
 def q_coerce(spark, sf):
     d = C.dedupe_latest(C.parse_multi(messy_orders(spark, sf), "order_ts"), "order_id", "order_ts")
@@ -221,17 +221,26 @@ def _needed_sql(col: str, target: str) -> str:
     return f"({O.guarded(col, target)}) IS NULL AND ({O.guarded(O.tidy(col), target)}) IS NOT NULL"
 
 
+def _not_held_sql(col: str, target: str) -> str:
+    text = O.tidy(col)
+    kept, exact = O.guarded(text, target), O.guarded(text, "DECIMAL(38,16)")
+    plain = P.PLAIN_INT if target == "BIGINT" else P.PLAIN_FLOAT
+    return f"regexp_full_match({text}, '{plain}') AND (({kept}) IS NULL OR CAST(({kept}) AS DECIMAL(38,16)) <> ({exact}))"
+
+
 @register("coerce_counts", f"""{CLEAN_PREFIX}
-SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_needed_sql('qty', 'BIGINT')}) AS BIGINT) AS needed FROM deduped
+SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_needed_sql('qty', 'BIGINT')}) AS BIGINT) AS needed,
+       CAST(count(*) FILTER (WHERE {_not_held_sql('qty', 'BIGINT')}) AS BIGINT) AS not_held FROM deduped
 UNION ALL
-SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_needed_sql('unit_price', 'DECIMAL(14,2)')}) AS BIGINT) FROM deduped""")
+SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_needed_sql('unit_price', O.PRICE)}) AS BIGINT),
+       CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.PRICE)}) AS BIGINT) FROM deduped""")
 def q_coerce_counts(spark, sf):
     return C.coerce_counts(messy_orders(spark, sf))
 
 
 @register("fill_nulls", f"""{CLEAN_PREFIX}
 SELECT order_id, discount_pct AS discount_raw,
-       CAST(coalesce({O.guarded('discount_pct', 'DECIMAL(8,4)')}, CAST(0.0 AS DECIMAL(8,4))) AS DOUBLE) AS discount_pct
+       CAST(coalesce({O.guarded('discount_pct', O.RATE)}, CAST(0.0 AS {O.RATE})) AS DOUBLE) AS discount_pct
 FROM deduped""")
 def q_fill(spark, sf):
     d = C.dedupe_latest(C.parse_multi(messy_orders(spark, sf), "order_ts"), "order_id", "order_ts")
@@ -246,7 +255,7 @@ def q_fill(spark, sf):
 SELECT 'discount_pct' AS column_name, CAST(count(*) FILTER (WHERE discount_pct IS NULL) AS BIGINT) AS nulls,
        CAST(count(*) AS BIGINT) AS rows,
        CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE discount_pct IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) ELSE 0.0 END AS null_rate,
-       CAST(count(*) FILTER (WHERE discount_pct IS NOT NULL AND ({O.guarded('discount_pct', 'DECIMAL(8,4)')}) IS NULL) AS BIGINT) AS unparseable_filled,
+       CAST(count(*) FILTER (WHERE discount_pct IS NOT NULL AND ({O.guarded('discount_pct', O.RATE)}) IS NULL) AS BIGINT) AS unparseable_filled,
        CAST(0.0 AS DOUBLE) AS fill_value
 FROM deduped""")
 def q_null_rates(spark, sf):
@@ -620,7 +629,7 @@ reg AS (SELECT {O.money('sum(n)')} AS region_total FROM (SELECT sum(net_revenue)
 wk AS (SELECT count(DISTINCT order_week) AS week_points FROM derived WHERE status = 'completed'),
 tp AS (SELECT least(count(DISTINCT sku), {P.TOP_PRODUCT_LIMIT}) AS top_products FROM derived WHERE status = 'completed'),
 fw AS (
-  SELECT CAST(16 AS DOUBLE) AS contract_columns, CAST(3 AS DOUBLE) AS source_count,
+  SELECT CAST({len(ORDER_COLUMNS)} + 4 + 3 AS DOUBLE) AS contract_columns, CAST(3 AS DOUBLE) AS source_count,
          CAST(cs.rows_in AS DOUBLE) AS rows_in, CAST(cs.after - cs.failures AS DOUBLE) AS rows_clean,
          CAST(cs.rows_in - cs.after + cs.failures AS DOUBLE) AS rows_dropped,
          CAST(round_even(cs.rows_in * {P.DROP_BUDGET_FRACTION}, 0) AS DOUBLE) AS drop_budget_rows,
@@ -646,27 +655,32 @@ def q_facts(spark, sf):
     return VP.facts(spark, sf)
 
 
+def _named(no: int) -> str:
+    area, label = V.CHECKS[no]
+    return f"{no} AS check_no, '{area}' AS area, '{label}' AS label"
+
+
 _CHECKS_SQL = f"""{_FACTS_WIDE_SQL},
 c0 AS (
-  SELECT 1 AS check_no, '1.1' AS task_id, 'The contract names every column the sources carry' AS label, contract_columns AS measured, source_count AS threshold, CAST(NULL AS BOOLEAN) AS passed FROM fw
-  UNION ALL SELECT 2, '2.1', 'Dropped rows stay inside the drop budget', rows_dropped, drop_budget_rows, rows_dropped <= drop_budget_rows FROM fw WHERE rows_in <> 0
-  UNION ALL SELECT 3, '2.1', 'No row dropped for a timestamp any reasonable rule can parse', timestamp_failures, 0.0, timestamp_failures = 0 FROM fw WHERE rows_in <> 0
-  UNION ALL SELECT 4, '1.2', 'Every rule applied was applied with a count', duplicates_removed, qty_coerced, NULL FROM fw WHERE rows_in <> 0
-  UNION ALL SELECT 5, '2.3', 'Every order line matches a product', products_unmatched, products_matched, products_unmatched = 0 FROM fw
-  UNION ALL SELECT 6, '2.3', 'Region disagreements between order and customer are resolved and counted', region_conflicts, NULL, NULL FROM fw
-  UNION ALL SELECT 7, '2.3', 'Revenue by category sums to total net revenue', category_total, net_revenue, abs(category_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
-  UNION ALL SELECT 8, '2.3', 'Revenue by region sums to total net revenue', region_total, net_revenue, abs(region_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
-  UNION ALL SELECT 9, '2.3', 'Headline figures computed', net_revenue, order_count, NULL FROM fw
-  UNION ALL SELECT 11, '3.1', 'Every surface is bound to a computed aggregate', dashboard_surfaces, week_points, NULL FROM fw
+  SELECT {_named(1)}, contract_columns AS measured, source_count AS threshold, CAST(NULL AS BOOLEAN) AS passed FROM fw
+  UNION ALL SELECT {_named(2)}, rows_dropped, drop_budget_rows, rows_dropped <= drop_budget_rows FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT {_named(3)}, timestamp_failures, 0.0, timestamp_failures = 0 FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT {_named(4)}, duplicates_removed, qty_coerced, NULL FROM fw WHERE rows_in <> 0
+  UNION ALL SELECT {_named(5)}, products_unmatched, products_matched, products_unmatched = 0 FROM fw
+  UNION ALL SELECT {_named(6)}, region_conflicts, NULL, NULL FROM fw
+  UNION ALL SELECT {_named(7)}, category_total, net_revenue, abs(category_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
+  UNION ALL SELECT {_named(8)}, region_total, net_revenue, abs(region_total - net_revenue) < {P.MONEY_TOLERANCE} FROM fw
+  UNION ALL SELECT {_named(9)}, net_revenue, order_count, NULL FROM fw
+  UNION ALL SELECT {_named(11)}, dashboard_surfaces, week_points, NULL FROM fw
 ),
 c1 AS (
   SELECT * FROM c0
   UNION ALL
-  SELECT 10, '3.2', 'Anything that failed is named rather than hidden',
+  SELECT {_named(10)},
          CAST(count(*) FILTER (WHERE passed = FALSE) AS DOUBLE), CAST(count(*) FILTER (WHERE passed IS NOT NULL) AS DOUBLE), NULL FROM c0
 ),
 checks AS (
-  SELECT CAST(check_no AS INTEGER) AS check_no, task_id, label, CAST(measured AS DOUBLE) AS measured, CAST(threshold AS DOUBLE) AS threshold,
+  SELECT CAST(check_no AS INTEGER) AS check_no, area, label, CAST(measured AS DOUBLE) AS measured, CAST(threshold AS DOUBLE) AS threshold,
          CASE WHEN passed IS NULL THEN 'recorded' WHEN passed THEN 'met' ELSE 'MISSED' END AS verdict
   FROM c1
 )"""
@@ -891,22 +905,22 @@ from tallyframe.streaming import eventstream as ES  # noqa: E402
 
 @register("stream_task_status", ORACLE["task_status"])
 def q_stream_task_status(spark, sf):
-    """E4 via Structured Streaming: the log in four files, two per micro-batch, state per run."""
-    return ES.stream_task_status(spark, event_log(spark, sf), max_files=2, files=4).filter(F.col("status").isNotNull()).select(
+    """E4 via Structured Streaming over a log folder, state per run."""
+    return ES.stream_task_status(spark, event_log(spark, sf)).filter(F.col("status").isNotNull()).select(
         "run_id", "task_id", "status"
     )
 
 
 @register("stream_task_fields", ORACLE["task_fields"])
 def q_stream_task_fields(spark, sf):
-    return ES.stream_task_status(spark, event_log(spark, sf), max_files=2, files=4).select(
+    return ES.stream_task_status(spark, event_log(spark, sf)).select(
         "run_id", "task_id", "status", "owner", "attempts", "progress"
     )
 
 
 @register("stream_run_header", ORACLE["run_header"])
 def q_stream_run_header(spark, sf):
-    return ES.stream_run_header(spark, event_log(spark, sf), max_files=2, files=4)
+    return ES.stream_run_header(spark, event_log(spark, sf))
 
 
 # ------------------------------------------------------------------ G1-G4 dependency edges
@@ -1022,6 +1036,21 @@ def q_csv_text_scan(spark, sf):
     return S.read_text_csv(spark, path, ORDER_COLUMNS)
 
 
+@register("csv_dialect", """
+SELECT CAST(p_partkey AS VARCHAR) AS id, '"' || p_name || '", size' || chr(10) || 'of ' || p_type AS name,
+       nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_type END, '') AS kind FROM part""")
+def q_csv_dialect(spark, sf):
+    """Quotes and line feeds inside fields, and columns found by their header names (the
+    file has them in another order than they are asked for)."""
+    path = scratch_path(spark, "dialect-csv")
+    p = S.read_table(spark, sf, "part")
+    name = F.concat(F.lit('"'), "p_name", F.lit('", size\nof '), "p_type")
+    kind = F.when(F.col("p_partkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" "), "p_type"))
+    p.select(kind.alias("kind"), name.alias("name"), F.col("p_partkey").cast("string").alias("id")).write.option("header", True).option(
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return S.read_text_csv(spark, path, ["id", "name", "kind"])
+
+
 @register("saved_table_query", O.kpis_sql(**DATES, **REGION))
 def q_saved_table_query(spark, sf):
     """The derived table is retained once (written to the shared checkpoint folder) and
@@ -1035,7 +1064,7 @@ def q_saved_table_query(spark, sf):
 def q_metrics_json(spark, sf):
     """The whole bundle as one JSON document; the five surfaces read the derived table
     written once."""
-    return S.metrics_json(M.aggregate(materialize(derived_table(spark, sf), "derived")).surfaces())
+    return S.metrics_json(M.aggregate(materialize(derived_table(spark, sf), "derived")).surfaces(), M.SURFACE_ORDER)
 
 
 @register("dataset_artifact")
@@ -1045,6 +1074,13 @@ def q_dataset_artifact(spark, sf):
     return S.dataset_artifact(money_as_double(derived_table(spark, sf)), path, ["order_id", "order_ts"])
 
 
+@register("stream_event_dedupe", ORACLE["event_dedupe"])
+def q_stream_event_dedupe(spark, sf):
+    """E2 via Structured Streaming: a log in which events come twice, each kept once."""
+    log = event_log(spark, sf)
+    return ES.stream_event_dedupe(spark, log.unionByName(log.filter(F.col("seq") % 3 == 0))).select("run_id", "seq", "at", "type", "task_id", "agent_id")
+
+
 @register("stream_artifact_text", ORACLE["stream_text"])
 def q_stream_artifact_text(spark, sf):
     """E8 via Structured Streaming: per (run, artifact) state, order-insensitive."""

@@ -46,12 +46,14 @@ def messy_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> Da
     q = _s(
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("bigint")
     )
+    tail = (F.col("l_orderkey") + F.col("l_partkey") * 5) % 41  # 3 decimals, a blank, more decimals than held
     pad = (F.col("l_orderkey") + F.col("l_linenumber")) % 33
     key = [(F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("_line")] if with_key else []
     return j.select(
         *key,
         F.concat(F.lit("ORD-"), _s("l_orderkey"), F.lit("-"), _s("l_linenumber")).alias("order_id"),
         F.when(day_first, F.date_format("l_shipdate", "dd/MM/yyyy HH:mm"))
+        .when((F.col("l_orderkey") * 11 + F.col("l_linenumber")) % 211 == 0, "no date")
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"))
         .alias("order_ts"),
         F.concat(F.lit("CUST-"), _s("o_custkey")).alias("customer_id"),
@@ -66,10 +68,15 @@ def messy_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> Da
         F.when(pad == 0, F.concat(F.lit(" "), q))
         .when(pad == 1, F.concat(q, F.lit(" ")))
         .when(pad == 2, F.concat(q, F.lit(".0")))
+        .when(pad == 3, F.concat(q, F.lit("\u00a0")))
         .otherwise(q)
         .alias("qty"),
-        _s(F.col("l_extendedprice").cast("decimal(18,2)")).alias("unit_price"),
+        F.concat(
+            _s(F.col("l_extendedprice").cast("decimal(18,2)")),
+            F.when(tail == 0, "5").when(tail == 1, " ").when(tail == 2, "1237").otherwise(""),
+        ).alias("unit_price"),
         F.when((F.col("l_partkey") + F.col("l_orderkey") * 3) % 25 == 0, F.lit(None).cast("string"))
+        .when((F.col("l_partkey") * 3 + F.col("l_orderkey")) % 127 == 0, "n/a")
         .otherwise(_s(F.col("l_discount").cast("decimal(6,2)")))
         .alias("discount_pct"),
         F.when(F.col("l_returnflag") == "R", "returned")
@@ -80,10 +87,12 @@ def messy_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> Da
 
 
 def messy_products(spark: SparkSession, sf_dir: str, variant: str = "clean") -> DataFrame:
-    """``clean``: one row per part. ``defects``: parts with key % 50 = 0 removed (unmatched
+    """``clean``: one row per part but those with key % 97 = 3, whose lines have no product. ``defects``: parts with key % 50 = 0 removed (unmatched
     lines) and parts with key % 100 = 0 repeated (duplicate right keys); used only to
     exercise the join accounting, still over the whole table."""
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    if variant == "clean":
+        p = p.filter(F.col("p_partkey") % 97 != 3)
     if variant == "defects":
         p = p.filter(F.col("p_partkey") % 50 != 0).unionByName(p.filter(F.col("p_partkey") % 100 == 0))
     return p.select(
@@ -97,7 +106,8 @@ def messy_products(spark: SparkSession, sf_dir: str, variant: str = "clean") ->
 def messy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     na = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return cu.join(F.broadcast(na), cu.c_nationkey == na.n_nationkey).select(
+    some = cu.filter(F.col("c_custkey") % 53 != 7)  # the others' lines have no customer
+    return some.join(F.broadcast(na), F.col("c_nationkey") == na.n_nationkey).select(
         F.concat(F.lit("CUST-"), _s("c_custkey")).alias("customer_id"),
         F.col("c_mktsegment").alias("segment"),
         F.concat(F.lit("R"), _s("n_regionkey")).alias("region"),

@@ -10,17 +10,24 @@ from __future__ import annotations
 from tallyframe.functions import patterns as P
 
 
+PRICE, RATE, QTY = P.PRICE_DECIMAL.upper(), P.RATE_DECIMAL.upper(), P.QTY_DECIMAL.upper()
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def money(x: str) -> str:
+    return f"CAST(CAST({x} AS VARCHAR) AS DOUBLE)"  # by its digits, so that the nearest double is taken
+
+
 def guarded(x: str, target: str) -> str:
     regex = P.PLAIN_INT if target in ("BIGINT",) else P.PLAIN_FLOAT
     return f"CASE WHEN regexp_full_match({x}, {_q(regex)}) THEN TRY_CAST({x} AS {target}) END"
 
 
 def tidy(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), {_q(P.REDUNDANT_DECIMAL_TAIL)}, '')"
+    return f"regexp_replace(regexp_replace({x}, '^{P.WHITE_SPACE}+|{P.WHITE_SPACE}+$', '', 'g'), {_q(P.REDUNDANT_DECIMAL_TAIL)}, '')"
 
 
 def parse_ts(x: str, spec: str) -> str:
@@ -47,13 +54,16 @@ messy_orders_keyed AS (
     'ORD-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS order_id,
     CASE WHEN (l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 17 = 0
          THEN strftime(l_shipdate, '%d/%m/%Y %H:%M')
+         WHEN (l_orderkey * 11 + l_linenumber) % 211 = 0 THEN 'no date'
          ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') END AS order_ts,
     'CUST-' || CAST(o_custkey AS VARCHAR) AS customer_id,
     'R' || CAST(CASE WHEN (l_orderkey + l_partkey) % 31 = 0 THEN (r_regionkey + 1) % 5 ELSE r_regionkey END AS VARCHAR) AS region,
     'SKU-' || CAST(l_partkey AS VARCHAR) AS sku,
-    CASE (l_orderkey + l_linenumber) % 33 WHEN 0 THEN ' ' || q WHEN 1 THEN q || ' ' WHEN 2 THEN q || '.0' ELSE q END AS qty,
-    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS unit_price,
+    CASE (l_orderkey + l_linenumber) % 33 WHEN 0 THEN ' ' || q WHEN 1 THEN q || ' ' WHEN 2 THEN q || '.0' WHEN 3 THEN q || chr(160) ELSE q END AS qty,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)
+      || CASE (l_orderkey + l_partkey * 5) % 41 WHEN 0 THEN '5' WHEN 1 THEN ' ' WHEN 2 THEN '1237' ELSE '' END AS unit_price,
     CASE WHEN (l_partkey + l_orderkey * 3) % 25 = 0 THEN NULL
+         WHEN (l_partkey * 3 + l_orderkey) % 127 = 0 THEN 'n/a'
          ELSE CAST(CAST(l_discount AS DECIMAL(6,2)) AS VARCHAR) END AS discount_pct,
     CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'cancelled' ELSE 'completed' END AS status
   FROM messy_base
@@ -66,7 +76,7 @@ MESSY_PRODUCTS = """
 messy_products AS (
   SELECT 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS product_name, p_type AS category,
          CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS cost_price
-  FROM part
+  FROM part WHERE p_partkey % 97 <> 3
 )"""
 
 MESSY_PRODUCTS_DEFECTS = """
@@ -85,7 +95,7 @@ MESSY_CUSTOMERS = """
 messy_customers AS (
   SELECT 'CUST-' || CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment,
          'R' || CAST(n_regionkey AS VARCHAR) AS region
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 53 <> 7
 )"""
 
 _TIE = ", ".join(f"{c} DESC NULLS LAST" for c in ("customer_id", "region", "sku", "qty", "unit_price", "discount_pct", "status"))
@@ -102,8 +112,8 @@ deduped AS (
 cleaned AS (
   SELECT * REPLACE (
     {guarded(tidy('qty'), 'BIGINT')} AS qty,
-    {guarded(tidy('unit_price'), 'DECIMAL(14,2)')} AS unit_price,
-    coalesce({guarded('discount_pct', 'DECIMAL(8,4)')}, CAST(0.0 AS DECIMAL(8,4))) AS discount_pct)
+    {guarded(tidy('unit_price'), PRICE)} AS unit_price,
+    coalesce({guarded('discount_pct', RATE)}, CAST(0.0 AS {RATE})) AS discount_pct)
   FROM deduped WHERE order_ts IS NOT NULL
 )"""
 
@@ -118,14 +128,14 @@ joined AS (
 DERIVE_CHAIN = f"""
 derived0 AS (
   SELECT * EXCLUDE (region_right),
-    CAST(qty AS DECIMAL(12,0)) * unit_price AS gross_revenue,
-    CAST(qty AS DECIMAL(12,0)) * unit_price * (1 - discount_pct) AS net_revenue,
-    CAST(qty AS DECIMAL(12,0)) * {guarded('cost_price', 'DECIMAL(14,2)')} AS cogs
+    CAST(qty AS {QTY}) * unit_price AS gross_revenue,
+    CAST(qty AS {QTY}) * unit_price * (1 - discount_pct) AS net_revenue,
+    CAST(qty AS {QTY}) * {guarded('cost_price', PRICE)} AS cogs
   FROM joined
 ),
 derived AS (
   SELECT *, net_revenue - cogs AS margin,
-    CASE WHEN net_revenue <> 0 THEN CAST(net_revenue - cogs AS DOUBLE) / CAST(net_revenue AS DOUBLE) END AS margin_pct,
+    CASE WHEN net_revenue <> 0 THEN {money('net_revenue - cogs')} / {money('net_revenue')} END AS margin_pct,
     CAST(order_ts AS DATE) AS order_date,
     CAST(date_trunc('week', order_ts) AS DATE) AS order_week
   FROM derived0
@@ -140,10 +150,6 @@ FIXTURES = (MESSY_ORDERS, MESSY_PRODUCTS, MESSY_CUSTOMERS)
 PIPELINE = with_chain(*FIXTURES, CLEAN_CHAIN, JOIN_CHAIN, DERIVE_CHAIN)
 
 
-def money(x: str) -> str:
-    return f"CAST(CAST({x} AS DECIMAL(38,2)) AS DOUBLE)"
-
-
 def ratio(n: str, d: str) -> str:
     return f"CASE WHEN CAST({d} AS DOUBLE) <> 0 THEN CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) ELSE 0.0 END"
 

@@ -1,7 +1,7 @@
 """Sources and sinks.
 
 S1 text-typed scan, S2 named dataset lookup, S3 load stats, S4 preview, S5 metrics JSON sink,
-S6 dataset artifact, S8 event source. S7 (schema contract) lives with profiling.
+S6 dataset artifact. S7 (schema contract) lives with profiling.
 """
 
 from __future__ import annotations
@@ -30,52 +30,29 @@ def source_path(sf_dir: str, name: str, allowed: tuple[str, ...] = TPCH_TABLES)
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables whose per-row work (parsing, regexes, joins) is worth spreading over every core.
-FACT_TABLES = frozenset({"lineitem", "orders", "events"})
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it yields fewer splits than cores.
-
-    A parquet row group cannot be split, so a file written as one big row group is read by
-    one task and everything fused after the scan runs on one core. When that happens (small
-    or badly written inputs) a round-robin repartition to the default parallelism is cheap
-    next to single-core work; on large inputs the scan already has many splits and this is a
-    no-op (no shuffle is added)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
-    df = spark.read.parquet(source_path(sf_dir, name))
-    if balance if balance is not None else name in FACT_TABLES:
-        df = balanced(df)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(source_path(sf_dir, name))
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Header CSV with every column typed as string; empty field -> null; padding kept.
 
-    With ``columns`` the schema is declared (no header sampling pass at all); without it the
-    header line is read for names only, never for types.
+    Quotes inside a quoted field are doubled, and a quoted field may hold line feeds (so that
+    a file is one split: large extracts should come as many files). Columns are found by the
+    header's names, in the order of ``columns`` if given. A row with too many or too few
+    fields fails the job.
     """
-    reader = (
+    df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("mode", "PERMISSIVE")
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("mode", "FAILFAST")
+        .csv(path)
     )
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path)
-
-
-def as_text(df: DataFrame) -> DataFrame:
-    """S1 for typed inputs: every column cast to string, names kept."""
-    return df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    return df.select(*columns) if columns is not None else df
 
 
 def load_stats(frames: Mapping[str, DataFrame]) -> DataFrame:
@@ -125,44 +102,33 @@ def _preview_window(order_by: list[str]):
     return Window.orderBy(*[F.col(k).asc_nulls_first() for k in order_by])
 
 
-def metrics_json(surfaces: Mapping[str, DataFrame]) -> DataFrame:
+def metrics_json(surfaces: Mapping[str, DataFrame], order: Mapping[str, list[str]]) -> DataFrame:
     """The metrics bundle as ONE JSON document (one row, one string column).
 
-    Each surface is already small (grouped output); each is folded to an array of structs
-    by a global aggregate and the arrays are joined by a cross product of one-row frames."""
+    Each surface is already small (grouped output); each is folded to an array of structs, in
+    the order of its ``order`` keys (kept inside the array, as a frame's order does not outlive
+    an exchange), and the arrays are joined by a cross product of one-row frames."""
     docs = None
     for name, df in surfaces.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        row = F.struct(*[F.col(c) for c in df.columns]).alias("row")
+        keyed = df.agg(F.array_sort(F.collect_list(F.struct(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(order.get(name, []))], row))).alias(name))
+        one = keyed.select(F.transform(name, lambda x: x["row"]).alias(name))
         docs = one if docs is None else docs.crossJoin(one)
     return docs.select(F.to_json(F.struct(*surfaces.keys())).alias("metrics_json"))
 
 
-def write_metrics_json(surfaces: Mapping[str, DataFrame], path: str) -> None:
-    metrics_json(surfaces).coalesce(1).write.mode("overwrite").text(path)
-
-
-def dataset_artifact(df: DataFrame, path: str, order_by: list[str], preview_rows: int = 5) -> DataFrame:
+def dataset_artifact(df: DataFrame, path: str, order_by: list[str], preview_rows: int = 20) -> DataFrame:
     """Write the frame as parquet and return its manifest row
     (path, rows, columns, preview as JSON text) computed from the written files."""
     df.write.mode("overwrite").parquet(path)
     written = df.sparkSession.read.parquet(path)
     rows = written.agg(F.count(F.lit(1)).alias("rows"))
-    pv = preview(written, order_by, preview_rows).drop("preview_row")
-    pv_doc = pv.agg(F.to_json(F.collect_list(F.array(*pv.columns))).alias("preview"))
+    pv = preview(written, order_by, preview_rows)
+    shown = F.array_sort(F.collect_list(F.struct("preview_row", F.array(*written.columns).alias("row"))))
+    pv_doc = pv.agg(F.to_json(F.transform(shown, lambda x: x["row"])).alias("preview"))
     return rows.crossJoin(pv_doc).select(
         F.lit(path).alias("path"),
         "rows",
         F.lit(",".join(written.columns)).alias("columns"),
         "preview",
     )
-
-
-def event_source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                 streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The event log as a batch or streaming DataFrame with a fixed schema."""
-    if streaming:
-        reader = spark.readStream.schema(schema).format(fmt)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        return reader.load(path)
-    return spark.read.schema(schema).format(fmt).load(path)

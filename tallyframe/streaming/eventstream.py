@@ -26,13 +26,16 @@ from pyspark.sql import types as T
 from tallyframe.operators.eventlog import status_of
 from tallyframe.session import scratch_path
 
-def write_log(ev: DataFrame, path: str, files: int = 8) -> str:
-    """Materialise a log as ``files`` parquet files in arrival (event-time) order, the way a
-    log folder fills up: every file's events are no older than the previous file's, so an
-    event-time watermark never marks a delivered event late."""
-    ev.repartitionByRange(files, "ts", "run_id", "seq").sortWithinPartitions("ts", "run_id", "seq").write.mode(
-        "overwrite"
-    ).parquet(path)
+# At most so much of a backlog in one micro-batch.
+BYTES_PER_TRIGGER = 8 << 30
+
+
+def write_log(ev: DataFrame, path: str, files: int | None = None) -> str:
+    """Materialise a log as a folder, in the files that its own partitioning gives. ``files``
+    (for tests of batch boundaries) deals it anew into that many, in arrival order."""
+    if files is not None:
+        ev = ev.repartitionByRange(files, "ts", "run_id", "seq").sortWithinPartitions("ts", "run_id", "seq")
+    ev.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -40,6 +43,8 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
     return reader.load(path)
 
 
@@ -180,7 +185,7 @@ def task_state_table(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def stream_task_status(spark: SparkSession, ev: DataFrame, max_files: int | None = 1, files: int = 8) -> DataFrame:
+def stream_task_status(spark: SparkSession, ev: DataFrame, max_files: int | None = None, files: int | None = None) -> DataFrame:
     """Bounded end-to-end run: log -> files -> stream (fold) -> table -> final state."""
     base = scratch_path(spark, "eventstream")
     src = write_log(ev, f"{base}/log", files)
@@ -189,7 +194,7 @@ def stream_task_status(spark: SparkSession, ev: DataFrame, max_files: int | None
     return task_state_table(spark, f"{base}/out")
 
 
-def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None = 1, files: int = 8) -> DataFrame:
+def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None = None, files: int | None = None) -> DataFrame:
     base = scratch_path(spark, "eventstream-header")
     src = write_log(ev, f"{base}/log", files)
     stream = read_log_stream(spark, src, ev.schema, max_files)
@@ -201,6 +206,15 @@ def stream_run_header(spark: SparkSession, ev: DataFrame, max_files: int | None
     )
 
 
+def stream_event_dedupe(spark: SparkSession, ev: DataFrame, max_files: int | None = None, files: int | None = None) -> DataFrame:
+    """E2 end to end: a log with redelivered events -> stream -> each event once."""
+    base = scratch_path(spark, "eventstream-dedupe")
+    src = write_log(ev, f"{base}/log", files)
+    stream = read_log_stream(spark, src, ev.schema, max_files)
+    run_to_table(dedupe_stream(stream), f"{base}/out", f"{base}/ckpt", output_mode="append")
+    return spark.read.parquet(f"{base}/out").drop("batch_id", "batch")
+
+
 ARTIFACT_EVENTS = ("artifact.streaming", "artifact.chunk", "artifact.created")
 
 
@@ -221,7 +235,7 @@ def artifact_text_table(spark: SparkSession, out: str) -> DataFrame:
     return stream_text(events)
 
 
-def stream_artifact_text(spark: SparkSession, ev: DataFrame, max_files: int | None = 2, files: int = 4) -> DataFrame:
+def stream_artifact_text(spark: SparkSession, ev: DataFrame, max_files: int | None = None, files: int | None = None) -> DataFrame:
     """E8 end to end. The stream itself keeps no state: each micro-batch appends its artifact
     events to the sink (idempotent per batch id) and the texts are assembled when read. A
     per-key state holding every chunk would be rewritten whole on each update (quadratic in
