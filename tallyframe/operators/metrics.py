@@ -197,14 +197,10 @@ class Bundle:
     top_products: DataFrame
     filters: Filters
 
+    SURFACES = ("kpis", "revenue_over_time", "revenue_by_category", "revenue_by_region", "top_products")
+
     def surfaces(self) -> dict[str, DataFrame]:
-        return {
-            "kpis": self.kpis,
-            "revenue_over_time": self.revenue_over_time,
-            "revenue_by_category": self.revenue_by_category,
-            "revenue_by_region": self.revenue_by_region,
-            "top_products": self.top_products,
-        }
+        return {name: getattr(self, name) for name in self.SURFACES}
 
 
 # The order of each surface's rows, for sinks that write them as a list.

@@ -270,6 +270,12 @@ def q_clean(spark, sf):
     return money_as_double(C.clean(messy_orders(spark, sf)))
 
 
+@register("clean_adaptive", ORACLE["clean"])
+def q_clean_adaptive(spark, sf):
+    """C8 as a pipeline: the strict parse fails on this extract, so the fallback's rows come."""
+    return money_as_double(C.clean_adaptive(messy_orders(spark, sf)))
+
+
 _CLEAN_STATS_SQL = f"""{CLEAN_PREFIX},
 s AS (
   SELECT (SELECT count(*) FROM messy_orders) AS rows_in, count(*) AS rows_after_dedupe,
@@ -703,10 +709,10 @@ def q_verify_totals(spark, sf):
 @register("stage_metrics", f"""{O.PIPELINE},
 w AS (SELECT (SELECT count(*) FROM messy_orders) AS rows_in, (SELECT count(*) FROM cleaned) AS clean_out,
              (SELECT count(*) FROM joined) AS join_out, (SELECT count(*) FROM derived) AS derive_out)
-SELECT 'load' AS stage, CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS columns_added FROM w
-UNION ALL SELECT 'clean', rows_in, clean_out, rows_in - clean_out, 0 FROM w
-UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4 FROM w
-UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7 FROM w""")
+SELECT 'load' AS stage, CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS columns_added, '' AS added FROM w
+UNION ALL SELECT 'clean', rows_in, clean_out, rows_in - clean_out, 0, '' FROM w
+UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4, 'product_name,category,cost_price,segment' FROM w
+UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7, 'gross_revenue,net_revenue,cogs,margin,margin_pct,order_date,order_week' FROM w""")
 def q_stage_metrics(spark, sf):
     return VP.stage_metrics(spark, sf)
 

@@ -52,10 +52,11 @@ def facts_wide_from(raw: DataFrame, products: DataFrame, customers: DataFrame) -
         count_if(C.needed_repair("qty", qty_target)).alias("_qty"),
         count_if(F.col(fill_col).isNull()).alias("_nulls"),
     )
-    n_columns = sum(len(df.columns) for df in (raw, products, customers))  # schema facts: no scan
+    sources = (raw, products, customers)
+    n_columns = sum(len(df.columns) for df in sources)  # schema facts: no scan
     cs = st.select(
         F.lit(n_columns).alias("contract_columns"),
-        F.lit(3).alias("source_count"),
+        F.lit(len(sources)).alias("source_count"),
         F.col("_in").alias("rows_in"),
         (F.col("_after") - F.col("_fail")).alias("rows_clean"),
         (F.col("_in") - F.col("_after") + F.col("_fail")).alias("rows_dropped"),
@@ -120,7 +121,7 @@ def facts_wide_from(raw: DataFrame, products: DataFrame, customers: DataFrame) -
     k = red.select(
         *M.kpi_columns(F.col("_net"), F.col("_margin"), F.col("_done"), F.col("_returned")),
         "derived_rows", "region_conflicts", "category_total", "category_groups", "region_total", "week_points",
-        "top_products", F.lit(5).alias("dashboard_surfaces"),
+        "top_products", F.lit(len(M.Bundle.SURFACES)).alias("dashboard_surfaces"),
     ).drop("average_order_value", "returned_count")
     return _one_row(cs, jm, k)
 
@@ -130,7 +131,8 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """V9: one row per stage: (stage, rows_in, rows_out, rows_dropped, columns_added)."""
+    """V9: one row per stage: (stage, rows_in, rows_out, rows_dropped, columns_added,
+    added), the last the names of the new columns, from the frames themselves."""
     raw = messy_orders(spark, sf)
     stage = materialize(C.deduped(raw, with_counts=True))
     cs = C.clean_stats(raw, stage=stage)
@@ -141,10 +143,13 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
         joined.agg(F.count(F.lit(1)).alias("join_out")),
         d.agg(F.count(F.lit(1)).alias("derive_out")),
     )
+    frames = {"clean": (raw, C.finish(stage)), "join": (raw, J.resolve_conflict(joined, "region", losing="region_right")), "derive": (joined.drop("region_right"), d)}
+    added = {name: ",".join(c for c in out.columns if c not in before.columns) for name, (before, out) in frames.items()}
+    n = {name: len(names.split(",")) if names else 0 for name, names in added.items()}
     return w.selectExpr(
-        "stack(4, 'load', rows_in, rows_in, 0L, 0L,"
-        " 'clean', rows_in, clean_out, rows_in - clean_out, 0L,"
-        " 'join', clean_out, join_out, clean_out - join_out, 4L,"
-        " 'derive', join_out, derive_out, join_out - derive_out, 7L)"
-        " as (stage, rows_in, rows_out, rows_dropped, columns_added)"
+        "stack(4, 'load', rows_in, rows_in, 0L, 0L, '',"
+        f" 'clean', rows_in, clean_out, rows_in - clean_out, {n['clean']}L, '{added['clean']}',"
+        f" 'join', clean_out, join_out, clean_out - join_out, {n['join']}L, '{added['join']}',"
+        f" 'derive', join_out, derive_out, join_out - derive_out, {n['derive']}L, '{added['derive']}')"
+        " as (stage, rows_in, rows_out, rows_dropped, columns_added, added)"
     )
