@@ -139,7 +139,7 @@ def keys_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select(ROW, "text").mapInArrow(task, f"{ROW} long, key long, n long")
 
 
-def segments_of(marked: DataFrame, window: int, gram: int, held_bytes: int = 32 << 20) -> DataFrame:
+def segments_of(marked: DataFrame, window: int, gram: int, held_bytes: int = 16 << 20) -> DataFrame:
     """Rows of two kinds: places (row, start, of, sid) and, once a task and segment, texts (key,
     sid, text, n). ``marked``: row, text, keys."""
 
@@ -254,7 +254,7 @@ def counted_hits(texts: DataFrame, window: int) -> DataFrame:
     return strings.join(repeated, "string", "left_semi").groupBy("sid").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("hits"))  # one a start of a segment
 
 
-def repeats(docs: DataFrame, window: int = 200, gram: int = 40, stretch: int = 4 << 20, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 200, gram: int = 40, stretch: int = 2 << 20, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, __row, text and spans (byte ranges to remove, merged, in order; null: none)."""
     rows = identified(docs, id_col, text_col)
     keys = materialize(keys_of(rows, window, gram), "repeats-keys")
