@@ -109,6 +109,16 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
+def blocked_edges(edges: DataFrame, nodes: DataFrame, lv: DataFrame) -> DataFrame:
+    """The good edges between nodes that never peel: every cycle lies in them, so that only they
+    need a closure to find its members."""
+    done = lv.select(*K, F.col("node"))
+    e = good_edges(edges, nodes)
+    for end in ("child", "parent"):
+        e = e.join(done.withColumnRenamed("node", end), [*K, end], "left_anti")
+    return e
+
+
 def cycle_summary(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, lv: DataFrame) -> DataFrame:
     """G2 counts: (group_id, nodes, members, stuck) - stuck = not leveled and not a member."""
     all_nodes = nodes.select(*K, "node").distinct()

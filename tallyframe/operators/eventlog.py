@@ -145,19 +145,23 @@ def run_header(ev: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ E8, E9
 
 
+def _opened(ev: DataFrame) -> DataFrame:
+    """Artifact events of streams that were opened, with their latest opener (``_open``)."""
+    keyed = ev.filter(F.col("type").isin("artifact.streaming", "artifact.chunk", "artifact.created"))
+    opener = keyed.groupBy("run_id", "artifact_id").agg(
+        F.max(F.when(_t("artifact.streaming"), F.col("seq"))).alias("_open")
+    ).filter(F.col("_open").isNotNull())
+    return keyed.join(opener, ["run_id", "artifact_id"])
+
+
 def stream_text(ev: DataFrame) -> DataFrame:
     """(run_id, artifact_id, text, chars, complete) per opened stream.
 
     An opener (re)starts the text; chunks after the latest opener are concatenated in seq
     order; chunks with no opener before them are dropped; the stream is complete when an
     artifact.created follows the latest opener."""
-    keyed = ev.filter(F.col("type").isin("artifact.streaming", "artifact.chunk", "artifact.created"))
-    opener = keyed.groupBy("run_id", "artifact_id").agg(
-        F.max(F.when(_t("artifact.streaming"), F.col("seq"))).alias("_open")
-    ).filter(F.col("_open").isNotNull())
-    j = keyed.join(opener, ["run_id", "artifact_id"])
     live = F.col("seq") > F.col("_open")
-    g = j.groupBy("run_id", "artifact_id").agg(
+    g = _opened(ev).groupBy("run_id", "artifact_id").agg(
         F.collect_list(F.when(live & _t("artifact.chunk"), F.struct("seq", "text"))).alias("_chunks"),
         F.bool_or(live & _t("artifact.created")).alias("complete"),
     )
@@ -165,6 +169,15 @@ def stream_text(ev: DataFrame) -> DataFrame:
     return g.select("run_id", "artifact_id", text.alias("text"), F.length(text).cast("bigint").alias("chars"), "complete")
 
 
+def stream_sizes(ev: DataFrame) -> DataFrame:
+    """E8's (run_id, artifact_id, chars, complete) without putting any text together."""
+    live = F.col("seq") > F.col("_open")
+    return _opened(ev).groupBy("run_id", "artifact_id").agg(
+        F.coalesce(F.sum(F.when(live & _t("artifact.chunk"), F.length("text"))), F.lit(0)).cast("bigint").alias("chars"),
+        F.bool_or(live & _t("artifact.created")).alias("complete"),
+    )
+
+
 def _artifacts_agg() -> Column:
     return F.collect_list(F.when(_t("artifact.created"), F.struct("seq", "artifact_id"))).alias("_a")
 
@@ -230,7 +243,7 @@ def run_summary(ev: DataFrame) -> DataFrame:
         _sorted_pairs("task_id", "owner").alias("task_agent"),
         _sorted_pairs("task_id", "attempts").alias("task_attempts"),
     )
-    streams = stream_text(ev).groupBy("run_id").agg(
+    streams = stream_sizes(ev).groupBy("run_id").agg(
         _sorted_list(F.col("artifact_id")).alias("streaming_ids"),
         F.sum("chars").cast("bigint").alias("streamed_chars"),
         _sorted_list(F.when(F.col("complete"), F.col("artifact_id"))).alias("streams_complete"),
