@@ -7,13 +7,16 @@ leftmost-smaller suffixes are sorted by their substrings up to the next of their
 the same way, named by rank, and sorted as a shorter string recursively where names repeat.
 
 A string here ends with its only least character, 0. Induction goes by array operations on whole
-buckets, each suffix once a pass.
+buckets, each suffix once a pass. That pays while there are few buckets; a shorter string of more
+than ``BUCKETS`` names ends the recursion and is sorted by doubling ranks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+BUCKETS = 2048
+
 
 def rising(t: np.ndarray) -> np.ndarray:
     """True where a suffix is less than the next one. The last is rising by definition."""
@@ -151,10 +154,26 @@ def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
     else:
         shorter = np.empty(len(least), np.int32)
         shorter[rank[by_substring]] = names
-        seeds = least[suffix_array(shorter, int(names[-1]) + 1)]
+        sort = suffix_array if names[-1] < BUCKETS else by_ranks
+        seeds = least[sort(shorter, int(names[-1]) + 1)]
     return induced(t, up, counts, seeds)
 
 
+def by_ranks(t: np.ndarray, alphabet: int) -> np.ndarray:
+    """The same order from ranks of the first character, of the first two, four and so on."""
+    n, rank, k = len(t), t.astype(np.int64), 1
+    while True:
+        key = rank * (max(n, alphabet) + 1)
+        key[: max(0, n - k)] += rank[k:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        if new[order[-1]] == n - 1:
+            return order.astype(np.int32)
+        rank, k = new, 2 * k
+
+
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each suffix, by its place in the text, the length it shares with the suffix before it in
     ``order``, up to ``most``. Where the characters before both are the same the length is one less than
