@@ -20,6 +20,8 @@ each. Null ids stay null. Other columns are ignored. An empty table gives an emp
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import column_lists
+from tallyframe.llm.common import column_lists, kept_in_process
 
 #: The id that closes a document; penalties of a cut, in ids of padding.
 CLOSING = 1
@@ -38,22 +40,62 @@ SENTENCE, INSIDE, STRIDE = 2, 16, 16
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file whose pre-tokenizer parts at white space. Pieces
-    between spaces and line feeds are encoded once and remembered, up to ``most`` of them."""
+    """Ids of texts by a tokenizer file that parts texts at white space and parts letters from
+    other characters, lower-cases, and marks the last token of each part with ``</w>``.
 
-    def __init__(self, vocabulary: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+    Pieces between spaces and line feeds are encoded once and remembered, up to ``most`` of
+    them. A piece of plain letters between marks is up to three parts, each remembered too,
+    and new parts are encoded together as one text that is cut at the marks. Other pieces
+    (other alphabets, digits, marks that combine) go to the tokenizer as they are."""
+
+    MARKS = r"[!-&(-/:;=-@\[-`{-~]*"  # ASCII but the apostrophe, and < which opens special tokens
+    PLAIN = re.compile(rf"({MARKS})([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]*)({MARKS})")
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(vocabulary), most, {}
+    def __init__(self, vocabulary: str, most: int = 300_000):
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-            if len(self.known) > self.most:
-                self.known, new = {}, [*dict.fromkeys(pieces)]
-            for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[piece] = np.array(got.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        with open(vocabulary, encoding="utf-8") as f:
+            plain = json.load(f)
+        # the same model for parts that need neither lower-casing nor parting any more
+        plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.tokenizer, self.plain, self.most = Tokenizer.from_file(vocabulary), Tokenizer.from_str(json.dumps(plain)), most
+        vocab = plain["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 3, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for a in range(0, len(new), 1000):
+            some = new[a : a + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            raw = ids.tobytes()
+            self.parts.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
+
+    def _learn(self, new: set[str]) -> None:
+        match = self.PLAIN.fullmatch
+        cut = [(p, m[1], m[2].lower(), m[3]) for p in new if (m := match(p))]
+        self._learn_parts(list({x for _, *of in cut for x in of if x not in self.parts}))
+        parts = self.parts
+        self.known.update((p, parts[head] + parts[word] + parts[tail]) for p, head, word, tail in cut)
+        other = [p for p in new if p not in self.known]
+        for piece, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else ()):
+            self.known[piece] = np.array(got.ids, np.uint32).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > self.most:
+            self.known, self.parts = {"": b""}, {"": b""}
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.known.get, p)) for p in pieces]
+        if new := {p for ps, fs in zip(pieces, found) if None in fs for p, f in zip(ps, fs) if f is None}:
+            self._learn(new)
+            found = [list(map(self.known.get, p)) if None in f else f for p, f in zip(pieces, found)]
+        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
 
 
 def sentence_ends(vocabulary: str) -> np.ndarray:
@@ -107,7 +149,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, stretch: int = 1 <<
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ends = Encoder(vocabulary), sentence_ends(vocabulary)
+        encode, ends = kept_in_process("token ids", vocabulary, lambda: (Encoder(vocabulary), sentence_ends(vocabulary)))
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple[object, int, int, np.ndarray]] = []  # id, ids before these, ids of the document, these
         total = 0
@@ -138,12 +180,14 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, stretch: int = 1 <<
         id_type = None
         for doc_id, text in column_lists(batches, "doc_id", "text"):
             id_type = doc_id.type
-            for key, value in zip(doc_id.to_pylist(), text):
-                ids = np.append(encode(value.as_py()), np.uint32(CLOSING))
-                held.append((key, 0, len(ids), ids))
-                total += len(ids)
-                if total >= stretch:
-                    yield from flush(False)
+            keys = doc_id.to_pylist()
+            for a in range(0, len(keys), 256):
+                for key, of in zip(keys[a : a + 256], encode([v.as_py() for v in text[a : a + 256]])):
+                    ids = np.append(of, np.uint32(CLOSING))
+                    held.append((key, 0, len(ids), ids))
+                    total += len(ids)
+                    if total >= stretch:
+                        yield from flush(False)
         if held:
             yield from flush(True)
 
