@@ -39,45 +39,44 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORDS).split()
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in lists of bounded size: hash buckets, as many as the total size asks for."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The items in lists of bounded size, one at a time: hash buckets, as many as the total size
+    asks for."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = -(-total // block_bytes)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, count))))
-    for i in range(count):
-        yield [(r.id, bytes(r.text)) for r in dealt.where(F.col("block") == i).toLocalIterator()]
+    count = max(1, -(-total // block_bytes))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
+    return count, ([(r.id, bytes(r.text)) for r in dealt.where(F.col("block") == i).toLocalIterator()] for i in range(count))
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, __row, n_words, spans (array of word start and end), items (ids, sorted as strings)
-    and, if asked for, text for every row of ``docs``."""
+    and, if asked for, ``cut`` (the text without its spans; null if it has none) for every row of
+    ``docs``."""
     rows = identified(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {ROW} long, n_words long, spans array<struct<a:int,b:int>>, items array<string>" + ", text string" * with_text
+    schema = f"doc_id {kind}, {ROW} long, n_words long, spans array<struct<a:int,b:int>>, items array<string>, cut string"
 
-    def against(block: list[tuple[str, bytes]], first: bool) -> DataFrame:
+    def against(block: list[tuple[str, bytes]], cutting: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
-        text_too = with_text and first
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(((key, words_of(raw)) for key, raw in sent.value), window)
             for ids, row, text in column_lists(batches, "doc_id", ROW, "text"):
-                n, spans, items = [], [], []
+                n, spans, items, cut = [], [], [], []
                 for raw in utf8_values(text):
                     words = words_of(raw)
                     found, keys = automaton.stream(words)
                     n.append(len(words))
                     spans.append([{"a": a, "b": b} for a, b in found])
                     items.append(sorted(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, row, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))] + [text] * text_too,
-                    ["doc_id", ROW, "n_words", "spans", "items"] + ["text"] * text_too,
-                )
+                    cut.append(without(raw, found).decode() if found and cutting else None)
+                yield pa.RecordBatch.from_arrays([ids, row, pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string())), pa.array(cut, pa.string())], ["doc_id", ROW, "n_words", "spans", "items", "cut"])
 
-        return rows.mapInArrow(task, schema if text_too else schema.removesuffix(", text string"))
+        return rows.mapInArrow(task, schema)
 
-    found = [against(block, not i) for i, block in enumerate(item_blocks(benchmark, item_id, item_text, block_bytes))] or [against([], True)]
+    count, blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    found = [against(block, with_text and count == 1) for block in blocks]
 
     def both(left: DataFrame, right: DataFrame) -> DataFrame:
         more = right.where(F.size("spans") > 0).select(ROW, F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
@@ -86,7 +85,20 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
         return joined.withColumns({"spans": union("spans"), "items": F.array_sort(F.array_distinct(union("items")))}).drop("more_spans", "more_items")
 
     out = reduce(both, found)
-    return out if len(found) == 1 else out.withColumn("spans", merged("spans"))
+    if len(found) > 1:
+        out = out.withColumn("spans", merged("spans"))
+        if with_text:  # only now are all spans known
+            out = out.drop("cut").join(rows.select(ROW, "text"), ROW).mapInArrow(_cutting, f"{schema}")
+    return out if with_text else out.drop("cut")
+
+
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, row, n_words, spans, items, text in column_lists(batches, "doc_id", ROW, "n_words", "spans", "items", "text"):
+        cut = [without(raw, [(s["a"], s["b"]) for s in found]).decode() if found else None for raw, found in zip(utf8_values(text), spans.to_pylist())]
+        yield pa.RecordBatch.from_arrays([ids, row, n_words, spans, items, pa.array(cut, pa.string())], ["doc_id", ROW, "n_words", "spans", "items", "cut"])
 
 
 def merged(col: str):
@@ -120,13 +132,4 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     """__row, text (without the spans) and dropped (the share of hit words reaches
     ``coverage``) for the rows of ``docs`` that have a hit."""
     hit = hits(spark, docs, benchmark, window, with_text=True, **names).where(F.size("spans") > 0)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, text, n_words, spans in column_lists(batches, ROW, "text", "n_words", "spans"):
-            cut, dropped = [], []
-            for raw, n, found in zip(utf8_values(text), n_words.to_pylist(), spans.to_pylist()):
-                cut.append(without(raw, [(s["a"], s["b"]) for s in found]).decode())
-                dropped.append(sum(s["b"] - s["a"] for s in found) >= coverage * n)
-            yield pa.RecordBatch.from_arrays([row, pa.array(cut, pa.string()), pa.array(dropped)], [ROW, "text", "dropped"])
-
-    return hit.select(ROW, "text", "n_words", "spans").mapInArrow(task, f"{ROW} long, text string, dropped boolean")
+    return hit.select(ROW, F.col("cut").alias("text"), (n_hit() >= F.lit(coverage) * F.col("n_words")).alias("dropped"))

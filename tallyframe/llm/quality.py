@@ -50,7 +50,7 @@ class Hashes(dict):
         for pattern, to in SHAPES:
             shape = pattern.sub(to, shape)
         value = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(shape.encode("utf-8", "surrogatepass"))
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
