@@ -47,18 +47,44 @@ def bare(token: str) -> str:
     return token[at[0] : at[-1] + 1].lower() if at else ""
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    raw, crc = f"<{word}>", zlib.crc32
-    grams = [f"w{word}", *(f"p{word[:n]}" for n in (1, 2, 3)), *(f"s{word[-n:]}" for n in (1, 2, 3)), *(raw[i : i + 3] for i in range(len(raw) - 2))]
-    if (language := lexicon.get(word)) is not None:
-        grams.append(f"l{language}")
-    return [crc(g.encode("utf-8", "surrogatepass")) & (SIZE - 1) for g in grams]
+FIXED = 8  # features of every word beside its trigrams
+MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+class Features:
+    """Hashed features of ``words``: ``fixed`` (three prefixes, three suffixes, the word, its lexicon;
+    ``SIZE`` for none) and ``grams``, the character trigrams of word i from ``first[i]`` on."""
+
+    def __init__(self, words: list[str], lexicon: dict[str, int]):
+        codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.counts = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(self.counts + 2)
+        starts = ends - self.counts - 2
+        self.first = np.cumsum(self.counts) - self.counts
+        at = np.repeat(starts - self.first, self.counts) + np.arange(self.counts.sum())
+        self.grams = self._hash(0, codes[at], codes[at + 1], codes[at + 2])
+        head = [codes[np.minimum(starts + k, ends - 1)] for k in (1, 2, 3)]
+        tail = [codes[np.maximum(ends - 1 - k, starts)] for k in (1, 2, 3)]
+        whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+        listed = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+        named = self._hash(8, np.maximum(listed, 0).astype(np.uint64))
+        self.fixed = np.stack([self._hash(1 + k, *head[: k + 1]) for k in range(3)] + [self._hash(4 + k, *tail[: k + 1]) for k in range(3)] + [self._hash(7, whole), np.where(listed < 0, SIZE, named)], axis=1)
+
+    @staticmethod
+    def _hash(kind: int, *chars: np.ndarray) -> np.ndarray:
+        h = np.full(len(chars[0]), kind + 1, np.uint64) * MIX[3]
+        for c, m in zip(chars, MIX):
+            h = (h ^ (h >> np.uint64(29))) * m + c * MIX[2]
+        return ((h ^ (h >> np.uint64(32))) * MIX[1] >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return weights[self.fixed].sum(axis=1) + np.add.reduceat(weights[self.grams], self.first, axis=0)
 
 
 class Words:
     """Row numbers of tokens in a table of emissions, which grows as new tokens come."""
 
-    def __init__(self, weights: np.ndarray, lexicon: dict[str, int], most: int = 400_000):
+    def __init__(self, weights: np.ndarray, lexicon: dict[str, int], most: int = 200_000):
         self.weights, self.lexicon, self.most = weights, lexicon, most
         self.forget()
 
@@ -68,22 +94,17 @@ class Words:
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text the emission rows of its tokens that have a letter."""
-        if len(self.place) > self.most:
-            self.forget()
-        fresh = [t for t in dict.fromkeys(t for tokens in texts for t in tokens) if t not in self.place]
+        fresh = list({t for tokens in texts for t in tokens}.difference(self.place))
         if fresh:
             words = [bare(t) for t in fresh]
-            lists = [features(w, self.lexicon) for w in words if w]
-            if lists:
-                sums = np.add.reduceat(self.weights[np.fromiter((f for fs in lists for f in fs), np.int64)], np.cumsum([0] + [len(fs) for fs in lists[:-1]]), axis=0)
-                numbers = iter(range(len(self.emission), len(self.emission) + len(lists)))
+            rows = {w: len(self.emission) + i for i, w in enumerate({w for w in words if w})}
+            if rows:
+                sums = Features(list(rows), self.lexicon).scores(self.weights)
                 self.emission = np.concatenate([self.emission, np.exp(sums - sums.max(axis=1, keepdims=True)).astype(np.float32) + np.float32(1e-30)])
-                self.place.update((t, next(numbers) if w else -1) for t, w in zip(fresh, words))
-            else:
-                self.place.update((t, -1) for t in fresh)
+            self.place.update((t, rows.get(w, -1)) for t, w in zip(fresh, words))
         out = []
         for tokens in texts:
-            at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+            at = np.fromiter(map(self.place.__getitem__, tokens), np.int32, len(tokens))
             out.append(at[at >= 0])
         return out
 
@@ -113,13 +134,13 @@ def lockstep(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
 def padded(rows: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(time, chain, label) emissions of chains that come by falling length."""
     lengths = np.array([len(r) for r in rows])
-    at = np.zeros((lengths[0], len(rows)), np.int64)
+    at = np.zeros((lengths[0], len(rows)), np.int32)
     for c, r in enumerate(rows):
         at[: len(r), c] = r
     return table[at], lengths
 
 
-def shares(rows: list[np.ndarray], words: Words, transition: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
+def shares(rows: list[np.ndarray], words: Words, transition: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
     """Mean posterior of each language over each text's words (no words: zeros)."""
     out = np.zeros((len(rows), transition.shape[0]))
     order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: -len(rows[i]))
@@ -157,21 +178,20 @@ def fit(texts: list[str], languages: list[str], stretch: int, pieces: int, epoch
         if sum(c.values()) >= 5 and rates[k] >= 0.9 * sum(rates.values()):
             lexicon[w] = k
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
-    lists = [features(w, lexicon) for w in vocabulary]
-    flat = np.fromiter((f for fs in lists for f in fs), np.int64)
-    first = np.cumsum([0] + [len(fs) for fs in lists])
+    found = Features(list(vocabulary), lexicon)
     k = len(names)
-    weights, squares = np.zeros((SIZE, k), np.float64), np.full((SIZE, k), 1e-6)
+    weights, squares = np.zeros((SIZE + 1, k)), np.full((SIZE + 1, k), 1e-6)  # the last row stands for no feature
     bond, bond_squares = np.eye(k), np.full((k, k), 1e-6)
     index = [np.fromiter(map(vocabulary.__getitem__, c), np.int64, len(c)) for c in chains]
     order = np.random.default_rng(11)
-    for _ in range(epochs):
+    for _ in range(epochs if index else 0):  # texts without a letter teach nothing
         for some in np.array_split(order.permutation(len(index)), max(1, len(index) // batch)):
             some = sorted(some, key=lambda i: -len(index[i]))
             used = np.unique(np.concatenate([index[i] for i in some]))
-            spans = np.concatenate([flat[first[u] : first[u + 1]] for u in used])
-            bounds = np.cumsum([0] + [first[u + 1] - first[u] for u in used])
-            sums = np.add.reduceat(weights[spans], bounds[:-1], axis=0)
+            counts_of = found.counts[used]
+            bounds = np.cumsum(counts_of) - counts_of
+            grams = found.grams[np.repeat(found.first[used] - bounds, counts_of) + np.arange(counts_of.sum())]
+            sums = weights[found.fixed[used]].sum(axis=1) + np.add.reduceat(weights[grams], bounds, axis=0)
             rows = [np.searchsorted(used, index[i]) for i in some]
             emission, lengths = padded(rows, np.exp(sums - sums.max(axis=1, keepdims=True)) + 1e-30)
             right = np.array([gold[i] for i in some])
@@ -186,8 +206,10 @@ def fit(texts: list[str], languages: list[str], stretch: int, pieces: int, epoch
                     to_bond -= (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
                     np.add.at(to_bond, (right[:a], right[:a]), 1.0)
             scale = lengths.sum()
-            gradient = np.zeros((SIZE, k))
-            np.add.at(gradient, spans, np.repeat(to_word, np.diff(bounds), axis=0) / scale)
+            gradient = np.zeros((SIZE + 1, k))
+            np.add.at(gradient, grams, np.repeat(to_word, counts_of, axis=0) / scale)
+            np.add.at(gradient, found.fixed[used].ravel(), np.repeat(to_word, FIXED, axis=0) / scale)
+            gradient[SIZE] = 0
             gradient -= 1e-6 * weights
             squares += gradient**2
             weights += rate * gradient / np.sqrt(squares)
@@ -224,8 +246,11 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held: int = 2
             values, languages, scores, parts = text.to_pylist(), [], [], []
             of: list[np.ndarray] = []
             if model:
-                for a in range(0, len(values), 500):
-                    of.extend(shares(words.rows([v.split() for v in values[a : a + 500]]), words, model["transition"]))
+                for a in range(0, len(values), 4000):  # chains of like length are many in a large batch
+                    if len(words.place) > words.most:
+                        words.forget()
+                    some = [r for b in range(a, min(a + 4000, len(values)), 250) for r in words.rows([v.split() for v in values[b : b + 250]])]
+                    of.extend(shares(some, words, model["transition"]))
             for i in range(len(values)):
                 known = model is not None and of[i].any()
                 best = int(of[i].argmax()) if known else 0
