@@ -10,8 +10,8 @@ response, the others are revisits that name it. Groups are found from digests al
 never grouped, so that a payload with a third of all pages costs its own rows only.
 
 Files are written by tasks through Arrow's file systems, under names that hold the attempt's
-number; a repeated task leaves its first files behind, but the index names only those of the
-attempt that counted, and reads keep to the index.
+number, and get their final name when they are whole; a repeated task leaves its first files behind,
+but the index names only those of the attempt that counted, and reads keep to the index.
 
 Defined results: a null html is the empty payload, a null url gives no target URI. Rows that repeat
 are records of their own (ties on the id go to the later row). A null id loses against any other;
@@ -160,6 +160,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, frame_bytes
         files, base = pa.fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         bundle, name, made = None, "", 0
+
+        def end() -> None:
+            nonlocal bundle
+            bundle.close()
+            files.move(f"{base}/{name}.part", f"{base}/{name}")
+            bundle = None
+
         for page, row, url, html, first in column_lists(batches, "page", ROW, "url", "html", "first"):
             places = []
             pages_l, rows_l = page.to_pylist(), row.to_pylist()
@@ -167,21 +174,20 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, frame_bytes
                 if bundle is None:
                     name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{made:05d}.warc.zst"
                     files.create_dir(base, recursive=True)
-                    bundle, made = Bundle(files.open_output_stream(f"{base}/{name}", compression=None), frame_bytes, level), made + 1
+                    bundle, made = Bundle(files.open_output_stream(f"{base}/{name}.part", compression=None), frame_bytes, level), made + 1
                 raw = record(key, number, link, payload, of and (of["page"], of[ROW]), date)
                 places.append((record_id(key, number), name, *bundle.add(raw), len(raw)))
                 if bundle.written >= bundle_bytes:
-                    bundle.close()
-                    bundle = None
+                    end()
             ids, names, frames, offsets, lengths = zip(*places)
             yield pa.RecordBatch.from_arrays([page, pa.array(ids), pa.array(names), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["page", "record_id", "bundle", "frame", "offset", "length"])
         if bundle is not None:
-            bundle.close()
+            end()
 
     return rows.mapInArrow(task, f"page {kind}, record_id string, bundle string, frame int, offset long, length long")
 
 
-RECORD = "page_id string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string"
+RECORD = "page_id string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, bundle string"
 
 
 def _described(records: Iterator[tuple[dict[str, str], bytes, bytes]]) -> Iterator[tuple]:
@@ -193,26 +199,28 @@ def _described(records: Iterator[tuple[dict[str, str], bytes, bytes]]) -> Iterat
         yield fields.get("Page-ID"), fields["WARC-Record-ID"], fields["WARC-Type"], size, digest, fields.get("Refers-To-Page-ID")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], bundles: list[str]) -> pa.RecordBatch:
     page, ids, types, sizes, digests, refers = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(page, pa.string()), pa.array(ids), pa.array(types), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(refers, pa.string())], ["page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to"])
+    return pa.RecordBatch.from_arrays([pa.array(page, pa.string()), pa.array(ids), pa.array(types), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(refers, pa.string()), pa.array(bundles)], ["page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "bundle"])
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that ``index`` names, frame by frame."""
+    """Every record of the bundles that ``index`` names, frame by frame. What is joined with the
+    index are the records' rows, never the files' contents."""
     if index.isEmpty():
         return spark.createDataFrame([], RECORD)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    bundles = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").join(index.select("bundle").distinct(), "bundle", "left_semi")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (content,) in column_lists(batches, "content"):
-            for whole in content:
+        for names, content in column_lists(batches, "bundle", "content"):
+            for name, whole in zip(names.to_pylist(), content):
                 raw = whole.as_py()
                 for start, packed, plain in seek_table(lambda o, n, raw=raw: raw[o : o + n], len(raw)):
-                    yield _batch(list(_described(parse(plain_frame(raw[start : start + packed], plain)))))
+                    rows = list(_described(parse(plain_frame(raw[start : start + packed], plain))))
+                    yield _batch(rows, [name] * len(rows))
 
-    return bundles.select("content").mapInArrow(task, RECORD)
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").mapInArrow(task, RECORD)
+    return found.join(index.select("bundle").distinct(), "bundle", "left_semi").select(*[c.split()[0] for c in RECORD.split(", ")])
 
 
 def lookup(index: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +232,7 @@ def lookup(index: DataFrame, folder: str) -> DataFrame:
         files, base = pa.fs.FileSystem.from_uri(folder)
         name = at = None
         for cols in column_lists(batches, "bundle", "frame", "offset", "length"):
-            rows = []
+            rows, names = [], []
             for bundle, frame, offset, length in zip(*(c.to_pylist() for c in cols)):
                 if bundle != name:
                     source, name, at = files.open_input_file(f"{base}/{bundle}"), bundle, None
@@ -233,6 +241,7 @@ def lookup(index: DataFrame, folder: str) -> DataFrame:
                     start, packed, plain_size = table[frame]
                     plain, at = plain_frame(source.read_at(packed, start), plain_size), frame
                 rows += _described(parse(plain[offset : offset + length]))
-            yield _batch(rows)
+                names.append(bundle)
+            yield _batch(rows, names)
 
     return asked.mapInArrow(task, RECORD)
