@@ -12,8 +12,8 @@ starts with one key; only segments of keys that occur twice are sorted.
 3. Shards of whole keys are sorted by induced sorting in stretches of bounded size, and permuted
    common prefixes of ``window`` or more mark the repeated strings (see ``suffix_array``). A distinct segment
    that occurs twice is repeated as a whole, and a key whose only segment it is needs no sorting.
-4. A key whose distinct segments exceed ``shard_bytes`` is too large for a task. Its strings are
-   dealt anew one by one, by their 128-bit digests, and counted.
+4. A key that occurs so often that its segments may exceed ``shard_bytes`` is too large for a task.
+   Its strings are dealt anew one by one, by their 128-bit digests, and counted.
 5. The marked ranges go back to the documents, by segment.
 
 Texts are handled as UTF-8 bytes, and strings are judged on the input. Defined results: null is
@@ -140,8 +140,8 @@ def keys_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def segments_of(marked: DataFrame, window: int, gram: int, held_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of two kinds: places (row, start, of, sid) and, once a task and segment, texts (key,
-    sid, text, n). ``marked``: row, text, keys."""
+    """Rows of two kinds: places (row, start, long, sid) and, once a task and segment, texts (key,
+    sid, text, n). ``marked``: doc_id, row, text, keys."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -258,15 +258,17 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 40, stretch: int = 2
     """doc_id, __row, text and spans (byte ranges to remove, merged, in order; null: none)."""
     rows = identified(docs, id_col, text_col)
     keys = materialize(keys_of(rows, window, gram), "repeats-keys")
-    shared = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    marks = keys.select(ROW, "key").join(shared, "key", "left_semi").groupBy(ROW).agg(F.collect_list("key").alias("keys"))  # a text's own keys
-    found = materialize(segments_of(rows.join(marks, ROW).select(ROW, "text", "keys"), window, gram), "repeats-segments")
+    shared = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "repeats-shared")
+    marks = materialize(keys.select(ROW, "key").join(shared, "key", "left_semi").groupBy(ROW).agg(F.collect_list("key").alias("keys")), "repeats-marks")  # a text's own keys
+    # The texts are dealt by row once: this join and the last one have the same left side, and Spark
+    # uses its exchange for both. Segments are cut anew for each of their two uses.
+    found = segments_of(rows.join(marks, ROW).select("doc_id", ROW, "text", "keys"), window, gram)
     texts = found.where("text IS NOT NULL").select("key", "sid", "text", "n")
-    sizes = materialize(texts.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > shard_bytes).select("key"), "repeats-large")
-    if sizes.isEmpty():
+    large = shared.where(F.col("n") * (2 * window - gram) > shard_bytes).select("key")
+    if large.isEmpty():
         hits = sorted_hits(texts, window, stretch)
     else:
-        hits = sorted_hits(texts.join(sizes, "key", "left_anti"), window, stretch).unionByName(counted_hits(texts.join(sizes, "key", "left_semi"), window))
+        hits = sorted_hits(texts.join(large, "key", "left_anti"), window, stretch).unionByName(counted_hits(texts.join(large, "key", "left_semi"), window))
     places = found.where("text IS NULL").select(ROW, "start", "sid")
     marked = places.join(hits, "sid").select(ROW, F.transform("hits", lambda h: F.struct((h["a"] + F.col("start")).alias("a"), (h["b"] + F.col("start") + (window - 1)).alias("b"))).alias("spans"))
     spans = marked.groupBy(ROW).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
