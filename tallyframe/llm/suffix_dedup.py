@@ -249,7 +249,7 @@ def counted_hits(texts: DataFrame, window: int) -> DataFrame:
                 digests = [hashlib.blake2b(text[i : i + window], digest_size=16).digest() for i in range(starts)]
                 yield pa.RecordBatch.from_arrays([pa.array([sid] * starts, pa.binary()), pa.array(range(starts), pa.int32()), pa.array(digests, pa.binary()), pa.array([n] * starts, pa.int64())], ["sid", "at", "string", "n"])
 
-    strings = materialize(texts.mapInArrow(task, "sid binary, at int, string binary, n long"), "repeats-strings")
+    strings = texts.mapInArrow(task, "sid binary, at int, string binary, n long")
     repeated = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
     return strings.join(repeated, "string", "left_semi").groupBy("sid").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("hits"))  # one a start of a segment
 
