@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import patterns as P
-from tallyframe.functions.exprs import guarded_cast, null_when_zero_ratio
+from tallyframe.functions.exprs import count_if, guarded_cast, null_when_zero_ratio
 
 DERIVED_COLUMNS = ("gross_revenue", "net_revenue", "cogs", "margin", "margin_pct", "order_date", "order_week")
 
 
+def _exact_net(gross: Column, disc: Column) -> Column:
+    """Net without rounding before the tenth decimal; null where gross or rate has too many digits."""
+    rate = disc.try_cast(P.EXACT_RATE_DECIMAL)
+    net = gross.try_cast(P.EXACT_GROSS_DECIMAL) * (F.lit(1) - F.when(rate == disc, rate))
+    return net.try_cast(P.NET_DECIMAL)
+
+
 def derive(
     df: DataFrame,
     qty: str = "qty",
@@ -21,16 +28,18 @@ def derive(
 ) -> DataFrame:
     """Adds the seven derived columns in one projection; row count unchanged.
 
-    qty is cast to an exact decimal so every product is exact; ``cost_price`` arrives as text
-    from the products extract and is cast at the point of use (bad text -> null)."""
-    q = F.col(qty).cast(P.QTY_DECIMAL)
-    price = F.col(unit_price).cast(P.PRICE_DECIMAL)
-    disc = F.col(discount).cast(P.RATE_DECIMAL)
+    qty is cast to a decimal that holds every BIGINT, so gross and cogs are exact; net is exact
+    as far as 38 digits go, then rounded to six decimals, and null past 27 digits before the
+    point (both counted by ``derive_counts``; no value fails the job). ``cost_price`` arrives as
+    text from the products extract and is cast at the point of use (bad text -> null)."""
+    q = F.col(qty).try_cast(P.WIDE_QTY_DECIMAL)
+    price = F.col(unit_price).try_cast(P.PRICE_DECIMAL)
+    disc = F.col(discount).try_cast(P.WIDE_RATE_DECIMAL)
     cost = guarded_cast(F.col(cost_price), P.PRICE_DECIMAL)
     gross = q * price                      # D1
-    net = q * price * (F.lit(1) - disc)    # D2
+    net = F.coalesce(_exact_net(gross, disc), F.try_multiply(gross, F.lit(1) - disc).try_cast(P.NET_DECIMAL))  # D2
     cogs = q * cost                        # D3
-    margin = net - cogs                    # D4
+    margin = net - cogs.try_cast(P.NET_DECIMAL)  # D4
     day = F.to_date(F.col(ts))             # D6
     return df.withColumns(
         {
@@ -45,6 +54,19 @@ def derive(
     )
 
 
+def derive_counts(df: DataFrame, discount: str = "discount_pct") -> DataFrame:
+    """(column_name, rounded, not_held) of a derived table: nets rounded to six decimals, and
+    nets and margins that are null although all they are made of is there."""
+    gross, net, cogs = F.col("gross_revenue"), F.col("net_revenue"), F.col("cogs")
+    rounded = net.isNotNull() & _exact_net(gross, F.col(discount).try_cast(P.WIDE_RATE_DECIMAL)).isNull()
+    wide = df.agg(
+        count_if(rounded).alias("r"),
+        count_if(net.isNull() & gross.isNotNull() & F.col(discount).isNotNull()).alias("n"),
+        count_if(F.col("margin").isNull() & net.isNotNull() & cogs.isNotNull()).alias("m"),
+    )
+    return wide.selectExpr("stack(2, 'net_revenue', r, n, 'margin', r, m) as (column_name, rounded, not_held)")
+
+
 MONEY_COLUMNS = ("unit_price", "discount_pct", "gross_revenue", "net_revenue", "cogs", "margin")
 
 

@@ -68,8 +68,17 @@ DROP_BUDGET_FRACTION = 0.005
 SAMPLE_SIZE = 3
 
 # Money types (decision: exact decimals inside, double at the output).
-# Their product has exactly 38 digits, so that no product or sum is rounded. Text that a type
-# cannot hold (more digits before or behind the point) is counted as ``not_held``.
+# Text that a type cannot hold (more digits before or behind the point) is counted as ``not_held``.
+# The types of the oracle's product, which has exactly 38 digits:
 QTY_DECIMAL = "decimal(10,0)"
 PRICE_DECIMAL = "decimal(17,4)"
 RATE_DECIMAL = "decimal(8,6)"
+# What the columns are read into: every BIGINT quantity (its product with a price has 38 digits),
+# and rates of 21 digits before the point.
+WIDE_QTY_DECIMAL = "decimal(20,0)"
+WIDE_RATE_DECIMAL = "decimal(33,12)"
+# A net is exact where gross and rate fit these (their product has 38 digits), otherwise it is
+# rounded to six decimals; net and cost of goods have 27 digits before the point.
+EXACT_GROSS_DECIMAL = "decimal(22,4)"
+EXACT_RATE_DECIMAL = "decimal(14,10)"
+NET_DECIMAL = "decimal(37,10)"

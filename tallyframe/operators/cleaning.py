@@ -35,7 +35,7 @@ class CleanStrategy:
     dedupe_on: str | None = "order_id"
     coerce: tuple[tuple[str, str], ...] = (("qty", "int"), ("unit_price", P.PRICE_DECIMAL))
     fill_nulls: tuple[tuple[str, float], ...] = (("discount_pct", 0.0),)
-    fill_type: str = P.RATE_DECIMAL
+    fill_type: str = P.WIDE_RATE_DECIMAL
     fallbacks: tuple[str, ...] = field(default=P.FALLBACK_SPECS)
 
 
@@ -112,16 +112,26 @@ def needed_repair(column: str, target: str) -> Column:
     return guarded_cast(raw, target).isNull() & coerce_expr(column, target).isNotNull()
 
 
-def not_held(column: str, target: str) -> Column:
+def not_held(column: str, target: str, tidied: bool = True) -> Column:
     """A readable number that the target type cannot hold exactly: out of range (then null)
-    or with more decimals than the type has."""
-    text, kept = tidy_number_text(F.col(column)), coerce_expr(column, target)
+    or with more decimals than the type has (of the first sixteen). ``tidied`` as the column is
+    read: coerced ones are."""
+    text = tidy_number_text(F.col(column)) if tidied else F.col(column)
+    kept = guarded_cast(text, target)
     exact = guarded_cast(text, "decimal(38,16)")
     return F.coalesce(full_match(text, plain_regex(target)) & (kept.isNull() | (kept.cast("decimal(38,16)") != exact)), F.lit(False))
 
 
 def fill_expr(column: str, value: float, fill_type: str) -> Column:
-    return F.coalesce(guarded_cast(F.col(column), fill_type), F.lit(value).cast(target_type(fill_type)))
+    """The value read, else the fill. A number that the type cannot hold stays null: it is there,
+    so the fill would be wrong (``held_counts`` has it)."""
+    return F.when(too_large(column, fill_type), F.lit(None)).otherwise(
+        F.coalesce(guarded_cast(F.col(column), fill_type), F.lit(value).cast(target_type(fill_type))))
+
+
+def too_large(column: str, target: str) -> Column:
+    """A plain number out of the target type's range."""
+    return F.coalesce(full_match(F.col(column), plain_regex(target)) & guarded_cast(F.col(column), target).isNull(), F.lit(False))
 
 
 # ---------------------------------------------------------------- C7 pipeline
@@ -195,6 +205,23 @@ def coerce_counts(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFr
     return wide.selectExpr(f"stack({len(strategy.coerce)}, {stack}) as (column_name, target, needed, not_held)")
 
 
+def held_counts(df: DataFrame, products: DataFrame, strategy: CleanStrategy = RETAIL,
+                stage: DataFrame | None = None, cost_price: str = "cost_price") -> DataFrame:
+    """(column_name, target, not_held) of every number that money is made of, against the type
+    it finally gets: the coerced and the filled columns after dedupe, and the products' cost."""
+    stage = _deduped(df, strategy, stage)
+
+    def counted(frame: DataFrame, held: list[tuple[str, Column, str]]) -> DataFrame:
+        wide = frame.agg(*[count_if(c).alias(f"h{i}") for i, (_n, c, _t) in enumerate(held)])
+        stack = ", ".join(f"'{n}', '{target_type(t)}', h{i}" for i, (n, _c, t) in enumerate(held))
+        return wide.selectExpr(f"stack({len(held)}, {stack}) as (column_name, target, not_held)")
+
+    orders = [(c, not_held(c, t), t) for c, t in strategy.coerce]
+    orders += [(c, not_held(c, strategy.fill_type, tidied=False), strategy.fill_type) for c, _v in strategy.fill_nulls]
+    cost = [(cost_price, not_held(cost_price, P.PRICE_DECIMAL, tidied=False), P.PRICE_DECIMAL)]
+    return counted(stage, orders).unionByName(counted(products, cost))
+
+
 def null_rates(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame | None = None) -> DataFrame:
     """(column, nulls, rows, null_rate, unparseable_filled, fill_value) before the fill.
 
@@ -204,7 +231,8 @@ def null_rates(df: DataFrame, strategy: CleanStrategy = RETAIL, stage: DataFrame
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (c, _v) in enumerate(strategy.fill_nulls):
         aggs.append(count_if(F.col(c).isNull()).alias(f"z{i}"))
-        aggs.append(count_if(F.col(c).isNotNull() & guarded_cast(F.col(c), strategy.fill_type).isNull()).alias(f"u{i}"))
+        unread = F.col(c).isNotNull() & guarded_cast(F.col(c), strategy.fill_type).isNull()
+        aggs.append(count_if(unread & ~too_large(c, strategy.fill_type)).alias(f"u{i}"))
     wide = stage.agg(*aggs)
     stack = ", ".join(f"'{c}', z{i}, u{i}, cast({v!r} as double)" for i, (c, v) in enumerate(strategy.fill_nulls))
     long = wide.selectExpr("rows", f"stack({len(strategy.fill_nulls)}, {stack}) as (column_name, nulls, unparseable_filled, fill_value)")

@@ -167,7 +167,7 @@ def top_products(df: DataFrame, f: Filters = Filters(), k: int = P.TOP_PRODUCT_L
     g = rev.groupBy("sku").agg(
         F.sum("net_revenue").alias("_net"),
         F.sum("margin").alias("_margin"),
-        F.sum("qty").alias("units"),
+        F.try_sum("qty").alias("units"),
     )
     top = g.orderBy(F.col("_net").desc(), F.col("sku").asc()).limit(k)
     named = (
@@ -256,7 +256,7 @@ def grouping_sets_cut(df: DataFrame, f: Filters = Filters()) -> DataFrame:
         F.sum(F.when(F.col("in_all"), F.col("net_revenue"))).alias("net_all"),
         F.sum(F.when(F.col("in_all"), F.col("margin"))).alias("margin_all"),
         count_if(F.col("in_all")).alias("n_all"),
-        F.sum(F.when(F.col("in_all"), F.col("qty"))).alias("units"),
+        F.try_sum(F.when(F.col("in_all"), F.col("qty"))).alias("units"),
         F.sum(F.when(F.col("in_cat"), F.col("net_revenue"))).alias("net_cat"),
         F.sum(F.when(F.col("in_cat"), F.col("margin"))).alias("margin_cat"),
         count_if(F.col("in_cat")).alias("n_cat"),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.derive import money_as_double
+from tallyframe.functions.derive import derive_counts, money_as_double
 from tallyframe.operators import metrics as M
 from tallyframe.plans import oracle as O
 from tallyframe.plans.retail import derived_table
@@ -238,6 +238,27 @@ def q_coerce_counts(spark, sf):
     return C.coerce_counts(messy_orders(spark, sf))
 
 
+@register("held_counts", f"""{O.with_chain(O.MESSY_ORDERS, O.MESSY_PRODUCTS, O.CLEAN_CHAIN)}
+SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_not_held_sql('qty', 'BIGINT')}) AS BIGINT) AS not_held FROM deduped
+UNION ALL
+SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.PRICE)}) AS BIGINT) FROM deduped
+UNION ALL
+SELECT 'discount_pct', '{P.WIDE_RATE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('discount_pct', P.WIDE_RATE_DECIMAL.upper())}) AS BIGINT) FROM deduped
+UNION ALL
+SELECT 'cost_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('cost_price', O.PRICE)}) AS BIGINT) FROM messy_products""")
+def q_held_counts(spark, sf):
+    return C.held_counts(messy_orders(spark, sf), messy_products(spark, sf))
+
+
+@register("derive_counts", f"""{O.PIPELINE}
+SELECT 'net_revenue' AS column_name, CAST(0 AS BIGINT) AS rounded,
+       CAST(count(*) FILTER (WHERE net_revenue IS NULL AND gross_revenue IS NOT NULL AND discount_pct IS NOT NULL) AS BIGINT) AS not_held FROM derived
+UNION ALL
+SELECT 'margin', CAST(0 AS BIGINT), CAST(count(*) FILTER (WHERE margin IS NULL AND net_revenue IS NOT NULL AND cogs IS NOT NULL) AS BIGINT) FROM derived""")
+def q_derive_counts(spark, sf):
+    return derive_counts(derived_table(spark, sf))
+
+
 @register("fill_nulls", f"""{CLEAN_PREFIX}
 SELECT order_id, discount_pct AS discount_raw,
        CAST(coalesce({O.guarded('discount_pct', O.RATE)}, CAST(0.0 AS {O.RATE})) AS DOUBLE) AS discount_pct
@@ -247,7 +268,7 @@ def q_fill(spark, sf):
     return d.select(
         "order_id",
         F.col("discount_pct").alias("discount_raw"),
-        C.fill_expr("discount_pct", 0.0, P.RATE_DECIMAL).cast("double").alias("discount_pct"),
+        C.fill_expr("discount_pct", 0.0, P.WIDE_RATE_DECIMAL).cast("double").alias("discount_pct"),
     )
 
 

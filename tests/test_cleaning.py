@@ -116,3 +116,30 @@ def test_format_verdict_three_outcomes(spark):
     assert verdict(["2025-03-25T14:30:00", "05/03/2025 14:30"])[0] == "ambiguous"
     v = verdict(["2025-03-25T14:30:00", "25/03/2025 14:30", "05/03/2025 14:30", "junk"])
     assert v[0] == "day_first" and v[2] == 2 and v[3] == 1
+
+
+def test_outliers_are_kept_and_counted(spark):
+    from tallyframe.functions.derive import derive, derive_counts
+
+    df = frame(spark, [row("o1", qty="12345678901", disc="0.25"), row("o2", disc="150"), row("o3", disc="0.1234567"),
+                       row("o4", disc="1e30"), row("o5", qty="99999999999999999999"), row("o6", disc="0.1234567890123")])
+    cost = spark.createDataFrame([("0.50",), ("0.12345",)], "cost_price string")
+    held = {r.column_name: r.not_held for r in C.held_counts(df, cost).collect()}
+    assert held == {"qty": 1, "unit_price": 0, "discount_pct": 2, "cost_price": 1}
+    assert C.null_rates(df).first().unparseable_filled == 0
+    out = derive(C.clean(df).withColumn("cost_price", F.lit("0.50"))).cache()
+    net = {r.order_id: r.net_revenue and format(r.net_revenue.normalize(), "f") for r in out.collect()}
+    assert net == {"o1": "92592591757.5", "o2": "-4470", "o3": "26.296299", "o4": None, "o5": None, "o6": "26.296296"}
+    assert {tuple(r) for r in derive_counts(out).collect()} == {("net_revenue", 1, 0), ("margin", 1, 0)}
+
+
+def test_largest_quantity_and_price_do_not_fail(spark):
+    from tallyframe.functions.derive import derive, derive_counts
+
+    df = frame(spark, [row("o1", qty="9223372036854775807", price="9999999999999.9999", disc="0"),
+                       row("o2", qty="9223372036854775807", price="10", disc="0.5")])
+    out = derive(C.clean(df).withColumn("cost_price", F.lit("0.50")))
+    got = {r.order_id: r for r in out.collect()}
+    assert got["o1"].gross_revenue is not None and got["o1"].net_revenue is None
+    assert format(got["o2"].net_revenue.normalize(), "f") == "46116860184273879035"
+    assert {tuple(r) for r in derive_counts(out).collect()} == {("net_revenue", 1, 1), ("margin", 1, 0)}
