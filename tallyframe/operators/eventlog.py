@@ -314,8 +314,8 @@ def contract_violations(ev: DataFrame) -> DataFrame:
     completions + unrecoverable failures); 4 a recoverable failure is followed by a retry
     and then a terminal (failures with no retry before the task's last terminal);
     5 artifact.created precedes its task's completion (created after the last completion
-    or with none); 6 chunks follow an opener (chunks with no opener before them);
-    7 run.completed is last (events after the first run.completed)."""
+    or with none); 6 chunks follow an opener (chunks with no opener before them; the rest of
+    rule 6 is in ``artifact_order_violations``); 7 run.completed is last (events after the first run.completed)."""
     per_run = ev.groupBy("run_id").agg(
         F.max("seq").alias("_max"), F.count(F.lit(1)).alias("_n"), F.count_distinct("seq").alias("_d"),
         F.min("seq").alias("_min"), F.min(F.when(_t("run.completed"), F.col("seq"))).alias("_done"),
@@ -364,6 +364,41 @@ def contract_violations(ev: DataFrame) -> DataFrame:
     )
 
 
+ORDER_PARTS = ("chunk_before_opener", "chunk_after_created", "opener_without_chunk")
+
+
+def artifact_order_violations(ev: DataFrame) -> DataFrame:
+    """E14, the whole of rule 6: (run_id, part, violations), every run and part.
+
+    The order is opener, one or more chunks, artifact.created (which may also come alone).
+    chunk_before_opener: chunks with no opener before them (rule 6 of ``contract_violations``);
+    chunk_after_created: opened chunks with an artifact.created after their last opener;
+    opener_without_chunk: openers with no chunk before the next artifact.created. An opener
+    with no artifact.created after it is not finished and counts nothing."""
+    key = ["run_id", "artifact_id"]
+    created = _t("artifact.created")
+    keyed = ev.filter(F.col("type").isin("artifact.streaming", "artifact.chunk", "artifact.created")).select(*key, "seq", "type")
+    mark = lambda at: at * 2 + created.cast("bigint")  # noqa: E731  position, and odd where it is a created
+    d = keyed.withColumn("_back", -F.col("seq")).withColumns({
+        "_open": F.when(_t("artifact.streaming"), F.col("seq")),
+        "_fore": F.when(~_t("artifact.chunk"), mark(F.col("seq"))),
+        "_next": F.when(~_t("artifact.streaming"), mark(F.col("_back"))),
+    })
+    d = blocked_running_max(d, key, "seq", "_open", "_last_open")
+    d = blocked_running_max(d, key, "seq", "_fore", "_last_mark")
+    d = blocked_running_max(d, key, "_back", "_next", "_next_mark")
+    odd = lambda c: F.coalesce(F.pmod(F.col(c), F.lit(2)) == 1, F.lit(False))
+    chunk, opened = _t("artifact.chunk"), F.col("_last_open").isNotNull()
+    counts = d.groupBy("run_id").agg(
+        F.count_if(chunk & ~opened).alias("p0"),
+        F.count_if(chunk & opened & odd("_last_mark")).alias("p1"),
+        F.count_if(_t("artifact.streaming") & odd("_next_mark")).alias("p2"),
+    )
+    stack = ", ".join(f"'{p}', coalesce(p{i}, 0L)" for i, p in enumerate(ORDER_PARTS))
+    return ev.select("run_id").distinct().join(counts, "run_id", "left").selectExpr(
+        "run_id", f"stack({len(ORDER_PARTS)}, {stack}) as (part, violations)")
+
+
 # ------------------------------------------------------------------ E17
 
 

@@ -911,6 +911,32 @@ def q_contract(spark, sf):
     return EV.contract_violations(event_log(spark, sf))
 
 
+@register("artifact_order_violations", f"""{O.EVENTS},
+c AS (SELECT run_id, artifact_id, seq, type FROM event_log WHERE type IN ('artifact.streaming', 'artifact.chunk', 'artifact.created')),
+m AS (
+  SELECT run_id, type,
+    max(seq) FILTER (WHERE type = 'artifact.streaming') OVER before AS last_open,
+    max(seq) FILTER (WHERE type = 'artifact.created') OVER before AS last_created,
+    min(seq) FILTER (WHERE type = 'artifact.chunk') OVER after AS next_chunk,
+    min(seq) FILTER (WHERE type = 'artifact.created') OVER after AS next_created
+  FROM c
+  WINDOW before AS (PARTITION BY run_id, artifact_id ORDER BY seq ROWS UNBOUNDED PRECEDING),
+         after AS (PARTITION BY run_id, artifact_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+p AS (
+  SELECT run_id,
+    count(*) FILTER (WHERE type = 'artifact.chunk' AND last_open IS NULL) AS p0,
+    count(*) FILTER (WHERE type = 'artifact.chunk' AND last_created > last_open) AS p1,
+    count(*) FILTER (WHERE type = 'artifact.streaming' AND next_created IS NOT NULL AND (next_chunk IS NULL OR next_chunk > next_created)) AS p2
+  FROM m GROUP BY run_id),
+r AS (SELECT DISTINCT run_id FROM event_log)
+""" + "\nUNION ALL\n".join(
+    f"SELECT run_id, '{part}' AS part, CAST(coalesce(p{i}, 0) AS BIGINT) AS violations FROM r LEFT JOIN p USING (run_id)"
+    for i, part in enumerate(EV.ORDER_PARTS)
+))
+def q_artifact_order(spark, sf):
+    return EV.artifact_order_violations(event_log(spark, sf))
+
+
 @register("step_progress", O.with_chain(O.EVENT_LOG, O.task_fields_cte()) + """,
 lastplan AS (SELECT pt.run_id, pt.task_id FROM plan_tasks pt JOIN lp ON pt.run_id = lp.run_id AND pt.seq = lp.lp),
 declared AS (SELECT run_id, task_id, unnest(['s0', 's1', 's2', 's3']) AS step_id FROM lastplan),

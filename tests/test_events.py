@@ -197,3 +197,16 @@ def test_latest_rows_keeps_keys_not_updated_in_the_last_batch(spark):
     b1.write.parquet(f"{out}/batch=1")
     got = sorted(tuple(r) for r in ES.latest_rows(spark, out, ["run_id", "task_id"]).collect())
     assert got == [("r1", "t1", "running"), ("r1", "t2", "completed")]
+
+
+def test_artifact_order_whole_rule(spark, schema):
+    def parts(*names):
+        ev = run(spark, schema, [{"type": f"artifact.{n}", "artifact_id": "x"} for n in names])
+        return tuple({r.part: r.violations for r in EV.artifact_order_violations(ev).collect()}[p] for p in EV.ORDER_PARTS)
+
+    assert parts("streaming", "chunk", "chunk", "created") == (0, 0, 0)
+    assert parts("created") == parts("streaming") == (0, 0, 0)
+    assert parts("streaming", "chunk", "created", "chunk") == (0, 1, 0)
+    assert parts("streaming", "created") == (0, 0, 1)
+    assert parts("chunk", "created", "chunk", "streaming", "created", "chunk") == (2, 1, 1)
+    assert parts("streaming", "chunk", "created", "streaming", "chunk", "created") == (0, 0, 0)
