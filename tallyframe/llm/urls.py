@@ -1,10 +1,11 @@
 """URL filters: rules first, then naive Bayes over segmented host words and path tokens.
 
-Word counts come from the text of every page (tags removed), by a grouped count. A host token such
-as ``spamfarm`` is split by a unigram Viterbi: of all ways to cut it the likeliest, where a word of
+Word counts come from the text of every page (tags removed), by a grouped count. Words are runs of
+letters of any script with their marks, of any length. A host token such as ``spamfarm`` is split by a unigram Viterbi: of all ways to cut it the likeliest, where a word of
 the corpus has its relative frequency and an unseen piece a price that grows tenfold a letter. The
 vocabulary is never broadcast: only the pieces of distinct host tokens are looked up in it, by a
 join, and each token's own pieces (at most ``LONGEST`` a letter) come together for its Viterbi.
+``LONGEST`` is the length of a label in a host name; a token above it may still be one word as a whole.
 
 The classifier learns from the URLs that a rule decides and judges those that none does. Its counts
 are kept in ``2**BITS`` hash buckets, which bounds what is broadcast; multinomial, add-one.
@@ -32,7 +33,7 @@ from tallyframe.llm.common import ROW, column_lists, salted_left_join, with_row
 from tallyframe.session import materialize
 
 BITS = 16
-LONGEST = 20
+LONGEST = 63
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +68,7 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def host_tokens(host: Column) -> Column:
-    return F.filter(F.split(host, "[^a-z0-9]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(host), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
 def path_tokens(path: Column) -> Column:
@@ -79,7 +80,7 @@ def path_tokens(path: Column) -> Column:
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """word, n over the text of all pages."""
     text = F.regexp_replace(F.lower(F.col(html_col)), "<[^>]*>", " ")
-    return pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("word")).where(F.char_length("word").between(1, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(token: str, logs: dict[str, float], unseen: float) -> list[str]:
@@ -92,6 +93,8 @@ def viterbi(token: str, logs: dict[str, float], unseen: float) -> list[str]:
             value = best[start] + logs.get(piece, unseen - (end - start) * math.log(10))
             if value > best[end]:
                 best[end], cut[end] = value, start
+    if len(token) > LONGEST and logs.get(token, -math.inf) > best[-1]:
+        return [token]
     pieces, end = [], len(token)
     while end:
         pieces.append(token[cut[end] : end])
@@ -104,7 +107,8 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     parts = hosts.select("host", F.posexplode(host_tokens(F.col("host"))).alias("at", "token"))
     tokens = parts.select("token").distinct()
     starts = tokens.select("token", F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("start"))
-    pieces = starts.select("token", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.char_length("token") - F.col("start") + 1))).alias("long"), "start").select("token", F.substring("token", F.col("start"), F.col("long")).alias("word")).distinct()
+    pieces = starts.select("token", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.char_length("token") - F.col("start") + 1))).alias("long"), "start").select("token", F.substring("token", F.col("start"), F.col("long")).alias("word"))
+    pieces = pieces.unionByName(tokens.select("token", F.col("token").alias("word")).where(F.char_length("token") > LONGEST)).distinct()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first().total
     known = pieces.join(counts, "word").groupBy("token").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))  # at most LONGEST a letter
     unseen = -math.log(max(1, total))

@@ -113,3 +113,14 @@ def test_viterbi_takes_the_likeliest_cut():
     assert urls.viterbi("abc", logs, math.log(1e-6)) == ["ab", "c"]
     assert urls.viterbi("", logs, -1.0) == []
     assert "".join(urls.viterbi("x" * 500, {}, -5.0)) == "x" * 500
+
+
+def test_words_of_any_script_and_length(spark):
+    long, longer = "donaudampfschifffahrtsgesellschaft", "x" * 70 + "y"
+    text = " ".join(["société"] * 30 + ["новости"] * 30 + ["мира"] * 30 + [long] * 20 + [longer] * 20 + ["haus"] * 20)
+    pages = pages_of(spark, [(1, "http://новостимира.example/", f"<p>{text}</p>"), (2, "http://SOCIÉTÉhaus.example/", None), (3, f"http://haus{long}.example/", None), (4, f"http://{longer}.example/", None)])
+    counts = {r.word: r.n for r in urls.word_counts(pages).collect()}
+    assert counts == {"société": 30, "новости": 30, "мира": 30, long: 20, longer: 20, "haus": 20}
+    of = {r.page_id: r.words for r in urls.judge(spark, pages, salts=3).collect()}
+    assert of[1][:2] == ["новости", "мира"] and of[2][:2] == ["société", "haus"]
+    assert of[3][:2] == ["haus", long] and of[4][0] == longer
