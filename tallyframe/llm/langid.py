@@ -156,19 +156,25 @@ def shares(rows: list[np.ndarray], words: Words, transition: np.ndarray, cells:
     return out
 
 
-def fit(texts: list[str], languages: list[str], stretch: int, pieces: int, epochs: int = 6, rate: float = 0.3, batch: int = 256) -> dict:
-    """Weights, transitions, lexicon and languages."""
+def stretches(text: str, stretch: int, pieces: int) -> tuple[str, str]:
+    """What is learnt of a text: its distinct words, and the stretches (one a line) of its words."""
+    words = [w for w in map(bare, text.split()) if w]
+    starts = range(0, len(words), stretch)
+    some = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, pieces).astype(int))] if words else []
+    return " ".join(dict.fromkeys(words)), "\n".join(" ".join(words[s : s + stretch]) for s in some)
+
+
+def fit(words: list[str], lines: list[str], languages: list[str], epochs: int = 6, rate: float = 0.3, batch: int = 256) -> dict:
+    """Weights, transitions, lexicon and languages. ``words`` and ``lines`` as by ``stretches``."""
     names = sorted(set(languages))
     label = {name: i for i, name in enumerate(names)}
     chains, gold = [], []
     counts: dict[str, Counter] = {}
-    for text, language in zip(texts, languages):
-        words = [w for w in map(bare, text.split()) if w]
-        for w in set(words):
+    for distinct, some, language in zip(words, lines, languages):
+        for w in distinct.split():
             counts.setdefault(w, Counter())[label[language]] += 1
-        starts = range(0, len(words), stretch)
-        for s in [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, pieces).astype(int))] if words else []:
-            chains.append(words[s : s + stretch])
+        for line in some.split("\n") if some else []:
+            chains.append(line.split())
             gold.append(label[language])
     sizes = Counter(label[x] for x in languages)
     lexicon = {}
@@ -221,14 +227,21 @@ def fit(texts: list[str], languages: list[str], stretch: int, pieces: int, epoch
 
 def train(docs: DataFrame, learn_from: Column, sample: int = 3000, pieces: int = 4, stretch: int = 48, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(learn_from & F.expr("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()  # the bound of what is broadcast
-    some = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound of what is broadcast
+    # One row an id, reduced in each task: an id that many rows have neither fills the sample nor the one group.
+    some = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.*")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            words, lines = zip(*[stretches(t, stretch, pieces) for t in d["text"]]) if len(d) else ((), ())
+            yield pd.DataFrame({"doc_id": d["doc_id"], "lang": d["lang"], "words": list(words), "lines": list(lines)})
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "lang", "text"])
-        return pd.DataFrame({"model": [pickle.dumps(fit(group["text"].tolist(), group["lang"].tolist(), stretch, pieces))]})
+        group = group.sort_values("doc_id")
+        return pd.DataFrame({"model": [pickle.dumps(fit(group["words"].tolist(), group["lines"].tolist(), group["lang"].tolist()))]})
 
-    found = some.groupBy().applyInPandas(one, "model binary").first()
+    kind = some.schema["doc_id"].dataType.simpleString()
+    found = some.mapInPandas(cut, f"doc_id {kind}, lang string, words string, lines string").groupBy().applyInPandas(one, "model binary").first()
     return pickle.loads(found.model) if found else None
 
 

@@ -264,3 +264,11 @@ def test_forward_backward_is_exact():
             for t, y in enumerate(path):
                 sums[t, y] += p
         assert np.allclose(got[c, : len(row)], sums / sums.sum(axis=1, keepdims=True))
+
+
+def test_language_sample_has_one_row_an_id(spark):
+    """An id that most rows have is one document of the sample, wherever it falls in the order."""
+    for hot in range(1, 6):
+        rows = [(i, f"wort{i} haus und hof", "de") for i in range(1, 6) if i != hot]
+        rows += [(hot, f"the house and {i}", "en") for i in range(200)]
+        assert langid.train(frame(spark, rows), F.lit(True), sample=5)["names"] == ["de", "en"]
