@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordering import blocked_running_max
+from tallyframe.operators.ordering import running
 
 STATUS_TYPES = ("task.ready", "task.started", "task.retried", "task.failed", "task.completed")
 OWNER_TYPES = ("task.started", "task.failed", "task.completed")
@@ -47,9 +47,9 @@ def dedupe_events(ev: DataFrame) -> DataFrame:
 
 
 def run_clock(ev: DataFrame, reported: str = "at", out: str = "clock") -> DataFrame:
-    """The run clock = running max of reported times in seq order, per run (blocked,
-    so one long run is spread over many tasks)."""
-    return blocked_running_max(ev, ["run_id"], "seq", reported, out)
+    """The run clock = running max of reported times in seq order, per run (by ranges of
+    the order, so one long run is spread over many tasks)."""
+    return running(ev, ["run_id"], ["seq"], values={out: ("max", F.col(reported))})
 
 
 # ------------------------------------------------------------------ E4, E5, E15
@@ -384,9 +384,8 @@ def artifact_order_violations(ev: DataFrame) -> DataFrame:
         "_fore": F.when(~_t("artifact.chunk"), mark(F.col("seq"))),
         "_next": F.when(~_t("artifact.streaming"), mark(F.col("_back"))),
     })
-    d = blocked_running_max(d, key, "seq", "_open", "_last_open")
-    d = blocked_running_max(d, key, "seq", "_fore", "_last_mark")
-    d = blocked_running_max(d, key, "_back", "_next", "_next_mark")
+    d = running(d, key, ["seq"], values={"_last_open": ("max", F.col("_open")), "_last_mark": ("max", F.col("_fore"))})
+    d = running(d, key, ["_back"], values={"_next_mark": ("max", F.col("_next"))})
     odd = lambda c: F.coalesce(F.pmod(F.col(c), F.lit(2)) == 1, F.lit(False))
     chunk, opened = _t("artifact.chunk"), F.col("_last_open").isNotNull()
     counts = d.groupBy("run_id").agg(

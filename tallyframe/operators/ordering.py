@@ -1,68 +1,76 @@
 """Order-dependent helpers that stay skew-safe.
 
 A window partitioned by one key puts every row of that key in one task. When one run, user
-or group may hold a third of all rows, that task is the whole job. The helpers below split a
-key into *blocks* that follow the ordering (an hour of timestamps, a range of sequence
-numbers), do the windowed work per (key, block), and carry what crosses a block boundary
-(a row offset, a running maximum) through a small per-block table.
+or group may hold a third of all rows, that task is the whole job. ``running`` deals the rows
+by ranges of (keys, order) instead, so that a hot key lies in as many ranges as it needs, does
+the windowed work per (range, key), and carries what crosses a boundary (a count, a sum, a
+maximum) through a table of one row per range and key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import materialize
 
-def blocked_row_number(
-    df: DataFrame,
-    partition_cols: list[str],
-    order_cols: list[str],
-    block_col: Column,
-    out_col: str = "row_number",
-) -> DataFrame:
-    """1-based row_number() over (partition by keys order by order_cols), computed per block.
+_MERGE = {"sum": (F.sum, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
-    ``block_col`` must never decrease along ``order_cols`` within a key (e.g. the hour of a
-    timestamp that leads the ordering). Work per task is bounded by the block size, not by
-    the key size; the per-block count table is (keys x blocks) rows.
-    """
-    d = df.withColumn("_blk", block_col)
-    counts = d.groupBy(*partition_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*partition_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*partition_cols, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(*partition_cols, "_blk").orderBy(*order_cols)
-    return (
-        d.join(offsets, [*partition_cols, "_blk"])
-        .withColumn(out_col, F.row_number().over(within) + F.col("_off"))
-        .drop("_blk", "_off")
-    )
+
+def _named(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def blocked_running_max(
+def running(
     df: DataFrame,
-    partition_cols: list[str],
-    order_col: str,
-    value_col: str,
-    out_col: str,
-    block_size: int = 1 << 20,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    row_number: str | None = None,
+    values: Mapping[str, tuple[str, Column]] | None = None,
+    before: bool = False,
 ) -> DataFrame:
-    """Running max of ``value_col`` over (partition by keys order by ``order_col`` range
-    unbounded preceding), for an integer ``order_col`` (a sequence number).
+    """``df`` with running figures over (partition by ``keys`` order by ``order``).
+
+    ``row_number`` names a 1-based number; ``values`` maps a new column to ("sum" | "max" | "min",
+    expression), taken up to and with the row, or without it if ``before``. Rows that tie in
+    ``order`` share one "max" and "min"; for numbers and sums ``order`` should be unique. Null
+    keys are keys. ``sum`` before the first row, and "max" of nothing, are null.
 
-    Blocks are ``order_col div block_size``; the max of all earlier blocks comes from a
-    per-block aggregate (partial aggregation, so a hot key costs nothing extra)."""
-    d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_size)))
-    per_block = d.groupBy(*partition_cols, "_blk").agg(F.max(value_col).alias("_bmax"))
-    before = Window.partitionBy(*partition_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.select(*partition_cols, "_blk", F.max("_bmax").over(before).alias("_carry"))
-    within = (
-        Window.partitionBy(*partition_cols, "_blk")
-        .orderBy(order_col)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)  # rows of one number get one answer
+    The rows are range-partitioned by keys and order and written once (equal rows are never
+    parted), so a window holds at most one range of one key, whatever the key holds; the table
+    of carried figures has at most (keys + ranges) rows."""
+    values = dict(values or {})
+    if row_number:
+        values[row_number] = ("sum", F.lit(1).cast("bigint"))
+    by = _named(order)
+    inputs = {f"_v{i}": expr for i, (_, expr) in enumerate(values.values())}
+    dealt = materialize(
+        df.withColumns(inputs).repartitionByRange(*[F.col(k) for k in keys], *by).withColumn("_part", F.spark_partition_id()), "ranges"
     )
-    local = F.max(value_col).over(within)
-    return (
-        d.join(carried, [*partition_cols, "_blk"])
-        .withColumn(out_col, F.greatest(local, F.col("_carry")))
-        .drop("_blk", "_carry")
+    group = ["_part", *keys]
+    totals = dealt.groupBy(*group).agg(*[_MERGE[kind][0](v).alias(f"_t{v}") for v, (kind, _) in zip(inputs, values.values())])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[_MERGE[kind][0](f"_t{v}").over(earlier).alias(f"_c{v}") for v, (kind, _) in zip(inputs, values.values())],
     )
+    local = Window.partitionBy(*group).orderBy(*by)
+    out = dealt
+    for v, (name, (kind, _)) in zip(inputs, values.items()):
+        if kind == "sum":
+            frame = local.rowsBetween(Window.unboundedPreceding, -1 if before and name != row_number else Window.currentRow)
+        elif before:
+            frame = local.rowsBetween(Window.unboundedPreceding, -1)
+        else:
+            frame = local.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"_l{v}", _MERGE[kind][0](v).over(frame))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_p"))
+    out = out.join(carried, same)
+    both = {}
+    for v, (name, (kind, _)) in zip(inputs, values.items()):
+        here, past = F.col(f"_l{v}"), F.col(f"_c{v}")
+        both[name] = F.coalesce(_MERGE[kind][1](here, past), here, past)
+    return out.withColumns(both).select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *[F.col(f"`{n}`") for n in values])

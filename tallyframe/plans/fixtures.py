@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordering import blocked_row_number
+from tallyframe.operators.ordering import running
 from tallyframe.sources.tables import read_table
 
 
@@ -148,19 +148,12 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_id, seq, at, ts, type, task_id, agent_id, recoverable, attempt, level, message,
     step_id, pct, artifact_id, text, title, seed, speed, duration_ms, error, plan_tasks, k.
 
-    ``seq`` is the dense position per run in (ts, event_id) order, numbered with a blocked
-    window so one huge run is split across many tasks (see ``blocked_row_number``); ``at``
-    is milliseconds since the run's first event."""
+    ``seq`` is the dense position per run in (ts, event_id) order, numbered by ranges of that
+    order so one huge run is split across many tasks (see ``ordering.running``); ``at`` is
+    milliseconds since the run's first event, whose time is the running minimum."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    numbered = blocked_row_number(
-        ev,
-        partition_cols=["user_id"],
-        order_cols=["ts", "event_id"],
-        block_col=F.date_trunc("hour", F.col("ts")),
-        out_col="_rn",
-    )
-    first_ts = ev.groupBy("user_id").agg(F.min("ts").alias("_t0"))
+    numbered = running(ev, ["user_id"], ["ts", "event_id"], row_number="_rn", values={"_t0": ("min", F.col("ts"))})
     k = F.col("k")
     typ = F.col("type")
     at = F.floor(F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts")) / 1000).cast("bigint")
@@ -172,7 +165,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*[F.lit(s) for s in PLAN_STEPS]).alias("steps"),
         ),
     )
-    base = numbered.join(first_ts, "user_id").select(
+    base = numbered.select(
         "user_id", "ts", "k", "_t0", (F.col("_rn") - 1).alias("seq"),
         _event_type(F.col("event_type"), k).alias("type"),
     )

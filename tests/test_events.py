@@ -1,5 +1,7 @@
 """Event log: hand-written runs with hand-worked expectations, streaming vs batch."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,23 +114,51 @@ def test_run_clock_is_running_max(spark, schema):
     assert [r.clock for r in EV.run_clock(ev).orderBy("seq").collect()] == [5, 5, 9, 9]
 
 
-def test_blocked_running_max_crosses_blocks(spark):
-    from tallyframe.operators.ordering import blocked_running_max
-
-    df = spark.createDataFrame([("r", i, v) for i, v in enumerate([4, 1, 7, 2, 2, 8, 0])], "run_id string, seq long, v long")
-    out = blocked_running_max(df, ["run_id"], "seq", "v", "m", block_size=2).orderBy("seq")
-    assert [r.m for r in out.collect()] == [4, 4, 7, 7, 7, 8, 8]
-
-
-def test_blocked_row_number_matches_window(spark):
+def test_running_matches_windows(spark):
+    """Numbers, sums, maxima and minima over ranges equal plain windows: a hot key over every range, null
+    keys, ties, rows before and up to."""
     from pyspark.sql import Window
 
-    from tallyframe.operators.ordering import blocked_row_number
-
-    df = spark.range(200).select((F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).alias("o"), F.col("id"))
-    got = blocked_row_number(df, ["g"], ["o", "id"], F.floor(F.col("o") / 10), "rn")
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
-    assert sorted(got.collect()) == sorted(want.collect())
+    from tallyframe.operators.ordering import running
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(400).select(
+            F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 6 == 0, F.concat(F.lit("k"), F.col("id") % 5)).alias("g"),
+            ((F.col("id") * 37) % 101).alias("o"), "id", F.when(F.col("id") % 4 > 0, (F.col("id") * 53) % 89).alias("v"),
+        )
+        w = Window.partitionBy("g").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, 0)
+        got = running(df, ["g"], ["o", "id"], "rn", {"s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v"))})
+        want = df.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("hi"), F.min("v").over(w).alias("lo"),
+                         F.row_number().over(Window.partitionBy("g").orderBy("o", "id")).cast("long").alias("rn"))
+        assert Counter(got.collect()) == Counter(want.select(got.columns).collect())
+        w = Window.partitionBy("g").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, -1)
+        got = running(df, ["g"], ["o", "id"], values={"s": ("sum", F.col("v")), "hi": ("max", F.col("v"))}, before=True)
+        want = df.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("hi"))
+        assert Counter(got.collect()) == Counter(want.collect())
+        w = Window.partitionBy("g").orderBy(F.desc("o"))
+        got = running(df, ["g"], [F.desc("o")], values={"hi": ("max", F.col("v"))})  # ties share
+        assert Counter(got.collect()) == Counter(df.select("*", F.max("v").over(w).alias("hi")).collect())
+        assert running(df.where("false"), [], ["o"], "rn").collect() == []
+        assert sorted(r.rn for r in running(df, [], ["o", "id"], "rn").collect()) == list(range(1, 401))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ranges_stay_bounded(spark):
+    """One key with all rows lies in several ranges, each a part of the rows."""
+    from tallyframe.operators import ordering
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = []
+        real, ordering.materialize = ordering.materialize, lambda df, name: seen.append(real(df, name)) or seen[-1]
+        ordering.running(spark.range(5000).withColumn("g", F.lit(1)), ["g"], ["id"], "rn").collect()
+        sizes = [r["count"] for r in seen[0].groupBy("_part").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2000
+    finally:
+        ordering.materialize = real
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_log_tail_limits(spark, schema):
