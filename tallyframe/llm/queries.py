@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, langid, packing, quality, secrets, simhash, suffix_dedup, urls, warc
+from tallyframe.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, urls, warc
 from tallyframe.llm.common import table
 from tallyframe.session import materialize, scratch_path
 
@@ -139,3 +139,24 @@ def op9_language_id(spark, sf):
 @register("op10_url_filters")
 def op10_url_filters(spark, sf):
     return urls.judge(spark, table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op13_mixing", r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2])[(place - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, cap / weight AS full_at, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
+             coalesce(sum(source_size) OVER p, 0) AS size_before, coalesce(sum(weight) OVER p, 0) AS weight_before
+      FROM w WINDOW p AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, full_at < (1.5::DOUBLE * all_size - 2.0::DOUBLE * size_before) / (all_weight - weight_before) AS is_full FROM l),
+o AS (SELECT coalesce(sum(source_size) FILTER (WHERE is_full), 0) AS full_size, sum(weight) FILTER (WHERE NOT is_full) AS open_weight FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, weight * ((1.5::DOUBLE * all_size - 2.0::DOUBLE * full_size) / open_weight)) END AS target,
+             coalesce('=' || source, 'null') AS name FROM f CROSS JOIN o),
+j AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.name,
+             CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 1099511627776) ELSE 0 END::HUGEINT AS parts,
+             ('0x' || substr(sha256('mix|' || t.name), 1, 10))::HUGEINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, start + sum(parts) OVER (PARTITION BY name ORDER BY size DESC, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS reach FROM j)
+SELECT doc_id, size, source_size, target, ((reach // 1099511627776 - (reach - parts) // 1099511627776) * size)::BIGINT AS taken FROM e""")
+def op13_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
