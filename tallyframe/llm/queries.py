@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, urls, warc
+from tallyframe.llm import decontaminate, exact_dedup, langid, lexical, mixing, negatives, packing, quality, secrets, simhash, suffix_dedup, urls, warc
 from tallyframe.llm.common import table
 from tallyframe.session import materialize, scratch_path
 
@@ -160,3 +160,33 @@ e AS (SELECT *, start + sum(parts) OVER (PARTITION BY name ORDER BY size DESC, d
 SELECT doc_id, size, source_size, target, ((reach // 1099511627776 - (reach - parts) // 1099511627776) * size)::BIGINT AS taken FROM e""")
 def op13_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op11_ranked_search", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, i, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+      FROM (SELECT item_id, text, row_number() OVER () AS i FROM benchmark WHERE text IS NOT NULL)),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN c GROUP BY term),
+s AS (SELECT q.item_id, q.i, p.r, p.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) CROSS JOIN c GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""")
+def op11_ranked_search(spark, sf):
+    return lexical.search(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50).select("item_id", "rank", "doc_id", "score")
+
+
+@register("op12_hard_negatives", r"""
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.r AS ar, o.vec_id AS id, o.r, a.label = o.label AS same, list_inner_product(a.v, o.v)::BIGINT AS score FROM e a JOIN e o ON a.r <> o.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, id AS positive_id, r AS pr, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, r) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY ar, pr ORDER BY score DESC, id, r)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p USING (ar) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY ar, pr ORDER BY score DESC, id, r) <= 3""")
+def op12_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, label)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -75,7 +75,7 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 
 def test_every_query_is_registered():
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 14))
     assert set(entry.queries()) >= set(queries.QUERIES) | {"pipeline"}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
