@@ -242,7 +242,8 @@ def test_mining_large_numbers_and_edges(spark):
 def test_coordinate_ranges_leave_rows_out():
     """Feasible ranges hold every row that reaches theta, and few others where vectors are skewed."""
     rng = np.random.default_rng(2)
-    m = np.floor(rng.normal(size=(4000, 12)) * np.geomspace(1, 0.02, 12) * 1000)
+    m = rng.normal(size=(4000, 12)) * np.geomspace(1, 0.02, 12)
+    m = np.floor(1000 * m / np.linalg.norm(m, axis=1)[:, None])  # as in a bucket: about one length
     order = np.argsort(m / negatives.lengths(m)[:, None], axis=0, kind="stable").T.astype(np.int32)
     kind, raw = negatives.smallest(m)
     bucket = negatives.Bucket({"n": 4000, "most": float(negatives.lengths(m).max()), "ids": list(range(4000)), "labels": [0] * 4000, "rows": list(range(4000)), "kind": kind, "vectors": raw, "order": order.tobytes()}, 12)
