@@ -6,7 +6,7 @@ G3 closure: frontier doubling - round r joins the pairs at distance exactly 2^r
    about log2(depth) rounds, and it ends on cycles. Every round's new pairs are written to
    the session's shared checkpoint folder so the lineage (and a lost executor's recompute)
    stays one round deep.
-G2 cycle members: nodes that reach themselves in the closure.
+G2 cycle members: nodes of strongly connected components (``cycles``), without a closure.
 G4 levels: peel nodes whose parents are all done, round by round (round = level), each
    round writing only its new nodes; nodes in or behind a cycle never peel (counted, not
    named, by ``cycle_summary``).
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.cycles import strong_components
 from tallyframe.session import materialize
 
 K = ["group_id"]
@@ -78,9 +79,10 @@ def closure(edges: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
-def cycle_members(pairs: DataFrame) -> DataFrame:
-    """(group_id, node) for nodes that can reach themselves."""
-    return pairs.filter(F.col("node") == F.col("ancestor")).select(*K, "node").distinct()
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(group_id, node) for nodes that can reach themselves, from the good edges: the nodes of
+    the strongly connected components, found without a closure (see ``cycles``)."""
+    return strong_components(edges).select(*K, "node")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -109,26 +111,13 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
-def blocked_edges(edges: DataFrame, nodes: DataFrame, lv: DataFrame) -> DataFrame:
-    """The good edges between nodes that never peel: every cycle lies in them, so that only they
-    need a closure to find its members."""
-    done = lv.select(*K, F.col("node"))
-    e = good_edges(edges, nodes)
-    for end in ("child", "parent"):
-        e = e.join(done.withColumnRenamed("node", end), [*K, end], "left_anti")
-    return e
-
-
-def cycle_summary(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, lv: DataFrame) -> DataFrame:
+def cycle_summary(nodes: DataFrame, members: DataFrame, lv: DataFrame) -> DataFrame:
     """G2 counts: (group_id, nodes, members, stuck) - stuck = not leveled and not a member."""
-    all_nodes = nodes.select(*K, "node").distinct()
-    members = cycle_members(pairs)
-    blocked = all_nodes.join(lv.select(*K, "node"), [*K, "node"], "left_anti")
-    stuck = blocked.join(members, [*K, "node"], "left_anti")
-    return (
-        all_nodes.groupBy(*K).agg(F.count(F.lit(1)).alias("nodes"))
-        .join(members.groupBy(*K).agg(F.count(F.lit(1)).alias("members")), K, "left")
-        .join(stuck.groupBy(*K).agg(F.count(F.lit(1)).alias("stuck")), K, "left")
-        .select(*K, "nodes", F.coalesce("members", F.lit(0).cast("bigint")).alias("members"),
-                F.coalesce("stuck", F.lit(0).cast("bigint")).alias("stuck"))
+    mark = lambda df, name: df.select(*K, "node").distinct().withColumn(name, F.lit(True))
+    known = nodes.select(*K, "node").distinct()
+    told = known.join(mark(lv, "_leveled"), [*K, "node"], "left").join(mark(members, "_member"), [*K, "node"], "left")
+    return told.groupBy(*K).agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if("_member").alias("members"),
+        F.count_if(F.col("_leveled").isNull() & F.col("_member").isNull()).alias("stuck"),
     )
