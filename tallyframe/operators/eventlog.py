@@ -3,8 +3,11 @@
 The input is an ordered log of typed events keyed by (run_id, seq) with the superset schema
 of ``plans/fixtures.event_log``. A per-run fold is re-expressed as grouped aggregates: "last
 event wins" is ``max_by(value, seq)`` (partial aggregation, so a hot run or task is reduced
-in every map task before the shuffle); resets are a per-run boundary joined back; ordered
-concatenation collects (seq, text) pairs only for the one output string they build.
+in every map task before the shuffle); resets are a per-run boundary joined back; positions and
+text offsets are running figures by ranges (``ordering.running``), so lists are rows with a
+position and texts are rows of blocks with an offset, whatever a run or a text holds.
+``stream_text``, ``artifact_list`` and ``run_summary`` put these rows together into one value a
+text or run, which only fits where that value does.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from tallyframe.operators.ordering import running
 STATUS_TYPES = ("task.ready", "task.started", "task.retried", "task.failed", "task.completed")
 OWNER_TYPES = ("task.started", "task.failed", "task.completed")
 TERMINAL = "task.completed"
+#: The record that a completed task carries.
+METRICS = "struct<rows_in:bigint,rows_out:bigint,rows_dropped:bigint,columns_added:array<string>,null_rates:map<string,double>,duration_ms:bigint>"
+#: Characters that a block of a text is cut at.
+BLOCK_CHARS = 1 << 16
 
 
 def _t(name: str) -> Column:
@@ -72,6 +79,7 @@ def _task_rows(ev: DataFrame) -> DataFrame:
         F.col("_p.agent_id").alias("owner"),
         F.lit(None).cast("int").alias("attempt"),
         F.lit(None).cast("double").alias("progress"),
+        F.lit(None).cast(METRICS).alias("metrics"),
     )
     facts = ev.filter(F.col("type").isin(*STATUS_TYPES, "task.progress")).select(
         "run_id",
@@ -81,12 +89,23 @@ def _task_rows(ev: DataFrame) -> DataFrame:
         F.when(F.col("type").isin(*OWNER_TYPES), F.col("agent_id")).alias("owner"),
         F.when(_t("task.retried"), F.col("attempt")).alias("attempt"),
         F.when(_t("task.progress"), F.col("pct")).when(_t(TERMINAL), F.lit(1.0)).alias("progress"),
+        F.when(_t(TERMINAL), F.col("metrics")).alias("metrics"),
     )
     return plan.unionByName(facts)
 
 
+def metric_columns(metrics: str = "metrics") -> list[Column]:
+    """A task's metrics record as columns; lists and maps as text ("a,b", "a=0.5,b=0.0")."""
+    m = F.col(metrics)
+    rates = F.array_sort(F.transform(F.map_entries(m["null_rates"]), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return [m["rows_in"].alias("rows_in"), m["rows_out"].alias("rows_out"), m["rows_dropped"].alias("rows_dropped"),
+            F.array_join(m["columns_added"], ",").alias("columns_added"), F.array_join(rates, ",").alias("null_rates"),
+            m["duration_ms"].alias("task_ms")]
+
+
 def task_fields(ev: DataFrame) -> DataFrame:
-    """E4 + E5: (run_id, task_id, status, owner, attempts, progress) per task.
+    """E4 + E5: (run_id, task_id, status, owner, attempts, progress, metrics) per task; the metrics
+    are those of the last completion that has some.
 
     A plan.built replaces the status and owner maps: every planned task becomes 'pending'
     with the plan's owner and tasks outside the plan leave both maps. So status and owner
@@ -99,6 +118,7 @@ def task_fields(ev: DataFrame) -> DataFrame:
         last_by(F.when(after, F.col("owner"))).alias("owner"),
         last_by(F.col("attempt")).alias("attempts"),
         last_by(F.col("progress")).alias("progress"),
+        last_by(F.col("metrics")).alias("metrics"),
     )
     return g.filter(
         F.col("status").isNotNull() | F.col("owner").isNotNull() | F.col("attempts").isNotNull() | F.col("progress").isNotNull()
@@ -154,19 +174,33 @@ def _opened(ev: DataFrame) -> DataFrame:
     return keyed.join(opener, ["run_id", "artifact_id"])
 
 
-def stream_text(ev: DataFrame) -> DataFrame:
-    """(run_id, artifact_id, text, chars, complete) per opened stream.
-
-    An opener (re)starts the text; chunks after the latest opener are concatenated in seq
-    order; chunks with no opener before them are dropped; the stream is complete when an
-    artifact.created follows the latest opener."""
-    live = F.col("seq") > F.col("_open")
-    g = _opened(ev).groupBy("run_id", "artifact_id").agg(
-        F.collect_list(F.when(live & _t("artifact.chunk"), F.struct("seq", "text"))).alias("_chunks"),
-        F.bool_or(live & _t("artifact.created")).alias("complete"),
+def stream_blocks(ev: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """E8 in rows: (run_id, artifact_id, block, offset, text, chars) of opened streams, in order the
+    whole text.
+
+    An opener (re)starts the text; chunks after the latest opener follow in seq order; chunks with
+    no opener before them are dropped. A chunk's offset is the running sum of the lengths before
+    it, and it goes to the block in which it begins, so a block holds ``block_chars`` characters
+    and the rest of its last chunk, however long the text."""
+    chunks = _opened(ev).filter(_t("artifact.chunk") & (F.col("seq") > F.col("_open")) & (F.length("text") > 0))
+    placed = running(chunks.select("run_id", "artifact_id", "seq", "text"), ["run_id", "artifact_id"], ["seq"],
+                     values={"_end": ("sum", F.length("text").cast("bigint"))})
+    start = F.col("_end") - F.length("text")
+    keyed = placed.withColumns({"_start": start, "block": F.floor(start / F.lit(block_chars)).cast("bigint")})
+    g = keyed.groupBy("run_id", "artifact_id", "block").agg(
+        F.min("_start").alias("offset"),
+        F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_chunks"),  # at most block_chars
     )
-    text = F.array_join(F.transform(F.array_sort("_chunks"), lambda c: c["text"]), "")
-    return g.select("run_id", "artifact_id", text.alias("text"), F.length(text).cast("bigint").alias("chars"), "complete")
+    text = F.array_join(F.transform("_chunks", lambda c: c["text"]), "")
+    return g.select("run_id", "artifact_id", "block", "offset", text.alias("text"), F.length(text).cast("bigint").alias("chars"))
+
+
+def stream_text(ev: DataFrame) -> DataFrame:
+    """(run_id, artifact_id, text, chars, complete) per opened stream, its blocks put together.
+    The stream is complete when an artifact.created follows the latest opener."""
+    whole = stream_blocks(ev).groupBy("run_id", "artifact_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("_blocks"))
+    text = F.coalesce(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(""))
+    return stream_sizes(ev).join(whole, ["run_id", "artifact_id"], "left").select("run_id", "artifact_id", text.alias("text"), "chars", "complete")
 
 
 def stream_sizes(ev: DataFrame) -> DataFrame:
@@ -178,31 +212,39 @@ def stream_sizes(ev: DataFrame) -> DataFrame:
     )
 
 
-def _artifacts_agg() -> Column:
-    return F.collect_list(F.when(_t("artifact.created"), F.struct("seq", "artifact_id"))).alias("_a")
+def artifact_rows(ev: DataFrame) -> DataFrame:
+    """E9 in rows: (run_id, position, artifact_id, seq), positions from 1 in arrival order."""
+    created = ev.filter(_t("artifact.created")).select("run_id", "artifact_id", "seq")
+    return running(created, ["run_id"], ["seq"], row_number="position").select("run_id", "position", "artifact_id", "seq")
 
 
-def _artifact_cols() -> list[Column]:
-    ids = F.array_join(F.transform(F.array_sort("_a"), lambda a: a["artifact_id"]), ",")
-    return [F.size("_a").cast("bigint").alias("artifact_count"), ids.alias("artifact_ids")]
+def joined_list(rows: DataFrame, name: str, key: str = "position", value: str = "artifact_id") -> DataFrame:
+    """Rows with a position as one text a run."""
+    listed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("_l"))
+    return listed.select("run_id", F.array_join(F.transform("_l", lambda x: x[value]), ",").alias(name))
 
 
 def artifact_list(ev: DataFrame) -> DataFrame:
     """(run_id, artifact_count, artifact_ids) in arrival order, for every run."""
-    return ev.groupBy("run_id").agg(_artifacts_agg()).select("run_id", *_artifact_cols())
+    counts = ev.groupBy("run_id").agg(F.count_if(_t("artifact.created")).alias("artifact_count"))
+    ids = joined_list(ev.filter(_t("artifact.created")), "artifact_ids", "seq")
+    return counts.join(ids, "run_id", "left").select("run_id", "artifact_count", F.coalesce("artifact_ids", F.lit("")).alias("artifact_ids"))
 
 
 # ------------------------------------------------------------------ E10
 
 
 def agent_activity(ev: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """(run_id, agent_id, idle, current_task, last_message).
-
-    Agents enter on agent.spawned, task.started or agent.idle; idle is the last of
-    (spawned/started -> false, idle -> true). current_task is the smallest task id the
-    agent owns that is running or retrying; last_message is its latest log line."""
-    marks = F.when(_t("agent.spawned") | _t("task.started"), F.lit(False)).when(_t("agent.idle"), F.lit(True))
+    """(run_id, agent_id, role, assigned_tasks, idle, current_task, last_message).
+
+    Agents enter on agent.spawned, task.started or agent.idle; role and assigned tasks are those of
+    the last agent.spawned (none: empty); idle is the last of (spawned/started -> false, idle ->
+    true). current_task is the smallest task id the agent owns that is running or retrying;
+    last_message is its latest log line."""
+    spawned = _t("agent.spawned")
+    marks = F.when(spawned | _t("task.started"), F.lit(False)).when(_t("agent.idle"), F.lit(True))
     a = ev.groupBy("run_id", "agent_id").agg(
+        last_by(F.when(spawned, F.struct("role", "assigned_task_ids"))).alias("_spawned"),
         last_by(marks).alias("idle"),
         last_by(F.when(_t("log.emitted"), F.col("message"))).alias("last_message"),
     ).filter(F.col("idle").isNotNull())
@@ -210,66 +252,73 @@ def agent_activity(ev: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     cur = fields.filter(F.col("status").isin("running", "retrying")).groupBy("run_id", F.col("owner").alias("agent_id")).agg(
         F.min("task_id").alias("current_task")
     )
-    return a.join(cur, ["run_id", "agent_id"], "left").select("run_id", "agent_id", "idle", "current_task", "last_message")
+    return a.join(cur, ["run_id", "agent_id"], "left").select(
+        "run_id", "agent_id", F.coalesce("_spawned.role", F.lit("")).alias("role"),
+        F.coalesce(F.array_join("_spawned.assigned_task_ids", ","), F.lit("")).alias("assigned_tasks"),
+        "idle", "current_task", "last_message",
+    )
 
 
 # ------------------------------------------------------------------ E11
 
 
-def _sorted_pairs(k: str, v: str) -> Column:
-    pairs = F.array_sort(F.collect_list(F.when(F.col(v).isNotNull(), F.struct(F.col(k).alias("k"), F.col(v).cast("string").alias("v")))))
-    return F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), ",")
-
-
-def _sorted_list(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(c)), ",")
-
-
-def run_summary(ev: DataFrame) -> DataFrame:
-    """One comparable row per run (maps as sorted 'key=value' lists)."""
-    # Every per-run figure that reads the log directly comes from ONE aggregate keyed by run:
-    # header (E7), counts (E6, logs), artifact list (E9) and the latest plan's size.
+def run_figures(ev: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """E11's figures without its lists, one row a run, every aggregate combining map-side: header
+    (E7), counts, the latest plan's size and the streamed characters."""
     plan = _t("plan.built")
     per_run = ev.groupBy("run_id").agg(
         *_header_aggs(),
         F.count_if(_t("task.retried")).alias("retry_count"),
+        F.count_if(_t("artifact.created")).alias("artifact_count"),
         F.count_if(_t("log.emitted")).alias("log_count"),
-        _artifacts_agg(),
-        F.max_by(F.when(plan, F.size("plan_tasks")), F.when(plan, F.col("seq"))).cast("bigint").alias("plan_task_count"),
-    ).select("*", *_artifact_cols()).drop("_a")
-    fields = task_fields(ev)
-    tasks = fields.groupBy("run_id").agg(
-        _sorted_pairs("task_id", "status").alias("task_status"),
-        _sorted_pairs("task_id", "owner").alias("task_agent"),
-        _sorted_pairs("task_id", "attempts").alias("task_attempts"),
-    )
-    streams = stream_sizes(ev).groupBy("run_id").agg(
-        _sorted_list(F.col("artifact_id")).alias("streaming_ids"),
-        F.sum("chars").cast("bigint").alias("streamed_chars"),
-        _sorted_list(F.when(F.col("complete"), F.col("artifact_id"))).alias("streams_complete"),
+        F.max_by(F.when(plan, F.size("plan_tasks")), F.when(plan, F.col("seq"))).cast("bigint").alias("_plan"),
     )
-    agents = agent_activity(ev, fields).groupBy("run_id").agg(
-        _sorted_list(F.col("agent_id")).alias("agents_spawned"),
-        _sorted_list(F.when(F.col("idle"), F.col("agent_id"))).alias("agents_idle"),
-    )
-    out = (
-        per_run.join(tasks, "run_id", "left")
-        .join(streams, "run_id", "left")
-        .join(agents, "run_id", "left")
+    streamed = (sizes if sizes is not None else stream_sizes(ev)).groupBy("run_id").agg(F.sum("chars").alias("_chars"))
+    return per_run.join(streamed, "run_id", "left").withColumns({
+        "plan_task_count": F.coalesce("_plan", F.lit(0)).cast("bigint"), "streamed_chars": F.coalesce("_chars", F.lit(0)).cast("bigint"),
+    }).drop("_plan", "_chars")
+
+
+LISTS = ("task_status", "task_agent", "task_attempts", "artifact_ids", "streaming_ids", "streams_complete", "agents_spawned", "agents_idle")
+
+
+def _list_entries(ev: DataFrame, fields: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(run_id, list, key, at, value): an entry of a list of E11; lists are in the order of at, then key."""
+    none = F.lit(None).cast("string")
+
+    def entries(of: DataFrame, key: str, *lists: Column, at: Column = F.lit(None).cast("bigint")) -> DataFrame:
+        held = F.filter(F.array(*lists), lambda x: x.isNotNull())
+        return of.select("run_id", F.explode(held).alias("_x"), F.col(key).alias("key"), at.alias("at")).select("run_id", F.col("_x.list").alias("list"), "key", "at", F.col("_x.value").alias("value"))
+
+    entry = lambda name, when, value=none: F.when(when, F.struct(F.lit(name).alias("list"), value.alias("value")))
+    c = F.col
+    tasks = entries(fields, "task_id", *[entry(name, c(col).isNotNull(), c(col).cast("string")) for name, col in (("task_status", "status"), ("task_agent", "owner"), ("task_attempts", "attempts"))])
+    made = entries(ev.filter(_t("artifact.created")), "artifact_id", entry("artifact_ids", F.lit(True)), at=c("seq"))
+    streams = entries(sizes, "artifact_id", entry("streaming_ids", F.lit(True)), entry("streams_complete", c("complete")))
+    agents = entries(agent_activity(ev, fields), "agent_id", entry("agents_spawned", F.lit(True)), entry("agents_idle", c("idle")))
+    return tasks.unionByName(made).unionByName(streams).unionByName(agents)
+
+
+def run_lists(ev: DataFrame) -> DataFrame:
+    """E11's lists and maps in rows: (run_id, list, position, key, value), positions from 1."""
+    rows = running(_list_entries(ev, task_fields(ev), stream_sizes(ev)), ["run_id", "list"], ["at", "key"], row_number="position")
+    return rows.select("run_id", "list", "position", "key", "value")
+
+
+def run_summary(ev: DataFrame) -> DataFrame:
+    """One comparable record a run (maps as sorted 'key=value' lists): ``run_figures`` and, put
+    together, the rows of ``run_lists``."""
+    sizes = stream_sizes(ev)
+    text = F.when(F.col("value").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("="), "value"))
+    listed = _list_entries(ev, task_fields(ev), sizes).groupBy("run_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("at", F.col("key"), text.alias("text"))))).alias(name) for name in LISTS]
     )
-    empty = F.lit("")
+    lists = listed.select("run_id", *[F.array_join(F.transform(name, lambda x: x["text"]), ",").alias(name) for name in LISTS])
+    out = run_figures(ev, sizes).join(lists, "run_id", "left").fillna("", list(LISTS))
     return out.select(
         "run_id", "last_seq", "seed", "speed", "requirement_title", "started", "completed", "error", "duration_ms",
-        F.coalesce("task_status", empty).alias("task_status"),
-        F.coalesce("task_agent", empty).alias("task_agent"),
-        F.coalesce("task_attempts", empty).alias("task_attempts"),
-        "retry_count", "artifact_count", "artifact_ids", "log_count",
-        F.coalesce("streaming_ids", empty).alias("streaming_ids"),
-        F.coalesce("streamed_chars", F.lit(0).cast("bigint")).alias("streamed_chars"),
-        F.coalesce("streams_complete", empty).alias("streams_complete"),
-        F.coalesce("agents_spawned", empty).alias("agents_spawned"),
-        F.coalesce("agents_idle", empty).alias("agents_idle"),
-        F.coalesce("plan_task_count", F.lit(0).cast("bigint")).alias("plan_task_count"),
+        "task_status", "task_agent", "task_attempts", "retry_count", "artifact_count", "artifact_ids", "log_count",
+        "streaming_ids", "streamed_chars", "streams_complete", "agents_spawned", "agents_idle", "plan_task_count",
     )
 
 
@@ -306,6 +355,20 @@ def latest_artifact(ev: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ E14
 
 
+def _scoped(ev: DataFrame) -> DataFrame:
+    """The log once, an entry for each scope that an event counts in: its run, its task (task events and
+    artifact.created), its artifact (openers and chunks)."""
+    task = F.coalesce(F.col("type").startswith("task."), F.lit(False))
+    scope = lambda name, c, on: F.when(on, F.struct(F.lit(name).alias("scope"), c.alias("id")))
+    scopes = F.filter(F.array(
+        scope("run", F.lit(None).cast("string"), F.lit(True)),
+        scope("task", F.col("task_id"), task | _t("artifact.created")),
+        scope("artifact", F.col("artifact_id"), _t("artifact.streaming") | _t("artifact.chunk")),
+    ), lambda x: x.isNotNull())
+    return ev.select("run_id", "seq", "at", "type", F.col("recoverable").alias("_rec"), F.explode(scopes).alias("_s")).select(
+        "run_id", "seq", "at", "type", "_rec", F.col("_s.scope").alias("scope"), F.col("_s.id").alias("id"))
+
+
 def contract_violations(ev: DataFrame) -> DataFrame:
     """(run_id, rule, violations) for rules 1-7, every run and rule.
 
@@ -315,49 +378,51 @@ def contract_violations(ev: DataFrame) -> DataFrame:
     and then a terminal (failures with no retry before the task's last terminal);
     5 artifact.created precedes its task's completion (created after the last completion
     or with none); 6 chunks follow an opener (chunks with no opener before them; the rest of
-    rule 6 is in ``artifact_order_violations``); 7 run.completed is last (events after the first run.completed)."""
-    per_run = ev.groupBy("run_id").agg(
-        F.max("seq").alias("_max"), F.count(F.lit(1)).alias("_n"), F.count_distinct("seq").alias("_d"),
-        F.min("seq").alias("_min"), F.min(F.when(_t("run.completed"), F.col("seq"))).alias("_done"),
-    )
-    r1 = per_run.select("run_id", (F.col("_max") + 1 - F.col("_d") + (F.col("_n") - F.col("_d"))).alias("v1"))
-    clocked = run_clock(ev.select("run_id", "seq", "at"), "at", "_clock")
-    r2 = clocked.groupBy("run_id").agg(F.count_if(F.col("at") < F.col("_clock")).alias("v2"))
-    unrecoverable = _t("task.failed") & ~F.coalesce(F.col("recoverable"), F.lit(False))
-    terminal = _t(TERMINAL) | unrecoverable
-    per_task = ev.filter(F.col("type").startswith("task.")).groupBy("run_id", "task_id").agg(
-        F.count_if(_t("task.started")).alias("_starts"),
-        F.count_if(terminal).alias("_terms"),
-        F.max(F.when(terminal, F.col("seq"))).alias("_last_term"),
-        F.max(F.when(_t(TERMINAL), F.col("seq"))).alias("_last_done"),
-    )
-    r3 = per_task.groupBy("run_id").agg(F.count_if(F.col("_starts") != F.col("_terms")).alias("v3"))
-    fr = ev.filter(_t("task.retried") | (_t("task.failed") & F.coalesce(F.col("recoverable"), F.lit(False)))).join(
-        per_task.select("run_id", "task_id", "_last_term"), ["run_id", "task_id"], "left"
-    )
-    last_retry = fr.groupBy("run_id", "task_id").agg(
-        F.max(F.when(_t("task.retried") & (F.col("seq") < F.col("_last_term")), F.col("seq"))).alias("_lr")
-    )
-    r4 = (
-        fr.filter(_t("task.failed")).join(last_retry, ["run_id", "task_id"], "left")
-        .groupBy("run_id").agg(F.count_if(F.col("_lr").isNull() | (F.col("seq") >= F.col("_lr"))).alias("v4"))
-    )
-    r5 = (
-        ev.filter(_t("artifact.created")).join(per_task.select("run_id", "task_id", "_last_done"), ["run_id", "task_id"], "left")
-        .groupBy("run_id").agg(F.count_if(F.col("_last_done").isNull() | (F.col("seq") > F.col("_last_done"))).alias("v5"))
+    rule 6 is in ``artifact_order_violations``); 7 run.completed is last (events after the first run.completed).
+
+    The log is read once: every event has an entry for its run and for its task or artifact, running
+    marks are set over all of them together, and the rest are aggregates. A retry counts for rule
+    4 if a terminal follows, so a task's rows are summed up between its terminals first."""
+    recoverable = _t("task.failed") & F.coalesce(F.col("_rec"), F.lit(False))
+    terminal = _t(TERMINAL) | (_t("task.failed") & ~F.coalesce(F.col("_rec"), F.lit(False)))
+    one = lambda cond: F.when(cond, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    d = running(_scoped(ev), ["run_id", "scope", "id"], ["seq", "type", "at"], values={
+        "_prev": ("max", F.col("seq"), True),
+        "_clock": ("max", F.col("at"), True),
+        "_over": ("max", one(_t("run.completed")), True),
+        "_opened": ("max", one(_t("artifact.streaming")), True),
+        "_terms": ("sum", one(terminal)),
+        "_fails": ("sum", one(recoverable)),
+        "_made": ("sum", one(_t("artifact.created"))),
+    })
+    scope = lambda name: F.col("scope") == name
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    gap = F.when(F.col("_prev").isNull(), F.col("seq")).when(F.col("_prev") == F.col("seq"), 1).otherwise(F.col("seq") - F.col("_prev") - 1)
+    between = d.groupBy("run_id", "scope", "id", F.when(scope("task"), F.col("_terms")).otherwise(0).alias("_k")).agg(
+        F.sum(F.when(scope("run"), gap)).alias("v1"),
+        count(scope("run") & (F.col("at") < F.col("_clock"))).alias("v2"),
+        count(scope("artifact") & _t("artifact.chunk") & (F.coalesce("_opened", F.lit(0)) == 0)).alias("v6"),
+        count(scope("run") & (F.col("_over") == 1)).alias("v7"),
+        count(scope("task") & _t("task.started")).alias("_starts"),
+        count(scope("task") & terminal).alias("_ends"),
+        F.max(F.when(scope("task"), F.col("_fails"))).alias("_failed"),
+        F.max(F.when(scope("task"), F.col("_made"))).alias("_created"),
+        F.max(F.when(scope("task") & _t("task.retried"), F.col("_fails"))).alias("_retried"),
+        F.max(F.when(scope("task") & _t(TERMINAL), F.col("_made"))).alias("_in_time"),
     )
-    first_open = ev.filter(_t("artifact.streaming")).groupBy("run_id", "artifact_id").agg(F.min("seq").alias("_fo"))
-    r6 = (
-        ev.filter(_t("artifact.chunk")).join(first_open, ["run_id", "artifact_id"], "left")
-        .groupBy("run_id").agg(F.count_if(F.col("_fo").isNull() | (F.col("seq") < F.col("_fo"))).alias("v6"))
+    # rows after a task's last terminal are those of its greatest _k; the retries there count for nothing
+    top = between.filter(scope("task")).groupBy("run_id", "id").agg(F.max("_k").alias("_top"))
+    top = top.select(F.col("run_id").alias("_r"), F.col("id").alias("_i"), "_top")
+    told = between.join(top, scope("task") & (F.col("run_id") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i")), "left")
+    per = told.groupBy("run_id", "scope", "id").agg(
+        *[F.sum(v).alias(v) for v in ("v1", "v2", "v6", "v7")],
+        F.sum("_starts").alias("_starts"), F.sum("_ends").alias("_ends"),
+        (F.max("_failed") - F.coalesce(F.max(F.when(F.col("_k") < F.col("_top"), F.col("_retried"))), F.lit(0))).alias("v4"),
+        (F.max("_created") - F.coalesce(F.max("_in_time"), F.lit(0))).alias("v5"),
     )
-    r7 = ev.join(per_run.select("run_id", "_done"), "run_id").groupBy("run_id").agg(
-        F.count_if(F.col("_done").isNotNull() & (F.col("seq") > F.col("_done"))).alias("v7")
+    wide = per.groupBy("run_id").agg(
+        *[F.sum(f"v{i}").alias(f"v{i}") for i in (1, 2, 4, 5, 6, 7)], count(scope("task") & (F.col("_starts") != F.col("_ends"))).alias("v3"),
     )
-    runs = per_run.select("run_id")
-    wide = runs
-    for r in (r1, r2, r3, r4, r5, r6, r7):
-        wide = wide.join(r, "run_id", "left")
     stack = ", ".join(f"{i}, coalesce(v{i}, 0L)" for i in range(1, 8))
     return wide.selectExpr("run_id", f"stack(7, {stack}) as (rule, violations)").select(
         "run_id", F.col("rule").cast("int").alias("rule"), F.col("violations").cast("bigint").alias("violations")

@@ -750,6 +750,7 @@ def event_log(spark, sf):
     return materialize(_event_log(spark, sf))
 
 AS_OF_SEQ = 30
+STREAM_BLOCK = 16
 EV_COLS = 'run_id, seq, "at", type, task_id, agent_id'
 
 
@@ -778,9 +779,10 @@ def q_task_status(spark, sf):
 
 
 @register("task_fields", f"""{O.EVENTS_TASKS}
-SELECT run_id, task_id, status, owner, attempts, progress FROM task_fields""")
+SELECT run_id, task_id, status, owner, attempts, progress, {O.TASK_METRICS} FROM task_fields""")
 def q_task_fields(spark, sf):
-    return EV.task_fields(event_log(spark, sf))
+    """E5 with the metrics of each task's last completion."""
+    return EV.task_fields(event_log(spark, sf)).select("run_id", "task_id", "status", "owner", "attempts", "progress", *EV.metric_columns())
 
 
 @register("status_as_of", O.with_chain(O.EVENT_LOG, f"prefix AS (SELECT * FROM event_log WHERE seq <= {AS_OF_SEQ})",
@@ -808,6 +810,22 @@ def q_stream_text(spark, sf):
     return EV.stream_text(event_log(spark, sf))
 
 
+@register("stream_blocks", f"""{O.with_chain(O.EVENT_LOG, O.STREAM_TEXT)},
+c AS (SELECT k.run_id, k.artifact_id, k.seq, k.text, sum(length(k.text)) OVER (PARTITION BY k.run_id, k.artifact_id ORDER BY k.seq) - length(k.text) AS start
+      FROM keyed k JOIN op USING (run_id, artifact_id) WHERE k.seq > op.o AND k.type = 'artifact.chunk')
+SELECT run_id, artifact_id, CAST(start // {STREAM_BLOCK} AS BIGINT) AS block, CAST(min(start) AS BIGINT) AS "offset", string_agg(text, '' ORDER BY seq) AS text,
+       CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY run_id, artifact_id, start // {STREAM_BLOCK}""")
+def q_stream_blocks(spark, sf):
+    """E8 in rows of blocks; short blocks, so that the fixture's texts have several."""
+    return EV.stream_blocks(event_log(spark, sf), STREAM_BLOCK)
+
+
+@register("artifact_rows", f"""{O.EVENTS}
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS position, artifact_id, seq FROM event_log WHERE type = 'artifact.created'""")
+def q_artifact_rows(spark, sf):
+    return EV.artifact_rows(event_log(spark, sf))
+
+
 @register("artifact_list", f"""{O.with_chain(O.EVENT_LOG, O.ARTIFACT_LIST)}
 SELECT * FROM artifact_list""")
 def q_artifact_list(spark, sf):
@@ -847,6 +865,34 @@ def q_run_summary(spark, sf):
     return EV.run_summary(event_log(spark, sf))
 
 
+def _list_sql(name: str, source: str, key: str, value: str = "CAST(NULL AS VARCHAR)", where: str = "true", order: str | None = None) -> str:
+    return (f"SELECT run_id, '{name}' AS list, row_number() OVER (PARTITION BY run_id ORDER BY {order or key}) AS position, {key} AS key, "
+            f"CAST({value} AS VARCHAR) AS value FROM {source} WHERE {where}")
+
+
+@register("run_lists", O.with_chain(O.EVENT_LOG, O.task_fields_cte(), O.STREAM_TEXT, O.AGENT_ACTIVITY) + "\n" + "\nUNION ALL\n".join([
+    *[_list_sql(name, "task_fields", "task_id", col, f"{col} IS NOT NULL") for name, col in (("task_status", "status"), ("task_agent", "owner"), ("task_attempts", "attempts"))],
+    _list_sql("artifact_ids", "event_log", "artifact_id", where="type = 'artifact.created'", order="seq"),
+    _list_sql("streaming_ids", "stream_text", "artifact_id"),
+    _list_sql("streams_complete", "stream_text", "artifact_id", where="complete"),
+    _list_sql("agents_spawned", "agent_activity", "agent_id"),
+    _list_sql("agents_idle", "agent_activity", "agent_id", where="idle"),
+]))
+def q_run_lists(spark, sf):
+    return EV.run_lists(event_log(spark, sf))
+
+
+@register("run_figures", O.with_chain(O.EVENT_LOG, O.RUN_HEADER, O.STREAM_TEXT) + """,
+counts AS (SELECT run_id, count(*) FILTER (WHERE type = 'task.retried') AS retry_count, count(*) FILTER (WHERE type = 'artifact.created') AS artifact_count,
+                  count(*) FILTER (WHERE type = 'log.emitted') AS log_count,
+                  CAST(coalesce(arg_max(plan_n, seq) FILTER (WHERE type = 'plan.built'), 0) AS BIGINT) AS plan_task_count FROM event_log GROUP BY run_id),
+chars AS (SELECT run_id, CAST(sum(chars) AS BIGINT) AS c FROM stream_text GROUP BY run_id)
+SELECT h.*, retry_count, artifact_count, log_count, plan_task_count, coalesce(c, 0) AS streamed_chars
+FROM run_header h JOIN counts USING (run_id) LEFT JOIN chars USING (run_id)""")
+def q_run_figures(spark, sf):
+    return EV.run_figures(event_log(spark, sf))
+
+
 LOG_LEVELS = ("warn", "error")
 
 
@@ -967,7 +1013,7 @@ def q_stream_task_status(spark, sf):
 @register("stream_task_fields", ORACLE["task_fields"])
 def q_stream_task_fields(spark, sf):
     return ES.stream_task_status(spark, event_log(spark, sf)).select(
-        "run_id", "task_id", "status", "owner", "attempts", "progress"
+        "run_id", "task_id", "status", "owner", "attempts", "progress", *EV.metric_columns()
     )
 
 
@@ -1145,3 +1191,50 @@ def q_stream_event_dedupe(spark, sf):
 def q_stream_artifact_text(spark, sf):
     """E8 via Structured Streaming: per (run, artifact) state, order-insensitive."""
     return ES.stream_artifact_text(spark, event_log(spark, sf))
+
+
+# ------------------------------------------------------------------ S8, E1, E16 sources that break off and resume
+
+BROKEN = "seq % 50 = 7"  # half a line; of seq % 50 = 8 the number is text, of 9 the position is missing
+
+
+def _json_lines(spark, sf):
+    """The log as JSON lines; some are delivered twice, and broken copies of others lie between."""
+    log = event_log(spark, sf)
+    line = ES.json_line(log)
+    plain = log.select(line.alias("value"))
+    half = log.filter(BROKEN).select(F.substr(line, F.lit(1), F.floor(F.length(line) / 2).cast("int")).alias("value"))
+    text = log.filter("seq % 50 = 8").select(F.to_json(F.struct("run_id", "type", F.concat(F.lit("no "), "seq").alias("seq"))).alias("value"))
+    missing = log.filter("seq % 50 = 9").select(F.to_json(F.struct("run_id", "type", "at")).alias("value"))
+    again = log.filter("seq % 11 = 0").select(line.alias("value"))
+    lines = plain.unionByName(half).unionByName(text).unionByName(missing).unionByName(again)
+    return ES.stream_json_log(spark, lines, log.schema)
+
+
+@register("json_event_log", f"""{O.EVENTS}
+SELECT {EV_COLS}, ts, text, attempt, pct FROM event_log""")
+def q_json_event_log(spark, sf):
+    """A JSON stream with broken and repeated lines; every event once."""
+    return ES.json_events(spark, _json_lines(spark, sf)).select("run_id", "seq", "at", "type", "task_id", "agent_id", "ts", "text", "attempt", "pct")
+
+
+@register("json_broken_lines", f"""{O.EVENTS}
+SELECT problem, CAST(count(*) AS BIGINT) AS lines FROM (
+  SELECT CASE WHEN seq % 50 = 9 THEN 'incomplete' ELSE 'unreadable' END AS problem FROM event_log WHERE seq % 50 IN (7, 8, 9)) GROUP BY problem""")
+def q_json_broken_lines(spark, sf):
+    return ES.json_broken_lines(spark, _json_lines(spark, sf)).groupBy("problem").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@register("stream_restart", f"""{O.EVENTS_TASKS}
+SELECT CAST(t.n AS INTEGER) AS files_per_trigger, run_id, task_id, status FROM task_fields CROSS JOIN (SELECT unnest([0, 1, 3]) AS n) t WHERE status IS NOT NULL""")
+def q_stream_restart(spark, sf):
+    """The log arrives in three deliveries out of order, some events again; the stream is
+    stopped and resumed after each, with 1, 3 or all files a trigger."""
+    log = event_log(spark, sf)
+    parts = [log.filter((F.pmod(F.xxhash64("run_id", "seq"), F.lit(3)) == i) | ((F.col("seq") % 20 == 0) & F.lit(i == 2))) for i in range(3)]
+    out = None
+    for n in (0, 1, 3):
+        state = ES.replay_then_follow(spark, parts, n or None).filter("status IS NOT NULL")
+        state = state.select(F.lit(n).alias("files_per_trigger"), "run_id", "task_id", "status")
+        out = state if out is None else out.unionByName(state)
+    return out

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.operators.eventlog import METRICS
 from tallyframe.operators.ordering import running
 from tallyframe.sources.tables import read_table
 
@@ -116,7 +117,7 @@ def messy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Event-log fixture: fixed mapping from (event_type, k) to a run-log event.
 # FIXED VALUES (mapping rules, in order of evaluation per source type):
-#   signup:   k % 11 = 0 -> plan.built;   k % 11 = 1 -> run.started;  else task.ready
+#   signup:   k % 11 = 0 -> plan.built;   k % 11 = 1 -> run.started;  k % 11 = 2 -> agent.spawned;  else task.ready
 #   view:     k % 4 = 0  -> task.progress;                            else task.started
 #   click:    k % 10 = 0 -> artifact.streaming; k % 10 in 1..5 -> artifact.chunk;
 #             k % 10 = 9 -> agent.idle;                                else log.emitted
@@ -127,13 +128,16 @@ def messy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 #   step_id 's'+(k%6), pct (k%6)*0.2 (task.progress); artifact_id 'art'+(k%3) (artifact.*);
 #   text 'c'+k+';' (artifact.chunk); title 'run '+user_id, seed k, speed 1+k%2 (run.started);
 #   duration_ms = at (run.completed); error 'e'+k (run.failed);
+#   role 'role'+(k%3), assigned tasks t(k%5) and t((k+1)%5) (agent.spawned); metrics (task.completed):
+#   rows_in 10k (k%3 > 0), rows_out 9k, rows_dropped k (k%4 > 0), columns added c(k%3) and d (k even),
+#   null rate of c (k%4)/4 (k odd), duration k;
 #   plan tasks t0..t(2+k%3), task ti owned by 'a'+(i%4), each declaring steps s0..s3.
 PLAN_STEPS = ("s0", "s1", "s2", "s3")
 
 
 def _event_type(src: Column, k: Column) -> Column:
     return (
-        F.when(src == "signup", F.when(k % 11 == 0, "plan.built").when(k % 11 == 1, "run.started").otherwise("task.ready"))
+        F.when(src == "signup", F.when(k % 11 == 0, "plan.built").when(k % 11 == 1, "run.started").when(k % 11 == 2, "agent.spawned").otherwise("task.ready"))
         .when(src == "view", F.when(k % 4 == 0, "task.progress").otherwise("task.started"))
         .when(src == "click",
               F.when(k % 10 == 0, "artifact.streaming").when((k % 10).between(1, 5), "artifact.chunk")
@@ -146,7 +150,8 @@ def _event_type(src: Column, k: Column) -> Column:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log derived from ``events`` (one run per user), superset schema:
     run_id, seq, at, ts, type, task_id, agent_id, recoverable, attempt, level, message,
-    step_id, pct, artifact_id, text, title, seed, speed, duration_ms, error, plan_tasks, k.
+    step_id, pct, artifact_id, text, title, seed, speed, duration_ms, error, role,
+    assigned_task_ids, metrics, plan_tasks, k.
 
     ``seq`` is the dense position per run in (ts, event_id) order, numbered by ranges of that
     order so one huge run is split across many tasks (see ``ordering.running``); ``at`` is
@@ -165,6 +170,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*[F.lit(s) for s in PLAN_STEPS]).alias("steps"),
         ),
     )
+    metrics = F.struct(
+        F.when(k % 3 > 0, k * 10).alias("rows_in"),
+        (k * 9).alias("rows_out"),
+        F.when(k % 4 > 0, k).alias("rows_dropped"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("c"), _s(k % 3)), F.lit("d"))).alias("columns_added"),
+        F.when(k % 2 == 1, F.create_map(F.lit("c"), (k % 4).cast("double") / 4)).alias("null_rates"),
+        k.alias("duration_ms"),
+    )
     base = numbered.select(
         "user_id", "ts", "k", "_t0", (F.col("_rn") - 1).alias("seq"),
         _event_type(F.col("event_type"), k).alias("type"),
@@ -190,6 +203,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(typ == "run.started", (k % 2 + 1).cast("int")).alias("speed"),
         F.when(typ == "run.completed", at).alias("duration_ms"),
         F.when(typ == "run.failed", F.concat(F.lit("e"), _s(k))).alias("error"),
+        F.when(typ == "agent.spawned", F.concat(F.lit("role"), _s(k % 3))).alias("role"),
+        F.when(typ == "agent.spawned", F.array(F.concat(F.lit("t"), _s(k % 5)), F.concat(F.lit("t"), _s((k + 1) % 5)))).alias("assigned_task_ids"),
+        F.when(typ == "task.completed", metrics).cast(METRICS).alias("metrics"),
         F.when(typ == "plan.built", plan_tasks).alias("plan_tasks"),
         "k",
     )

@@ -236,7 +236,7 @@ ev1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
 ev2 AS (
   SELECT *,
     CASE event_type
-      WHEN 'signup' THEN CASE WHEN k % 11 = 0 THEN 'plan.built' WHEN k % 11 = 1 THEN 'run.started' ELSE 'task.ready' END
+      WHEN 'signup' THEN CASE WHEN k % 11 = 0 THEN 'plan.built' WHEN k % 11 = 1 THEN 'run.started' WHEN k % 11 = 2 THEN 'agent.spawned' ELSE 'task.ready' END
       WHEN 'view' THEN CASE WHEN k % 4 = 0 THEN 'task.progress' ELSE 'task.started' END
       WHEN 'click' THEN CASE WHEN k % 10 = 0 THEN 'artifact.streaming' WHEN k % 10 BETWEEN 1 AND 5 THEN 'artifact.chunk'
                              WHEN k % 10 = 9 THEN 'agent.idle' ELSE 'log.emitted' END
@@ -263,6 +263,8 @@ event_log AS (
     CASE WHEN type = 'run.completed' THEN "at" END AS duration_ms,
     CASE WHEN type = 'run.failed' THEN 'e' || CAST(k AS VARCHAR) END AS error,
     CASE WHEN type = 'plan.built' THEN 3 + k % 3 END AS plan_n,
+    CASE WHEN type = 'agent.spawned' THEN 'role' || CAST(k % 3 AS VARCHAR) END AS role,
+    CASE WHEN type = 'agent.spawned' THEN 't' || CAST(k % 5 AS VARCHAR) || ',t' || CAST((k + 1) % 5 AS VARCHAR) END AS assigned,
     k
   FROM ev2
 )"""
@@ -277,7 +279,7 @@ plan_tasks AS (
 ),
 lp AS (SELECT run_id, max(seq) AS lp FROM {src} WHERE type = 'plan.built' GROUP BY run_id),
 trows AS (
-  SELECT run_id, task_id, seq, 'pending' AS status, agent_id AS owner, CAST(NULL AS INTEGER) AS attempt, CAST(NULL AS DOUBLE) AS progress
+  SELECT run_id, task_id, seq, 'pending' AS status, agent_id AS owner, CAST(NULL AS INTEGER) AS attempt, CAST(NULL AS DOUBLE) AS progress, CAST(NULL AS BIGINT) AS mk
   FROM plan_tasks
   UNION ALL
   SELECT run_id, task_id, seq,
@@ -286,7 +288,8 @@ trows AS (
               WHEN 'task.completed' THEN 'completed' END,
     CASE WHEN type IN ('task.started', 'task.failed', 'task.completed') THEN agent_id END,
     CASE WHEN type = 'task.retried' THEN attempt END,
-    CASE WHEN type = 'task.progress' THEN pct WHEN type = 'task.completed' THEN CAST(1.0 AS DOUBLE) END
+    CASE WHEN type = 'task.progress' THEN pct WHEN type = 'task.completed' THEN CAST(1.0 AS DOUBLE) END,
+    CASE WHEN type = 'task.completed' THEN k END
   FROM {src} WHERE type IN ('task.ready', 'task.started', 'task.retried', 'task.failed', 'task.completed', 'task.progress')
 ),
 tj AS (SELECT t.*, (lp.lp IS NULL OR t.seq >= lp.lp) AS after FROM trows t LEFT JOIN lp USING (run_id)),
@@ -296,12 +299,19 @@ task_fields AS (
       arg_max(status, seq) FILTER (WHERE after AND status IS NOT NULL) AS status,
       arg_max(owner, seq) FILTER (WHERE after AND owner IS NOT NULL) AS owner,
       arg_max(attempt, seq) FILTER (WHERE attempt IS NOT NULL) AS attempts,
-      arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress
+      arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress,
+      arg_max(mk, seq) FILTER (WHERE mk IS NOT NULL) AS mk
     FROM tj GROUP BY run_id, task_id)
   WHERE status IS NOT NULL OR owner IS NOT NULL OR attempts IS NOT NULL OR progress IS NOT NULL
 )"""
 
 
+# A task's metrics, from the k of its last completion (see the fixture's fixed values).
+TASK_METRICS = """CASE WHEN mk % 3 > 0 THEN mk * 10 END AS rows_in, mk * 9 AS rows_out, CASE WHEN mk % 4 > 0 THEN mk END AS rows_dropped,
+       CASE WHEN mk % 2 = 0 THEN 'c' || CAST(mk % 3 AS VARCHAR) || ',d' END AS columns_added,
+       CASE WHEN mk % 2 = 1 THEN 'c=' || CAST(CAST(mk % 4 AS DOUBLE) / 4 AS VARCHAR) END AS null_rates, mk AS task_ms"""
+
+
 RUN_HEADER = """
 run_header AS (
   SELECT run_id, max(seq) AS last_seq, bool_or(type = 'run.started') AS started, bool_or(type = 'run.completed') AS completed,
@@ -336,12 +346,14 @@ ag AS (
   SELECT run_id, agent_id,
     arg_max(CASE WHEN type IN ('agent.spawned', 'task.started') THEN false ELSE true END, seq)
       FILTER (WHERE type IN ('agent.spawned', 'task.started', 'agent.idle')) AS idle,
+    coalesce(arg_max(role, seq) FILTER (WHERE type = 'agent.spawned'), '') AS role,
+    coalesce(arg_max(assigned, seq) FILTER (WHERE type = 'agent.spawned'), '') AS assigned_tasks,
     arg_max(message, seq) FILTER (WHERE type = 'log.emitted' AND message IS NOT NULL) AS last_message
   FROM event_log GROUP BY ALL
 ),
 cur AS (SELECT run_id, owner AS agent_id, min(task_id) AS current_task FROM task_fields WHERE status IN ('running', 'retrying') GROUP BY ALL),
 agent_activity AS (
-  SELECT ag.run_id, ag.agent_id, ag.idle, cur.current_task, ag.last_message
+  SELECT ag.run_id, ag.agent_id, ag.role, ag.assigned_tasks, ag.idle, cur.current_task, ag.last_message
   FROM ag LEFT JOIN cur USING (run_id, agent_id) WHERE ag.idle IS NOT NULL
 )"""
 

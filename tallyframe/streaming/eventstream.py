@@ -11,6 +11,10 @@ E4/E5 per-task state with plan resets: a built-in streaming aggregate keyed by
     boundaries, file order and duplicates cannot change the answer (E16 by construction).
 E7  run header: a plain streaming aggregate (max_by / bool_or are order-insensitive).
 E8  streamed text: a stateless append of artifact events; texts are folded on read.
+S8  JSON lines: one object an event, parsed with the log's fixed schema; lines that are no event
+    are kept with the reason and counted, and a position delivered twice counts once.
+E16 ``replay_then_follow`` stops a stream when it has caught up and resumes it from its checkpoint
+    when more files are there.
 
 Sinks are ``foreachBatch`` writes of each micro-batch to ``<out>/batch=<id>`` (overwrite, so a
 replayed batch is idempotent); readers of an update-mode sink keep, per key, the row of the
@@ -19,11 +23,13 @@ latest batch. No stream runs Python on rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.eventlog import status_of
+from tallyframe.operators.eventlog import METRICS, status_of
 from tallyframe.session import scratch_path
 
 # At most so much of a backlog in one micro-batch.
@@ -98,6 +104,7 @@ def task_state_stream(stream: DataFrame) -> DataFrame:
         F.col("_p.agent_id").alias("owner"),
         F.lit(None).cast("int").alias("attempt"),
         F.lit(None).cast("double").alias("progress"),
+        F.lit(None).cast(METRICS).alias("metrics"),
         F.when(F.col("_p.task_id").isNull(), F.col("seq")).alias("plan_seq"),
     )
     facts = stream.filter(
@@ -110,6 +117,7 @@ def task_state_stream(stream: DataFrame) -> DataFrame:
         F.when(t.isin("task.started", "task.failed", "task.completed"), F.col("agent_id")).alias("owner"),
         F.when(t == "task.retried", F.col("attempt")).alias("attempt"),
         F.when(t == "task.progress", F.col("pct")).when(t == "task.completed", F.lit(1.0)).alias("progress"),
+        F.when(t == "task.completed", F.col("metrics")).alias("metrics"),
         F.lit(None).cast("bigint").alias("plan_seq"),
     )
     rows = plan.unionByName(facts)
@@ -120,6 +128,7 @@ def task_state_stream(stream: DataFrame) -> DataFrame:
         _seq_of(F.col("owner")).alias("owner_seq"),
         _latest(F.col("attempt")).alias("attempts"),
         _latest(F.col("progress")).alias("progress"),
+        _latest(F.col("metrics")).alias("metrics"),
         F.max("plan_seq").alias("plan_seq"),
     )
 
@@ -140,14 +149,18 @@ def run_header_stream(stream: DataFrame) -> DataFrame:
 
 
 def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-                 output_mode: str = "update") -> None:
+                 output_mode: str = "update", on_batch: Callable[[str, int], None] | None = None) -> None:
     """Drive a streaming result into ``out`` (one folder per micro-batch) until the source
     is drained (AvailableNow) - E1's replay; re-running with the same checkpoint follows
     only files that arrived since. A replayed batch overwrites its own folder, so the sink
-    is idempotent."""
+    is idempotent. ``on_batch("before" | "after", batch_id)`` is called around each write."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if on_batch:
+            on_batch("before", batch_id)
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if on_batch:
+            on_batch("after", batch_id)
 
     w = result.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
     q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")).start()
@@ -156,11 +169,11 @@ def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bo
 
 def latest_rows(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
     """Current table of an update-mode sink: per key, its row from the latest batch that
-    updated it. An aggregate (max of a struct led by batch_id), so it combines map-side and
+    updated it. An aggregate (the row at the greatest batch_id), so it combines map-side and
     a key present in many batches is never gathered into one task."""
     df = spark.read.parquet(out)
     rest = [c for c in df.columns if c not in key and c not in ("batch_id", "batch")]  # sink bookkeeping
-    best = F.max(F.struct(F.col("batch_id"), *[F.col(c) for c in rest])).alias("_b")
+    best = F.max_by(F.struct(*rest), "batch_id").alias("_b")
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
@@ -179,7 +192,7 @@ def task_state_table(spark: SparkSession, out: str) -> DataFrame:
         "run_id", "task_id",
         fresh("status", "status_seq").alias("status"),
         fresh("owner", "owner_seq").alias("owner"),
-        "attempts", "progress",
+        "attempts", "progress", "metrics",
     ).filter(
         F.col("status").isNotNull() | F.col("owner").isNotNull() | F.col("attempts").isNotNull() | F.col("progress").isNotNull()
     )
@@ -245,3 +258,66 @@ def stream_artifact_text(spark: SparkSession, ev: DataFrame, max_files: int | No
     stream = read_log_stream(spark, src, ev.schema, max_files)
     run_to_table(artifact_event_stream(stream), f"{base}/out", f"{base}/ckpt", output_mode="append")
     return artifact_text_table(spark, f"{base}/out")
+
+
+# ------------------------------------------------------------------ S8
+
+
+def json_line(ev: DataFrame) -> Column:
+    """An event as a JSON object, times to the microsecond; null fields are left out."""
+    return F.to_json(F.struct(*ev.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
+def read_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.format("text")
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    return reader.load(path)
+
+
+def parsed_events(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The log's columns, ``problem`` and ``line``. A line that is no JSON object of the schema's
+    types is "unreadable", one without run_id, seq or type "incomplete"; both keep their text and
+    set no column. Fields that the schema does not name are ignored."""
+    wanted = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    read = lines.select("value", F.from_json("value", wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("_e"))
+    unread = F.col("_e").isNull() | F.col("_e._broken").isNotNull() | ~F.coalesce(F.trim("value").startswith("{"), F.lit(False))
+    missing = F.col("_e.run_id").isNull() | F.col("_e.seq").isNull() | F.col("_e.type").isNull()
+    problem = F.when(unread, "unreadable").when(missing, "incomplete")
+    told = read.withColumn("problem", problem)
+    return told.select(
+        *[F.when(F.col("problem").isNull(), F.col(f"_e.{f.name}")).alias(f.name) for f in schema.fields],
+        "problem", F.when(F.col("problem").isNotNull(), F.col("value")).alias("line"),
+    )
+
+
+def json_events(spark: SparkSession, out: str) -> DataFrame:
+    """The events of a JSON sink, each position once."""
+    df = spark.read.parquet(out)
+    return df.filter("problem IS NULL").drop("problem", "line", "batch_id", "batch").dropDuplicates(["run_id", "seq"])
+
+
+def json_broken_lines(spark: SparkSession, out: str) -> DataFrame:
+    """(problem, line) of every line that is no event."""
+    return spark.read.parquet(out).filter("problem IS NOT NULL").select("problem", "line")
+
+
+def stream_json_log(spark: SparkSession, lines: DataFrame, schema: T.StructType, max_files: int | None = None) -> str:
+    """S8 end to end: lines (value) -> text files -> stream -> sink; returns the sink's folder."""
+    base = scratch_path(spark, "eventstream-json")
+    lines.select("value").write.text(f"{base}/log")
+    run_to_table(parsed_events(read_line_stream(spark, f"{base}/log", max_files), schema), f"{base}/out", f"{base}/ckpt", output_mode="append")
+    return f"{base}/out"
+
+
+# ------------------------------------------------------------------ E1, E16
+
+
+def replay_then_follow(spark: SparkSession, deliveries: list[DataFrame], max_files: int | None = None, files: int = 4) -> DataFrame:
+    """Task state of a log that arrives in ``deliveries``: each is added to the log's folder and the
+    stream resumed from its checkpoint until it has caught up."""
+    base = scratch_path(spark, "eventstream-follow")
+    schema = deliveries[0].schema
+    for part in deliveries:
+        part.repartition(files).write.mode("append").parquet(f"{base}/log")
+        run_to_table(task_state_stream(read_log_stream(spark, f"{base}/log", schema, max_files)), f"{base}/out", f"{base}/ckpt")
+    return task_state_table(spark, f"{base}/out")

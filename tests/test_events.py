@@ -161,19 +161,89 @@ def test_ranges_stay_bounded(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_blocks_of_a_hot_artifact(spark, schema):
+    """One artifact with a third of the log: its text comes in blocks of bounded size, each task sees
+    a part of them, and put together they are the text."""
+    n = 6000
+    ids = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), F.lit("artifact.chunk").alias("type"),
+                                F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 400)).alias("artifact_id"),
+                                F.concat(F.col("id"), F.lit(";")).alias("text"))
+    openers = ids.groupBy("artifact_id").agg(F.min("seq").alias("seq")).select(F.lit("r").alias("run_id"), (F.col("seq") - 1).alias("seq"), F.lit("artifact.streaming").alias("type"), "artifact_id", F.lit(None).cast("string").alias("text"))
+    blocks = EV.stream_blocks(ids.unionByName(openers), 100).filter("artifact_id = 'hot'").orderBy("block").collect()
+    want = "".join(f"{i};" for i in range(0, n, 3))
+    assert "".join(b.text for b in blocks) == want and len(blocks) == -(-len(want) // 100)
+    assert all(b.offset == sum(x.chars for x in blocks[:i]) and b.chars < 110 for i, b in enumerate(blocks))
+    assert EV.stream_text(ids.unionByName(openers)).filter("artifact_id = 'hot'").first().text == want
+
+
+def test_block_edges(spark, schema):
+    """Empty chunks, a text of none, a restart, chunks after it only, a chunk longer than a block."""
+    ev = run(spark, schema, [
+        {"type": "artifact.chunk", "artifact_id": "x", "text": "orphan"},
+        {"type": "artifact.streaming", "artifact_id": "x"}, {"type": "artifact.chunk", "artifact_id": "x", "text": "old"},
+        {"type": "artifact.streaming", "artifact_id": "x"}, {"type": "artifact.chunk", "artifact_id": "x", "text": ""},
+        {"type": "artifact.chunk", "artifact_id": "x", "text": "abcdefgh"}, {"type": "artifact.chunk", "artifact_id": "x", "text": "ij"},
+        {"type": "artifact.streaming", "artifact_id": "none"}, {"type": "artifact.created", "artifact_id": "none"},
+    ])
+    assert [(b.block, b.offset, b.text) for b in EV.stream_blocks(ev, 3).orderBy("block").collect()] == [(0, 0, "abcdefgh"), (2, 8, "ij")]
+    assert {r.artifact_id: (r.text, r.chars, r.complete) for r in EV.stream_text(ev).collect()} == {"x": ("abcdefghij", 10, False), "none": ("", 0, True)}
+
+
+def test_lists_in_rows_match_the_summary(spark, sf_small):
+    ev = event_log(spark, sf_small)
+    rows = EV.run_lists(ev).collect()
+    summary = {r.run_id: r for r in EV.run_summary(ev).collect()}
+    for run_id, record in summary.items():
+        for name in EV.LISTS:
+            mine = sorted((r.position, r.key if r.value is None else f"{r.key}={r.value}") for r in rows if r.run_id == run_id and r.list == name)
+            assert ",".join(t for _, t in mine) == record[name] and [p for p, _ in mine] == list(range(1, len(mine) + 1))
+
+
+def test_spawned_agent_and_metrics(spark, schema):
+    record = {"rows_in": 10, "rows_out": 8, "rows_dropped": 2, "columns_added": ["a", "b"], "null_rates": {"z": 0.5, "c": 0.0}, "duration_ms": 7}
+    ev = run(spark, schema, [
+        {"type": "agent.idle"}, {"type": "agent.spawned", "role": "etl", "assigned_task_ids": ["t1", "t0"]},
+        {"type": "task.completed", "metrics": {**record, "rows_in": 1}}, {"type": "task.completed", "metrics": record},
+        {"type": "task.completed", "task_id": "t9", "metrics": None}, {"type": "agent.idle", "agent_id": "a7"},
+    ])
+    agents = {r.agent_id: (r.role, r.assigned_tasks, r.idle) for r in EV.agent_activity(ev).collect()}
+    assert agents == {"a0": ("etl", "t1,t0", False), "a7": ("", "", True)}
+    tasks = {r.task_id: tuple(r)[1:] for r in EV.task_fields(ev).select("task_id", *EV.metric_columns()).collect()}
+    assert tasks == {"t0": (10, 8, 2, "a,b", "c=0.0,z=0.5", 7), "t9": (None,) * 6}
+
+
+def test_contract_reads_the_log_once(spark, sf_small, tmp_path):
+    """The plan that writes the marks scans the log once; the rest reads the marks."""
+    from tallyframe.operators import ordering
+
+    event_log(spark, sf_small).write.parquet(str(tmp_path / "log"))
+    ev = spark.read.parquet(str(tmp_path / "log"))
+    plans = []
+    real, ordering.materialize = ordering.materialize, lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name)
+    try:
+        out = EV.contract_violations(ev)
+    finally:
+        ordering.materialize = real
+    assert len(plans) == 1 and plans[0].count("Relation [") == 1
+    assert str(tmp_path / "log") not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert set(out.inputFiles()).isdisjoint(ev.inputFiles())
+
+
 def test_log_tail_limits(spark, schema):
     ev = run(spark, schema, [{"type": "log.emitted", "level": "info", "message": str(i)} for i in range(7)])
     t = EV.log_tail(ev, 3).orderBy("tail_rank").collect()
     assert [r.message for r in t] == ["6", "5", "4"]
 
 
+def task_rows(fields):
+    rows = fields.select("run_id", "task_id", "status", "owner", "attempts", "progress", *EV.metric_columns()).collect()
+    return sorted((tuple(r) for r in rows), key=str)
+
+
 def test_stream_equals_batch_any_batch_size(spark, sf_small):
     ev = event_log(spark, sf_small)
-    batch = sorted(tuple(r) for r in EV.task_fields(ev).collect())
     for max_files in (1, None):
-        streamed = ES.stream_task_status(spark, ev, max_files=max_files, files=6)
-        got = sorted(tuple(r) for r in streamed.select("run_id", "task_id", "status", "owner", "attempts", "progress").collect())
-        assert got == batch
+        assert task_rows(ES.stream_task_status(spark, ev, max_files=max_files, files=6)) == task_rows(EV.task_fields(ev))
 
 
 def test_replay_then_follow(spark, sf_small):
@@ -187,9 +257,7 @@ def test_replay_then_follow(spark, sf_small):
     ev.filter("seq >= 20").write.mode("append").parquet(f"{base}/log")
     ES.run_to_table(ES.task_state_stream(ES.read_log_stream(spark, f"{base}/log", ev.schema)),
                     f"{base}/out", f"{base}/ckpt")
-    got = ES.task_state_table(spark, f"{base}/out").select(
-        "run_id", "task_id", "status", "owner", "attempts", "progress")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in EV.task_fields(ev).collect())
+    assert task_rows(ES.task_state_table(spark, f"{base}/out")) == task_rows(EV.task_fields(ev))
     batches = spark.read.parquet(f"{base}/out").select("batch_id").distinct().count()
     assert batches == 2
 
@@ -199,8 +267,7 @@ def test_stream_state_ignores_redelivered_events(spark, sf_small):
     ev = event_log(spark, sf_small)
     doubled = ev.unionByName(ev.filter("seq % 10 = 0"))
     streamed = ES.stream_task_status(spark, doubled, max_files=2, files=4)
-    got = sorted(tuple(r) for r in streamed.select("run_id", "task_id", "status", "owner", "attempts", "progress").collect())
-    assert got == sorted(tuple(r) for r in EV.task_fields(ev).collect())
+    assert task_rows(streamed) == task_rows(EV.task_fields(ev))
     header = ES.stream_run_header(spark, doubled, max_files=2, files=4)
     assert sorted(tuple(r) for r in header.collect()) == sorted(tuple(r) for r in EV.run_header(ev).collect())
 
@@ -240,3 +307,37 @@ def test_artifact_order_whole_rule(spark, schema):
     assert parts("streaming", "created") == (0, 0, 1)
     assert parts("chunk", "created", "chunk", "streaming", "created", "chunk") == (2, 1, 1)
     assert parts("streaming", "chunk", "created", "streaming", "chunk", "created") == (0, 0, 0)
+
+
+def test_restart_after_a_lost_sink(spark, sf_small):
+    """The stream dies after a batch is written but before it is committed, and once before it is
+    written; resumed from its checkpoint, with more files there, it replays that batch over its own folder."""
+    from tallyframe.session import scratch_path
+
+    ev = event_log(spark, sf_small)
+    base = scratch_path(spark, "dies")
+    read = lambda: ES.read_log_stream(spark, f"{base}/log", ev.schema, 1)
+    ev.filter("seq % 2 = 0").repartition(3).write.parquet(f"{base}/log")
+    for when in ("after", "before"):
+        with pytest.raises(Exception, match="lost"):
+            ES.run_to_table(ES.task_state_stream(read()), f"{base}/out", f"{base}/ckpt", on_batch=lambda at, n, when=when: (_ for _ in ()).throw(RuntimeError("lost")) if (at, n) == (when, 1) else None)
+    ev.filter("seq % 2 = 1 OR seq % 10 = 0").repartition(2).write.mode("append").parquet(f"{base}/log")
+    ES.run_to_table(ES.task_state_stream(read()), f"{base}/out", f"{base}/ckpt")
+    assert task_rows(ES.task_state_table(spark, f"{base}/out")) == task_rows(EV.task_fields(ev))
+    folders = [r.batch for r in spark.read.parquet(f"{base}/out").select("batch").distinct().orderBy("batch").collect()]
+    assert folders == list(range(len(folders))) and len(folders) == 5
+
+
+def test_json_lines_broken_in_every_way(spark, schema, tmp_path):
+    good = ['{"run_id": "r", "seq": 0, "type": "run.started", "at": 5, "title": "t"}', '{"seq": 1, "type": "task.ready", "run_id": "r", "task_id": "t0", "unknown": [1]}']
+    bad = ['{"run_id": "r", "seq": 2, "type": "ta', "not json", "[1, 2]", "", '{"run_id": "r", "seq": "two", "type": "task.ready"}']
+    incomplete = ['{"run_id": "r", "type": "task.ready"}', '{"seq": 3, "type": "x"}', "{}", '{"run_id": "r", "seq": 4, "type": null}']
+    (tmp_path / "a.json").write_text("\n".join(good + bad[:3]))
+    (tmp_path / "b.json").write_text("\n".join(bad[3:] + incomplete + good[:1]))
+    out = str(tmp_path / "out")
+    ES.run_to_table(ES.parsed_events(ES.read_line_stream(spark, str(tmp_path) + "/*.json", 1), schema), out, str(tmp_path / "ckpt"), output_mode="append")
+    events = ES.json_events(spark, out).orderBy("seq").collect()
+    assert [(r.seq, r.type, r.at, r.title, r.task_id) for r in events] == [(0, "run.started", 5, "t", None), (1, "task.ready", None, None, "t0")]
+    kept = ES.json_broken_lines(spark, out).collect()
+    assert sorted(r.line for r in kept if r.problem == "unreadable") == sorted(bad)
+    assert sorted(r.line for r in kept if r.problem == "incomplete") == sorted(incomplete)
