@@ -14,13 +14,16 @@ def full_match(c: Column, regex: str) -> Column:
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing white space of every kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, f"^{P.WHITE_SPACE}+|{P.WHITE_SPACE}+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` only removes spaces). Text
+    that begins and ends with a printing ASCII character has none, which is most text."""
+    plain = lambda end: F.substring(c, end, 1).between("!", "~")
+    return F.when(plain(1) & plain(-1), c).otherwise(F.regexp_replace(c, f"^{P.WHITE_SPACE}+|{P.WHITE_SPACE}+$", ""))
 
 
 def tidy_number_text(c: Column) -> Column:
     """Coercion tidy step: strip whitespace, then drop a redundant ``.0`` tail."""
-    return F.regexp_replace(strip_ws(c), P.REDUNDANT_DECIMAL_TAIL, "")
+    bare = strip_ws(c)
+    return F.when(bare.endswith("0"), F.regexp_replace(bare, P.REDUNDANT_DECIMAL_TAIL, "")).otherwise(bare)
 
 
 TARGET_TYPES = {"int": "bigint", "float": "double"}

@@ -1,15 +1,18 @@
 """Profiling and diagnosis.
 
-One unpivot turns a wide frame into (column_name, value) pairs; one grouped aggregate turns
-those into a value-frequency table (column_name, value, n, first_key). Every per-column
-figure - nulls, distinct, timestamp shapes, type reading, samples - is a second, small
-aggregate over that table, so regexes run once per distinct value, not once per row, and
-the wide frame is scanned once. The frequency aggregate has a map-side partial, so a hot
-value costs one row per map task.
+One unpivot turns a wide frame into (column_name, value) pairs. Nulls, timestamp shapes and type
+reading are conditional counts over them (``column_figures``): a task sends one row a column and no
+value is shuffled. Exact distinct counts and first-seen samples need the values: one grouped
+aggregate with a map-side partial gives the value-frequency table (column_name, value, n,
+first_key), where a hot value costs one row per map task, and a full profile reads everything from
+it, so the frame is scanned once. ``distinct_sketches`` are the way without values: stored per
+part of a table, merged when asked, with a stated error.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +21,53 @@ from tallyframe.functions import patterns as P
 from tallyframe.functions.exprs import count_if, full_match, parse_timestamp
 
 
+#: A shape has a fixed width, so that most text needs no regex.
+_WIDTHS = {shape.spec: len(datetime(2000, 1, 1).strftime(shape.duck_format)) for shape in P.TIMESTAMP_SHAPES}
+
+
 def shape_of(value: Column) -> Column:
     """The first timestamp shape a text value matches, or null."""
     out = F.lit(None).cast("string")
     for shape in reversed(P.TIMESTAMP_SHAPES):
-        out = F.when(full_match(value, shape.regex), F.lit(shape.spec)).otherwise(out)
+        hit = (F.length(value) == _WIDTHS[shape.spec]) & full_match(value, shape.regex)
+        out = F.when(hit, F.lit(shape.spec)).otherwise(out)
     return out
 
 
+def _long(df: DataFrame, columns: list[str] | None, *keys: Column) -> DataFrame:
+    columns = columns or df.columns
+    base = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns])
+    return base.unpivot([c for c in base.columns if c not in columns], columns, "column_name", "value")
+
+
+def column_figures(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """P1, P3, P4, P14 in one pass without a shuffle of values: (column_name, rows, nulls, values,
+    ints, nums, shape_0..), the last the values whose first matching shape is that one."""
+    v = F.col("value")
+    numeric = _long(df, columns).withColumn("_spec", shape_of(v)).withColumn("_int", full_match(v, P.INT_LIKE))
+    return numeric.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("rows"),
+        count_if(v.isNull()).alias("nulls"),
+        F.count(v).alias("values"),
+        count_if(F.col("_int")).alias("ints"),
+        count_if(F.col("_int") | full_match(v, P.DECIMAL_LIKE)).alias("nums"),
+        *[count_if(F.col("_spec") == shape.spec).alias(f"shape_{i}") for i, shape in enumerate(P.TIMESTAMP_SHAPES)],
+    )
+
+
+def _shapes() -> list[tuple[str, Column]]:
+    return [(shape.spec, F.col(f"shape_{i}")) for i, shape in enumerate(P.TIMESTAMP_SHAPES)]
+
+
+def _type_of(values: Column, shaped: Column, ints: Column, nums: Column, schema: T.StructType | None) -> Column:
+    """P4 from counts of non-null values, of those with a timestamp shape, and of number-like ones."""
+    inferred = F.when(values == 0, "empty").when(shaped > 0, "datetime").when(ints == values, "int").when(nums == values, "float").otherwise("str")
+    for f in schema.fields if schema is not None else ():
+        if not isinstance(f.dataType, T.StringType):
+            inferred = F.when(F.col("column_name") == f.name, F.lit(f.dataType.simpleString())).otherwise(inferred)
+    return inferred
+
+
 def value_frequencies(df: DataFrame, columns: list[str] | None = None, order_key: str | None = None) -> DataFrame:
     """(column_name, value, n, first_key): one row per distinct (column, value), null included.
 
@@ -33,80 +75,98 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None, order_key
     value itself is used."""
     columns = columns or [c for c in df.columns if c != order_key]
     key = F.col(order_key) if order_key else F.lit(None).cast("long")
-    base = df.select(key.alias("_key"), *[F.col(c).cast("string").alias(c) for c in columns])
-    long = base.unpivot(["_key"], columns, "column_name", "value")
-    return long.groupBy("column_name", "value").agg(
+    return _long(df, columns, key.alias("_key")).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("_key").alias("first_key")
     )
 
 
-def shape_stats(freq: DataFrame) -> DataFrame:
-    """One pass over the value-frequency table, regexes once per distinct value:
-    (column_name, spec, rows, nulls, distinct, values, ints, nums) grouped by the column and
-    the timestamp shape of its values (spec null = no shape or null value)."""
-    v = F.col("value")
-    keyed = freq.select(
-        "column_name",
-        "n",
-        v.isNull().alias("_null"),
-        shape_of(v).alias("spec"),
-        full_match(v, P.INT_LIKE).alias("_int"),
-        (full_match(v, P.INT_LIKE) | full_match(v, P.DECIMAL_LIKE)).alias("_num"),
-    )
-    return keyed.groupBy("column_name", "spec").agg(
+def column_profile(freq: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """P6 without samples: (column_name, rows, nulls, distinct, inferred_type, n_formats, shape_0..)
+    from the value-frequency table, regexes once per distinct value."""
+    v, n = F.col("value"), F.col("n")
+    keyed = freq.withColumn("_spec", shape_of(v)).withColumn("_int", full_match(v, P.INT_LIKE))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+    per = keyed.groupBy("column_name").agg(
         F.sum("n").cast("bigint").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
+        total(v.isNull()).alias("nulls"),
         F.count(F.lit(1)).alias("distinct"),
-        count_if(~F.col("_null")).alias("values"),
-        count_if(F.col("_int")).alias("ints"),
-        count_if(F.col("_num")).alias("nums"),
+        total(v.isNotNull()).alias("_values"),
+        total(F.col("_int")).alias("_ints"),
+        total(F.col("_int") | full_match(v, P.DECIMAL_LIKE)).alias("_nums"),
+        *[total(F.col("_spec") == shape.spec).alias(f"shape_{i}") for i, shape in enumerate(P.TIMESTAMP_SHAPES)],
+    )
+    shaped = sum((c for _, c in _shapes()), F.lit(0))
+    n_formats = sum(((c > 0).cast("bigint") for _, c in _shapes()), F.lit(0).cast("bigint"))
+    inferred = _type_of(F.col("_values"), shaped, F.col("_ints"), F.col("_nums"), schema)
+    return per.select("column_name", "rows", "nulls", "distinct", inferred.alias("inferred_type"), n_formats.alias("n_formats"),
+                      *[f"shape_{i}" for i in range(len(P.TIMESTAMP_SHAPES))])
+
+
+def profile(df: DataFrame, order_key: str | None = None, k: int = P.SAMPLE_SIZE, schema: T.StructType | None = None) -> DataFrame:
+    """P6, one record a column: (column_name, rows, nulls, distinct, inferred_type, formats, samples);
+    formats (spec, n) in the order of the shapes, samples the first ``k`` distinct values."""
+    freq = value_frequencies(df, order_key=order_key)
+    found = F.filter(F.array(*[F.when(c > 0, F.struct(F.lit(spec).alias("spec"), c.alias("n"))) for spec, c in _shapes()]), lambda x: x.isNotNull())
+    shown = samples(freq, k).groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("sample_rank", "value"))).alias("_s"))  # k a column
+    return column_profile(freq, schema).join(shown, "column_name", "left").select(
+        "column_name", "rows", "nulls", "distinct", "inferred_type", found.alias("formats"),
+        F.coalesce(F.transform("_s", lambda x: x["value"]), F.array().cast("array<string>")).alias("samples"),
     )
 
 
-def column_profile(freq: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-    """(column_name, rows, nulls, distinct, inferred_type, n_formats) from ``shape_stats``
-    (a table of at most columns x 5 rows)."""
-    st = shape_stats(freq)
-    per = st.groupBy("column_name").agg(
-        F.sum("rows").cast("bigint").alias("rows"),
-        F.sum("nulls").cast("bigint").alias("nulls"),
-        F.sum("distinct").cast("bigint").alias("distinct"),
-        F.sum("values").alias("_values"),
-        F.sum(F.when(F.col("spec").isNotNull(), F.col("values"))).alias("_shaped"),
-        F.sum("ints").alias("_ints"),
-        F.sum("nums").alias("_nums"),
-        F.count(F.col("spec")).alias("n_formats"),
-    )
-    inferred = (
-        F.when(F.coalesce(F.col("_values"), F.lit(0)) == 0, "empty")
-        .when(F.coalesce(F.col("_shaped"), F.lit(0)) > 0, "datetime")
-        .when(F.col("_ints") == F.col("_values"), "int")
-        .when(F.col("_nums") == F.col("_values"), "float")
-        .otherwise("str")
-    )
-    if schema is not None:
-        for f in schema.fields:
-            if not isinstance(f.dataType, T.StringType):
-                inferred = F.when(F.col("column_name") == f.name, F.lit(f.dataType.simpleString())).otherwise(inferred)
-    return per.select("column_name", "rows", "nulls", "distinct", inferred.alias("inferred_type"),
-                      F.col("n_formats").cast("bigint").alias("n_formats"))
+def null_counts(figures: DataFrame) -> DataFrame:
+    """(column_name, rows, nulls)."""
+    return figures.select("column_name", "rows", "nulls")
 
 
 def nulls_distinct(freq: DataFrame) -> DataFrame:
     """P1 + P2: (column_name, rows, nulls, distinct). Distinct counts null as one value."""
-    return column_profile(freq).select("column_name", "rows", "nulls", "distinct")
+    return freq.groupBy("column_name").agg(
+        F.sum("n").cast("bigint").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
+        F.count(F.lit(1)).alias("distinct"),
+    )
 
 
-def formats(freq: DataFrame) -> DataFrame:
+def formats(figures: DataFrame) -> DataFrame:
     """(column_name, spec, n) - non-null values counted once, against the first shape
     they match; shapes with no hit are absent."""
-    return shape_stats(freq).filter(F.col("spec").isNotNull()).select("column_name", "spec", F.col("rows").alias("n"))
+    hits = F.array(*[F.struct(F.lit(spec).alias("spec"), c.alias("n")) for spec, c in _shapes()])
+    return figures.select("column_name", F.explode(hits).alias("_h")).select("column_name", "_h.*").filter("n > 0")
 
 
-def inferred_types(freq: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+def inferred_types(figures: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """(column_name, inferred_type) in {empty, datetime, int, float, str}; columns that
     were not text in ``schema`` report their own type name."""
-    return column_profile(freq, schema).select("column_name", "inferred_type")
+    shaped = sum((c for _, c in _shapes()), F.lit(0))
+    return figures.select("column_name", _type_of(F.col("values"), shaped, F.col("ints"), F.col("nums"), schema).alias("inferred_type"))
+
+
+# ------------------------------------------------------------------ P2 by sketches
+
+#: The relative standard error of a merged sketch of 2**k registers is 1.04 / 2**(k / 2).
+SKETCH_K = 14
+
+
+def sketch_error(k: int = SKETCH_K, sigmas: float = 3.0) -> float:
+    return sigmas * 1.04 / 2 ** (k / 2)
+
+
+def distinct_sketches(df: DataFrame, part: Column, columns: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """P2 in mergeable form: (part, column_name, rows, nulls, sketch) a part of the table (a day, a file).
+    A sketch has at most 2**k bytes or so, whatever the column holds; those of new parts are added
+    to the stored ones, and no old part is read again."""
+    return _long(df, columns or df.columns, part.cast("string").alias("_part")).groupBy(F.col("_part").alias("part"), "column_name").agg(
+        F.count(F.lit(1)).alias("rows"), count_if(F.col("value").isNull()).alias("nulls"), F.hll_sketch_agg("value", F.lit(k)).alias("sketch")
+    )
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """(column_name, rows, nulls, distinct_estimate) over all parts; null counts as one value."""
+    g = sketches.groupBy("column_name").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("_values"),
+    )
+    return g.select("column_name", "rows", "nulls", (F.coalesce("_values", F.lit(0)) + (F.col("nulls") > 0).cast("bigint")).alias("distinct_estimate"))
 
 
 def samples(freq: DataFrame, k: int = P.SAMPLE_SIZE) -> DataFrame:
@@ -119,13 +179,12 @@ def samples(freq: DataFrame, k: int = P.SAMPLE_SIZE) -> DataFrame:
     return ranked.filter(F.col("sample_rank") <= k).select("column_name", "sample_rank", "value")
 
 
-def mixed_formats(freq: DataFrame) -> DataFrame:
+def mixed_formats(figures: DataFrame) -> DataFrame:
     """Columns carrying timestamp shapes: (column_name, n_formats, formats) with the
     specs sorted and joined by ' | '."""
-    return formats(freq).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_formats"),
-        F.array_join(F.array_sort(F.collect_list("spec")), " | ").alias("formats"),
-    )
+    held = F.filter(F.array(*[F.when(c > 0, F.lit(spec)) for spec, c in _shapes()]), lambda x: x.isNotNull())
+    return figures.select("column_name", F.array_sort(held).alias("_f")).filter(F.size("_f") > 0).select(
+        "column_name", F.size("_f").cast("bigint").alias("n_formats"), F.array_join("_f", " | ").alias("formats"))
 
 
 def worst_null_column(df: DataFrame) -> DataFrame:
@@ -245,29 +304,21 @@ def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
 
 def schema_contract(sources: dict[str, DataFrame], detail: str, order_key: str | None = None) -> DataFrame:
     """Per source one row (source, column_name=null, rows, n_columns); per column of
-    ``detail`` one row with nulls, distinct, reads_as, n_formats."""
+    ``detail`` one row with nulls, distinct, reads_as, n_formats. The detailed source is read once:
+    its row count is that of its columns."""
     from tallyframe.sources.tables import load_stats
 
-    summary = load_stats(sources).select(
-        F.col("name").alias("source"),
-        F.lit(None).cast("string").alias("column_name"),
-        "rows",
-        "n_columns",
-        F.lit(None).cast("bigint").alias("nulls"),
-        F.lit(None).cast("bigint").alias("distinct"),
-        F.lit(None).cast("string").alias("reads_as"),
-        F.lit(None).cast("bigint").alias("n_formats"),
-    )
     df = sources[detail]
-    freq = value_frequencies(df, [c for c in df.columns if c != order_key], order_key)
-    cols = column_profile(freq, df.schema).select(
-        F.lit(detail).alias("source"),
-        "column_name",
-        "rows",
-        F.lit(None).cast("bigint").alias("n_columns"),
-        "nulls",
-        "distinct",
-        F.col("inferred_type").alias("reads_as"),
-        "n_formats",
-    )
-    return summary.unionByName(cols)
+    columns = [c for c in df.columns if c != order_key]
+    cols = column_profile(value_frequencies(df, columns, order_key), df.schema)
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = cols.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows")).select(F.lit(detail).alias("name"), "rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
+    others = {name: frame for name, frame in sources.items() if name != detail}
+    summary = whole.unionByName(load_stats(others).select("name", "rows", "n_columns")) if others else whole
+    return summary.select(
+        F.col("name").alias("source"), none("string").alias("column_name"), "rows", "n_columns",
+        none("bigint").alias("nulls"), none("bigint").alias("distinct"), none("string").alias("reads_as"), none("bigint").alias("n_formats"),
+    ).unionByName(cols.select(
+        F.lit(detail).alias("source"), "column_name", "rows", none("bigint").alias("n_columns"),
+        "nulls", "distinct", F.col("inferred_type").alias("reads_as"), "n_formats",
+    ))

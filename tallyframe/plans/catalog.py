@@ -453,7 +453,7 @@ def q_prof_nd(spark, sf):
 shaped AS (SELECT column_name, {_shape_sql('value')} AS spec, n FROM freq WHERE value IS NOT NULL)
 SELECT column_name, spec, CAST(sum(n) AS BIGINT) AS n FROM shaped WHERE spec IS NOT NULL GROUP BY column_name, spec""")
 def q_prof_formats(spark, sf):
-    return PR.formats(_freq(spark, sf))
+    return PR.formats(PR.column_figures(messy_orders(spark, sf)))
 
 
 _INT = f"regexp_full_match(value, {O._q(P.INT_LIKE)})"
@@ -469,7 +469,7 @@ SELECT c.column_name, CASE WHEN p.v IS NULL THEN 'empty' WHEN p.shaped > 0 THEN
        WHEN p.ints = p.v THEN 'int' WHEN p.nums = p.v THEN 'float' ELSE 'str' END AS inferred_type
 FROM cols c LEFT JOIN per p ON c.column_name = p.column_name""")
 def q_prof_types(spark, sf):
-    return PR.inferred_types(_freq(spark, sf))
+    return PR.inferred_types(PR.column_figures(messy_orders(spark, sf)))
 
 
 @register("profile_samples", f"""{FREQ_SQL},
@@ -483,6 +483,53 @@ def q_prof_samples(spark, sf):
 _FAILING = f"order_ts IS NOT NULL AND {O.parse_ts('order_ts', P.STRICT_SPEC)} IS NULL"
 
 
+def _shape_rank(v: str) -> str:
+    return "CASE " + v + " " + " ".join(f"WHEN {O._q(s.spec)} THEN {i}" for i, s in enumerate(P.TIMESTAMP_SHAPES)) + " END"
+
+
+@register("profile", f"""{FREQ_SQL},
+nd AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS nulls, CAST(count(*) AS BIGINT) AS distinct FROM freq GROUP BY column_name),
+per AS (SELECT column_name, count(*) AS v, count(*) FILTER (WHERE {_shape_sql('value')} IS NOT NULL) AS shaped,
+               count(*) FILTER (WHERE {_INT}) AS ints, count(*) FILTER (WHERE {_NUM}) AS nums
+        FROM freq WHERE value IS NOT NULL GROUP BY column_name),
+sh AS (SELECT column_name, {_shape_sql('value')} AS spec, CAST(sum(n) AS BIGINT) AS n FROM freq WHERE value IS NOT NULL GROUP BY ALL),
+fm AS (SELECT column_name, string_agg(spec || '=' || n, ', ' ORDER BY {_shape_rank('spec')}) AS formats FROM sh WHERE spec IS NOT NULL GROUP BY column_name),
+r AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY first_key ASC NULLS LAST, value) AS k FROM freq WHERE value IS NOT NULL),
+sm AS (SELECT column_name, string_agg(value, ' | ' ORDER BY k) AS samples FROM r WHERE k <= {P.SAMPLE_SIZE} GROUP BY column_name)
+SELECT nd.*, CASE WHEN p.v IS NULL THEN 'empty' WHEN p.shaped > 0 THEN 'datetime' WHEN p.ints = p.v THEN 'int' WHEN p.nums = p.v THEN 'float' ELSE 'str' END AS inferred_type,
+       coalesce(fm.formats, '') AS formats, coalesce(sm.samples, '') AS samples
+FROM nd LEFT JOIN per p USING (column_name) LEFT JOIN fm USING (column_name) LEFT JOIN sm USING (column_name)""")
+def q_profile(spark, sf):
+    """One record a column, its formats and samples as text."""
+    found = PR.profile(messy_orders(spark, sf, with_key=True), "_line")
+    return found.withColumns({
+        "formats": F.array_join(F.transform("formats", lambda x: F.concat(x["spec"], F.lit("="), x["n"])), ", "),
+        "samples": F.array_join("samples", " | "),
+    })
+
+
+@register("null_counts", f"""{FREQ_SQL}
+SELECT column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS nulls FROM freq GROUP BY column_name""")
+def q_null_counts(spark, sf):
+    """P1 alone: no value is shuffled."""
+    return PR.null_counts(PR.column_figures(messy_orders(spark, sf)))
+
+
+@register("distinct_sketches", f"""{FREQ_SQL}
+SELECT column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS nulls,
+       CAST(count(*) AS BIGINT) AS distinct, CAST({PR.sketch_error()!r} AS DOUBLE) AS error_bound, true AS within_bound FROM freq GROUP BY column_name""")
+def q_distinct_sketches(spark, sf):
+    """P2 by sketches, written per status of the lines and merged, beside the exact count."""
+    orders = messy_orders(spark, sf)
+    merged = PR.merged_distinct(materialize(PR.distinct_sketches(orders, F.col("status")), "sketches"))
+    exact = PR.nulls_distinct(PR.value_frequencies(orders)).select("column_name", "distinct")
+    bound = F.lit(PR.sketch_error())
+    return merged.join(exact, "column_name").select(
+        "column_name", "rows", "nulls", "distinct", bound.alias("error_bound"),
+        (F.abs(F.col("distinct_estimate") - F.col("distinct")) <= bound * F.col("distinct")).alias("within_bound"),
+    )
+
+
 @register("probe_format", f"""{O.with_chain(*O.FIXTURES)},
 c AS (SELECT CAST(count(*) AS BIGINT) AS total,
              CAST(count(*) FILTER (WHERE {O.parse_ts('order_ts', P.STRICT_SPEC)} IS NOT NULL) AS BIGINT) AS parsed,
@@ -553,7 +600,7 @@ f AS (SELECT DISTINCT column_name, spec FROM shaped WHERE spec IS NOT NULL)
 SELECT column_name, CAST(count(*) AS BIGINT) AS n_formats, array_to_string(list_sort(list(spec)), ' | ') AS formats
 FROM f GROUP BY column_name""")
 def q_mixed(spark, sf):
-    return PR.mixed_formats(_freq(spark, sf))
+    return PR.mixed_formats(PR.column_figures(messy_orders(spark, sf)))
 
 
 FK_RELATIONS = [
@@ -622,7 +669,7 @@ FROM nd LEFT JOIN per p ON nd.column_name = p.column_name LEFT JOIN nf ON nd.col
 def q_contract(spark, sf):
     return PR.schema_contract(
         {
-            "messy_orders": materialize(messy_orders(spark, sf)),
+            "messy_orders": messy_orders(spark, sf),
             "messy_products": messy_products(spark, sf),
             "messy_customers": messy_customers(spark, sf),
         },
