@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +43,20 @@ class Encoder:
     """Ids of texts by a tokenizer file that parts texts at white space and parts letters from
     other characters, lower-cases, and marks the last token of each part with ``</w>``.
 
-    Pieces between spaces and line feeds are encoded once and remembered, up to ``most`` of
-    them. A piece of plain letters between marks is up to three parts, each remembered too,
-    and new parts are encoded together as one text that is cut at the marks. Other pieces
-    (other alphabets, digits, marks that combine) go to the tokenizer as they are."""
+    Texts are cut at spaces and line feeds, and the distinct pieces of a batch are looked at once. A
+    piece of plain letters between marks is three parts, two of them mostly empty; any other piece
+    (other alphabets, digits, marks that combine) is one part that the tokenizer gets as it is. New
+    parts of letters or marks are encoded together as one text that is cut at the marks.
+
+    Ids of parts are remembered in two generations of ``most`` parts: when the younger is full it
+    becomes the older, and parts of the older that come up again are taken over. So memory is bounded
+    and parts that go on coming up are never forgotten."""
 
     MARKS = r"[!-&(-/:;=-@\[-`{-~]*"  # ASCII but the apostrophe, and < which opens special tokens
-    PLAIN = re.compile(rf"({MARKS})([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]*)({MARKS})")
+    LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]*"
+    PLAIN = rf"^(?P<head>{MARKS})(?P<word>{LETTERS})(?P<tail>{MARKS})$"
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -63,39 +68,88 @@ class Encoder:
         vocab = plain["model"]["vocab"]
         self.last = np.zeros(max(vocab.values()) + 3, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def _learn_parts(self, new: list[str]) -> None:
-        for a in range(0, len(new), 1000):
-            some = new[a : a + 1000]
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        for a in range(0, len(plain), 1000):
+            some = plain[a : a + 1000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer does not mark the ends of words")
             raw = ids.tobytes()
-            self.parts.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
-
-    def _learn(self, new: set[str]) -> None:
-        match = self.PLAIN.fullmatch
-        cut = [(p, m[1], m[2].lower(), m[3]) for p in new if (m := match(p))]
-        self._learn_parts(list({x for _, *of in cut for x in of if x not in self.parts}))
-        parts = self.parts
-        self.known.update((p, parts[head] + parts[word] + parts[tail]) for p, head, word, tail in cut)
-        other = [p for p in new if p not in self.known]
-        for piece, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else ()):
-            self.known[piece] = np.array(got.ids, np.uint32).tobytes()
+            self.young.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
+        for a in range(0, len(other), 1000):
+            some = other[a : a + 1000]
+            self.young.update((p, np.array(got.ids, np.uint32).tobytes()) for p, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+
+    def _ids_of(self, parts: list[str], plain: int) -> list[bytes]:
+        """The ids of distinct parts, of which the first ``plain`` are of letters or marks."""
+        if len(self.young) > self.most:
+            self.young, self.old = {"": b""}, self.young
+        found = list(map(self.young.get, parts))
+        missing = [i for i, f in enumerate(found) if f is None]
+        new = []
+        for i in missing:
+            if (known := self.old.get(parts[i])) is None:
+                new.append(i)
+            else:
+                self.young[parts[i]] = known
+        self._learn([parts[i] for i in new if i < plain], [parts[i] for i in new if i >= plain])
+        for i in missing:
+            found[i] = self.young[parts[i]]
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.most:
-            self.known, self.parts = {"": b""}, {"": b""}
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, p)) for p in pieces]
-        if new := {p for ps, fs in zip(pieces, found) if None in fs for p, f in zip(ps, fs) if f is None}:
-            self._learn(new)
-            found = [list(map(self.known.get, p)) if None in f else f for p, f in zip(pieces, found)]
-        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        one = pieces.dictionary
+        three = pc.extract_regex(one, self.PLAIN)
+        is_plain = three.is_valid().to_numpy(zero_copy_only=False)
+        whole = three.filter(three.is_valid())
+        parts = pa.concat_arrays([whole.field("head"), pc.utf8_lower(whole.field("word")), whole.field("tail")]).dictionary_encode()
+        other = one.filter(pc.invert(three.is_valid()))
+        of = np.zeros((len(one), 3), np.int64)  # the parts of each distinct piece; the first part of all is the empty one
+        strings = lambda a: a.to_numpy(zero_copy_only=False).tolist()  # noqa: E731  a third of to_pylist's time
+        distinct = ["", *strings(parts.dictionary)]
+        of[is_plain] = parts.indices.to_numpy().reshape(3, -1).T + 1
+        of[~is_plain, 0] = len(distinct) + np.arange(len(other))
+        ids = self._ids_of(distinct + strings(other), len(distinct))
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        used = of[pieces.indices.to_numpy()].ravel()
+        used = used[size[used] > 0]
+        n = size[used]
+        upto = np.cumsum(n)
+        flat = pool[np.repeat(start[used] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        per_piece = size[of].sum(axis=1)[pieces.indices.to_numpy()]
+        ends = np.append(0, np.cumsum(per_piece))[cut.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def ids(self, texts: list[str], stretch: int = 4 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text, encoded in batches of about ``stretch`` characters; longer texts are
+        cut at spaces."""
+        batch, held = [], 0
+        for text in texts:
+            if len(text) > stretch:
+                yield from self(batch)
+                batch, held, a, found = [], 0, 0, []
+                while a < len(text):
+                    b = text.find(" ", a + stretch)
+                    b = len(text) if b < 0 else b
+                    found += self([text[a:b]])
+                    a = b + 1
+                yield np.concatenate(found)
+                continue
+            batch.append(text)
+            held += len(text)
+            if held >= stretch:
+                yield from self(batch)
+                batch, held = [], 0
+        yield from self(batch)
 
 
 def sentence_ends(vocabulary: str) -> np.ndarray:
@@ -180,14 +234,12 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, stretch: int = 1 <<
         id_type = None
         for doc_id, text in column_lists(batches, "doc_id", "text"):
             id_type = doc_id.type
-            keys = doc_id.to_pylist()
-            for a in range(0, len(keys), 256):
-                for key, of in zip(keys[a : a + 256], encode([v.as_py() for v in text[a : a + 256]])):
-                    ids = np.append(of, np.uint32(CLOSING))
-                    held.append((key, 0, len(ids), ids))
-                    total += len(ids)
-                    if total >= stretch:
-                        yield from flush(False)
+            for key, of in zip(doc_id.to_pylist(), encode.ids(text.to_pylist())):
+                ids = np.append(of, np.uint32(CLOSING))
+                held.append((key, 0, len(ids), ids))
+                total += len(ids)
+                if total >= stretch:
+                    yield from flush(False)
         if held:
             yield from flush(True)
 
