@@ -157,10 +157,13 @@ def _deduped(df: DataFrame, strategy: CleanStrategy, stage: DataFrame | None = N
 
 def finish(stage: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:
     """C4 -> C5 -> C6 on a deduplicated stage."""
-    cols = {c: coerce_expr(c, t) for c, t in strategy.coerce}
-    cols.update({c: fill_expr(c, v, strategy.fill_type) for c, v in strategy.fill_nulls})
     out = stage.drop(ROWS_PER_KEY) if ROWS_PER_KEY in stage.columns else stage
-    return out.withColumns(cols).filter(F.col(strategy.ts_column).isNotNull())
+    return out.withColumns(finished_columns(strategy)).filter(F.col(strategy.ts_column).isNotNull())
+
+
+def finished_columns(strategy: CleanStrategy = RETAIL) -> dict[str, Column]:
+    """The columns that C4 and C5 replace, as expressions over the deduplicated stage."""
+    return {c: coerce_expr(c, t) for c, t in strategy.coerce} | {c: fill_expr(c, v, strategy.fill_type) for c, v in strategy.fill_nulls}
 
 
 def clean(df: DataFrame, strategy: CleanStrategy = RETAIL) -> DataFrame:

@@ -8,7 +8,7 @@ double once at the output; every ratio is guarded (0.0 on an empty denominator).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -41,6 +41,11 @@ class Filters:
         return replace(self, **{field: None})
 
 
+def echo(f: Filters) -> Column:
+    """The filters as they were asked for, so that an answer can be matched to its question."""
+    return F.struct(*[F.lit(value).cast("string").alias(name) for name, value in asdict(f).items()])
+
+
 def predicate(f: Filters, date_col: str = "order_date", category_col: str = "category",
               region_col: str = "region") -> Column:
     """F1-F3 as one Column predicate (pushed into the scan by Catalyst)."""

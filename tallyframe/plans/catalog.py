@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.derive import derive_counts, money_as_double
+from tallyframe.functions.derive import DERIVED_COLUMNS, derive_counts, money_as_double
 from tallyframe.operators import metrics as M
 from tallyframe.plans import oracle as O
 from tallyframe.plans.retail import derived_table
@@ -774,15 +774,26 @@ def q_verify_totals(spark, sf):
     return V.totals(V.run_checks(VP.facts(spark, sf)))
 
 
+JOINED_COLUMNS = ORDER_COLUMNS + ["product_name", "category", "cost_price", "segment"]
+
+
+def _rates_sql(table: str, columns: list[str]) -> str:
+    """The null rates of a table's columns that have nulls, as text."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) FILTER (WHERE {c} IS NULL) AS z, count(*) AS n FROM {table}" for c in columns)
+    return f"(SELECT coalesce(string_agg(c || '=' || CAST(CAST(CAST(z AS DOUBLE) / n AS DECIMAL(9,6)) AS VARCHAR), ',' ORDER BY c), '') FROM ({each}) WHERE z > 0)"
+
+
 @register("stage_metrics", f"""{O.PIPELINE},
 w AS (SELECT (SELECT count(*) FROM messy_orders) AS rows_in, (SELECT count(*) FROM cleaned) AS clean_out,
              (SELECT count(*) FROM joined) AS join_out, (SELECT count(*) FROM derived) AS derive_out)
-SELECT 'load' AS stage, CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS columns_added, '' AS added FROM w
-UNION ALL SELECT 'clean', rows_in, clean_out, rows_in - clean_out, 0, '' FROM w
-UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4, 'product_name,category,cost_price,segment' FROM w
-UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7, 'gross_revenue,net_revenue,cogs,margin,margin_pct,order_date,order_week' FROM w""")
+SELECT 'load' AS stage, CAST(rows_in AS BIGINT) AS rows_in, CAST(rows_in AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS columns_added, '' AS added,
+       CAST(NULL AS VARCHAR) AS null_rates, false AS written FROM w
+UNION ALL SELECT 'clean', rows_in, clean_out, rows_in - clean_out, 0, '', """ + _rates_sql("cleaned", ORDER_COLUMNS) + """, true FROM w
+UNION ALL SELECT 'join', clean_out, join_out, clean_out - join_out, 4, 'product_name,category,cost_price,segment', """ + _rates_sql("derived", JOINED_COLUMNS) + """, false FROM w
+UNION ALL SELECT 'derive', join_out, derive_out, join_out - derive_out, 7, 'gross_revenue,net_revenue,cogs,margin,margin_pct,order_date,order_week', """ + _rates_sql("derived", JOINED_COLUMNS + list(DERIVED_COLUMNS)) + """, true FROM w""")
 def q_stage_metrics(spark, sf):
-    return VP.stage_metrics(spark, sf)
+    """V9; of the bytes written, which differ from engine to engine, only that there are some."""
+    return VP.stage_metrics(spark, sf).withColumn("written", F.coalesce(F.col("bytes") > 0, F.lit(False))).drop("bytes")
 
 
 # ------------------------------------------------------------------ E2-E17 event log (batch)
@@ -1168,13 +1179,10 @@ def q_cycle_summary(spark, sf):
 
 # ------------------------------------------------------------------ S1, S5, S6, A8 sources and sinks
 
+from tallyframe.operators import cube as CB  # noqa: E402
 from tallyframe.plans.retail import save_derived  # noqa: E402
 from tallyframe.session import scratch_path  # noqa: E402
 
-# Queries whose output has no dialect-neutral SQL form (JSON text, file manifests).
-ROWS_ONLY = {"metrics_json", "dataset_artifact"}
-
-
 @register("csv_text_scan", f"""{O.with_chain(O.MESSY_ORDERS)}
 SELECT * FROM messy_orders""")
 def q_csv_text_scan(spark, sf):
@@ -1213,18 +1221,90 @@ def q_saved_table_query(spark, sf):
     return M.query_saved(spark, path, _f(**DATES, **REGION)).kpis
 
 
-@register("metrics_json")
+_ASKED = {**DATES, **CATEGORY, **REGION}
+
+
+def _document_sql(**f) -> str:
+    """The rows of a bundle document, as ``cube.document_rows`` gives them."""
+    empty = "CAST(NULL AS VARCHAR) AS name"
+    kpis, none = O.kpis_sql(**f), "CAST(NULL AS BIGINT)"
+    parts = [
+        f"SELECT 'kpis' AS surface, 1 AS position, CAST(NULL AS VARCHAR) AS key, {empty}, net_revenue, order_count AS n, margin_pct AS rate FROM ({kpis})",
+        f"SELECT 'kpis', 2, NULL, NULL, average_order_value, returned_count, return_rate FROM ({kpis})",
+        f"SELECT 'rows', 1, NULL, NULL, NULL, rows, NULL FROM ({kpis})",
+        f"SELECT 'revenue_over_time', CAST(row_number() OVER (ORDER BY order_week) AS INTEGER), CAST(order_week AS VARCHAR), NULL, net_revenue, order_count, NULL FROM ({O.weekly_sql(**f)})",
+        f"SELECT 'revenue_by_category', CAST(row_number() OVER (ORDER BY net_revenue DESC, category) AS INTEGER), category, NULL, net_revenue, {none}, margin_pct FROM ({O.category_sql(**f)})",
+        f"SELECT 'revenue_by_region', CAST(row_number() OVER (ORDER BY net_revenue DESC, region) AS INTEGER), region, NULL, net_revenue, {none}, share FROM ({O.region_sql(**f)})",
+        f"SELECT 'top_products', CAST(row_number() OVER (ORDER BY net_revenue DESC, sku) AS INTEGER), sku, product_name, net_revenue, units, margin_pct FROM ({O.top_products_sql(**f)})",
+    ]
+    for i, name in enumerate(("date_from", "date_to", "category", "region"), 1):
+        value = "NULL" if f.get(name) is None else f"'{f[name]}'"
+        parts.append(f"SELECT 'filters', {i}, '{name}', {value}, NULL, NULL, NULL")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("metrics_json", _document_sql(**_ASKED))
 def q_metrics_json(spark, sf):
-    """The whole bundle as one JSON document; the five surfaces read the derived table
-    written once."""
-    return S.metrics_json(M.aggregate(materialize(derived_table(spark, sf), "derived")).surfaces(), M.SURFACE_ORDER)
+    """The whole bundle as one JSON document with the filters it answers to, and read back. The
+    five surfaces read the derived table written once."""
+    b = M.aggregate(materialize(derived_table(spark, sf), "derived"), _f(**_ASKED))
+    return CB.document_rows(S.metrics_json(b.surfaces(), M.SURFACE_ORDER, M.echo(b.filters)))
+
+
+def _cube(spark, sf):
+    """The cube in two appended parts; the second is first written wrong and then refreshed."""
+    path = scratch_path(spark, "cube")
+    derived = materialize(derived_table(spark, sf), "derived")
+    late = F.col("order_date") >= F.lit("1996-07-01")
+    CB.refresh(derived.filter(~late), path, "1")
+    CB.refresh(derived, path, "2")
+    CB.refresh(derived.filter(late), path, "2")
+    return CB.read_cube(spark, path)
+
+
+@register("cube_document", ORACLE["metrics_json"])
+def q_cube_document(spark, sf):
+    """A6/A8 from the summary cube: the document from one read of the cube."""
+    return CB.document_rows(CB.document(_cube(spark, sf), _f(**_ASKED)))
+
+
+@register("cube_document_all", _document_sql())
+def q_cube_document_all(spark, sf):
+    return CB.document_rows(CB.document(_cube(spark, sf)))
+
+
+@register("cube_top_products", ORACLE["two_filters"])
+def q_cube_top_products(spark, sf):
+    return CB.bundle(_cube(spark, sf), _f(**CATEGORY, **REGION)).top_products
 
 
-@register("dataset_artifact")
+@register("dataset_artifact", f"""{O.PIPELINE},
+t AS (SELECT * FROM derived ORDER BY order_id, order_ts LIMIT 20),
+r AS (SELECT row_number() OVER (ORDER BY order_id, order_ts) AS k, [""" + ", ".join(
+    f"coalesce(CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR), '')" if c in ("unit_price", "discount_pct", "gross_revenue", "net_revenue", "cogs", "margin", "margin_pct")
+    else f"coalesce(CAST({c} AS VARCHAR), '')" for c in JOINED_COLUMNS + list(DERIVED_COLUMNS)) + f"""] AS row FROM t)
+SELECT CAST((SELECT count(*) FROM derived) AS BIGINT) AS rows, '{','.join(JOINED_COLUMNS + list(DERIVED_COLUMNS))}' AS columns, true AS written,
+       (SELECT to_json(list(row ORDER BY k)) FROM r) AS preview""")
 def q_dataset_artifact(spark, sf):
-    """The derived table published as parquet with its manifest row."""
+    """The derived table published as parquet with its manifest row; of path and bytes, which
+    differ from run to run, only that something was written."""
     path = scratch_path(spark, "artifact-derived")
-    return S.dataset_artifact(money_as_double(derived_table(spark, sf)), path, ["order_id", "order_ts"])
+    table = derived_table(spark, sf).select(*JOINED_COLUMNS, *DERIVED_COLUMNS)
+    manifest = S.dataset_artifact(table, path, ["order_id", "order_ts"])
+    return manifest.select("rows", "columns", (F.col("bytes") > 0).alias("written"), "preview")
+
+
+@register("preview_record", f"""{O.with_chain(*O.FIXTURES)},
+t AS (SELECT * FROM messy_orders_keyed ORDER BY _line, order_ts LIMIT 20),
+r AS (SELECT row_number() OVER (ORDER BY _line, order_ts) AS k, [""" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ["_line"] + ORDER_COLUMNS) + f"""] AS row FROM t)
+SELECT CAST((SELECT count(*) FROM messy_orders) AS BIGINT) AS rows, '{','.join(["_line"] + ORDER_COLUMNS)}' AS columns, true AS written,
+       (SELECT to_json(list(row ORDER BY k)) FROM r) AS sample""")
+def q_preview_record(spark, sf):
+    """S4 as one record of a written table."""
+    path = scratch_path(spark, "previewed")
+    seen = S.observed_write(messy_orders(spark, sf, with_key=True), path)
+    record = S.preview_record(spark.read.parquet(path), seen["bytes"], ["_line", "order_ts"], rows=seen["rows"])
+    return record.select("rows", "columns", (F.col("bytes") > 0).alias("written"), "sample")
 
 
 @register("stream_event_dedupe", ORACLE["event_dedupe"])

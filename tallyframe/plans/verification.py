@@ -5,6 +5,7 @@ gathered into one wide row with cross joins of one-row frames (no driver round t
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from tallyframe.functions.exprs import count_if
 from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
 from tallyframe.functions.derive import derive
-from tallyframe.session import materialize
+from tallyframe.session import materialize, scratch_path
+from tallyframe.sources.tables import observed_write
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -130,26 +132,39 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_from_wide(facts_wide(spark, sf))
 
 
+def _rates(nulls: dict[str, int], rows: int) -> str:
+    """The null rates of the columns that have nulls, as text: a=0.250000,b=0.010000."""
+    return ",".join(f"{c}={Decimal(n / rows).quantize(Decimal('0.000001'))}" for c, n in sorted(nulls.items()) if n)
+
+
 def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """V9: one row per stage: (stage, rows_in, rows_out, rows_dropped, columns_added,
-    added), the last the names of the new columns, from the frames themselves."""
+    """V9: one row per stage: (stage, rows_in, rows_out, rows_dropped, columns_added, added,
+    null_rates, bytes): the names of the new columns, the null rates of the columns that have nulls
+    (of the load: not measured), the size of what was written.
+
+    Two writes, the deduplicated stage and the derived table, and nothing else: every figure is
+    taken by the tasks that write. What finishing makes null is known per row of the stage, and
+    deriving keeps the rows of the join."""
     raw = messy_orders(spark, sf)
-    stage = materialize(C.deduped(raw, with_counts=True))
-    cs = C.clean_stats(raw, stage=stage)
-    joined = materialize(J.join(J.join(C.finish(stage), messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"))
-    d = derive(J.resolve_conflict(joined, "region", losing="region_right"))
-    w = _one_row(
-        cs.select("rows_in", F.col("rows_out").alias("clean_out")),
-        joined.agg(F.count(F.lit(1)).alias("join_out")),
-        d.agg(F.count(F.lit(1)).alias("derive_out")),
-    )
-    frames = {"clean": (raw, C.finish(stage)), "join": (raw, J.resolve_conflict(joined, "region", losing="region_right")), "derive": (joined.drop("region_right"), d)}
-    added = {name: ",".join(c for c in out.columns if c not in before.columns) for name, (before, out) in frames.items()}
-    n = {name: len(names.split(",")) if names else 0 for name, names in added.items()}
-    return w.selectExpr(
-        "stack(4, 'load', rows_in, rows_in, 0L, 0L, '',"
-        f" 'clean', rows_in, clean_out, rows_in - clean_out, {n['clean']}L, '{added['clean']}',"
-        f" 'join', clean_out, join_out, clean_out - join_out, {n['join']}L, '{added['join']}',"
-        f" 'derive', join_out, derive_out, join_out - derive_out, {n['derive']}L, '{added['derive']}')"
-        " as (stage, rows_in, rows_out, rows_dropped, columns_added, added)"
+    parsed = F.col(C.RETAIL.ts_column).isNotNull()
+    kept = C.finished_columns()
+    stage_path, path = scratch_path(spark, "metrics-stage"), scratch_path(spark, "metrics-derived")
+    missing = lambda columns, of=lambda c: F.col(c): {f"null_{c}": count_if(parsed & of(c).isNull()) for c in columns}
+    st = observed_write(C.deduped(raw, with_counts=True), stage_path, {
+        "rows_in": F.coalesce(F.sum(C.ROWS_PER_KEY), F.lit(0)), "failures": count_if(~parsed), **missing(raw.columns, lambda c: kept.get(c, F.col(c))),
+    })
+    finished = C.finish(spark.read.parquet(stage_path))
+    joined = J.resolve_conflict(J.join(J.join(finished, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"), "region", losing="region_right")
+    derived = derive(joined)
+    out = observed_write(derived, path, missing(derived.columns))
+    clean_out = st["rows"] - st["failures"]
+    nulls = lambda seen, columns: {c: seen[f"null_{c}"] for c in columns}
+    new = lambda now, was: [c for c in now.columns if c not in was.columns]
+    rows = [("load", st["rows_in"], st["rows_in"], [], None, None)]
+    rows.append(("clean", st["rows_in"], clean_out, new(finished, raw), _rates(nulls(st, raw.columns), clean_out), st["bytes"]))
+    rows.append(("join", clean_out, out["rows"], new(joined, finished), _rates(nulls(out, joined.columns), out["rows"]), None))
+    rows.append(("derive", out["rows"], out["rows"], new(derived, joined), _rates(nulls(out, derived.columns), out["rows"]), out["bytes"]))
+    return spark.createDataFrame(
+        [(s, n, m, n - m, len(added), ",".join(added), rates, size) for s, n, m, added, rates, size in rows],
+        "stage string, rows_in bigint, rows_out bigint, rows_dropped bigint, columns_added bigint, added string, null_rates string, bytes bigint",
     )

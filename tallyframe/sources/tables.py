@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,33 +102,53 @@ def _preview_window(order_by: list[str]):
     return Window.orderBy(*[F.col(k).asc_nulls_first() for k in order_by])
 
 
-def metrics_json(surfaces: Mapping[str, DataFrame], order: Mapping[str, list[str]]) -> DataFrame:
-    """The metrics bundle as ONE JSON document (one row, one string column).
+def metrics_json(surfaces: Mapping[str, DataFrame], order: Mapping[str, list[str]], filters: Column | None = None) -> DataFrame:
+    """The metrics bundle as ONE JSON document (one row, one string column), with the filters it
+    answers to if given.
 
     Each surface is already small (grouped output); each is folded to an array of structs, in
     the order of its ``order`` keys (kept inside the array, as a frame's order does not outlive
-    an exchange), and the arrays are joined by a cross product of one-row frames."""
+    an exchange), and the arrays are joined by a cross product of one-row frames. The headline is
+    an object, its ``rows`` a field of the document."""
     docs = None
     for name, df in surfaces.items():
         row = F.struct(*[F.col(c) for c in df.columns]).alias("row")
         keyed = df.agg(F.array_sort(F.collect_list(F.struct(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(order.get(name, []))], row))).alias(name))
         one = keyed.select(F.transform(name, lambda x: x["row"]).alias(name))
         docs = one if docs is None else docs.crossJoin(one)
-    return docs.select(F.to_json(F.struct(*surfaces.keys())).alias("metrics_json"))
+    head = F.element_at("kpis", 1)
+    parts = [head.dropFields("rows").alias("kpis"), *[F.col(n) for n in surfaces if n != "kpis"], head["rows"].alias("rows")]
+    return docs.select(F.to_json(F.struct(*parts, *([] if filters is None else [filters.alias("filters")])), {"ignoreNullFields": "false"}).alias("metrics_json"))
+
+
+def observed_write(df: DataFrame, path: str, figures: Mapping[str, Column] | None = None) -> dict:
+    """Writes ``df`` as parquet and returns what was seen on the way: ``rows`` and the aggregates in
+    ``figures``, taken by the very tasks that write (a retried task counts once), and ``bytes``,
+    from the list of files. No second scan."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (figures or {}).items()]).write.mode("overwrite").parquet(path)
+    return {**seen.get, "bytes": stored_bytes(df.sparkSession, path)}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a folder's parquet files, from their listing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def preview_record(written: DataFrame, size: int, order_by: list[str], n: int = 20, rows: int | None = None) -> DataFrame:
+    """S4 as one record (rows, columns, bytes, sample): the sample as JSON text, a list of rows of
+    text. ``written`` is a table of files, so that a count reads footers only."""
+    pv = preview(written, order_by, n)
+    shown = F.array_sort(F.collect_list(F.struct("preview_row", F.array(*[F.col(f"`{c}`") for c in written.columns]).alias("row"))))
+    sample = pv.agg(F.to_json(F.transform(shown, lambda x: x["row"])).alias("sample"))
+    counted = written.agg(F.count(F.lit(1)).alias("rows")) if rows is None else written.sparkSession.range(1).select(F.lit(rows).cast("bigint").alias("rows"))
+    return counted.crossJoin(sample).select("rows", F.lit(",".join(written.columns)).alias("columns"), F.lit(size).cast("bigint").alias("bytes"), "sample")
 
 
 def dataset_artifact(df: DataFrame, path: str, order_by: list[str], preview_rows: int = 20) -> DataFrame:
-    """Write the frame as parquet and return its manifest row
-    (path, rows, columns, preview as JSON text) computed from the written files."""
-    df.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    rows = written.agg(F.count(F.lit(1)).alias("rows"))
-    pv = preview(written, order_by, preview_rows)
-    shown = F.array_sort(F.collect_list(F.struct("preview_row", F.array(*written.columns).alias("row"))))
-    pv_doc = pv.agg(F.to_json(F.transform(shown, lambda x: x["row"])).alias("preview"))
-    return rows.crossJoin(pv_doc).select(
-        F.lit(path).alias("path"),
-        "rows",
-        F.lit(",".join(written.columns)).alias("columns"),
-        "preview",
-    )
+    """Write the frame as parquet and return its manifest row (path, rows, columns, bytes,
+    preview as JSON text), rows counted while writing."""
+    seen = observed_write(df, path)
+    record = preview_record(df.sparkSession.read.parquet(path), seen["bytes"], order_by, preview_rows, rows=seen["rows"])
+    return record.select(F.lit(path).alias("path"), "rows", "columns", "bytes", F.col("sample").alias("preview"))
