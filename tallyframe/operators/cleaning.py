@@ -33,7 +33,7 @@ class CleanStrategy:
     timestamp: str = MULTI_FORMAT
     ts_column: str = "order_ts"
     dedupe_on: str | None = "order_id"
-    coerce: tuple[tuple[str, str], ...] = (("qty", "int"), ("unit_price", P.PRICE_DECIMAL))
+    coerce: tuple[tuple[str, str], ...] = (("qty", "int"), ("unit_price", P.WIDE_PRICE_DECIMAL))
     fill_nulls: tuple[tuple[str, float], ...] = (("discount_pct", 0.0),)
     fill_type: str = P.WIDE_RATE_DECIMAL
     fallbacks: tuple[str, ...] = field(default=P.FALLBACK_SPECS)
@@ -233,7 +233,7 @@ def held_counts(df: DataFrame, products: DataFrame, strategy: CleanStrategy = RE
 
     orders = [(c, not_held(c, t), t) for c, t in strategy.coerce]
     orders += [(c, not_held(c, strategy.fill_type, tidied=False), strategy.fill_type) for c, _v in strategy.fill_nulls]
-    cost = [(cost_price, not_held(cost_price, P.PRICE_DECIMAL, tidied=False), P.PRICE_DECIMAL)]
+    cost = [(cost_price, not_held(cost_price, P.WIDE_PRICE_DECIMAL, tidied=False), P.WIDE_PRICE_DECIMAL)]
     return counted(stage, orders).unionByName(counted(products, cost))
 
 

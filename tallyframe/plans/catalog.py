@@ -213,7 +213,7 @@ def q_coerce(spark, sf):
         F.col("qty").alias("qty_raw"),
         C.coerce_expr("qty", "int").alias("qty"),
         F.col("unit_price").alias("unit_price_raw"),
-        C.coerce_expr("unit_price", P.PRICE_DECIMAL).cast("double").alias("unit_price"),
+        C.coerce_expr("unit_price", P.WIDE_PRICE_DECIMAL).cast("double").alias("unit_price"),
     )
 
 
@@ -232,8 +232,8 @@ def _not_held_sql(col: str, target: str) -> str:
 SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_needed_sql('qty', 'BIGINT')}) AS BIGINT) AS needed,
        CAST(count(*) FILTER (WHERE {_not_held_sql('qty', 'BIGINT')}) AS BIGINT) AS not_held FROM deduped
 UNION ALL
-SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_needed_sql('unit_price', O.PRICE)}) AS BIGINT),
-       CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.PRICE)}) AS BIGINT) FROM deduped""")
+SELECT 'unit_price', '{P.WIDE_PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_needed_sql('unit_price', O.WIDE_PRICE)}) AS BIGINT),
+       CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.WIDE_PRICE)}) AS BIGINT) FROM deduped""")
 def q_coerce_counts(spark, sf):
     return C.coerce_counts(messy_orders(spark, sf))
 
@@ -241,16 +241,19 @@ def q_coerce_counts(spark, sf):
 @register("held_counts", f"""{O.with_chain(O.MESSY_ORDERS, O.MESSY_PRODUCTS, O.CLEAN_CHAIN)}
 SELECT 'qty' AS column_name, 'bigint' AS target, CAST(count(*) FILTER (WHERE {_not_held_sql('qty', 'BIGINT')}) AS BIGINT) AS not_held FROM deduped
 UNION ALL
-SELECT 'unit_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.PRICE)}) AS BIGINT) FROM deduped
+SELECT 'unit_price', '{P.WIDE_PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('unit_price', O.WIDE_PRICE)}) AS BIGINT) FROM deduped
 UNION ALL
 SELECT 'discount_pct', '{P.WIDE_RATE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('discount_pct', P.WIDE_RATE_DECIMAL.upper())}) AS BIGINT) FROM deduped
 UNION ALL
-SELECT 'cost_price', '{P.PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('cost_price', O.PRICE)}) AS BIGINT) FROM messy_products""")
+SELECT 'cost_price', '{P.WIDE_PRICE_DECIMAL}', CAST(count(*) FILTER (WHERE {_not_held_sql('cost_price', O.WIDE_PRICE)}) AS BIGINT) FROM messy_products""")
 def q_held_counts(spark, sf):
     return C.held_counts(messy_orders(spark, sf), messy_products(spark, sf))
 
 
 @register("derive_counts", f"""{O.PIPELINE}
+SELECT 'gross_revenue' AS column_name, CAST(0 AS BIGINT) AS rounded,
+       CAST(count(*) FILTER (WHERE gross_revenue IS NULL AND qty IS NOT NULL AND unit_price IS NOT NULL) AS BIGINT) AS not_held FROM derived
+UNION ALL
 SELECT 'net_revenue' AS column_name, CAST(0 AS BIGINT) AS rounded,
        CAST(count(*) FILTER (WHERE net_revenue IS NULL AND gross_revenue IS NOT NULL AND discount_pct IS NOT NULL) AS BIGINT) AS not_held FROM derived
 UNION ALL

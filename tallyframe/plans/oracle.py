@@ -11,6 +11,7 @@ from tallyframe.functions import patterns as P
 
 
 PRICE, RATE, QTY = P.PRICE_DECIMAL.upper(), P.RATE_DECIMAL.upper(), P.QTY_DECIMAL.upper()
+WIDE_PRICE = P.WIDE_PRICE_DECIMAL.upper()
 
 
 def _q(s: str) -> str:
