@@ -12,8 +12,9 @@ starts with one key; only segments of keys that occur twice are sorted.
 3. Shards of whole keys are sorted by induced sorting in stretches of bounded size, and permuted
    common prefixes of ``window`` or more mark the repeated strings (see ``suffix_array``). A distinct segment
    that occurs twice is repeated as a whole, and a key whose only segment it is needs no sorting.
-4. A key that occurs so often that its segments may exceed ``shard_bytes`` is too large for a task.
-   Its strings are dealt anew one by one, by their 128-bit digests, and counted.
+4. A key whose distinct segments may exceed ``shard_bytes`` is too large for a task (``large_keys``;
+   copies of one segment are sent once a task and count nothing). Its strings are dealt anew one by
+   one, by their 128-bit digests, and counted.
 5. The marked ranges go back to the documents, by segment.
 
 Texts are handled as UTF-8 bytes, and strings are judged on the input. Defined results: null is
@@ -52,17 +53,25 @@ class Powers:
         return self.up, self.down
 
 
-def gram_hashes(raw: bytes, gram: int, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each ``gram``-byte substring."""
-    up, down = powers.to(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]
+def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+def prefix_sums(raw: bytes, powers: Powers) -> np.ndarray:
+    """Sums of the bytes times powers of the base: the hash of any stretch is a difference of two."""
+    up, _ = powers.to(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return sums
+
+
+def gram_hashes(sums: np.ndarray, gram: int, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of each ``gram``-byte substring."""
+    return mixed((sums[gram:] - sums[:-gram]) * powers.to(len(sums))[1][: len(sums) - gram])
+
+
 def sliding(a: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
     """``pick`` over each stretch of n."""
     k = 1
@@ -71,19 +80,28 @@ def sliding(a: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
     return pick(a[: len(a) - (n - k)], a[n - k :]) if k < n else a
 
 
-def string_keys(raw: bytes, window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each ``window``-byte string, and the hashes of all grams."""
-    h = gram_hashes(raw, gram, powers)
-    return sliding(h, window - gram + 1), h
+def string_keys(raw: bytes, window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of each ``window``-byte string, the hashes of all grams, and the prefix sums."""
+    sums = prefix_sums(raw, powers)
+    h = gram_hashes(sums, gram, powers)
+    return sliding(h, window - gram + 1), h, sums
 
 
-def key_places(raw: bytes, window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a text and at how many places each is a key's gram."""
-    keys, h = string_keys(raw, window, gram, powers)
+def key_places(raw: bytes, window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a text, at how many places each is a key's gram, and the bytes of its segments
+    with a digest of them."""
+    keys, h, sums = string_keys(raw, window, gram, powers)
     reach = window - gram
     ends = np.concatenate([np.zeros(reach, np.uint64), keys, np.zeros(reach, np.uint64)])
     is_key = h == sliding(ends, reach + 1, np.maximum)
-    return np.unique(h[is_key], return_counts=True)
+    found, n = np.unique(h[is_key], return_counts=True)
+    cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    first, last = np.append(0, cut), np.append(cut, len(keys)) + (window - 1)
+    order = np.argsort(keys[first], kind="stable")
+    first, last = first[order], last[order]
+    group = np.flatnonzero(np.append(True, keys[first][1:] != keys[first][:-1]))
+    digest = mixed((sums[last] - sums[first]) * powers.to(len(sums))[1][first])
+    return found, n, np.add.reduceat(last - first, group), np.add.reduceat(digest, group)
 
 
 def segments(raw: bytes, keys: np.ndarray, wanted: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
@@ -126,17 +144,26 @@ RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def keys_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each text and key: __row, key, n (places), bytes and digest (of its segments there)."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for row, text in column_lists(batches, ROW, "text"):
             out = [(r, *key_places(raw, window, gram, powers)) for r, raw in zip(row.to_pylist(), utf8_values(text)) if len(raw) >= window]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r for r, k, _ in out], [len(k) for _, k, _ in out])), pa.array(np.concatenate([k for _, k, _ in out]).view(np.int64)), pa.array(np.concatenate([n for _, _, n in out]))],
-                    [ROW, "key", "n"],
-                )
+                row, *columns = zip(*out)
+                key, n, size, digest = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, list(map(len, columns[0])))), *map(pa.array, (key.view(np.int64), n, size, digest.view(np.int64)))], [ROW, "key", "n", "bytes", "digest"])
+
+    return rows.select(ROW, "text").mapInArrow(task, f"{ROW} long, key long, n long, bytes long, digest long")
+
 
-    return rows.select(ROW, "text").mapInArrow(task, f"{ROW} long, key long, n long")
+def large_keys(keys: DataFrame, shared: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
+    """Keys whose distinct segments may exceed ``shard_bytes``: of keys with so many places that they
+    could, the bytes of each distinct set of segments that a text has."""
+    many = shared.where(F.col("n") * (2 * window - gram) > shard_bytes).select("key")
+    per_set = keys.join(many, "key", "left_semi").groupBy("key", "digest").agg(F.max("bytes").alias("bytes"))
+    return per_set.groupBy("key").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > shard_bytes).select("key")
 
 
 def segments_of(marked: DataFrame, window: int, gram: int, held_bytes: int = 16 << 20) -> DataFrame:
@@ -157,7 +184,7 @@ def segments_of(marked: DataFrame, window: int, gram: int, held_bytes: int = 16
         for row, text, wanted in column_lists(batches, ROW, "text", "keys"):
             places = []
             for r, raw, of in zip(row.to_pylist(), utf8_values(text), wanted):
-                keys, _ = string_keys(raw, window, gram, powers)
+                keys, _, _ = string_keys(raw, window, gram, powers)
                 sorted_keys = np.sort(of.values.to_numpy().view(np.uint64))
                 for start, long, key in segments(raw, keys, sorted_keys, window - gram + 1):
                     part = raw[start : start + long + window - 1]
@@ -259,12 +286,13 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 40, stretch: int = 2
     rows = identified(docs, id_col, text_col)
     keys = materialize(keys_of(rows, window, gram), "repeats-keys")
     shared = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "repeats-shared")
-    marks = materialize(keys.select(ROW, "key").join(shared, "key", "left_semi").groupBy(ROW).agg(F.collect_list("key").alias("keys")), "repeats-marks")  # a text's own keys
+    # without the hint a small table of keys would be sent to all tasks and a large one would not
+    marks = materialize(keys.select(ROW, "key").join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").groupBy(ROW).agg(F.collect_list("key").alias("keys")), "repeats-marks")  # a text's own keys
     # The texts are dealt by row once: this join and the last one have the same left side, and Spark
     # uses its exchange for both. Segments are cut anew for each of their two uses.
     found = segments_of(rows.join(marks, ROW).select("doc_id", ROW, "text", "keys"), window, gram)
     texts = found.where("text IS NOT NULL").select("key", "sid", "text", "n")
-    large = shared.where(F.col("n") * (2 * window - gram) > shard_bytes).select("key")
+    large = materialize(large_keys(keys, shared, window, gram, shard_bytes), "repeats-large")
     if large.isEmpty():
         hits = sorted_hits(texts, window, stretch)
     else:

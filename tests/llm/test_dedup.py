@@ -114,6 +114,38 @@ def test_suffix_hot_line(spark):
     assert got == {i: 240 if i >= 500 else 0 for i in got}
 
 
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 3000])
+def test_suffix_production_window(spark, shard_bytes):
+    """The window of the query, whole texts against brute force: shared passages, lines that only share
+    less than the window, periodic texts, copies; also with most repeated keys too large for a task."""
+    rng = random.Random(9)
+    other = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passages, line = [other(n) for n in (199, 200, 230, 400, 1500)], other(150)
+    rows = [(i, other(rng.randint(0, 500)) + rng.choice(passages) + other(rng.randint(0, 300)) + line + other(100), None) for i in range(120)]
+    rows += [(200, "ab" * 300, None), (201, "x" * 250, None), (202, other(900) * 2, None), (203, passages[4][100:], None), (204, None, None), (205, "é" * 99, None)]
+    rows += [(300 + i, rows[i][1], None) for i in range(20)]
+    got = suffix_dedup.removed(frame(spark, rows), shard_bytes=shard_bytes).collect()
+    texts = [(t or "").encode() for _, t, _ in rows]
+    want = Counter((i, len(t), gone, runs, kept) for (i, _, _), t, (kept, gone, runs) in zip(rows, texts, cut_by_hand(texts, 200)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+
+
+def test_large_keys_count_distinct_segments(spark):
+    """A passage in very many copies is no large key; as many different texts round one gram are."""
+    rng = random.Random(3)
+    other = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    gram, copy = other(40), other(300)
+    rows = [(i, copy, None) for i in range(300)]
+    keys = suffix_dedup.keys_of(suffix_dedup.identified(frame(spark, rows)), 200, 40)
+    shared = keys.groupBy("key").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    assert suffix_dedup.large_keys(keys, shared, 200, 40, 20_000).count() == 0
+    rows = [(i, other(200) + gram + other(200), None) for i in range(300)]
+    keys = suffix_dedup.keys_of(suffix_dedup.identified(frame(spark, rows)), 200, 40)
+    shared = keys.groupBy("key").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    sizes = shared.where("n > 100").count()
+    assert suffix_dedup.large_keys(keys, shared, 200, 40, 20_000).count() == sizes
+
+
 def test_suffix_empty(spark):
     assert suffix_dedup.removed(frame(spark, [])).collect() == []
 
