@@ -11,14 +11,9 @@ from tallyframe.functions.exprs import count_if, guarded_cast, null_when_zero_ra
 DERIVED_COLUMNS = ("gross_revenue", "net_revenue", "cogs", "margin", "margin_pct", "order_date", "order_week")
 
 
-def _exact_amount(qty: Column, price: Column) -> Column:
-    """Quantity times price without rounding; null where both have too many digits."""
-    some, plain = qty.try_cast(P.EXACT_QTY_DECIMAL), price.try_cast(P.EXACT_PRICE_DECIMAL)
-    return F.coalesce(some * price, (qty * F.when(plain == price, plain)).try_cast(P.AMOUNT_DECIMAL))
-
-
 def amount(qty: Column, price: Column) -> Column:
-    return F.coalesce(_exact_amount(qty, price), F.try_multiply(qty, price).try_cast(P.AMOUNT_DECIMAL))
+    """Quantity times price, exact; null past 32 digits before the point."""
+    return F.try_multiply(qty, price).try_cast(P.AMOUNT_DECIMAL)
 
 
 def _exact_net(gross: Column, disc: Column) -> Column:
@@ -38,9 +33,9 @@ def derive(
 ) -> DataFrame:
     """Adds the seven derived columns in one projection; row count unchanged.
 
-    Prices keep eight decimals and quantities every BIGINT; amounts and nets are exact as far as 38
-    digits go, then rounded to six decimals, and null past 30 and 27 digits before the point
-    (counted by ``derive_counts``; no value fails the job). ``cost_price`` arrives as
+    Prices keep six decimals and quantities every BIGINT, so gross and cogs are exact (null past 32
+    digits before the point); net is exact as far as 38 digits go, then rounded to six decimals,
+    and null past 27 digits before the point (all counted by ``derive_counts``; no value fails the job). ``cost_price`` arrives as
     text from the products extract and is cast at the point of use (bad text -> null)."""
     q = F.col(qty).try_cast(P.WIDE_QTY_DECIMAL)
     price = F.col(unit_price).try_cast(P.WIDE_PRICE_DECIMAL)
@@ -65,19 +60,18 @@ def derive(
 
 
 def derive_counts(df: DataFrame, qty: str = "qty", unit_price: str = "unit_price", discount: str = "discount_pct") -> DataFrame:
-    """(column_name, rounded, not_held) of a derived table: amounts and nets rounded to six decimals,
-    and those and margins that are null although all they are made of is there."""
+    """(column_name, rounded, not_held) of a derived table: nets rounded to six decimals, and
+    gross amounts, nets and margins that are null although all they are made of is there."""
     gross, net, cogs = F.col("gross_revenue"), F.col("net_revenue"), F.col("cogs")
     q, price = F.col(qty).try_cast(P.WIDE_QTY_DECIMAL), F.col(unit_price).try_cast(P.WIDE_PRICE_DECIMAL)
     rounded = net.isNotNull() & _exact_net(gross, F.col(discount).try_cast(P.WIDE_RATE_DECIMAL)).isNull()
     wide = df.agg(
-        count_if(gross.isNotNull() & _exact_amount(q, price).isNull()).alias("a"),
         count_if(gross.isNull() & q.isNotNull() & price.isNotNull()).alias("g"),
         count_if(rounded).alias("r"),
         count_if(net.isNull() & gross.isNotNull() & F.col(discount).isNotNull()).alias("n"),
         count_if(F.col("margin").isNull() & net.isNotNull() & cogs.isNotNull()).alias("m"),
     )
-    return wide.selectExpr("stack(3, 'gross_revenue', a, g, 'net_revenue', r, n, 'margin', r, m) as (column_name, rounded, not_held)")
+    return wide.selectExpr("stack(3, 'gross_revenue', 0L, g, 'net_revenue', r, n, 'margin', r, m) as (column_name, rounded, not_held)")
 
 
 MONEY_COLUMNS = ("unit_price", "discount_pct", "gross_revenue", "net_revenue", "cogs", "margin")

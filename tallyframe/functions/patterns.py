@@ -73,19 +73,15 @@ SAMPLE_SIZE = 3
 QTY_DECIMAL = "decimal(10,0)"
 PRICE_DECIMAL = "decimal(19,6)"
 RATE_DECIMAL = "decimal(8,6)"
-# What the columns are read into: every BIGINT quantity, prices of 18 digits before the point and 8
-# behind, rates of 21 before and 12 behind.
+# What the columns are read into: every BIGINT quantity, prices of 18 digits before the point and 6
+# behind, rates of 21 before and 12 behind. Amounts (quantity times price) have 32 digits before the
+# point and are never rounded.
 WIDE_QTY_DECIMAL = "decimal(20,0)"
-WIDE_PRICE_DECIMAL = "decimal(26,8)"
+WIDE_PRICE_DECIMAL = "decimal(24,6)"
 WIDE_RATE_DECIMAL = "decimal(33,12)"
-# Amounts (quantity times price) have 30 digits before the point. They are exact for quantities that
-# fit the first type with any price, and for all with prices that fit the second; the products have
-# 38 digits. Otherwise they are rounded to six decimals.
-EXACT_QTY_DECIMAL = "decimal(11,0)"
-EXACT_PRICE_DECIMAL = "decimal(17,6)"
-AMOUNT_DECIMAL = "decimal(38,8)"
+AMOUNT_DECIMAL = "decimal(38,6)"
 # A net is exact to ten decimals where gross and rate fit these (their product has 38 digits), otherwise
 # it is rounded to six; net and cost of goods have 27 digits before the point.
-EXACT_GROSS_DECIMAL = "decimal(24,8)"
-EXACT_RATE_DECIMAL = "decimal(12,10)"
+EXACT_GROSS_DECIMAL = "decimal(22,6)"
+EXACT_RATE_DECIMAL = "decimal(14,10)"
 NET_DECIMAL = "decimal(37,10)"

@@ -123,14 +123,14 @@ def test_outliers_are_kept_and_counted(spark):
 
     df = frame(spark, [row("o1", qty="12345678901", disc="0.25"), row("o2", disc="150"), row("o3", disc="0.1234567"),
                        row("o4", disc="1e30"), row("o5", qty="99999999999999999999"), row("o6", disc="0.1234567890123")])
-    cost = spark.createDataFrame([("0.50",), ("0.12345",)], "cost_price string")
+    cost = spark.createDataFrame([("0.50",), ("0.123456",), ("0.1234567",)], "cost_price string")  # the last has a decimal more than held
     held = {r.column_name: r.not_held for r in C.held_counts(df, cost).collect()}
     assert held == {"qty": 1, "unit_price": 0, "discount_pct": 2, "cost_price": 1}
     assert C.null_rates(df).first().unparseable_filled == 0
     out = derive(C.clean(df).withColumn("cost_price", F.lit("0.50"))).cache()
     net = {r.order_id: r.net_revenue and format(r.net_revenue.normalize(), "f") for r in out.collect()}
     assert net == {"o1": "92592591757.5", "o2": "-4470", "o3": "26.296299", "o4": None, "o5": None, "o6": "26.296296"}
-    assert {tuple(r) for r in derive_counts(out).collect()} == {("net_revenue", 1, 0), ("margin", 1, 0)}
+    assert {tuple(r) for r in derive_counts(out).collect()} == {("gross_revenue", 0, 0), ("net_revenue", 1, 0), ("margin", 1, 0)}
 
 
 def test_largest_quantity_and_price_do_not_fail(spark):
@@ -142,4 +142,15 @@ def test_largest_quantity_and_price_do_not_fail(spark):
     got = {r.order_id: r for r in out.collect()}
     assert got["o1"].gross_revenue is not None and got["o1"].net_revenue is None
     assert format(got["o2"].net_revenue.normalize(), "f") == "46116860184273879035"
-    assert {tuple(r) for r in derive_counts(out).collect()} == {("net_revenue", 1, 1), ("margin", 1, 0)}
+    assert {tuple(r) for r in derive_counts(out).collect()} == {("gross_revenue", 0, 0), ("net_revenue", 1, 1), ("margin", 1, 0)}
+
+
+def test_prices_of_six_decimals_and_of_many_digits_are_kept(spark):
+    from tallyframe.functions.derive import derive
+
+    df = frame(spark, [row("o1", qty="3", price="10.123456", disc="0.5"), row("o2", qty="2", price="100000000000000000.25", disc="0"), row("o3", qty="1", price="0.00001", disc="0")])
+    out = derive(C.clean(df).withColumn("cost_price", F.lit("0.333333")))
+    text = lambda v: format(v.normalize(), "f")
+    got = {r.order_id: (text(r.gross_revenue), text(r.net_revenue), text(r.margin)) for r in out.collect()}
+    assert got == {"o1": ("30.370368", "15.185184", "14.185185"), "o2": ("200000000000000000.5", "200000000000000000.5", "199999999999999999.833334"), "o3": ("0.00001", "0.00001", "-0.333323")}
+    assert C.held_counts(df, spark.createDataFrame([("1",)], "cost_price string")).agg(F.sum("not_held")).first()[0] == 0
