@@ -8,6 +8,8 @@ pattern, anchored regex for the raw text).
     2. %Y-%m-%d %H:%M:%S   yyyy-MM-dd HH:mm:ss     ^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}$
     3. %d/%m/%Y %H:%M      dd/MM/yyyy HH:mm        ^\\d{2}/\\d{2}/\\d{4} \\d{2}:\\d{2}$
     4. %Y-%m-%d            yyyy-MM-dd              ^\\d{4}-\\d{2}-\\d{2}$
+(In the code the digits are written [0-9], which is what \\d means in Java's and RE2's patterns, so that
+neither engine's flags can change it.)
 Strict timestamp spec: %Y-%m-%dT%H:%M:%S. Fallback specs, tried in order: %d/%m/%Y %H:%M.
 Integer-looking text (type reading): optional whitespace, optional sign, digits.
 Decimal-looking text (type reading): optional sign, digits '.' digits with either side

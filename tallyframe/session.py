@@ -75,3 +75,11 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes everything that this application has written through ``scratch_path``. For the end of a
+    long session, when no DataFrame that reads a written stage is used any more."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tallyframe/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -50,3 +50,23 @@ def test_deep_chain_levels(spark):
     chain = spark.createDataFrame([("g", i, i - 1) for i in range(1, n)], "group_id string, child long, parent long")
     got = {r.node: r.level for r in G.levels(chain, nodes).collect()}
     assert got == {i: i for i in range(n)}
+
+
+def test_written_stages_can_be_removed(spark, tmp_path):
+    """Only this application's folder goes."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from tallyframe.session import local_session, materialize, remove_written
+spark = local_session(1, app="removes")
+materialize(spark.range(5), "a"), materialize(spark.range(5), "b")
+remove_written(spark)
+"""
+    other = tmp_path / "tallyframe" / "another-application" / "kept"
+    other.mkdir(parents=True)
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], capture_output=True, env={k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "_PYSPARK"))})
+    assert [f.name for f in (tmp_path / "tallyframe").iterdir() if any(f.rglob("*"))] == ["another-application"]
