@@ -40,7 +40,7 @@ def messy_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> Da
     # Lines and orders are of one magnitude at every scale, so neither is sent to all tasks; the exchange
     # also spreads lines that come as a few large row groups before their texts are built.
     j = (
-        li.join(od.hint("shuffle_hash"), li.l_orderkey == od.o_orderkey)
+        li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey)
         .join(cu, F.col("o_custkey") == cu.c_custkey)
         .join(F.broadcast(na), F.col("c_nationkey") == na.n_nationkey)
         .join(F.broadcast(rg), F.col("n_regionkey") == rg.r_regionkey)
