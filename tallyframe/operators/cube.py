@@ -7,15 +7,15 @@ part writes over its own folder. Cells of several parts simply add up.
 
 A bundle reads the cube once: each cell gives an entry for every surface whose filters let it through
 (its own dimension's filter is released for a cut), so a selective filter leaves few entries, and one
-aggregate over (surface, key) gives all of them. That answer, a row a surface key, is written once;
-the five surfaces and the document are views of it.
+aggregate over (surface, key) gives all of them. The document comes from that in the same job; for the
+five surfaces as frames the answer, a row a surface key, is written once.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import patterns as P
@@ -97,17 +97,17 @@ def bundle(cube: DataFrame, f: M.Filters | None = None, k: int = P.TOP_PRODUCT_L
 
 def document(cube: DataFrame, f: M.Filters | None = None, k: int = P.TOP_PRODUCT_LIMIT) -> DataFrame:
     """S5 over the cube: the bundle as one JSON document, with the filters it answers to, from one read
-    of the cube and one of the answer."""
+    of the cube in one job. Products are ranked, and everything else passes the same limit as a
+    group of its own, so that a task hands on no more than ``k`` products."""
     f = f or M.Filters()
-    a = materialize(answer(cube, f), "bundle")
-    top = a.filter("surface = 'top_products'").orderBy(F.desc("net"), F.asc("key")).limit(k)
-    shown = a.filter("surface <> 'top_products'").unionByName(top)
-    net, margin, total = M.money(F.col("net")), M.money(F.col("margin")), F.col("_total")
-    shown = shown.crossJoin(a.filter("surface = 'revenue_by_region'").agg(M.money(F.sum("net")).alias("_total")))
+    group = F.when(F.col("surface") == "top_products", F.lit("")).otherwise(F.concat_ws("|", "surface", "key", F.col("key").isNull()))
+    ranked = answer(cube, f).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("net"), F.asc("key"))))
+    shown = ranked.filter(F.col("_at") <= k)
+    net, margin = M.money(F.col("net")), M.money(F.col("margin"))
     fields = {
         "revenue_over_time": (F.col("key"), {"order_week": F.col("key"), "net_revenue": M.money(F.coalesce("net", F.lit(0))), "order_count": F.col("done")}),
         "revenue_by_category": (F.struct(-net, "key"), {"category": F.col("key"), "net_revenue": net, "margin_pct": ratio(margin, net)}),
-        "revenue_by_region": (F.struct(-net, "key"), {"region": F.col("key"), "net_revenue": net, "share": ratio(net, total)}),
+        "revenue_by_region": (F.struct(-net, "key"), {"region": F.col("key"), "net_revenue": net}),
         "top_products": (F.struct(-F.col("net"), F.col("key")), {"sku": F.col("key"), "product_name": F.col("name"), "net_revenue": net, "units": F.col("units").try_cast("bigint"), "margin_pct": ratio(margin, net)}),
     }
     listed = {
@@ -118,10 +118,13 @@ def document(cube: DataFrame, f: M.Filters | None = None, k: int = P.TOP_PRODUCT
     whole = shown.agg(
         *[F.sum(F.when(is_head, F.col(c))).alias(f"_{c}") for c in ("net", "margin")],
         *[F.coalesce(F.sum(F.when(is_head, F.col(c))), F.lit(0)).cast("bigint").alias(f"_{c}") for c in ("done", "returned", "rows")],
+        M.money(F.sum(F.when(F.col("surface") == "revenue_by_region", F.col("net")))).alias("_total"),
         *listed.values(),
     )
+    shares = F.transform("revenue_by_region", lambda x: x.withField("share", ratio(x["net_revenue"], F.col("_total"))))
     head = F.struct(*M.kpi_columns(F.col("_net"), F.col("_margin"), F.col("_done"), F.col("_returned"))).alias("kpis")
-    return whole.select(F.to_json(F.struct(head, *fields, F.col("_rows").alias("rows"), M.echo(f).alias("filters")), {"ignoreNullFields": "false"}).alias("metrics_json"))
+    parts = [shares.alias(name) if name == "revenue_by_region" else F.col(name) for name in fields]
+    return whole.select(F.to_json(F.struct(head, *parts, F.col("_rows").alias("rows"), M.echo(f).alias("filters")), {"ignoreNullFields": "false"}).alias("metrics_json"))
 
 
 #: What a reader of the document parses it with.
