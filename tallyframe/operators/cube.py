@@ -24,6 +24,8 @@ from tallyframe.operators import metrics as M
 from tallyframe.session import materialize
 
 DIMENSIONS = ("order_date", "order_week", "category", "region", "sku", "product_name", "status")
+#: All that the cube reads of a derived table.
+COLUMNS = (*DIMENSIONS, "qty", "net_revenue", "margin")
 
 
 def cells(derived: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def cells(derived: DataFrame) -> DataFrame:
 
 def refresh(derived: DataFrame, path: str, part: str) -> None:
     """Adds a part's cells to the cube, or replaces them."""
-    cells(derived).write.mode("overwrite").parquet(f"{path}/part={part}")
+    cells(derived).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/part={part}")
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:

@@ -64,16 +64,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tallyframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", compression: str | None = None):
     """Write ``df`` once as parquet under the shared checkpoint folder and return a DataFrame
     reading it back. This cuts the lineage (a lost executor recomputes from the written
     files, not from the source), computes the chain exactly once (an RDD checkpoint of an
     uncached Dataset runs it twice: once to count, once to write), and keeps column pruning
     and filter pushdown for every reader. Used where several aggregates read the same
-    derived input in one query, and once per round in iterative work."""
+    derived input in one query, and once per round in iterative work. ``compression``: a parquet codec
+    in place of the session's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return spark.read.parquet(path)
 
 

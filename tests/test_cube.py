@@ -61,3 +61,15 @@ def test_document_reads_the_cube_once(cube):
     plan = CB.document(cube, FILTERS[1])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "PushedFilters: [IsNotNull(order_date)" in plan
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_cube_is_built_from_its_own_columns(spark, sf_small, monkeypatch):
+    """What the cube's parts are read from holds no other column, and its cells are the whole table's."""
+    from tallyframe.plans import catalog
+
+    seen = []
+    real = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    cube = catalog._cube(spark, sf_small)
+    assert seen == [list(CB.COLUMNS)]
+    assert CB.bundle(cube).kpis.first() == M.aggregate(derived_table(spark, sf_small)).kpis.first()
