@@ -23,7 +23,8 @@ latest batch. No stream runs Python on rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,14 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.eventlog import METRICS, status_of
 from tallyframe.session import scratch_path
+from tallyframe.sources.tables import stored_bytes
 
 # At most so much of a backlog in one micro-batch.
 BYTES_PER_TRIGGER = 8 << 30
 
+# The folds keep less than they read, so that a store of a part of the log this large stays small.
+LOG_BYTES_PER_STATE = 64 << 20
+
 
 def write_log(ev: DataFrame, path: str, files: int | None = None) -> str:
     """Materialise a log as a folder, in the files that its own partitioning gives. ``files``
@@ -148,12 +153,33 @@ def run_header_stream(stream: DataFrame) -> DataFrame:
     )
 
 
+def state_partitions(spark: SparkSession, log_bytes: int) -> int:
+    """Partitions of a stream's state for a log of that size. Each costs a store to load and commit and a file
+    in every micro-batch, however little it holds, and adaptive execution joins none of them: as many
+    as the size needs, one a core at least, and no more than the session's shuffles have."""
+    needed = max(spark.sparkContext.defaultParallelism, -(-log_bytes // LOG_BYTES_PER_STATE))
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """The session's number of shuffle partitions while a stream starts, which takes a copy of it."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-                 output_mode: str = "update", on_batch: Callable[[str, int], None] | None = None) -> None:
+                 output_mode: str = "update", on_batch: Callable[[str, int], None] | None = None,
+                 partitions: int | None = None) -> None:
     """Drive a streaming result into ``out`` (one folder per micro-batch) until the source
     is drained (AvailableNow) - E1's replay; re-running with the same checkpoint follows
     only files that arrived since. A replayed batch overwrites its own folder, so the sink
-    is idempotent. ``on_batch("before" | "after", batch_id)`` is called around each write."""
+    is idempotent. ``on_batch("before" | "after", batch_id)`` is called around each write.
+    ``partitions``: of a new checkpoint's state (a resumed stream keeps its own)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if on_batch:
@@ -163,7 +189,10 @@ def run_to_table(result: DataFrame, out: str, checkpoint: str, available_now: bo
             on_batch("after", batch_id)
 
     w = result.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
-    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")).start()
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    spark = result.sparkSession
+    with shuffle_partitions(spark, partitions) if partitions else nullcontext():
+        q = w.start()
     q.awaitTermination()
 
 
@@ -317,7 +346,10 @@ def replay_then_follow(spark: SparkSession, deliveries: list[DataFrame], max_fil
     stream resumed from its checkpoint until it has caught up."""
     base = scratch_path(spark, "eventstream-follow")
     schema = deliveries[0].schema
+    partitions = None
     for part in deliveries:
         part.repartition(files).write.mode("append").parquet(f"{base}/log")
-        run_to_table(task_state_stream(read_log_stream(spark, f"{base}/log", schema, max_files)), f"{base}/out", f"{base}/ckpt")
+        if partitions is None:  # the state's partitions are fixed with the first delivery; allow for all of them
+            partitions = state_partitions(spark, stored_bytes(spark, f"{base}/log") * len(deliveries))
+        run_to_table(task_state_stream(read_log_stream(spark, f"{base}/log", schema, max_files)), f"{base}/out", f"{base}/ckpt", partitions=partitions)
     return task_state_table(spark, f"{base}/out")

@@ -1,6 +1,7 @@
 """Event log: hand-written runs with hand-worked expectations, streaming vs batch."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -341,3 +342,25 @@ def test_json_lines_broken_in_every_way(spark, schema, tmp_path):
     kept = ES.json_broken_lines(spark, out).collect()
     assert sorted(r.line for r in kept if r.problem == "unreadable") == sorted(bad)
     assert sorted(r.line for r in kept if r.problem == "incomplete") == sorted(incomplete)
+
+
+def test_state_partitions_follow_the_log(spark, sf_small, monkeypatch):
+    """A small log's state has one partition a core, a large one's as many as the session's shuffles; the
+    session's own number is as before."""
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert ES.state_partitions(spark, 1) == cores
+        assert ES.state_partitions(spark, 20 * ES.LOG_BYTES_PER_STATE) == 20
+        assert ES.state_partitions(spark, 1 << 50) == 40
+        ran = []
+        monkeypatch.setattr(ES, "run_to_table", (lambda real: lambda *a, **k: (ran.append((a[2], k)), real(*a, **k)))(ES.run_to_table))
+        ev = event_log(spark, sf_small)
+        got = ES.replay_then_follow(spark, [ev.filter("seq % 2 = 0"), ev.filter("seq % 2 = 1")])
+        assert task_rows(got) == task_rows(EV.task_fields(ev))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        folders = [p for p in Path(ran[0][0].removeprefix("file:") + "/state/0").iterdir() if p.name.isdigit()]
+        assert len(folders) == cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
