@@ -154,3 +154,28 @@ def test_prices_of_six_decimals_and_of_many_digits_are_kept(spark):
     got = {r.order_id: (text(r.gross_revenue), text(r.net_revenue), text(r.margin)) for r in out.collect()}
     assert got == {"o1": ("30.370368", "15.185184", "14.185185"), "o2": ("200000000000000000.5", "200000000000000000.5", "199999999999999999.833334"), "o3": ("0.00001", "0.00001", "-0.333323")}
     assert C.held_counts(df, spark.createDataFrame([("1",)], "cost_price string")).agg(F.sum("not_held")).first()[0] == 0
+
+
+def test_a_spec_is_tried_only_on_text_with_its_separator(spark):
+    """The same values as trying every spec, but text that cannot be read is not parsed for it to fail."""
+    from tallyframe.functions import exprs as X
+    from tallyframe.functions import patterns as P
+
+    texts = ["1996-02-03T04:05:06", "03/02/1996 04:05", "no date", "", None, "1996/02/03", "1996-02-30T00:00:00", "1-1/1996", "03-02-1996 04:05"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    specs = (P.STRICT_SPEC, *P.FALLBACK_SPECS)
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(P.SHAPES_BY_SPEC[s].spark_format)).cast("timestamp_ntz") for s in specs])
+    rows = df.select(plain.alias("want"), X.parse_multi_format(F.col("t"), specs).alias("got")).collect()
+    assert all(r.want == r.got for r in rows) and sum(r.got is not None for r in rows) == 2
+    plan = df.select(X.parse_multi_format(F.col("t"), specs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan
+
+
+def test_derive_computes_each_amount_once(spark):
+    """Amounts that later columns are made of are columns of an earlier projection."""
+    from tallyframe.functions.derive import derive
+
+    df = spark.range(3).selectExpr("id as qty", "cast(id * 1.5 as decimal(24,6)) as unit_price", "cast(0.1 as decimal(33,12)) as discount_pct",
+                                   "cast(id as string) as cost_price", "timestamp_ntz'1996-02-03 04:05:06' as order_ts")
+    plan = derive(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("decimal(14,10)") <= 4 and plan.count("Project") >= 4
