@@ -18,6 +18,7 @@ from tallyframe.functions import patterns as P
 from tallyframe.functions.exprs import count_if
 from tallyframe.operators.verify import drop_budget, facts_from_wide
 from tallyframe.plans.fixtures import messy_customers, messy_orders, messy_products
+from tallyframe.plans.retail import with_dimensions
 from tallyframe.functions.derive import derive
 from tallyframe.session import materialize, scratch_path
 from tallyframe.sources.tables import observed_write
@@ -88,7 +89,7 @@ def facts_wide_from(raw: DataFrame, products: DataFrame, customers: DataFrame) -
     # set carries the global figures (rows, KPIs, region conflicts), the four dimension sets
     # the surfaces' per-group revenue sums. A group counts as a surface point only when it
     # has revenue rows, as in the cuts themselves.
-    d = derive(J.join(J.join(cleaned, products, "sku"), customers, "customer_id"))  # keeps region_right
+    d = derive(with_dimensions(cleaned, products, customers))  # keeps region_right
     done = F.col("status") == F.lit(P.REVENUE_STATUS)
     dims = ["category", "region", "order_week", "sku"]
     full = (1 << len(dims)) - 1
@@ -154,7 +155,7 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
         "rows_in": F.coalesce(F.sum(C.ROWS_PER_KEY), F.lit(0)), "failures": count_if(~parsed), **missing(raw.columns, lambda c: kept.get(c, F.col(c))),
     })
     finished = C.finish(spark.read.parquet(stage_path))
-    joined = J.resolve_conflict(J.join(J.join(finished, messy_products(spark, sf), "sku"), messy_customers(spark, sf), "customer_id"), "region", losing="region_right")
+    joined = J.resolve_conflict(with_dimensions(finished, messy_products(spark, sf), messy_customers(spark, sf)), "region", losing="region_right")
     derived = derive(joined)
     out = observed_write(derived, path, missing(derived.columns))
     clean_out = st["rows"] - st["failures"]
